@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch. Texts can be long, so batches are kept short.
 BATCH_ROWS = 1000
+#: Rows of a table of a few numbers and a short string that may be broadcast.
+BROADCAST_ROWS = 100_000
 #: Used only where a session names no spark.checkpoint.dir (tests, notebooks).
 OWN_CHECKPOINTS = "/tmp/checkpoints"
 
@@ -36,6 +38,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df with a hint to broadcast it if it has at most so many rows, which are counted; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def fresh(prefix: str) -> str:
     """A column name that no input has."""
     return f"__{prefix}_{uuid.uuid4().hex[:8]}"

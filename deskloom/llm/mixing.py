@@ -16,7 +16,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from deskloom.llm.common import checkpointed
+from deskloom.llm.common import checkpointed, sized
 
 #: Production parameters: the least repeated source is passed over MIN_PASSES times, the most repeated MAX_REPEATS times.
 MAX_REPEATS, MIN_PASSES = 2.0, 1.0
@@ -82,7 +82,7 @@ def mix(
     )
     sizes = checkpointed(docs.select(named.alias("name")).groupBy("name").agg(F.ceil(F.count("*") / BLOCK_DOCS).alias("n_blocks")))
     block = F.pmod(F.xxhash64(F.lit(seed), F.col("k")), F.col("n_blocks"))
-    blocked = rows.join(sizes, F.col("s") == F.col("name")).withColumn("b", block)
+    blocked = rows.join(sized(sizes), F.col("s") == F.col("name")).withColumn("b", block)
     blocks = checkpointed(blocked.select("s", "b", words("x").alias("n")).groupBy("s", "b").agg(F.sum("n").alias("tokens")))
     sources = checkpointed(blocks.groupBy("s").agg(F.sum("tokens").alias("tokens")))
     counted = sources.where("tokens > 0")
@@ -109,7 +109,7 @@ def mix(
             ((F.col("end") > F.col("rest")) & (F.col("left") > 0)).alias("partly"),
         )
     )
-    met = blocked.join(cut, (F.col("s") == F.col("cs")) & (F.col("b") == F.col("cb")))
+    met = blocked.join(sized(cut), (F.col("s") == F.col("cs")) & (F.col("b") == F.col("cb")))
     every = met.where(F.col("full") + F.col("whole") > 0).withColumn("mix_pass", F.explode(F.sequence(F.lit(0), F.col("full") + F.col("whole") - 1)))
     order = Window.partitionBy("s", "b").orderBy(F.xxhash64(F.lit(seed), "k", "full"), "k", F.xxhash64("x"), "x")
     last = (
