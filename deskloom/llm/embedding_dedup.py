@@ -28,14 +28,14 @@ SAMPLE = 8192
 #: Bytes of one block of vectors in a comparison, and rows that are multiplied at a time.
 BLOCK_BYTES, ROWS = 1 << 20, 512
 #: What copying a vector to a cell costs, in comparisons of two vectors; used to choose the number of cells.
-COPY_COST = 300
+COPY_COST = 2000
 MIN_CELLS, MAX_CELLS, ROUNDS = 8, 1024, 10
 #: Slack of the bounds, far above the rounding of doubles.
 SLACK = 1e-7
 
 
-def vectors(df: DataFrame, key: str, embedding: str, label: str) -> DataFrame:
-    """(key, label, vkey, dim, vec): vec is the vector's doubles; null, as vkey, if it can't link with anything."""
+def vectors(df: DataFrame, key: str, embedding: str, label: str, kind: str) -> DataFrame:
+    """(key, label, vkey, dim, vec): vec is the vector's numbers, packed; null, as vkey, if it can't link with anything."""
     rows = df.select(F.col(key).cast("long").alias("vec_id"), F.col(label).cast("string").alias("label"), F.col(embedding).cast("array<double>").alias("v"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -45,7 +45,7 @@ def vectors(df: DataFrame, key: str, embedding: str, label: str) -> DataFrame:
             if v is None or not np.isfinite(v).all() or not v.any():
                 vecs.append(None), keys.append(None), dims.append(0)
                 continue
-            vecs.append(v.tobytes())
+            vecs.append(v.astype(kind).tobytes())
             keys.append(hashlib.md5(vecs[-1], usedforsecurity=False).digest())
             dims.append(len(v))
         columns = [batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(dims, pa.int32()), pa.array(vecs, pa.binary())]
@@ -54,9 +54,9 @@ def vectors(df: DataFrame, key: str, embedding: str, label: str) -> DataFrame:
     return map_arrow(rows, run, "vec_id long, label string, vkey binary, dim int, vec binary")
 
 
-def unit(packed: list[bytes]) -> np.ndarray:
-    """Rows of unit length; scaled first, so that no square overflows or vanishes."""
-    x = np.frombuffer(b"".join(packed), np.float64).reshape(len(packed), -1)
+def unit(packed: list[bytes], kind: str) -> np.ndarray:
+    """Rows of unit length, in double precision; scaled first, so that no square overflows or vanishes."""
+    x = np.frombuffer(b"".join(packed), kind).astype(np.float64).reshape(len(packed), -1)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
@@ -117,25 +117,24 @@ def choose(sample: np.ndarray, n: int, labels: int, angle: float) -> Cells:
     return best
 
 
-def compare(first: np.ndarray, second: np.ndarray | None, threshold: float, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def compare(first: np.ndarray, second: np.ndarray, inner: bool, threshold: float, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Weighted numbers of links of the rows of first, then second; and each row's root in a spanning forest.
 
-    Without second, first is compared with itself.
+    Rows of first are compared with those of second, and with each other if inner.
     """
-    n, m = len(first), 0 if second is None else len(second)
-    counts, parent = np.zeros(n + m, np.int64), np.arange(n + m)
-    other, shift = (first, 0) if second is None else (second, n)
+    n, m = len(first), len(second)
+    counts, parent = np.zeros(n + m), np.arange(n + m)
+    both = np.concatenate([first, second]) if inner else second
+    shift = 0 if inner else n
     for at in range(0, n, ROWS):
-        hit = first[at : at + ROWS] @ other.T >= threshold
-        i, k = np.nonzero(hit)
-        if second is None:
-            keep = i + at != k
-            i, k = i[keep], k[keep]
-        counts[: n] += np.bincount(i + at, weights[k + shift], n).astype(np.int64)
-        if second is not None:
-            counts[n:] += np.bincount(k, weights[i + at], m).astype(np.int64)
-        parent = forest(np.concatenate([i + at, np.arange(n + m)]), np.concatenate([k + shift, parent]), n + m)
-    return counts, parent
+        i, k = np.nonzero(first[at : at + ROWS] @ both.T >= threshold)
+        i, k = i + at, k + shift
+        keep = i != k
+        i, k = i[keep], k[keep]
+        counts[:n] += np.bincount(i, weights[k], n)
+        counts[n:] += np.bincount(k[k >= n] - n, weights[i[k >= n]], m)
+        parent = forest(np.concatenate([i, np.arange(n + m)]), np.concatenate([k, parent]), n + m)
+    return counts.astype(np.int64), parent
 
 
 def near_duplicates(
@@ -150,7 +149,8 @@ def near_duplicates(
     have no links, a null component_id and are not kept. Extra columns are not carried.
     """
     angle = float(np.arccos(threshold))
-    rows = checkpointed(vectors(df, key, embedding, label))
+    kind = "<f4" if dict(df.dtypes)[embedding] == "array<float>" else "<f8"
+    rows = checkpointed(vectors(df, key, embedding, label, kind))
     nodes = checkpointed(
         rows.where("vkey IS NOT NULL AND vec_id IS NOT NULL")
         .groupBy("label", "vkey")
@@ -162,10 +162,10 @@ def near_duplicates(
     sample = nodes.where(F.col("dim") == main).select("vec").orderBy(F.xxhash64("vec")).limit(SAMPLE).collect()
     cells = None
     if sample:
-        cells = choose(unit([r["vec"] for r in sample]), sizes[main]["n"], max(1, sizes[main]["labels"]), angle)
+        cells = choose(unit([r["vec"] for r in sample], kind), sizes[main]["n"], max(1, sizes[main]["labels"]), angle)
 
         def at_home(batch: pa.RecordBatch) -> pa.RecordBatch:
-            own, at = cells.home(unit(batch.column(0).to_pylist()))
+            own, at = cells.home(unit(batch.column(0).to_pylist(), kind))
             return pa.RecordBatch.from_arrays([pa.array(own), pa.array(at)], names=["cell", "at"])
 
         near = map_arrow(nodes.where(F.col("dim") == main).select("vec"), at_home, "cell long, at double")
@@ -180,7 +180,7 @@ def near_duplicates(
         home = np.zeros(len(dims), np.int64)
         rows, cell = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if len(at):
-            home[at], rows, cell = cells.visits(unit([packed[i] for i in at]))
+            home[at], rows, cell = cells.visits(unit([packed[i] for i in at], kind))
             rows = at[rows]
         take = pa.array(np.concatenate([np.arange(len(dims)), rows]))
         is_home = np.concatenate([np.ones(len(dims), bool), np.zeros(len(rows), bool)])
@@ -200,15 +200,17 @@ def near_duplicates(
         F.ceil(F.col("homes") / block).cast("int").alias("h"), F.ceil(F.col("visitors") / block).cast("int").alias("v"),
     )
     met = placements.join(filled, (F.col("label") == F.col("l")) & (F.col("dim") == F.col("d")) & (F.col("cell") == F.col("c")))
-    mine = F.when(F.col("home"), F.pmod(F.xxhash64("node"), F.col("h"))).otherwise(F.col("h") + F.pmod(F.xxhash64("node"), F.col("v")))
+    # homes have blocks 0 .. h-1, visitors h .. h+v-1; the first block of visitors goes where a block of homes meets itself
+    mine = F.when(F.col("home"), F.pmod(F.xxhash64("node"), F.col("h"))).otherwise(F.pmod(F.xxhash64("node"), F.col("v")) + F.col("h"))
+    met = met.withColumn("mine", mine.cast("int")).withColumn("first", F.col("mine") == F.col("h"))
+    others = F.when(F.col("home"), F.filter(F.sequence(F.lit(0), F.greatest(F.col("h"), F.col("h") + F.col("v") - 1)), lambda x: x != F.col("h")))
     dealt = (
-        met.withColumn("mine", mine.cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("home"), F.col("h") + F.col("v")).otherwise(F.col("h")) - 1)))
+        met.withColumn("other", F.explode(others.otherwise(F.sequence(F.lit(0), F.col("h") - 1))))
         .withColumn("low", F.least("mine", "other"))
-        .withColumn("high", F.greatest("mine", "other"))
+        .withColumn("high", F.when(F.col("first"), F.col("other")).otherwise(F.greatest("mine", "other")))
         .select(
             F.concat_ws("|", "low", "high", "cell", "dim", "label").alias("task"), "node", "copies", "vec",
-            F.when(F.col("low") == F.col("high"), 0).when(F.col("mine") == F.col("low"), 1).otherwise(2).alias("side"),
+            F.when(F.col("first"), 2).when(F.col("low") == F.col("high"), 0).when(F.col("mine") == F.col("low"), 1).otherwise(2).alias("side"),
         )
         .repartition("task")
         .sortWithinPartitions("task")
@@ -221,14 +223,14 @@ def near_duplicates(
             for start, end in zip(edges[:-1], edges[1:], strict=True):
                 part = groups.slice(start, end - start)
                 side = part.column("side").to_numpy()
-                if len(side) < 2 or (side[0] and (side == side[0]).all()):
+                if len(side) < 2 or (side.min() and (side == side[0]).all()) or side.min() == 2:
                     continue
                 order = np.argsort(side, kind="stable")
                 node, weight = part.column("node").to_numpy()[order], part.column("copies").to_numpy()[order]
                 packed = part.column("vec").to_pylist()
-                x = unit([packed[i] for i in order])
-                cut = int((side == 1).sum())
-                counts, parent = compare(x, None, threshold, weight) if not cut else compare(x[:cut], x[cut:], threshold, weight)
+                x = unit([packed[i] for i in order], kind)
+                cut = int((side < 2).sum())
+                counts, parent = compare(x[:cut], x[cut:], not side.min(), threshold, weight)
                 has = np.flatnonzero(counts)
                 if len(has):
                     yield pa.RecordBatch.from_arrays([pa.array(node[has]), pa.array(counts[has]), pa.array(node[parent[has]])], names=["node", "links", "root"])
