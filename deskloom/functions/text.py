@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from deskloom.functions import values as V
 
@@ -13,6 +14,11 @@ WORD = r"[\p{L}\p{N}]+(?:[’'-][\p{L}\p{N}]+)*"
 _EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once, however often body uses it within lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def ascii_edges(pattern: str) -> str:
     r"""pattern with \b as a boundary of ASCII words, whatever the JVM takes for a word character, and without case."""
     return "(?i)" + pattern.replace(r"\b", _EDGE)
@@ -71,7 +77,7 @@ def fold_dashes(text: Column) -> Column:
     return F.regexp_replace(text, r"[‐-―−]", "-")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(texts):
     import unicodedata
 
@@ -101,7 +107,7 @@ def stem(token: Column) -> Column:
 def title_tokens(title: Column, cap: int | None = None) -> Column:
     """The sorted set of stemmed title tokens without years; hyphened ones also give their parts. cap: the first few."""
     stemmed = F.transform(tokens(title), stem)
-    parts = F.flatten(F.transform(stemmed, lambda t: F.when(t.contains("-"), F.array_union(F.array(t), F.split(t, "-"))).otherwise(F.array(t))))
+    parts = F.flatten(F.transform(stemmed, lambda t: F.when(t.contains("-"), F.concat(F.array(t), F.split(t, "-"))).otherwise(F.array(t))))
     kept = F.array_sort(F.array_distinct(F.filter(parts, lambda t: (F.length(t) > 1) & ~t.rlike(r"^\d{4}$"))))
     return kept if cap is None else F.slice(kept, 1, cap)
 
@@ -130,9 +136,8 @@ def sentences(text: Column) -> Column:
 
 def shingles(words: Column, n: int) -> Column:
     """The runs of n words, joined by spaces; none for fewer words."""
-    return F.when(
-        F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))
-    ).otherwise(F.expr("cast(array() as array<string>)"))
+    runs = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))
+    return let(words, lambda w: F.when(F.size(w) >= n, runs(w)).otherwise(F.expr("cast(array() as array<string>)")))
 
 
 def number_tokens(text: Column) -> Column:

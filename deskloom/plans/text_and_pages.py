@@ -1,0 +1,469 @@
+"""Queries of text, pages, scores, matching and documents (T, D08-D16, P03-P12, S01-S17, C01-C06, Q01-Q10)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from deskloom.functions import numbers, prose, scoring, text
+from deskloom.functions import values as V
+from deskloom.operators import integrity, matching
+from deskloom.plans.registry import query, table
+from deskloom.sources import editions, feeds, pages
+
+
+def _docs(spark, d):
+    return table(spark, d, "documents").select("doc_id", "text", "source", "lang")
+
+
+def _pages(spark, d):
+    return table(spark, d, "pages")
+
+
+_LIST = "[" + ", ".join(f"'{w}'" for w in V.STOP_WORDS) + "]"
+_TOKENS = f"list_filter(string_split(regexp_replace(lower(regexp_replace({{0}}, '[‐-―−]', '-', 'g')), '[^a-z0-9-]+', ' ', 'g'), ' '), lambda x: len(x) > 1 AND NOT list_contains({_LIST}, x))"
+_SHORT = "SELECT doc_id, text[1:2000] AS t FROM documents"
+
+
+def _sql_term(term: str) -> str:
+    return "|".join(text.term_pattern(f) for f in text.forms(term)).replace("'", "''")
+
+
+@query("""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b[^>]*>.*?</script\\s*>', ' ', 'g'), '(?is)<style\\b[^>]*>.*?</style\\s*>', ' ', 'g'), '&amp;|&lt;|&gt;|&[a-z]+;', '#', 'g'), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))[1:200] AS text FROM pages""")
+def t01_clean_text(spark, d):
+    """References are masked on both sides here, since the order of decoding is covered by tests."""
+    masked = F.regexp_replace(F.regexp_replace(F.regexp_replace("html", r"(?is)<script\b[^>]*>.*?</script\s*>", " "), r"(?is)<style\b[^>]*>.*?</style\s*>", " "), "&amp;|&lt;|&gt;|&[a-z]+;", "#")
+    return _pages(spark, d).select("page_id", F.substring(text.clean_text(masked, 100_000), 1, 200).alias("text"))
+
+
+@query()
+def t02_article_plain_text(spark, d):
+    return _pages(spark, d).select("page_id", text.plain_text(pages.article_region(F.col("html"))).alias("text"))
+
+
+@query()
+def t03_nfkc(spark, d):
+    return _docs(spark, d).select("doc_id", text.nfkc(F.col("text")).alias("text"))
+
+
+@query(f"SELECT doc_id, array_to_string({_TOKENS.format('text')}, ' ') AS tokens FROM documents")
+def t04_tokens(spark, d):
+    return _docs(spark, d).select("doc_id", F.array_join(text.tokens(F.col("text")), " ").alias("tokens"))
+
+
+_ALIAS = "CASE x " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in V.ALIASES.items()) + " ELSE CASE WHEN len(x) > 5 AND x LIKE '%ies' THEN x[:-4] || 'y' WHEN len(x) > 4 AND x LIKE '%s' AND NOT regexp_matches(x, '(ss|us|is)$') THEN x[:-2] ELSE x END END"
+
+
+@query(f"SELECT DISTINCT x AS token, {_ALIAS} AS stem FROM (SELECT unnest({_TOKENS.format('text')}) AS x FROM documents)")
+def t05_stems(spark, d):
+    words = _docs(spark, d).select(F.explode(text.tokens(F.col("text"))).alias("token")).distinct()
+    return words.select("token", text.stem(F.col("token")).alias("stem"))
+
+
+@query(f"""WITH t AS (SELECT p_partkey, list_transform({_TOKENS.format('p_name')}, lambda x: {_ALIAS}) AS t FROM part),
+u AS (SELECT p_partkey, list_filter(list_concat(t, flatten(list_transform(list_filter(t, lambda x: x LIKE '%-%'), lambda x: string_split(x, '-')))), lambda x: len(x) > 1 AND NOT regexp_matches(x, '^[0-9]{{4}}$')) AS t FROM t)
+SELECT p_partkey, array_to_string(list_slice(list_sort(list_distinct(t)), 1, 12), ' ') AS tokens FROM u""")
+def t06_title_tokens(spark, d):
+    return table(spark, d, "part").select("p_partkey", F.array_join(text.title_tokens(F.col("p_name"), 12), " ").alias("tokens"))
+
+
+@query("""WITH t AS (SELECT p_partkey, list_distinct(string_split(lower(p_name), ' ')) AS a, list_distinct(string_split(lower(p_type), ' ')) AS b FROM part)
+SELECT p_partkey, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) AS jaccard FROM t""")
+def t07_jaccard(spark, d):
+    words = lambda c: F.array_distinct(F.split(F.lower(c), " "))
+    return table(spark, d, "part").select("p_partkey", F.round(text.jaccard(words("p_name"), words("p_type")), 6).alias("jaccard"))
+
+
+@query("SELECT doc_id, CAST(len(regexp_extract_all(text, '[\\p{L}\\p{N}]+(?:[’''-][\\p{L}\\p{N}]+)*')) AS BIGINT) AS words FROM documents")
+def t08_word_count(spark, d):
+    return _docs(spark, d).select("doc_id", text.word_count(F.col("text")).alias("words"))
+
+
+@query("SELECT doc_id, CAST(len(list_filter(string_split_regex(regexp_replace(regexp_replace(text, '([\\p{L}\\p{N}_-])\\.([\\p{L}\\p{N}_-])', '\\1x\\2', 'g'), '([\\p{L}\\p{N}_-])\\.([\\p{L}\\p{N}_-])', '\\1x\\2', 'g'), '[.!?…]+'), lambda s: regexp_matches(s, '[\\p{L}\\p{N}]'))) AS BIGINT) AS sentences FROM documents")
+def t09_sentence_count(spark, d):
+    return _docs(spark, d).select("doc_id", text.sentence_count(F.col("text")).alias("sentences"))
+
+
+def _runs(df, key, body, n=12):
+    words = F.regexp_extract_all(F.lower(body), F.lit(r"[a-z0-9]+"), F.lit(0))
+    return df.select(key, F.explode(text.shingles(words, n)).alias("run"))
+
+
+_RUNS = "SELECT {0} AS k, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS run FROM (SELECT {0}, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM {1}) WHERE len(w) >= 12"
+
+
+@query(f"WITH d AS ({_RUNS.format('doc_id', 'documents')}), b AS ({_RUNS.format('item_id', 'benchmark')}) SELECT DISTINCT d.k AS doc_id FROM d JOIN b ON d.run = b.run")
+def t10_copied_runs(spark, d):
+    """Documents that share a run of twelve words with a benchmark passage: one equi semi-join on the runs, no pairs."""
+    theirs = _runs(table(spark, d, "benchmark"), "item_id", F.col("text")).select("run").distinct()
+    return _runs(_docs(spark, d), "doc_id", F.col("text")).join(theirs, "run", "left_semi").select("doc_id").distinct()
+
+
+_NUM = "list_sort(list_distinct(regexp_extract_all(lower({0}), '[a-z0-9]*[0-9][a-z0-9]*(?:[.,][0-9]+)*')))"
+
+
+@query(f"SELECT doc_id, array_to_string({_NUM.format('text')}, ' ') AS numbers FROM documents")
+def t11_number_tokens(spark, d):
+    return _docs(spark, d).select("doc_id", F.array_join(text.number_tokens(F.col("text")), " ").alias("numbers"))
+
+
+@query()
+def t12_unsupported_names(spark, d):
+    """Names in the second half of a text that the first half lacks."""
+    half = F.floor(F.length("text") / 2).cast("int")
+    docs = _docs(spark, d).select("doc_id", F.substring("text", F.lit(1), half).alias("a"), F.substring("text", half + 1, F.length("text")).alias("b"))
+    return docs.select("doc_id", F.array_join(prose.unsupported_names(F.col("b"), F.col("a")), " ").alias("names"))
+
+
+@query("SELECT doc_id, CAST(" + " + ".join(f"CASE WHEN regexp_matches(t, '{_sql_term(t)}') THEN {w} * 1.35 ELSE 0 END" for t, w in V.DESK_TERMS["ai"].items()) + " AS DOUBLE) AS score FROM (SELECT doc_id, lower(text) AS t FROM documents)")
+def t13_term_weights(spark, d):
+    return _docs(spark, d).select("doc_id", F.round(text.term_score(F.lower("text"), V.DESK_TERMS["ai"], 1.35), 4).alias("score"))
+
+
+@query("SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text || ' CVE-2024-' || CAST(10000 + doc_id AS VARCHAR) || '.', '(?i)\\b(?:CVE-[0-9]{4}-[0-9]{4,}|GHSA-[a-z0-9-]{8,})\\b'), lambda x: lower(x)))), ' ') AS ids FROM documents")
+def t14_strong_identifiers(spark, d):
+    planted = F.concat("text", F.lit(" CVE-2024-"), (F.lit(10000) + F.col("doc_id")).cast("string"), F.lit("."))
+    return _docs(spark, d).select("doc_id", F.array_join(text.identifiers(planted), " ").alias("ids"))
+
+
+@query()
+def t15_product_tags(spark, d):
+    return table(spark, d, "part").select("p_partkey", F.array_join(text.product_tags(F.concat_ws(" ", "p_name", "p_brand", "p_type")), " ").alias("tags"))
+
+
+@query("SELECT s_suppkey, lower(trim(regexp_replace(s_name, '\\s+', ' ', 'g'))) AS entity FROM supplier")
+def t16_entity_key(spark, d):
+    return table(spark, d, "supplier").select("s_suppkey", text.entity_key(F.col("s_name")).alias("entity"))
+
+
+@query("""WITH u AS (SELECT page_id, regexp_replace(trim(url), '#.*$', '') AS u FROM pages),
+p AS (SELECT page_id, lower(regexp_extract(u, '(?i)^https?://([^/?#]+)', 1)) AS host, regexp_extract(u, '(?i)^https?://[^/?#]+([^?#]*)', 1) AS path, regexp_extract(u, '\\?(.*)$', 1) AS q FROM u),
+k AS (SELECT *, list_sort(list_filter(string_split(q, '&'), lambda x: x <> '' AND NOT regexp_matches(regexp_extract(x, '^([^=]*)', 1), '(?i)^(?:utm_.+|fbclid|gclid|msclkid|mc_cid|mc_eid|at_campaign|at_medium)$'))) AS kept FROM p)
+SELECT page_id, 'https://' || host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS url FROM k""")
+def t17_canonical_url(spark, d):
+    return _pages(spark, d).select("page_id", text.canonical_url(F.col("url")).alias("url"))
+
+
+@query("SELECT event_id, sha256(event_type || chr(0) || CAST(user_id AS VARCHAR))[1:16] AS id FROM events")
+def t18_stable_id(spark, d):
+    return table(spark, d, "events").select("event_id", text.stable_id(F.col("event_type"), F.col("user_id").cast("string")).alias("id"))
+
+
+@query()
+def t19_passage_selection(spark, d):
+    docs = _docs(spark, d).withColumn("chosen", prose.passages(F.split("text", "\n"), F.substring("text", 1, 80)))
+    return docs.select("doc_id", F.size("chosen").alias("n"), F.array_join("chosen", "\n").alias("passages"))
+
+
+@query()
+def t20_safe_excerpt(spark, d):
+    return _docs(spark, d).select("doc_id", prose.safe_excerpt(F.col("text")).alias("excerpt"))
+
+
+@query()
+def t21_lost_caveats(spark, d):
+    source = F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit(" There is no evidence of exploitation."))).otherwise(F.col("text"))
+    claim = F.concat(F.substring("text", 1, 100), F.lit(" The flaw is actively exploited. It is fixed in version 2.4.1."))
+    return _docs(spark, d).select("doc_id", F.array_join(prose.lost_caveats(claim, source), ",").alias("codes"))
+
+
+@query("SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'lt:1.' || p_size WHEN 1 THEN 'lte:1.' || p_size WHEN 2 THEN 'gte:1.' || p_size ELSE 'gt:1.' || p_size END AS bounds FROM part")
+def t22_version_bounds(spark, d):
+    v = F.concat(F.lit("1."), F.col("p_size").cast("string"))
+    k = F.col("p_size") % 4
+    said = F.when(k == 0, F.concat(F.lit("versions before "), v)).when(k == 1, F.concat(v, F.lit(" and earlier"))).when(k == 2, F.concat(F.lit("at least "), v)).otherwise(F.concat(F.lit("newer than "), v))
+    return table(spark, d, "part").select("p_partkey", F.array_join(prose.version_bounds(said), ",").alias("bounds"))
+
+
+@query("SELECT p_partkey, p_name AS product, '1.' || p_size AS below, 'CVE-2024-' || (10000 + p_partkey) AS cves FROM part")
+def t23_advisory_ranges(spark, d):
+    line = F.concat(F.lit("Summary\n"), "p_name", F.lit(" <1."), F.col("p_size").cast("string"), F.lit(" (CVE-2024-"), (F.lit(10000) + F.col("p_partkey")).cast("string"), F.lit(")"))
+    rows = table(spark, d, "part").select("p_partkey", F.explode(prose.advisory_ranges(line)).alias("r"))
+    return rows.select("p_partkey", "r.product", "r.below", F.array_join("r.cves", ",").alias("cves"))
+
+
+@query()
+def t24_phrase_edits(spark, d):
+    find = F.regexp_extract("text", r"^(?:\S+\s+){3}(\S+)", 1)
+    return _docs(spark, d).select("doc_id", prose.apply_edit(F.substring("text", 1, 400), find, F.lit("edited")).alias("text"))
+
+
+@query("SELECT page_id, replace(replace(replace(replace(replace(html[1:300], '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS safe FROM pages")
+def t25_escapes(spark, d):
+    return _pages(spark, d).select("page_id", text.escape_html(F.substring("html", 1, 300)).alias("safe"))
+
+
+def _planted(spark, d):
+    """Titles and summaries made from documents with terms of the desks, so that the rules have something to find."""
+    k = F.pmod(F.col("doc_id"), F.lit(7))
+    word = F.element_at(F.array(*[F.lit(w) for w in ("security breach", "developer workflow", "language model", "cloud infrastructure ruling", "ipo", "shopping guide", "plain")]), k.cast("int") + 1)
+    return _docs(spark, d).select("doc_id", F.concat(word, F.lit(" "), F.regexp_extract("text", r"^([^\n.]{0,80})", 1)).alias("title"), F.concat(F.substring("text", 1, 300), F.lit(" patch "), word).alias("summary"))
+
+
+_PLANTED = """WITH p AS (SELECT doc_id, ['security breach', 'developer workflow', 'language model', 'cloud infrastructure ruling', 'ipo', 'shopping guide', 'plain'][doc_id % 7 + 1] AS w, text FROM documents),
+x AS (SELECT doc_id, lower(w || ' ' || regexp_extract(text, '^([^\\n.]{0,80})', 1)) AS title, lower(text[1:300] || ' patch ' || w) AS summary FROM p)"""
+
+
+def _sql_sum(column: str, desk: str, factor: str) -> str:
+    return " + ".join(f"CASE WHEN regexp_matches({column}, '{_sql_term(t)}') THEN {w} * {factor} ELSE 0 END" for t, w in V.DESK_TERMS[desk].items())
+
+
+@query(_PLANTED + "SELECT doc_id, " + ", ".join(f"CAST(round({_sql_sum('title', k, '1.35')} + {_sql_sum('summary', k, '0.55')}, 2) AS DOUBLE) AS \"{k}\"" for k in V.DESKS) + " FROM x")
+def d08_desk_scores(spark, d):
+    rows = _planted(spark, d)
+    scores = scoring.desk_scores(F.lower("title"), F.lower("summary"))
+    return rows.select("doc_id", *[c["score"].alias(k) for k, c in scores.items()])
+
+
+@query()
+def d08_desk_choice(spark, d):
+    rows = _planted(spark, d)
+    return rows.select("doc_id", scoring.choose_desk(scoring.desk_scores(F.lower("title"), F.lower("summary")), F.col("title")).alias("desk"))
+
+
+def _sql_count(terms: list[str]) -> str:
+    return " + ".join(f"CASE WHEN regexp_matches(t, '{_sql_term(x)}') THEN 1 ELSE 0 END" for x in terms)
+
+
+@query(_PLANTED + f", y AS (SELECT doc_id, title || ' ' || summary AS t FROM x), c AS (SELECT doc_id, {_sql_count(V.IMPACT)} AS i, {_sql_count(V.NOVELTY)} AS n, {_sql_count(V.ACTION)} AS a FROM y) SELECT doc_id, CAST(least(16, i * 4) AS BIGINT) AS impact, CAST(least(4, n * 2) AS BIGINT) AS novelty, CAST(least(7, a * 2) AS BIGINT) AS action FROM c")
+def d09_scorecard_terms(spark, d):
+    t = F.concat_ws(" ", F.lower("title"), F.lower("summary"))
+    cap = lambda most, x: F.least(F.lit(most), x).cast("long")
+    return _planted(spark, d).select(
+        "doc_id", cap(16, text.count_terms(t, V.IMPACT) * 4).alias("impact"), cap(4, text.count_terms(t, V.NOVELTY) * 2).alias("novelty"), cap(7, text.count_terms(t, V.ACTION) * 2).alias("action")
+    )
+
+
+@query()
+def d09_scorecard(spark, d):
+    t = F.concat_ws(" ", F.lower("title"), F.lower("summary"))
+    scores = scoring.desk_scores(F.lower("title"), F.lower("summary"))
+    own = scores["security-and-privacy"]
+    card = scoring.scorecard(t, F.lit("corroborated"), own["title"], own["summary"], own["score"], F.lit(13))
+    return _planted(spark, d).select("doc_id", *[c.cast("int").alias(k) for k, c in card.items()])
+
+
+@query()
+def p05_content_vetoes(spark, d):
+    rows = _planted(spark, d)
+    found = scoring.vetoes(F.col("title"), F.col("summary"), F.array(F.lit("news")), F.lit("/a"), F.lit(False))
+    return rows.select("doc_id", F.array_join(found, ",").alias("reasons"))
+
+
+@query("SELECT page_id, regexp_matches(url, '^https://') AND lower(regexp_extract(url, '^https://([^/?#]*)', 1)) IN ('tionsh.example.net', 'ththon.example.com') AND NOT contains(regexp_extract(url, '^https://([^/?#]*)', 1), '@') AND len(url) <= 2048 AS allowed FROM pages")
+def p03_url_allowlist(spark, d):
+    return _pages(spark, d).select("page_id", text.url_allowed(F.col("url"), ["tionsh.example.net", "ththon.example.com"]).alias("allowed"))
+
+
+@query("""SELECT c_custkey, NOT (a IN (0, 10, 127) OR a >= 224 OR (a = 100 AND b BETWEEN 64 AND 127) OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 192 AND b = 0 AND c IN (0, 2)) OR (a = 198 AND b IN (18, 19))
+OR (a = 192 AND b = 31 AND c = 196) OR (a = 192 AND b = 52 AND c = 193) OR (a = 192 AND b = 88 AND c = 99) OR (a = 192 AND b = 175 AND c = 48) OR (a = 198 AND b = 51 AND c = 100) OR (a = 203 AND b = 0 AND c = 113)) AS public
+FROM (SELECT c_custkey, c_custkey % 256 AS a, (c_custkey * 7) % 256 AS b, (c_custkey * 13) % 256 AS c FROM customer)""")
+def p04_public_address(spark, d):
+    part = lambda n: ((F.col("c_custkey") * n) % 256).cast("string")
+    return table(spark, d, "customer").select("c_custkey", numbers.public_address(F.concat_ws(".", part(1), part(7), part(13), F.lit("9"))).alias("public"))
+
+
+@query("SELECT event_id, CASE WHEN json_keys(props) = ['k'] THEN '' WHEN NOT list_contains(json_keys(props), 'k') THEN '-k' ELSE '+' END AS issues FROM events")
+def p07_exact_shape(spark, d):
+    return table(spark, d, "events").select("event_id", F.array_join(integrity.shape_issues(F.col("props"), ["k"]), ",").alias("issues"))
+
+
+@query("""SELECT doc_id, len(n) <= 500 AND n = trim(n) AND NOT regexp_matches(n, '[\\x00-\\x1f\\x7f-\\x9f]') AND NOT regexp_matches(n, '(?i)(?:https?://|www\\.|mailto:)') AND NOT regexp_matches(n, '(?:^|\\s)[^\\s@]+@[^\\s@]+\\.[^\\s@]+(?:$|\\s)') AND (doc_id % 2 = 0 OR len(n) >= 8) AS valid FROM (SELECT doc_id, text[1:520] AS n FROM documents)""")
+def p09_feedback_note(spark, d):
+    kind = F.when(F.col("doc_id") % 2 == 0, "praise").otherwise("correction")
+    return _docs(spark, d).select("doc_id", prose.note_valid(F.substring("text", 1, 520), kind).alias("valid"))
+
+
+@query()
+def p12_prose_codes(spark, d):
+    return _docs(spark, d).select("doc_id", F.array_join(prose.prose_codes(F.col("text"), paragraph=True), ",").alias("codes"))
+
+
+@query("SELECT o_orderkey, CAST(o_orderkey * CASE o_orderkey % 3 WHEN 0 THEN 1000 WHEN 1 THEN 1000000 ELSE 1 END AS VARCHAR) AS value FROM orders")
+def d11_exact_decimals(spark, d):
+    k = F.col("o_orderkey") % 3
+    unit = F.when(k == 0, "thousand").when(k == 1, "m").otherwise("")
+    return table(spark, d, "orders").select("o_orderkey", numbers.scaled(F.concat(F.format_number("o_orderkey", 0), F.lit(".00")), unit).alias("value"))
+
+
+@query("SELECT o_orderkey, 'currency-usd=' || CAST(o_orderkey + 1 AS VARCHAR) || '000000,headcount=' || CAST(o_orderkey % 90 + 10 AS VARCHAR) || ',percent=' || CAST(o_orderkey % 50 AS VARCHAR) AS anchors FROM orders")
+def d12_numeric_anchors(spark, d):
+    said = F.concat(F.lit("Firm raises $"), (F.col("o_orderkey") + 1).cast("string"), F.lit(" million, up "), (F.col("o_orderkey") % 50).cast("string"), F.lit("%, hires "), (F.col("o_orderkey") % 90 + 10).cast("string"), F.lit(" senior staff"))
+    return table(spark, d, "orders").select("o_orderkey", F.array_join(numbers.anchors(said), ",").alias("anchors"))
+
+
+@query("SELECT user_id, array_to_string(list_slice(list_sort(list_distinct(list_filter(list(CASE WHEN event_type = 'view' THEN '' ELSE event_type END), lambda x: x <> ''))), 1, 3), ',') AS kept FROM events GROUP BY user_id")
+def d13_array_dedupe(spark, d):
+    kind = F.when(F.col("event_type") == "view", "").otherwise(F.col("event_type"))
+    kept = F.slice(F.array_sort(F.array_distinct(F.filter(F.collect_list(kind), lambda x: x != ""))), 1, 3)
+    return table(spark, d, "events").groupBy("user_id").agg(F.array_join(kept, ",").alias("kept"))
+
+
+@query("SELECT s_suppkey, CASE WHEN s_nationkey % 4 = 0 THEN CAST(s_nationkey AS DOUBLE) ELSE 0 END AS ai, CASE WHEN s_nationkey % 4 = 1 THEN CAST(s_nationkey AS DOUBLE) ELSE 0 END AS tools FROM supplier")
+def d14_map_with_default(spark, d):
+    desk = F.element_at(F.array(*[F.lit(x) for x in V.DESKS]), (F.col("s_nationkey") % 4 + 1).cast("int"))
+    priors = F.map_from_arrays(F.array(desk), F.array(F.col("s_nationkey").cast("double")))
+    of = lambda k: F.coalesce(F.element_at(priors, F.lit(k)), F.lit(0.0))
+    return table(spark, d, "supplier").select("s_suppkey", of("ai").alias("ai"), of("work-and-tools").alias("tools"))
+
+
+@query("SELECT c_custkey, rtrim(replace(replace(to_base64(encode(c_name)), '+', '-'), '/', '_'), '=') AS packed FROM customer")
+def d16_base64url(spark, d):
+    return table(spark, d, "customer").select("c_custkey", text.base64url(F.encode("c_name", "utf-8")).alias("packed"))
+
+
+@query()
+def s08_article_blocks(spark, d):
+    return _pages(spark, d).select("page_id", F.array_join(pages.article_blocks(F.col("html")), "\n").alias("blocks"))
+
+
+@query()
+def s09_structured_units(spark, d):
+    return pages.structured_units(_pages(spark, d), "page_id", "html")
+
+
+@query("SELECT page_id, 'PUBLICATION_DATE_MISSING' AS codes, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1)[1:20] AS title FROM pages")
+def s10_page_metadata(spark, d):
+    raw = F.substring(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title", 1), 1, 20)
+    return _pages(spark, d).select("page_id", F.array_join(pages.metadata_codes(F.col("html"), F.col("url")), ",").alias("codes"), raw.alias("title"))
+
+
+def _bodies(spark, d):
+    """Feed bodies made of documents: a third RSS, a third Atom, a third JSON."""
+    title = text.escape_html(F.regexp_extract("text", r"^([^\n.]{0,60})", 1))
+    link = F.concat(F.lit("https://news.example.com/a/"), F.col("doc_id").cast("string"), F.lit("?utm_source=x&amp;id=1#top"))
+    day = F.lpad((F.col("doc_id") % 28 + 1).cast("string"), 2, "0")
+    rss = F.concat(
+        F.lit("<rss><channel><item><title>T "), title, F.lit("</title><link>"), link, F.lit("</link><pubDate>Mon, "), day, F.lit(" Jan 2024 05:00:00 GMT</pubDate><description>d</description></item></channel></rss>"),
+    )
+    atom = F.concat(
+        F.lit('<feed><entry><title>T '), title, F.lit('</title><link rel="self" href="https://x.example.com/"/><link href="'), link, F.lit('"/><published>2024-01-'), day, F.lit("T05:00:00Z</published><summary>d</summary></entry></feed>"),
+    )
+    json = F.concat(F.lit('{"items":[{"title":"T x","url":"'), F.replace(link, F.lit("&amp;"), F.lit("&")), F.lit('","summary":"d","date_published":"2024-01-'), day, F.lit('T05:00:00Z"}]}'))
+    k = F.col("doc_id") % 3
+    return _docs(spark, d).select(F.col("doc_id").cast("string").alias("source_id"), F.when(k == 2, "json").otherwise("xml").alias("format"), F.when(k == 0, rss).when(k == 1, atom).otherwise(json).alias("body"))
+
+
+_FEED = "SELECT CAST(doc_id AS VARCHAR) AS source_id, 'https://news.example.com/a/' || doc_id || '?id=1' AS url, CAST(epoch_us(TIMESTAMP '2024-01-01 05:00:00' + INTERVAL 1 DAY * (doc_id % 28)) AS BIGINT) AS published FROM documents WHERE doc_id % 3 {0}"
+
+
+def _items(rows):
+    return feeds.normalize(rows).select("source_id", "url", F.unix_micros("published_at").alias("published"))
+
+
+@query(_FEED.format("< 2"))
+def s01_xml_feeds(spark, d):
+    return _items(feeds.parse_xml(_bodies(spark, d).where("format = 'xml'")))
+
+
+@query(_FEED.format("= 2"))
+def s02_json_feeds(spark, d):
+    return _items(feeds.parse_json(_bodies(spark, d).where("format = 'json'")))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS source_id, CASE WHEN doc_id % 5 = 0 THEN 'BODY_INVALID' WHEN doc_id % 5 = 1 AND doc_id % 3 < 2 THEN 'XML_DTD_REJECTED' WHEN doc_id % 5 = 1 THEN 'JSON_SHAPE_INVALID' END AS code FROM documents")
+def s03_size_and_shape_gate(spark, d):
+    k = F.col("source_id").cast("int") % 5
+    body = F.when(k == 0, "").when(k == 1, F.concat(F.lit("<!DOCTYPE x>"), "body")).otherwise(F.col("body"))
+    rows = _bodies(spark, d).withColumn("body", body)
+    return rows.select("source_id", feeds.gate(F.col("body"), F.col("format")).alias("code"))
+
+
+@query(_FEED.format(">= 0"))
+def s04_normalized_items(spark, d):
+    b = _bodies(spark, d)
+    return _items(feeds.parse_xml(b.where("format = 'xml'")).unionByName(feeds.parse_json(b.where("format = 'json'"))))
+
+
+@query("SELECT s_suppkey AS idx, CAST(s_suppkey AS VARCHAR) AS source_id, CASE WHEN s_suppkey % 4 = 0 THEN 'failed' ELSE 'ok' END AS status, CASE WHEN s_suppkey % 4 = 0 THEN 'BODY_INVALID' END AS code, CASE WHEN s_suppkey % 4 = 0 THEN 0 ELSE CAST(strlen('<rss>' || s_name || '</rss>') AS BIGINT) END AS bytes FROM supplier")
+def s06_multi_source_ingest(spark, d):
+    s = table(spark, d, "supplier")
+    sources = s.select(F.col("s_suppkey").alias("idx"), F.col("s_suppkey").cast("string").alias("source_id"), F.lit("xml").alias("format"))
+    bodies = s.where("s_suppkey % 4 <> 0").select(F.col("s_suppkey").cast("string").alias("source_id"), F.concat(F.lit("<rss>"), "s_name", F.lit("</rss>")).alias("body"))
+    return feeds.ingest(sources, bodies)
+
+
+@query("SELECT sha256(string_agg(c_name, chr(10) ORDER BY c_custkey))[1:12] AS version FROM customer")
+def s15_build_version(spark, d):
+    """One name for all rows: a build is a small table."""
+    names = table(spark, d, "customer").agg(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))).alias("n"))
+    return names.select(editions.build_version(F.array_join(F.transform("n", lambda x: x["c_name"]), "\n")).alias("version"))
+
+
+@query("SELECT * FROM (SELECT 'SIZE' AS code, (SELECT count(*) FROM part) <> 10 AS b UNION ALL SELECT 'DUPLICATE_URL', (SELECT count(*) > count(DISTINCT p_name) FROM part) UNION ALL SELECT 'DIGEST', TRUE) WHERE b = TRUE".replace("SELECT * FROM", "SELECT code FROM"))
+def s16_packet_check(spark, d):
+    rows = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_brand").alias("desk"), F.col("p_name").alias("url"), F.col("p_type").alias("sourceText"), F.lit("0").alias("sourceSha256"))
+    return editions.packet_issues(rows)
+
+
+@query("""WITH q AS (SELECT *, dense_rank() OVER (ORDER BY event_type) AS k FROM events), f AS (SELECT * FROM q WHERE k <= 12 QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY event_id) <= 5)
+SELECT event_type, event_id, user_id FROM f QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_type, event_id) = 1""")
+def s17_search_leads(spark, d):
+    return feeds.leads(table(spark, d, "events").select("event_type", "event_id", "user_id"), "event_type", "user_id", "event_id")
+
+
+def _titles(spark, d):
+    return table(spark, d, "part").select(F.col("p_partkey").alias("item"), "p_name", "p_brand", F.concat(F.lit("https://x.example.com/"), F.col("p_size").cast("string"), F.lit("/"), F.col("p_partkey").cast("string")).alias("url"))
+
+
+def _match(spark, d):
+    items = matching.features(_titles(spark, d), "item", "p_name", "p_brand", "url")
+    return items, matching.matching_pairs(items)
+
+
+@query(f"""WITH f AS (SELECT p_partkey AS k, p_brand AS b, list_sort(list_distinct(list_transform({_TOKENS.format('p_name')}, lambda x: {_ALIAS}))) AS t, list_sort(list_distinct(regexp_extract_all(lower(p_name), '[a-z0-9]*[0-9][a-z0-9]*(?:[.,][0-9]+)*'))) AS n FROM part),
+p AS (SELECT x.k AS low, y.k AS high, x.b = y.b AS same, x.t = y.t AND len(x.t) > 0 AS equal, x.n AS m, y.n AS n, len(list_intersect(x.t, y.t)) AS s, len(list_distinct(list_concat(x.t, y.t))) AS u FROM f x JOIN f y ON x.k < y.k)
+SELECT low, high FROM p WHERE NOT (len(m) > 0 AND len(n) > 0 AND len(list_intersect(m, n)) = 0) AND CASE WHEN same THEN s >= 3 AND s / u >= 0.58 ELSE (s >= 3 AND s / u >= 0.35) OR equal END""")
+def c01_event_matches(spark, d):
+    """Pairs of part names that would be one event; names have no identifiers, actions or negations."""
+    return _match(spark, d)[1]
+
+
+@query()
+def c02_event_tags(spark, d):
+    items = _match(spark, d)[0]
+    return items.select("item", F.array_join("actions", ",").alias("actions"), "negated")
+
+
+@query()
+def c06_complete_link_groups(spark, d):
+    items, pairs = _match(spark, d)
+    return matching.complete_link(items, pairs, order=["title", "url", "item"])
+
+
+def _drafts(spark, d):
+    e = table(spark, d, "events")
+    source = F.struct(F.lit("s1").alias("id"), F.concat(F.lit("https://a.example.com/"), F.col("event_id").cast("string")).alias("url"), F.lit("independent").alias("relationship"), F.col("ts").alias("published_at"), (F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("retrieved_at"))
+    at = lambda s: F.lit(s).cast("timestamp")
+    return e.select(
+        F.col("event_id").alias("id"), F.when(F.col("event_type") == "error", "material-update").otherwise("new-development").alias("status"), F.lit(None).cast("timestamp").alias("event_at"),
+        F.col("ts").alias("first_published_at"), F.lit(None).cast("timestamp").alias("material_update_at"), F.lit(None).cast("string").alias("material_delta"), at("2024-01-10").alias("window_start"), at("2024-01-20").alias("window_end"),
+        at("2024-01-20 05:00:00").alias("generated_at"), at("2024-01-20 06:00:00").alias("publish_at"), (F.col("value") > 90).alias("critical"), F.lit(False).alias("prior"), F.array(source).alias("sources"),
+    )
+
+
+@query("""WITH e AS (SELECT event_id AS id, event_type = 'error' AS u, ts, value > 90 AS crit FROM events)
+SELECT id, unnest(list_filter([CASE WHEN NOT u AND NOT (ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20') THEN 'NEW_DEVELOPMENT_OUTSIDE_WINDOW' END, CASE WHEN u THEN 'MATERIAL_UPDATE_TIMESTAMP_MISSING' END, CASE WHEN u THEN 'MATERIAL_DELTA_MISSING' END,
+CASE WHEN ts + INTERVAL 1 HOUR > TIMESTAMP '2024-01-20 05:00:00' THEN 'SOURCE_RETRIEVED_AFTER_GENERATION' END, 'INSUFFICIENT_DISTINCT_SOURCES', CASE WHEN crit THEN 'CRITICAL_STORY_SOURCE_MIX' END], lambda x: x IS NOT NULL)) AS code FROM e""")
+def q02_draft_issues(spark, d):
+    return integrity.draft_issues(_drafts(spark, d))
+
+
+@query("""WITH l AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS u FROM pages), r AS (SELECT u, min(page_id) AS first FROM l GROUP BY u HAVING min(page_id) % 2 = 0)
+SELECT page_id, CASE WHEN r.u IS NULL THEN 'LINK_REQUEST_UNAVAILABLE' ELSE 'ok' END AS outcome FROM l LEFT JOIN r ON r.u = l.u""")
+def q03_link_checks(spark, d):
+    links = _pages(spark, d).select("page_id", "url")
+    url = F.regexp_replace("url", r"[?#].*$", "")
+    results = links.groupBy(url.alias("checked_url")).agg(F.min("page_id").alias("first")).where("first % 2 = 0").select("checked_url", F.lit("ok").alias("outcome"))
+    return integrity.link_checks(links, results, url).select("page_id", "outcome")
+
+
+@query()
+def q10_summary_checks(spark, d):
+    docs = _docs(spark, d).select("doc_id", F.substring("text", 1, 400).alias("summary"), F.substring("text", 200, 5000).alias("source_text"))
+    return integrity.summary_issues(docs, "doc_id", "summary", "source_text")
+
+
+@query("SELECT DISTINCT regexp_replace(url, '#.*$', '') AS url FROM pages")
+def x08_single_flight(spark, d):
+    """One fetch for each url, however often it is asked for."""
+    return _pages(spark, d).select(F.regexp_replace("url", "#.*$", "").alias("url")).dropDuplicates(["url"])
