@@ -55,7 +55,7 @@ def _decoded(text: Column, pattern: str, base: int) -> Column:
     def character(code: Column) -> Column:
         n = F.conv(code, base, 10).cast("long")
         plain = (n > 0) & (n < 0x110000) & ~n.between(0xD800, 0xDFFF)
-        wide = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32BE")
+        wide = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
         return F.when(plain, wide).otherwise(F.lit(""))
 
     rest = F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
@@ -163,8 +163,17 @@ def forms(term: str) -> list[str]:
 
 
 def has_term(text: Column, term: str) -> Column:
-    """Whether lower-case text has the term or one of its inflections, which count once."""
-    return text.rlike("|".join(term_pattern(f) for f in forms(term)))
+    """Whether lower-case text has the term or one of its inflections, which count once.
+
+    A plain search in the text's words comes first; the pattern, which also minds what parts the words, follows only there.
+    """
+    import re
+
+    words = F.concat(F.lit(" "), F.regexp_replace(text, "[^a-z0-9]+", " "), F.lit(" "))
+    near = F.lit(False)
+    for form in forms(term):
+        near = near | words.contains(f" {' '.join(re.findall('[a-z0-9]+', form))} ")
+    return near & text.rlike("|".join(term_pattern(f) for f in forms(term)))
 
 
 def term_score(text: Column, terms: dict[str, int], factor: float = 1.0) -> Column:

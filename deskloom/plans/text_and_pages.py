@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from deskloom.functions import numbers, prose, scoring, text
+from deskloom.functions import numbers, prose, scoring, text, times
 from deskloom.functions import values as V
 from deskloom.operators import integrity, matching
 from deskloom.plans.registry import query, table
@@ -426,8 +426,54 @@ def c02_event_tags(spark, d):
 
 @query()
 def c06_complete_link_groups(spark, d):
-    items, pairs = _match(spark, d)
-    return matching.complete_link(items, pairs, order=["title", "url", "item"])
+    """Groups of documents by their first sentence, as if it were a headline."""
+    title = F.regexp_extract("text", r"^[\s\n]*([^.\n]{0,160})", 1)
+    rows = _docs(spark, d).select("doc_id", title.alias("title"), "source", F.concat(F.lit("https://docs.example.com/"), F.col("doc_id").cast("string")).alias("url"))
+    return matching.group_events(matching.features(rows, "doc_id", "title", "source", "url"), ["title", "url", "item"])
+
+
+@query("SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'acquirer:firm a->firm ' || n_name[1:1] || 'x' WHEN 1 THEN 'acquirer:firm a->firm ' || n_name[1:1] || 'x' END AS role FROM (SELECT s_suppkey, lower(n_name) AS n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey)")
+def c03_role_anchors(spark, d):
+    rows = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    party = F.concat(F.lit("Firm "), F.upper(F.substring("n_name", 1, 1)), F.lit("x"))
+    k = F.col("s_suppkey") % 3
+    title = F.when(k == 0, F.concat(F.lit("Firm A acquires "), party, F.lit(" today"))).when(k == 1, F.concat(party, F.lit(" was bought by Firm A"))).otherwise(F.lit("nothing of note"))
+    return rows.select("s_suppkey", matching.role_anchor(title).alias("role"))
+
+
+@query("SELECT event_id, epoch_us(date_trunc('second', ts)) AS micros FROM events")
+def d01_instants(spark, d):
+    """Half of the times written in one form, half in the other."""
+    iso, rfc = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ssXXX"), F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss 'GMT'")
+    written = F.when(F.col("event_id") % 2 == 0, iso).otherwise(rfc)
+    return table(spark, d, "events").select("event_id", F.unix_micros(times.parse_instant(written)).alias("micros"))
+
+
+@query("""SELECT a.s_suppkey AS low, b.s_suppkey AS high FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey AND abs(a.s_acctbal - b.s_acctbal) <= 500""")
+def j03_theta_self_join(spark, d):
+    """A blocked self-join with a condition beside the equality."""
+    s = table(spark, d, "supplier")
+    a, b = s.alias("a"), s.alias("b")
+    met = a.join(b, (F.col("a.s_nationkey") == F.col("b.s_nationkey")) & (F.col("a.s_suppkey") < F.col("b.s_suppkey")) & (F.abs(F.col("a.s_acctbal") - F.col("b.s_acctbal")) <= 500))
+    return met.select(F.col("a.s_suppkey").alias("low"), F.col("b.s_suppkey").alias("high"))
+
+
+@query("""WITH o AS (SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day FROM orders) SELECT day AS edition, 'edition' AS scope, 'ISSUE_NUMBER' AS code, count(*) AS n FROM o WHERE o_orderkey % 10 = 0 GROUP BY day""")
+def q01_edition_rules(spark, d):
+    """Editions made of orders that are whole but for an issue number of 0 in every tenth."""
+    desks = ", ".join(f"'{k}', struct('{k}' AS desk, 'quiet' AS emptyReason)" for k in V.DESKS)
+    day = "string(to_date(o_orderdate))"
+    json = F.to_json(
+        F.expr(
+            f"struct(2 AS schemaVersion, concat('x-', {day}) AS id, if(o_orderkey % 10 = 0, 0, 7) AS issueNumber, {day} AS editionDate, 'draft' AS status, 'America/New_York' AS timezone, "
+            f"struct(date_format(to_utc_timestamp(concat({day}, ' 05:00'), 'America/New_York') - INTERVAL 1 DAY, \"yyyy-MM-dd'T'HH:mm:ss'Z'\") AS startInclusive, date_format(to_utc_timestamp(concat({day}, ' 05:00'), 'America/New_York'), \"yyyy-MM-dd'T'HH:mm:ss'Z'\") AS endExclusive) AS reportingWindow, "
+            f"struct('06:00' AS targetLocalTime, date_format(to_utc_timestamp(concat({day}, ' 06:00'), 'America/New_York'), \"yyyy-MM-dd'T'HH:mm:ss'Z'\") AS publishAt, concat({day}, 'T01:00:00Z') AS generatedAt) AS publication, "
+            f"struct(array() AS storyOrder) AS frontPage, map({desks}) AS desks, struct(array() AS watchNext) AS backPage)"
+        )
+    )
+    rows = table(spark, d, "orders").select(F.from_json(json, editions.EDITION).alias("e")).select("e.*")
+    found = integrity.edition_issues(rows)
+    return found.groupBy(F.col("editionDate").alias("edition"), "scope", "code").agg(F.count("*").alias("n"))
 
 
 def _drafts(spark, d):

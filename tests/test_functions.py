@@ -1,0 +1,283 @@
+"""Functions on small cases, with what Python's own libraries say where they can."""
+
+import hashlib
+import hmac
+import unicodedata
+
+import pytest
+from pyspark.sql import functions as F
+
+from deskloom.functions import numbers, prose, scoring, text, times
+from deskloom.operators import ledger, matching, ranking
+from deskloom.operators.integrity import edition_issues
+from deskloom.sources import editions, feeds, pages
+from deskloom.streaming import intake
+
+
+def value(spark, column, **given):
+    rows = spark.createDataFrame([tuple(given.values())], ", ".join(f"{k} string" for k in given)) if given else spark.range(1)
+    return rows.select(column.alias("v")).first()["v"]
+
+
+@pytest.mark.parametrize(
+    ("raw", "want"),
+    [
+        ("<![CDATA[<b>A</b> &amp; B]]>", "A & B"),
+        ("x &#233;&#x1F600; y", "x é😀 y"),
+        ("a<script>1 < 2</script>b", "a b"),
+        ("  a b \n c ", "a b c"),
+        ("&lt;b&gt;t", "t"),
+        ("&#0;&#55296;&#99999999;k", "k"),
+        ("", ""),
+    ],
+)
+def test_clean_text(spark, raw, want):
+    assert value(spark, text.clean_text(F.col("x")), x=raw) == want
+
+
+def test_clean_text_cuts(spark):
+    assert len(value(spark, text.clean_text(F.col("x"), 240), x="ab " * 3000)) == 240
+
+
+def test_nfkc(spark):
+    raw = "ﬁne‐Ⅷ é − x"
+    want = unicodedata.normalize("NFKC", raw).replace("‐", "-").replace("−", "-")
+    assert value(spark, text.nfkc(F.col("x")), x=raw) == want
+
+
+def test_tokens_and_stems(spark):
+    got = value(spark, text.title_tokens(F.col("x")), x="Node.js 2026: companies cut jobs, a zero-day in chips; status bus")
+    assert got == sorted({"nodejs", "company", "cut", "jobs", "zero-day", "zero", "day", "chip", "status", "bus"})
+
+
+def test_terms_and_inflections(spark):
+    assert value(spark, text.has_term(F.col("x"), "zero-day"), x="a zero day bug")
+    assert value(spark, text.has_term(F.col("x"), "launch"), x="it launched")
+    assert not value(spark, text.has_term(F.col("x"), "ai"), x="they said main")
+
+
+@pytest.mark.parametrize(
+    ("raw", "want"),
+    [
+        ("2026-03-08T05:00:00Z", "2026-03-08 05:00:00"),
+        ("2026-03-08T05:00:00+02:00", "2026-03-08 03:00:00"),
+        ("Mon, 5 Jan 2026 05:00:00 GMT", "2026-01-05 05:00:00"),
+        ("05 Jan 49 05:00 -0500", "2049-01-05 10:00:00"),
+        ("05 Jan 50 05:00:00 UTC", "1950-01-05 05:00:00"),
+        ("2026-03-08", None),
+        ("2026-03-08T05:00:00", None),
+        ("soon", None),
+    ],
+)
+def test_instants(spark, raw, want):
+    got = value(spark, times.parse_instant(F.col("x")).cast("string"), x=raw)
+    assert got == want
+
+
+def test_strict_instants_do_not_roll_over(spark):
+    assert value(spark, times.strict_instant(F.col("x")), x="2026-02-30T05:00:00Z") is None
+    assert value(spark, times.strict_instant(F.col("x")), x="2026-02-28T05:00:00+15:00") is None
+    assert value(spark, times.real_date(F.col("x")), x="2026-02-29") is None
+
+
+@pytest.mark.parametrize(("day", "hours"), [("2026-03-08", 23), ("2026-11-01", 25), ("2026-07-01", 24)])
+def test_days_of_clock_changes(spark, day, hours):
+    end = times.local_instant(F.col("d"), "05:00")
+    length = (F.unix_seconds(end) - F.unix_seconds(times.window_start(end))) / 3600
+    assert value(spark, length, d=day) == hours
+
+
+def test_hmac(spark):
+    for key in (b"k", b"x" * 100):
+        assert value(spark, text.hmac_sha256(key, F.col("m")), m="grüße") == hmac.new(key, "grüße".encode(), hashlib.sha256).hexdigest()
+
+
+def test_urls(spark):
+    assert value(spark, text.canonical_url(F.col("u")), u="http://A.example.com/p?b=2&utm_source=x&a=1#t") == "https://a.example.com/p?a=1&b=2"
+    assert value(spark, text.canonical_url(F.col("u")), u="ftp://a/") is None
+    assert value(spark, text.url_allowed(F.col("u"), ["a.example.com"]), u="https://a.example.com:443/x")
+    for bad in ("http://a.example.com/", "https://u@a.example.com/", "https://a.example.com:8443/", "https://b.example.com/"):
+        assert not value(spark, text.url_allowed(F.col("u"), ["a.example.com"]), u=bad)
+
+
+@pytest.mark.parametrize(("address", "public"), [("8.8.8.8", True), ("10.1.1.1", False), ("172.32.0.1", True), ("198.19.1.1", False), ("256.1.1.1", False), ("2606:4700::1", True), ("fe80::1", False), ("2001:db8::1", False), ("x", False)])
+def test_public_addresses(spark, address, public):
+    assert value(spark, numbers.public_address(F.col("a")), a=address) is public
+
+
+def test_anchors(spark):
+    got = value(spark, numbers.anchors(F.col("t")), t="$1.5 billion and €2,000, 12% off, 300 jobs, 25 basis points, 0.0005 dollars")
+    assert got == ["basis-point=25", "currency-eur=2000", "currency-usd=0.0005:1", "currency-usd=1500000000", "headcount=300", "percent=12"]
+    conflict = numbers.anchors_conflict(numbers.anchors(F.col("a")), numbers.anchors(F.col("b")))
+    assert value(spark, conflict, a="pays $5 million", b="pays $6 million")
+    assert not value(spark, conflict, a="pays $5 million", b="pays 5 million dollars")
+
+
+def test_prose(spark):
+    codes = lambda x: value(spark, prose.prose_codes(F.col("x"), True), x=x)
+    assert codes("All is well.") == []
+    assert codes('{"headline": "x"}')[0] == "READER_PROSE_SCHEMA_FRAGMENT"
+    assert "READER_PROSE_INCOMPLETE" in codes("it goes on")
+    assert codes("It stops because.") == ["READER_PROSE_DANGLING_ENDING"]
+    assert codes(" ") == ["READER_PROSE_EMPTY"]
+    assert value(spark, prose.unsupported_names(F.col("o"), F.col("s")), o="The firm Acme met Zed.", s="acme grew") == ["zed"]
+
+
+def test_passages_skip_what_does_not_fit():
+    blocks = ["a" * 60 + " start", "b" * 500, "Users must patch before use of the thing", "c" * 30]
+    assert prose.select_passages(blocks, "", 150) == [blocks[0], blocks[2], blocks[3]]
+
+
+def test_version_bounds(spark):
+    got = value(spark, prose.version_bounds(F.col("t")), t="no later than 1.2.3, before v2.0, and 3.1 or later; at least 4.5")
+    assert got == ["gte:3.1", "gte:4.5", "lt:2.0", "lte:1.2.3"]
+    assert value(spark, prose.bound_drift(F.col("a"), F.col("b")), a="before 2.0", b="up to and including 2.0") == ["lt:2.0"]
+
+
+def test_edits(spark):
+    edit = lambda find: value(spark, prose.apply_edit(F.col("t"), F.col("f"), F.lit("new")), t="one two three four five", f=find)
+    assert edit("two") == "one new three four five"
+    assert edit("tw") is None and edit("two three") is None and edit("x") is None
+
+
+def test_vetoes(spark):
+    def codes(title, summary="", category="news", borne=False):
+        found = scoring.vetoes(F.col("t"), F.col("s"), F.array(F.col("c")), F.lit("/x"), F.lit(borne))
+        return value(spark, found, t=title, s=summary, c=category)
+
+    assert codes("Shopping guide for you") == ["PROMOTIONAL_OR_DEAL_CONTENT"]
+    assert codes("Code review tool") == []
+    assert codes("A rumor of a chip") == ["SPECULATIVE_OR_RUMOR"]
+    assert codes("Firm reportedly buys") == ["SPECULATIVE_OR_RUMOR"] and codes("Firm reportedly buys", borne=True) == []
+    assert codes("On it | Opinion") == ["OPINION_OR_COMMENTARY"]
+    assert codes("Service now available in two regions") == ["ROUTINE_CLOUD_CAPACITY_NOTICE"]
+    assert codes("Service now available in two regions", "a breach") == []
+
+
+def test_desks(spark):
+    def desk(title, summary=""):
+        return value(spark, scoring.choose_desk(scoring.desk_scores(F.lower("t"), F.lower("s")), F.col("t")), t=title, s=summary)
+
+    assert desk("Ransomware breach") == "security-and-privacy"
+    assert desk("Firm plans IPO of AI model maker") == "platforms-and-power"
+    assert desk("Nothing here") is None
+
+
+RSS = """<rss><channel><item><title>One</title><link>http://a.example.com/1?utm_x=1#f</link><pubDate>Mon, 05 Jan 2026 05:00:00 GMT</pubDate><description><![CDATA[<p>D</p>]]></description><category>x</category><category>x</category></item>
+<item><title>No date</title><link>https://a.example.com/2</link></item></channel></rss>"""
+ATOM = """<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>CVE-2026-12345</title><link rel="self" href="https://a.example.com/self"/><link rel="alternate" href="https://a.example.com/3"/><published>2026-01-05T05:00:00+01:00</published><updated>2025-01-05T05:00:00Z</updated><summary>S</summary><category term="t"/></entry></feed>"""
+
+
+def test_feeds(spark):
+    bodies = spark.createDataFrame([("r", RSS), ("a", ATOM)], "source_id string, body string")
+    rows = {r["source_id"]: r for r in feeds.normalize(feeds.parse_xml(bodies)).collect()}
+    assert len(rows) == 2
+    assert (rows["r"]["url"], rows["r"]["summary"], rows["r"]["categories"]) == ("https://a.example.com/1", "D", ["x"])
+    assert (rows["a"]["url"], rows["a"]["updated_at"], rows["a"]["categories"]) == ("https://a.example.com/3", None, ["t"])
+    json = spark.createDataFrame([("j", '{"items":[{"external_url":"https://a.example.com/4","title":"J","content_html":"<b>x</b>","date_published":"2026-01-05T05:00:00Z"},{"title":"no zone","url":"https://a.example.com/5","date_published":"2026-01-05T05:00:00"}]}')], "source_id string, body string")
+    assert [r["summary"] for r in feeds.normalize(feeds.parse_json(json)).collect()] == ["x"]
+
+
+def test_structured_units(spark):
+    html = "<article><h1>T</h1><h2>S</h2><table><tr><th>A</th><th>B</th></tr><tr><td>1</td><td>2</td></tr></table><dl><dt>k<dd>v</dl><p>x</p></article>"
+    df = spark.createDataFrame([(1, html), (2, None)], "page_id int, html string")
+    assert [r["unit"] for r in pages.structured_units(df, "page_id", "html").orderBy("position").collect()] == ["T — S — A: 1; B: 2", "T — S — k: v", "T — S — x"]
+
+
+def test_fair_sample(spark):
+    rows = [("a", i, i) for i in range(5)] + [("b", 10, 10), ("c", 20, 20)]
+    df = spark.createDataFrame(rows, "s string, t int, i int")
+    got = {(r["s"], r["i"]) for r in ranking.fair_sample(df, "s", [F.desc("t"), F.asc("i")], 4).collect()}
+    assert got == {("a", 4), ("b", 10), ("c", 20), ("a", 3)}
+
+
+def test_ledger(spark):
+    old = spark.createDataFrame([("2026-01-01", "a"), ("2026-01-02", "b")], "day string, k string")
+    for rows, n, wrong in (([("2026-01-02", "b")], 2, 0), ([("2026-01-02", "x")], 2, 1), ([("2025-12-31", "x")], 2, 1), ([("2026-01-03", "x")], 3, 0)):
+        kept, conflicts = ledger.append(old, spark.createDataFrame(rows, "day string, k string"), "day", ["k"])
+        assert (kept.count(), conflicts.count()) == (n, wrong)
+    with pytest.raises(ValueError):
+        ledger.derived_key(b"short", "d")
+
+
+def test_complete_link_needs_all_members(spark):
+    """b matches a and c, which do not match each other: a bridge must not join them."""
+    items = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "item string")
+    pairs = spark.createDataFrame([("a", "b"), ("b", "c")], "low string, high string")
+    got = {r["item"]: r["group"] for r in matching.complete_link(items, pairs).collect()}
+    assert got == {"a": "a", "b": "a", "c": "c", "d": "d"}
+
+
+@pytest.mark.parametrize(
+    ("title", "want"),
+    [
+        ("Acme Corp acquires Zed", "acquirer:acme corp->zed"), ("Zed was acquired by Acme Corp", "acquirer:acme corp->zed"), ("Acme sues Zed over chips", "claimant:acme->zed"),
+        ("Zed sued by Acme", "claimant:acme->zed"), ("Zed and Acme to merge", "merger:acme+zed"), ("Agency fines Zed", "enforcer:agency->zed"), ("nothing", None),
+    ],
+)
+def test_roles(spark, title, want):
+    assert value(spark, matching.role_anchor(F.col("t")), t=title) == want
+
+
+def test_equal_items_stand_for_each_other(spark):
+    rows = [(1, "Rival firm opens giant data center site", "p", "u1"), (2, "Rival firm opens giant data center site", "p", "u2"), (3, "Rival firm opens giant data center site", "q", "u3"), (4, "other", "p", "u4")]
+    items = matching.features(spark.createDataFrame(rows, "i int, t string, p string, u string"), "i", "t", "p", "u")
+    got = {r["item"]: r["group"] for r in matching.group_events(items, ["title", "url", "item"]).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
+def test_matches(spark):
+    rows = [
+        (1, "Acme patches CVE-2026-11111 hole", "p", "u1"), (2, "Hole CVE-2026-11111 closed by Acme", "q", "u2"), (3, "Acme patches CVE-2026-22222 hole", "r", "u3"),
+        (4, "Rival firm opens giant data center site", "p", "u4"), (5, "Rival firm opens giant data center campus", "q", "u5"), (6, "Rival firm denies giant data center campus", "r", "u6"),
+    ]
+    items = matching.features(spark.createDataFrame(rows, "i int, t string, p string, u string"), "i", "t", "p", "u")
+    assert {tuple(r) for r in matching.matching_pairs(items).collect()} == {(1, 2), (4, 5)}
+
+
+def test_editions(spark, tmp_path):
+    (tmp_path / "2026-01-05.json").write_text('{"schemaVersion": 2, "id": "x-2026-01-05", "issueNumber": 1, "editionDate": "2026-01-05", "desks": {"ai": {"desk": "ai", "story": null, "emptyReason": " "}}}')
+    (tmp_path / "2026-01-06.json").write_text('{"schemaVersion": 2, "id": "x-2026-01-05", "issueNumber": 2, "editionDate": "2026-01-07", "desks": {}}')
+    rows = editions.read_editions(spark, str(tmp_path))
+    assert {tuple(r) for r in editions.directory_issues(rows).collect()} == {("2026-01-06", "DATE_DIFFERS_FROM_NAME"), ("2026-01-05", "DUPLICATE_ID"), ("2026-01-06", "DUPLICATE_ID")}
+    found = {(r["editionDate"], r["scope"], r["code"]) for r in edition_issues(rows).collect()}
+    assert {("2026-01-05", "ai", "EMPTY_REASON"), ("2026-01-05", "edition", "DESKS"), ("2026-01-05", "edition", "TIMEZONE")} <= found
+    assert ("2026-01-05", "edition", "EDITION_ID") not in found
+
+
+def test_bundles_and_versions(spark, tmp_path):
+    rows = spark.range(3)
+    editions.write_bundle({"report": rows}, str(tmp_path / "b"))
+    with pytest.raises(Exception, match="(?i)exists"):
+        editions.write_bundle({"report": rows}, str(tmp_path / "b"))
+    editions.write_version(rows, str(tmp_path / "v"), "1")
+    editions.write_version(spark.range(5), str(tmp_path / "v"), "2")
+    assert editions.latest_version(spark, str(tmp_path / "v")).count() == 5
+
+
+def test_streaming_first_write_wins(spark, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for i, rows in enumerate(([("a", 1), ("a", 2), ("b", 3)], [("a", 9), ("c", 4)])):
+        spark.createDataFrame(rows, "k string, v int").coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema("k string, v int").parquet(src)
+        q = stream.writeStream.foreachBatch(intake.append_new(out, "k")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        assert spark.read.parquet(out).count() == (2, 3)[i]
+
+
+def test_streaming_windows(spark, tmp_path):
+    src = str(tmp_path / "in")
+    spark.sql("SELECT timestamp'2026-01-01 00:10:00' AS t, 'a' AS k UNION ALL SELECT timestamp'2026-01-01 00:20:00', 'a' UNION ALL SELECT timestamp'2026-01-01 09:00:00', 'b'").write.parquet(src)
+    stream = spark.readStream.schema("t timestamp, k string").parquet(src)
+    q = intake.windowed_counts(stream, "t", "k").writeStream.format("memory").queryName("counted").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert [(r["k"], r["n"]) for r in spark.table("counted").collect()] == [("a", 2)]
+
+
+def test_streaming_drops_repeats(spark, tmp_path):
+    src = str(tmp_path / "in")
+    spark.sql("SELECT timestamp'2026-01-01 00:10:00' AS t, 'a' AS k UNION ALL SELECT timestamp'2026-01-01 00:20:00', 'a'").write.parquet(src)
+    stream = spark.readStream.schema("t timestamp, k string").parquet(src)
+    q = intake.first_writes(stream, "k", "t").writeStream.format("memory").queryName("firsts").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert spark.table("firsts").count() == 1
