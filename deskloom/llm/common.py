@@ -10,12 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from deskloom.checkpoints import OWN_CHECKPOINTS, checkpointed
+
+__all__ = ["OWN_CHECKPOINTS", "checkpointed"]
 #: Rows of one Arrow batch. Texts can be long, so batches are kept short.
 BATCH_ROWS = 1000
 #: Rows of a table of a few numbers and a short string that may be broadcast.
 BROADCAST_ROWS = 100_000
-#: Used only where a session names no spark.checkpoint.dir (tests, notebooks).
-OWN_CHECKPOINTS = "/tmp/checkpoints"
 
 
 def prepare(spark: SparkSession) -> None:
@@ -29,15 +30,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once and written to the folder that all executors share; its lineage is cut there."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", OWN_CHECKPOINTS))
-    return df.checkpoint(eager=True)
-
-
 def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a hint to broadcast it if it has at most so many rows, which are counted; else as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
