@@ -1,14 +1,14 @@
 """Connected components of a distributed link table, by alternating large and small stars.
 
 Each round links every node's larger neighbours to its smallest one (large star), then its smaller neighbours and itself
-to the smallest (small star); the links end as stars around each component's smallest node. Nothing is gathered by node:
-each step is a minimum per key, combined before the shuffle, and a join back, whose large side Spark can split when one
-node has very many links. Each round is cut off by a checkpoint in the shared folder.
+to the smallest (small star); the links end as stars around each component's smallest node. The large star is a minimum
+per node, combined before the shuffle, and a join back, whose large side Spark can split when one node has very many links.
+Each round is cut off by a checkpoint in the shared folder.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from deskloom.checkpoints import checkpointed
@@ -30,24 +30,15 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     )
     before = None
     while True:
-        now = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now[0] == 0 or now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
         before = now
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"))
         near = low.select(F.col("u").bitwiseXOR(F.lit(TURNED)).alias("k"), F.least("u", "m").alias("m"))
-        large = (
-            edges.withColumn("k", F.col("v").bitwiseXOR(F.lit(TURNED)))
-            .join(near, "k")
-            .select("u", F.col("m").alias("v"))
-            .distinct()
-        )
-        least = large.groupBy("u").agg(F.min("v").alias("v"), F.count("*").alias("n"))
-        rest = large.join(
-            least.where("n > 1").select(F.col("u").bitwiseXOR(F.lit(TURNED)).alias("k"), F.col("v").alias("m")),
-            F.col("u").bitwiseXOR(F.lit(TURNED)) == F.col("k"),
-        ).where("v > m")
-        edges = checkpointed(
-            least.select("u", "v").unionByName(rest.select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        )
+        large = edges.withColumn("k", F.col("v").bitwiseXOR(F.lit(TURNED))).join(near, "k").select("u", F.col("m").alias("v"))
+        # a node has few smaller neighbours, as links come as forests; a window spills where it has many
+        smaller = large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+        pairs = F.when(F.col("v") == F.col("m"), F.array(F.struct("u", F.col("m").alias("v")))).otherwise(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))
+        edges = checkpointed(smaller.select(F.inline(pairs)).distinct())
