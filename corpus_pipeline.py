@@ -37,8 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row's ids, packed, with their number, and whether they decode to its text."""
-    ids = bpe.encode(docs.withColumn("text", F.coalesce("text", F.lit(""))))
-    whole = bpe.decode(ids).withColumn("round_trip", F.col("decoded") == F.encode("text", "utf-8"))
+    whole = bpe.recode(docs).withColumn("round_trip", F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "utf-8"))
     return whole.select("doc_id", "lang", "source", "token_ids", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"), "round_trip")
 
 

@@ -177,7 +177,21 @@ def encode(
     An empty text has no ids. An empty table gives an empty table.
     """
     path, pattern = path or default_path(), pattern or default_pattern()
-    return _with(df, text, out, "string", lambda x: codec(path, pattern).encode(x), "")
+    return _with(df, text, [out], "string", lambda x: (codec(path, pattern).encode(x),), "")
+
+
+def recode(
+    df: DataFrame, text: str = "text", ids: str = "token_ids", decoded: str = "decoded", path: str | None = None, pattern: str | None = None
+) -> DataFrame:
+    """df with encode()'s column and decode()'s of it, made in one Python pass."""
+    path, pattern = path or default_path(), pattern or default_pattern()
+
+    def both(x: str) -> tuple[bytes, bytes]:
+        own = codec(path, pattern)
+        packed = own.encode(x)
+        return packed, own.decode(packed)
+
+    return _with(df, text, [ids, decoded], "string", both, "")
 
 
 def decode(
@@ -185,20 +199,21 @@ def decode(
 ) -> DataFrame:
     """df with one more binary column: the bytes that packed ids (null: none) stand for."""
     path, pattern = path or default_path(), pattern or default_pattern()
-    return _with(df, ids, out, "binary", lambda x: codec(path, pattern).decode(x), b"")
+    return _with(df, ids, [out], "binary", lambda x: (codec(path, pattern).decode(x),), b"")
 
 
-def _with(df: DataFrame, read: str, out: str, kind: str, convert, empty) -> DataFrame:
+def _with(df: DataFrame, read: str, out: list[str], kind: str, convert, empty) -> DataFrame:
+    """df with binary columns named as in out: what convert makes of each value of a column, nulls as empty."""
     prepare(df.sparkSession)
-    kept = [c for c in df.columns if c != out]
+    kept = [c for c in df.columns if c not in out]
     given = fresh("given")
     rows = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{read}`").cast(kind).alias(given))
-    schema = df.select(*[F.col(f"`{c}`") for c in kept]).withColumn(out, F.lit(b"")).schema
+    schema = df.select(*[F.col(f"`{c}`") for c in kept], *[F.lit(b"").alias(o) for o in out]).schema
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         values = [convert(empty if x is None else x) for x in batch.column(batch.num_columns - 1).to_pylist()]
-        columns = [*batch.columns[:-1], pa.array(values, pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], out])
+        columns = [*batch.columns[:-1], *[pa.array(v, pa.binary()) for v in zip(*values, strict=True)]]
+        return pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], *out])
 
     return map_arrow(rows, run, schema)
 

@@ -14,7 +14,7 @@ from deskloom.checkpoints import OWN_CHECKPOINTS, checkpointed
 
 __all__ = ["OWN_CHECKPOINTS", "checkpointed"]
 #: Rows of one Arrow batch. Texts can be long, so batches are kept short.
-BATCH_ROWS = 1000
+BATCH_ROWS = 256
 #: Rows of a table of a few numbers and a short string that may be broadcast.
 BROADCAST_ROWS = 100_000
 
