@@ -29,12 +29,12 @@ def matches(text: Column, patterns: list[str]) -> Column:
     return text.rlike("|".join(f"(?:{ascii_edges(p)})" for p in patterns))
 
 
-def clean_text(text: Column, limit: int = 1200) -> Column:
-    """CDATA, character references, scripts, tags and control characters resolved, white space collapsed, cut to limit.
+def clean_text(text: Column, limit: int | None = 1200) -> Column:
+    """CDATA, character references, scripts, tags and control characters resolved, white space collapsed, cut to limit (None: whole).
 
     Numeric references are decoded piece by piece: the text is split at them, and each piece's code point becomes a character.
     """
-    x = F.substring(text, 1, max(4096, min(100_000, 8 * limit)))
+    x = text if limit is None else F.substring(text, 1, max(4096, min(100_000, 8 * limit)))
     x = F.regexp_replace(x, r"(?is)<!\[CDATA\[(.*?)\]\]>", "$1")
     x = _decoded(_decoded(x, r"&#(\d{1,8});", 10), r"(?i)&#x([0-9a-f]{1,7});", 16)
     for pattern, put in ((r"(?i)&(?:nbsp|#160);", " "), (r"(?i)&amp;", "&"), (r"(?i)&lt;", "<"), (r"(?i)&gt;", ">"), (r"(?i)&quot;", '"'), (r"(?i)&apos;", "'")):
@@ -44,7 +44,7 @@ def clean_text(text: Column, limit: int = 1200) -> Column:
     x = F.regexp_replace(x, r"<[^>]+>", " ")
     x = F.regexp_replace(x, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", " ")
     x = F.regexp_replace(F.regexp_replace(x, SPACE + "+", " "), "^ | $", "")
-    return F.substring(x, 1, limit)
+    return x if limit is None else F.substring(x, 1, limit)
 
 
 def _decoded(text: Column, pattern: str, base: int) -> Column:

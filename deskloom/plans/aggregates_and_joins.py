@@ -161,12 +161,12 @@ def j07_exactly_one_binding(spark, d):
     return matching.bound_once(table(spark, d, "orders").select("o_orderkey"), lines, "o_orderkey").select("o_orderkey", "bound", "exactly_one")
 
 
-@query("""WITH b AS (SELECT p_partkey AS url, p_brand AS publisher, p_name AS excerpt FROM part WHERE p_partkey % 3 <> 0), x AS (SELECT p_partkey AS url, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE 'other' END AS publisher, p_type AS excerpt FROM part WHERE p_partkey % 5 <> 0)
+@query("""WITH b AS (SELECT p_partkey AS url, p_brand AS publisher, p_name AS excerpt FROM part WHERE p_partkey % 3 <> 0), x AS (SELECT p_partkey AS url, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE 'other' END AS publisher, p_type AS excerpt FROM part WHERE p_partkey % 3 <> 1)
 SELECT coalesce(b.url, x.url) AS url, coalesce(b.publisher, x.publisher) AS publisher, CASE WHEN b.url IS NULL OR b.publisher = x.publisher THEN coalesce(x.excerpt, b.excerpt) ELSE b.excerpt END AS excerpt FROM b FULL JOIN x ON b.url = x.url""")
 def j08_upsert_merge(spark, d):
     part = table(spark, d, "part")
     base = part.where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("url"), F.col("p_brand").alias("publisher"), F.col("p_name").alias("excerpt"))
-    extra = part.where("p_partkey % 5 <> 0").select(F.col("p_partkey").alias("url"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")).otherwise("other").alias("publisher"), F.col("p_type").alias("excerpt"))
+    extra = part.where("p_partkey % 3 <> 1").select(F.col("p_partkey").alias("url"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")).otherwise("other").alias("publisher"), F.col("p_type").alias("excerpt"))
     return matching.upsert(base, extra, "url", "publisher", ["excerpt"])
 
 
@@ -266,10 +266,10 @@ def x06_signed_tokens(spark, d):
     return table(spark, d, "customer").select("c_custkey", token.alias("token")).select("c_custkey", ledger.token_state(KEY, F.col("token"), F.lit(now)).alias("state"))
 
 
-@query("SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey FROM orders WHERE o_orderkey % 3 = 0 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1) WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 3 = 1)")
+@query("SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey FROM orders WHERE o_orderkey % 4 <> 0 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1) WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 4 = 0)")
 def s14_idempotent_insert(spark, d):
     orders = table(spark, d, "orders").select("o_custkey", "o_orderkey")
-    return ledger.insert_new(orders.where("o_orderkey % 3 = 1"), orders.where("o_orderkey % 3 = 0"), "o_custkey", ["o_orderkey"])
+    return ledger.insert_new(orders.where("o_orderkey % 4 = 0"), orders.where("o_orderkey % 4 <> 0"), "o_custkey", ["o_orderkey"])
 
 
 @query("""SELECT c_custkey, array_to_string(list_filter([CASE WHEN c_acctbal < 0 THEN 'NEGATIVE' END, CASE WHEN c_mktsegment NOT IN ('BUILDING', 'MACHINERY') THEN 'SEGMENT' END, CASE WHEN NOT regexp_matches(c_name, '^Customer#[0-9]+$') THEN 'NAME' END], lambda x: x IS NOT NULL), ',') AS codes FROM customer""")

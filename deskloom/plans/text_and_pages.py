@@ -21,18 +21,17 @@ def _pages(spark, d):
 
 _LIST = "[" + ", ".join(f"'{w}'" for w in V.STOP_WORDS) + "]"
 _TOKENS = f"list_filter(string_split(regexp_replace(lower(regexp_replace({{0}}, '[‐-―−]', '-', 'g')), '[^a-z0-9-]+', ' ', 'g'), ' '), lambda x: len(x) > 1 AND NOT list_contains({_LIST}, x))"
-_SHORT = "SELECT doc_id, text[1:2000] AS t FROM documents"
 
 
 def _sql_term(term: str) -> str:
     return "|".join(text.term_pattern(f) for f in text.forms(term)).replace("'", "''")
 
 
-@query("""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b[^>]*>.*?</script\\s*>', ' ', 'g'), '(?is)<style\\b[^>]*>.*?</style\\s*>', ' ', 'g'), '&amp;|&lt;|&gt;|&[a-z]+;', '#', 'g'), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))[1:200] AS text FROM pages""")
+@query("""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b[^>]*>.*?</script\\s*>', ' ', 'g'), '(?is)<style\\b[^>]*>.*?</style\\s*>', ' ', 'g'), '&amp;|&lt;|&gt;|&[a-z]+;', '#', 'g'), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM pages""")
 def t01_clean_text(spark, d):
     """References are masked on both sides here, since the order of decoding is covered by tests."""
     masked = F.regexp_replace(F.regexp_replace(F.regexp_replace("html", r"(?is)<script\b[^>]*>.*?</script\s*>", " "), r"(?is)<style\b[^>]*>.*?</style\s*>", " "), "&amp;|&lt;|&gt;|&[a-z]+;", "#")
-    return _pages(spark, d).select("page_id", F.substring(text.clean_text(masked, 100_000), 1, 200).alias("text"))
+    return _pages(spark, d).select("page_id", text.clean_text(masked, None).alias("text"))
 
 
 @query()
@@ -150,7 +149,7 @@ def t18_stable_id(spark, d):
 
 @query()
 def t19_passage_selection(spark, d):
-    docs = _docs(spark, d).withColumn("chosen", prose.passages(F.split("text", "\n"), F.substring("text", 1, 80)))
+    docs = _docs(spark, d).withColumn("chosen", prose.passages(F.split("text", "\n"), F.regexp_extract("text", r"^([^\n.]*)", 1)))
     return docs.select("doc_id", F.size("chosen").alias("n"), F.array_join("chosen", "\n").alias("passages"))
 
 
@@ -162,7 +161,7 @@ def t20_safe_excerpt(spark, d):
 @query()
 def t21_lost_caveats(spark, d):
     source = F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit(" There is no evidence of exploitation."))).otherwise(F.col("text"))
-    claim = F.concat(F.substring("text", 1, 100), F.lit(" The flaw is actively exploited. It is fixed in version 2.4.1."))
+    claim = F.concat("text", F.lit(" The flaw is actively exploited. It is fixed in version 2.4.1."))
     return _docs(spark, d).select("doc_id", F.array_join(prose.lost_caveats(claim, source), ",").alias("codes"))
 
 
@@ -183,24 +182,24 @@ def t23_advisory_ranges(spark, d):
 
 @query()
 def t24_phrase_edits(spark, d):
-    find = F.regexp_extract("text", r"^(?:\S+\s+){3}(\S+)", 1)
-    return _docs(spark, d).select("doc_id", prose.apply_edit(F.substring("text", 1, 400), find, F.lit("edited")).alias("text"))
+    find = F.regexp_extract("text", r"^([^\n.]+)", 1)
+    return _docs(spark, d).select("doc_id", prose.apply_edit(F.col("text"), find, F.lit("edited")).alias("text"))
 
 
-@query("SELECT page_id, replace(replace(replace(replace(replace(html[1:300], '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS safe FROM pages")
+@query("SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS safe FROM pages")
 def t25_escapes(spark, d):
-    return _pages(spark, d).select("page_id", text.escape_html(F.substring("html", 1, 300)).alias("safe"))
+    return _pages(spark, d).select("page_id", text.escape_html(F.col("html")).alias("safe"))
 
 
 def _planted(spark, d):
     """Titles and summaries made from documents with terms of the desks, so that the rules have something to find."""
     k = F.pmod(F.col("doc_id"), F.lit(7))
     word = F.element_at(F.array(*[F.lit(w) for w in ("security breach", "developer workflow", "language model", "cloud infrastructure ruling", "ipo", "shopping guide", "plain")]), k.cast("int") + 1)
-    return _docs(spark, d).select("doc_id", F.concat(word, F.lit(" "), F.regexp_extract("text", r"^([^\n.]{0,80})", 1)).alias("title"), F.concat(F.substring("text", 1, 300), F.lit(" patch "), word).alias("summary"))
+    return _docs(spark, d).select("doc_id", F.concat(word, F.lit(" "), F.regexp_extract("text", r"^([^\n.]*)", 1)).alias("title"), F.concat("text", F.lit(" patch "), word).alias("summary"))
 
 
 _PLANTED = """WITH p AS (SELECT doc_id, ['security breach', 'developer workflow', 'language model', 'cloud infrastructure ruling', 'ipo', 'shopping guide', 'plain'][doc_id % 7 + 1] AS w, text FROM documents),
-x AS (SELECT doc_id, lower(w || ' ' || regexp_extract(text, '^([^\\n.]{0,80})', 1)) AS title, lower(text[1:300] || ' patch ' || w) AS summary FROM p)"""
+x AS (SELECT doc_id, lower(w || ' ' || regexp_extract(text, '^([^\\n.]*)', 1)) AS title, lower(text || ' patch ' || w) AS summary FROM p)"""
 
 
 def _sql_sum(column: str, desk: str, factor: str) -> str:
@@ -267,10 +266,10 @@ def p07_exact_shape(spark, d):
     return table(spark, d, "events").select("event_id", F.array_join(integrity.shape_issues(F.col("props"), ["k"]), ",").alias("issues"))
 
 
-@query("""SELECT doc_id, len(n) <= 500 AND n = trim(n) AND NOT regexp_matches(n, '[\\x00-\\x1f\\x7f-\\x9f]') AND NOT regexp_matches(n, '(?i)(?:https?://|www\\.|mailto:)') AND NOT regexp_matches(n, '(?:^|\\s)[^\\s@]+@[^\\s@]+\\.[^\\s@]+(?:$|\\s)') AND (doc_id % 2 = 0 OR len(n) >= 8) AS valid FROM (SELECT doc_id, text[1:520] AS n FROM documents)""")
+@query("""SELECT doc_id, len(n) <= 500 AND n = trim(n) AND NOT regexp_matches(n, '[\\x00-\\x1f\\x7f-\\x9f]') AND NOT regexp_matches(n, '(?i)(?:https?://|www\\.|mailto:)') AND NOT regexp_matches(n, '(?:^|\\s)[^\\s@]+@[^\\s@]+\\.[^\\s@]+(?:$|\\s)') AND (doc_id % 2 = 0 OR len(n) >= 8) AS valid FROM (SELECT doc_id, text AS n FROM documents)""")
 def p09_feedback_note(spark, d):
     kind = F.when(F.col("doc_id") % 2 == 0, "praise").otherwise("correction")
-    return _docs(spark, d).select("doc_id", prose.note_valid(F.substring("text", 1, 520), kind).alias("valid"))
+    return _docs(spark, d).select("doc_id", prose.note_valid(F.col("text"), kind).alias("valid"))
 
 
 @query()
@@ -321,15 +320,15 @@ def s09_structured_units(spark, d):
     return pages.structured_units(_pages(spark, d), "page_id", "html")
 
 
-@query("SELECT page_id, 'PUBLICATION_DATE_MISSING' AS codes, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1)[1:20] AS title FROM pages")
+@query("SELECT page_id, 'PUBLICATION_DATE_MISSING' AS codes, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1) AS title FROM pages")
 def s10_page_metadata(spark, d):
-    raw = F.substring(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title", 1), 1, 20)
+    raw = F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title", 1)
     return _pages(spark, d).select("page_id", F.array_join(pages.metadata_codes(F.col("html"), F.col("url")), ",").alias("codes"), raw.alias("title"))
 
 
-def _bodies(spark, d):
-    """Feed bodies made of documents: a third RSS, a third Atom, a third JSON."""
-    title = text.escape_html(F.regexp_extract("text", r"^([^\n.]{0,60})", 1))
+def _bodies(spark, d, kind):
+    """Feed bodies made of documents: RSS (kind 0), Atom (1) or JSON (2), as the column says."""
+    title = text.escape_html(F.regexp_extract("text", r"^([^\n.]*)", 1))
     link = F.concat(F.lit("https://news.example.com/a/"), F.col("doc_id").cast("string"), F.lit("?utm_source=x&amp;id=1#top"))
     day = F.lpad((F.col("doc_id") % 28 + 1).cast("string"), 2, "0")
     rss = F.concat(
@@ -339,38 +338,38 @@ def _bodies(spark, d):
         F.lit('<feed><entry><title>T '), title, F.lit('</title><link rel="self" href="https://x.example.com/"/><link href="'), link, F.lit('"/><published>2024-01-'), day, F.lit("T05:00:00Z</published><summary>d</summary></entry></feed>"),
     )
     json = F.concat(F.lit('{"items":[{"title":"T x","url":"'), F.replace(link, F.lit("&amp;"), F.lit("&")), F.lit('","summary":"d","date_published":"2024-01-'), day, F.lit('T05:00:00Z"}]}'))
-    k = F.col("doc_id") % 3
+    k = kind
     return _docs(spark, d).select(F.col("doc_id").cast("string").alias("source_id"), F.when(k == 2, "json").otherwise("xml").alias("format"), F.when(k == 0, rss).when(k == 1, atom).otherwise(json).alias("body"))
 
 
-_FEED = "SELECT CAST(doc_id AS VARCHAR) AS source_id, 'https://news.example.com/a/' || doc_id || '?id=1' AS url, CAST(epoch_us(TIMESTAMP '2024-01-01 05:00:00' + INTERVAL 1 DAY * (doc_id % 28)) AS BIGINT) AS published FROM documents WHERE doc_id % 3 {0}"
+_FEED = "SELECT CAST(doc_id AS VARCHAR) AS source_id, 'https://news.example.com/a/' || doc_id || '?id=1' AS url, CAST(epoch_us(TIMESTAMP '2024-01-01 05:00:00' + INTERVAL 1 DAY * (doc_id % 28)) AS BIGINT) AS published FROM documents"
 
 
 def _items(rows):
     return feeds.normalize(rows).select("source_id", "url", F.unix_micros("published_at").alias("published"))
 
 
-@query(_FEED.format("< 2"))
+@query(_FEED)
 def s01_xml_feeds(spark, d):
-    return _items(feeds.parse_xml(_bodies(spark, d).where("format = 'xml'")))
+    return _items(feeds.parse_xml(_bodies(spark, d, F.col("doc_id") % 2)))
 
 
-@query(_FEED.format("= 2"))
+@query(_FEED)
 def s02_json_feeds(spark, d):
-    return _items(feeds.parse_json(_bodies(spark, d).where("format = 'json'")))
+    return _items(feeds.parse_json(_bodies(spark, d, F.lit(2))))
 
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS source_id, CASE WHEN doc_id % 5 = 0 THEN 'BODY_INVALID' WHEN doc_id % 5 = 1 AND doc_id % 3 < 2 THEN 'XML_DTD_REJECTED' WHEN doc_id % 5 = 1 THEN 'JSON_SHAPE_INVALID' END AS code FROM documents")
 def s03_size_and_shape_gate(spark, d):
     k = F.col("source_id").cast("int") % 5
     body = F.when(k == 0, "").when(k == 1, F.concat(F.lit("<!DOCTYPE x>"), "body")).otherwise(F.col("body"))
-    rows = _bodies(spark, d).withColumn("body", body)
+    rows = _bodies(spark, d, F.col("doc_id") % 3).withColumn("body", body)
     return rows.select("source_id", feeds.gate(F.col("body"), F.col("format")).alias("code"))
 
 
-@query(_FEED.format(">= 0"))
+@query(_FEED)
 def s04_normalized_items(spark, d):
-    b = _bodies(spark, d)
+    b = _bodies(spark, d, F.col("doc_id") % 3)
     return _items(feeds.parse_xml(b.where("format = 'xml'")).unionByName(feeds.parse_json(b.where("format = 'json'"))))
 
 
@@ -427,7 +426,7 @@ def c02_event_tags(spark, d):
 @query()
 def c06_complete_link_groups(spark, d):
     """Groups of documents by their first sentence, as if it were a headline."""
-    title = F.regexp_extract("text", r"^[\s\n]*([^.\n]{0,160})", 1)
+    title = F.regexp_extract("text", r"^\s*([^.\n]*)", 1)
     rows = _docs(spark, d).select("doc_id", title.alias("title"), "source", F.concat(F.lit("https://docs.example.com/"), F.col("doc_id").cast("string")).alias("url"))
     return matching.group_events(matching.features(rows, "doc_id", "title", "source", "url"), ["title", "url", "item"])
 
@@ -505,7 +504,9 @@ def q03_link_checks(spark, d):
 
 @query()
 def q10_summary_checks(spark, d):
-    docs = _docs(spark, d).select("doc_id", F.substring("text", 1, 400).alias("summary"), F.substring("text", 200, 5000).alias("source_text"))
+    """Each text's first half as the summary of its second."""
+    half = F.floor(F.length("text") / 2).cast("int")
+    docs = _docs(spark, d).select("doc_id", F.substring("text", F.lit(1), half).alias("summary"), F.substring("text", half + 1, F.length("text")).alias("source_text"))
     return integrity.summary_issues(docs, "doc_id", "summary", "source_text")
 
 

@@ -191,9 +191,9 @@ def w11_skip_fit_selection(spark, d):
     return kept.select("c_nationkey", "c_custkey", F.round("running", 2).alias("running"))
 
 
-@query("SELECT event_id, event_type FROM events ORDER BY event_type, ts DESC, event_id LIMIT 50")
+@query("SELECT event_id, event_type FROM events ORDER BY event_type, ts DESC, event_id")
 def o01_stable_sort(spark, d):
-    return _events(spark, d).orderBy("event_type", F.desc("ts"), "event_id").select("event_id", "event_type").limit(50)
+    return _events(spark, d).orderBy("event_type", F.desc("ts"), "event_id").select("event_id", "event_type")
 
 
 @query("SELECT user_id, array_to_string(list_slice(list(DISTINCT event_type ORDER BY event_type), 1, 3), ',') AS first_three FROM events GROUP BY user_id")
