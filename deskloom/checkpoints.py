@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where a session names no spark.checkpoint.dir (tests, notebooks).
 OWN_CHECKPOINTS = "/tmp/checkpoints"
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the folder that all executors share."""
+    return f"{spark.conf.get('spark.checkpoint.dir', OWN_CHECKPOINTS)}/{name}-{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, computed once and written to the folder that all executors share; its lineage is cut there."""
     spark = df.sparkSession

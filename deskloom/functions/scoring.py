@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from deskloom.functions import values as V
-from deskloom.functions.text import ascii_edges, count_terms, has_term, identifiers, matches, term_score
+from deskloom.functions.text import ascii_edges, count_terms, has_term, identifiers, let, matches, term_score
 
 
 def broad_quantity(text: Column) -> Column:
@@ -53,16 +53,20 @@ def desk_scores(title: Column, summary: Column, priors: Column | None = None) ->
 
 def choose_desk(scores: dict[str, dict[str, Column]], title: Column) -> Column:
     """The eligible desk of the highest score, the first of equals; headlines of listings and integrations overrule."""
-    ranked = F.array(*[F.struct(F.when(c["eligible"], -c["score"]).otherwise(F.lit(1e9)).alias("s"), F.lit(i).alias("i"), F.lit(d).alias("d")) for i, (d, c) in enumerate(scores.items())])
-    best = F.array_min(ranked)
-    any_ = F.greatest(*[c["eligible"].cast("int") for c in scores.values()]) == 1
-    secure = scores["security-and-privacy"]["title"] > 0
+    place = {d: i for i, d in enumerate(scores)}
+    rows = F.array(*[F.struct(c["title"].alias("title"), c["eligible"].alias("eligible"), c["score"].alias("score"), F.lit(i).alias("place"), F.lit(d).alias("desk")) for i, (d, c) in enumerate(scores.items())])
     listing = matches(title, [r"\b(?:ipo|initial public offering|go(?:ing)? public)\b"])
     joined = matches(title, [r"\b(?:integration|integrates?|available (?:on|in))\b"]) & matches(title, [r"\b(?:vercel|developer|ide|editor)\b"])
-    event = F.when(~secure & listing & scores["platforms-and-power"]["eligible"], "platforms-and-power").when(
-        ~secure & ~listing & joined & scores["work-and-tools"]["eligible"], "work-and-tools"
-    )
-    return F.when(any_, F.coalesce(event, best["d"]))
+
+    def choose(r: Column) -> Column:
+        of = lambda desk: F.get(r, F.lit(place[desk]))
+        fit = F.filter(r, lambda x: x["eligible"])
+        best = F.array_min(F.transform(fit, lambda x: F.struct((-x["score"]).alias("s"), x["place"].alias("i"), x["desk"].alias("d"))))
+        plain = of("security-and-privacy")["title"] == 0
+        event = F.when(plain & listing & of("platforms-and-power")["eligible"], "platforms-and-power").when(plain & ~listing & joined & of("work-and-tools")["eligible"], "work-and-tools")
+        return F.when(F.size(fit) > 0, F.coalesce(event, best["d"]))
+
+    return let(rows, choose)
 
 
 def scorecard(text: Column, tier: Column, title_terms: Column, summary_terms: Column, desk_score: Column, fresh: Column) -> dict[str, Column]:

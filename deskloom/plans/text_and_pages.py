@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from deskloom.checkpoints import shared_folder
 from deskloom.functions import numbers, prose, scoring, text, times
 from deskloom.functions import values as V
 from deskloom.operators import integrity, matching
@@ -420,7 +421,7 @@ def c01_event_matches(spark, d):
 @query()
 def c02_event_tags(spark, d):
     items = _match(spark, d)[0]
-    return items.select("item", F.array_join("actions", ",").alias("actions"), "negated")
+    return items.select("item", F.array_join("actions", ",").alias("actions"), F.array_join("polarity", ",").alias("polarity"))
 
 
 @query()
@@ -514,3 +515,75 @@ def q10_summary_checks(spark, d):
 def x08_single_flight(spark, d):
     """One fetch for each url, however often it is asked for."""
     return _pages(spark, d).select(F.regexp_replace("url", "#.*$", "").alias("url")).dropDuplicates(["url"])
+
+
+_SAID = ["denies the report", "calls off merger talks", "delays product launch", "ends support for", "restores service at", "ships a failed fix for", "opens a shop with"]
+_FLAGS = ["denial", "cancellation", "deferral", "termination", "recovery", "unfixed", ""]
+
+
+@query(f"SELECT p_partkey, {_FLAGS!r}[p_partkey % 7 + 1] AS flags FROM part")
+def c04_polarity_flags(spark, d):
+    """Each part's name with one of seven turns of phrase before it."""
+    said = F.element_at(F.array(*[F.lit(s) for s in _SAID]), (F.col("p_partkey") % 7 + 1).cast("int"))
+    title = F.concat(F.lit("Firm "), said, F.lit(" "), "p_name")
+    return table(spark, d, "part").select("p_partkey", F.array_join(matching.polarity(title), ",").alias("flags"))
+
+
+@query(f"""WITH f AS (SELECT p_partkey AS k, p_brand AS b, array_to_string(list_sort(list_distinct(list_transform({_TOKENS.format('p_name')}, lambda x: {_ALIAS}))), ' ') AS t FROM part)
+SELECT x.k AS low, y.k AS high FROM f x JOIN f y ON x.k < y.k AND x.t = y.t AND x.b <> y.b""")
+def c05_reviewed_families(spark, d):
+    """Pairs of other brands' parts that a reviewed family of sightings joins: half spotted, half seen, of the same names."""
+    verb = F.when(F.col("p_partkey") % 2 == 0, "spotted").otherwise("glimpsed")
+    title = F.concat("p_name", F.lit(" "), verb)
+    tokens = text.title_tokens(title)
+    keys = matching.families(title, tokens, {"sighting": ([r"\b(?:spotted|glimpsed)\b"], ["spotted", "glimpsed"])})
+    rows = table(spark, d, "part").select("p_partkey", "p_brand", F.explode(keys).alias("family"))
+    a, b = rows.alias("a"), rows.alias("b")
+    met = a.join(b, (F.col("a.family") == F.col("b.family")) & (F.col("a.p_partkey") < F.col("b.p_partkey")) & (F.col("a.p_brand") != F.col("b.p_brand")))
+    return met.select(F.col("a.p_partkey").alias("low"), F.col("b.p_partkey").alias("high"))
+
+
+@query("""WITH u AS (SELECT page_id, url, lower(regexp_extract(url, '^https://([^/?#]*)', 1)) AS host FROM pages)
+SELECT page_id, CASE WHEN host = '' THEN 'URL_UNSAFE' WHEN host NOT LIKE '%.example.com' THEN 'HOST_NOT_ALLOWED' WHEN page_id % 6 = 0 THEN 'REDIRECT_LIMIT' WHEN page_id % 6 = 1 THEN 'STATUS_INVALID' WHEN page_id % 6 = 2 THEN 'HTTP_STATUS'
+WHEN page_id % 6 = 3 THEN 'ENCODING_UNSUPPORTED' WHEN page_id % 6 = 4 THEN 'CONTENT_TYPE_INVALID' END AS code FROM u""")
+def s05_fetch_outcomes(spark, d):
+    """Landed responses made of pages; the allowed hosts are those pages' own under one domain."""
+    rows = _pages(spark, d).withColumn("host", F.lower(F.regexp_extract("url", r"^https?://([^/?#]*)", 1)))
+    rows = rows.withColumn("asked", F.regexp_replace("url", r"^(https?)://[^/?#]*\.example\.com", "$1://feeds.example.com"))
+    k = F.col("page_id") % 6
+    hops = F.array_repeat("asked", F.when(k == 0, 4).otherwise(1))
+    status = F.when(k == 2, 404).when(k != 1, 200)
+    code = feeds.fetch_code(hops, status, F.when(k == 4, "text/html").otherwise("application/rss+xml; charset=utf-8"), F.when(k == 3, "gzip"), F.octet_length("html"), "xml", ["feeds.example.com"])
+    return rows.select("page_id", code.alias("code"))
+
+
+@query("""WITH e AS (SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, o_orderkey, o_custkey FROM orders)
+SELECT day, code, count(*) AS n FROM (SELECT day, unnest(list_filter([CASE WHEN o_orderkey % 50 = 0 THEN 'DATE_DIFFERS_FROM_NAME' END, CASE WHEN count(*) OVER (PARTITION BY day) > 1 THEN 'DUPLICATE_DATE' END, CASE WHEN count(*) OVER (PARTITION BY o_custkey) > 1 THEN 'DUPLICATE_ISSUE' END], lambda x: x IS NOT NULL)) AS code FROM e) GROUP BY day, code""")
+def s11_directory_issues(spark, d):
+    """Orders as edition documents: files named by their date but for every fiftieth, ids of their own, customers as issue numbers."""
+    day = F.to_date("o_orderdate").cast("string")
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), day.alias("editionDate"), F.col("o_orderkey").cast("string").alias("id"), F.col("o_custkey").alias("issueNumber"))
+    rows = rows.withColumn("fileDate", F.when(F.col("k") % 50 == 0, F.concat(F.lit("not "), "editionDate")).otherwise(F.col("editionDate"))).drop("k")
+    found = editions.directory_issues(rows)
+    return found.groupBy(F.regexp_replace("fileDate", "^not ", "").alias("day"), "code").agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_custkey, c_acctbal FROM customer")
+def s12_latest_version(spark, d):
+    """Customers written as two versions, an empty one and a whole one; the later is read."""
+    folder = shared_folder(spark, "ledger")
+    rows = table(spark, d, "customer").select("c_custkey", "c_acctbal")
+    editions.write_version(rows.withColumn("c_acctbal", F.lit(0.0)), folder, "1")
+    editions.write_version(rows, folder, "2")
+    return editions.latest_version(spark, folder)
+
+
+@query("""WITH n AS (SELECT event_type, count(*) AS n FROM events GROUP BY event_type)
+SELECT 'md' AS format, '| ' || event_type || ' | ' || n || ' |' AS line FROM n UNION ALL SELECT 'html', '<tr><td>' || event_type || '</td><td>' || n || '</td></tr>' FROM n UNION ALL SELECT 'json', event_type || '=' || n FROM n""")
+def s13_report_bundle(spark, d):
+    """A report of counts, written as JSON, Markdown and HTML, and read back."""
+    folder = shared_folder(spark, "bundle")
+    editions.write_bundle({"counts": table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"))}, folder)
+    line = lambda kind: spark.read.text(f"{folder}/counts.{kind}").select(F.lit(kind).alias("format"), F.col("value").alias("line"))
+    json = spark.read.schema("event_type string, n long").json(f"{folder}/counts")
+    return line("md").unionByName(line("html")).unionByName(json.select(F.lit("json").alias("format"), F.concat_ws("=", "event_type", "n").alias("line")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from deskloom.functions.text import escape_html
+
 SOURCE = "struct<id:string,title:string,publisher:string,url:string,relationship:string,publishedAt:string,retrievedAt:string>"
 STORY = (
     "struct<id:string,canonicalEventKey:string,desk:string,headline:string,deck:string,whatHappened:string,whyItMatters:string,whatToDoOrWatch:string,"
@@ -42,10 +44,24 @@ def stories(editions: DataFrame) -> DataFrame:
     return rows.select("editionDate", "issueNumber", "desk_key", F.col("d.story").alias("story"))
 
 
+def markdown_rows(report: DataFrame) -> DataFrame:
+    """A report's rows as lines of a Markdown table; bars within a value are escaped, nulls are empty."""
+    cell = lambda c: F.replace(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")), F.lit("|"), F.lit("\\|"))
+    return report.select(F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(c) for c in report.columns]), F.lit(" |")).alias("value"))
+
+
+def html_rows(report: DataFrame) -> DataFrame:
+    """A report's rows as rows of an HTML table, escaped."""
+    cell = lambda c: F.concat(F.lit("<td>"), escape_html(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))), F.lit("</td>"))
+    return report.select(F.concat(F.lit("<tr>"), *[cell(c) for c in report.columns], F.lit("</tr>")).alias("value"))
+
+
 def write_bundle(reports: dict[str, DataFrame], path: str) -> None:
-    """Each report as JSON in a folder of its own; fails where one is there already."""
+    """Each report as JSON, Markdown and HTML rows in a folder of its own; fails where one is there already."""
     for name, report in reports.items():
         report.write.mode("errorifexists").json(f"{path}/{name}")
+        markdown_rows(report).write.mode("errorifexists").text(f"{path}/{name}.md")
+        html_rows(report).write.mode("errorifexists").text(f"{path}/{name}.html")
 
 
 def write_version(table: DataFrame, path: str, version: str) -> None:

@@ -24,6 +24,28 @@ def read_bodies(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("source_id"), F.col("value").alias("body"))
 
 
+def fetch_code(hops: Column, status: Column, content_type: Column, encoding: Column, octets: Column, kind: str, hosts: list[str]) -> Column:
+    """The code of the rule that a landed response breaks, else null; hops are the urls asked for, in order.
+
+    The fetch itself happens outside; what it landed is judged here, before its body is parsed.
+    """
+    authority = lambda u: F.regexp_extract(u, r"^https://([^/?#]*)", 1)
+    plain = lambda u: (authority(u) != "") & ~authority(u).contains("@") & ~authority(u).rlike(r":(?!443$)")
+    listed = lambda u: F.lower(F.regexp_replace(authority(u), ":443$", "")).isin(hosts)
+    return (
+        F.when(F.coalesce(F.size(hops), F.lit(0)) < 1, "URL_INVALID")
+        .when(~F.coalesce(F.forall(hops, plain), F.lit(False)), "URL_UNSAFE")
+        .when(~F.forall(hops, listed), "HOST_NOT_ALLOWED")
+        .when(F.exists(hops, lambda u: F.length(u) > V.MAX_URL), "URL_TOO_LONG")
+        .when(F.size(hops) - 1 > V.MAX_REDIRECTS, "REDIRECT_LIMIT")
+        .when(status.isNull(), "STATUS_INVALID")
+        .when(~status.between(200, 299), "HTTP_STATUS")
+        .when(F.lower(F.coalesce(encoding, F.lit("identity"))) != "identity", "ENCODING_UNSUPPORTED")
+        .when(octets > V.MAX_FEED_BYTES, "BODY_TOO_LARGE")
+        .when(~F.coalesce(F.lower(F.trim(F.split_part(content_type, F.lit(";"), F.lit(1)))).isin(V.FEED_TYPES[kind]), F.lit(False)), "CONTENT_TYPE_INVALID")
+    )
+
+
 def gate(body: Column, kind: Column) -> Column:
     """The code of the limit that a body breaks, else null."""
     xml = kind == "xml"
