@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from deskloom.functions import values as V
-from deskloom.functions.text import ascii_edges, count_terms, has_term, identifiers, let, matches, term_score
+from deskloom.functions.text import ascii_edges, count_terms, identifiers, let, matches, term_hits, weighted
 
 
 def broad_quantity(text: Column) -> Column:
@@ -35,18 +35,28 @@ def vetoes(title: Column, summary: Column, categories: Column, url_path: Column,
     return F.array_sort(F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(code)) for code, c in hit.items()])))
 
 
-def strong_terms(text: Column, desk: str) -> Column:
-    """The number of a desk's strong terms in text."""
-    return count_terms(text, [t for t, w in V.DESK_TERMS[desk].items() if w >= V.STRONG_WEIGHT])
+#: The terms of all desks, each once; hits are arrays in this order.
+TERMS = list(dict.fromkeys(t for terms in V.DESK_TERMS.values() for t in terms))
+
+
+def desk_hits(text: Column) -> Column:
+    """Which of the desks' terms lower-case text has. Keep it as a column, since the scores refer to it many times."""
+    return term_hits(text, TERMS)
+
+
+def strong_terms(hits: Column, desk: str) -> Column:
+    """The number of a desk's strong terms among the hits."""
+    return weighted(hits, [V.DESK_TERMS[desk].get(t, 0) >= V.STRONG_WEIGHT for t in TERMS]).cast("int")
 
 
 def desk_scores(title: Column, summary: Column, priors: Column | None = None) -> dict[str, dict[str, Column]]:
-    """For each desk the strong terms in title and summary, eligibility and score."""
+    """D08 over desk_hits() of title and summary: for each desk the strong terms in both, eligibility and score."""
     out = {}
     for desk, terms in V.DESK_TERMS.items():
         t, s = strong_terms(title, desk), strong_terms(summary, desk)
         prior = F.lit(0.0) if priors is None else F.coalesce(F.element_at(priors, F.lit(desk)), F.lit(0.0))
-        score = F.round(prior + term_score(title, terms, 1.35) + term_score(summary, terms, 0.55), 2)
+        of = lambda hits, factor: weighted(hits, [terms.get(x, 0) * factor for x in TERMS])  # noqa: E731, B023
+        score = F.round(prior + of(title, 1.35) + of(summary, 0.55), 2)
         out[desk] = {"title": t, "summary": s, "eligible": (t >= 1) | (s >= 2), "score": score}
     return out
 
@@ -70,21 +80,25 @@ def choose_desk(scores: dict[str, dict[str, Column]], title: Column) -> Column:
 
 
 def scorecard(text: Column, tier: Column, title_terms: Column, summary_terms: Column, desk_score: Column, fresh: Column) -> dict[str, Column]:
-    """The five components and the score."""
+    """The five components; keep them as columns, then total() sums them."""
     m = V.SCORE_MAXIMA
     known, amount = (F.size(identifiers(text)) > 0).cast("int"), broad_quantity(text).cast("int")
     cap = lambda most, x: F.least(F.lit(most), x)
-    out = {
+    return {
         "materiality": cap(m["materiality"], 8 + cap(16, count_terms(text, V.IMPACT) * 4) + cap(4, count_terms(text, V.NOVELTY) * 2) + known * 3 + amount * 2),
         "relevance": cap(m["relevance"], 10 + cap(6, title_terms * 3) + cap(4, summary_terms * 2) + F.when(desk_score >= 35, 2).otherwise(0)),
         "strength": F.when(tier == "corroborated", 20).when(tier == "authoritative-single", 16).otherwise(6),
         "usefulness": cap(m["usefulness"], 4 + cap(7, count_terms(text, V.ACTION) * 2) + known * 2 + amount * 2),
         "freshness": fresh,
     }
-    total = F.lit(0)
-    for c in out.values():
-        total = total + c
-    return out | {"score": cap(100, total)}
+
+
+def total(*components: str) -> Column:
+    """The score of a scorecard's columns, 100 at most."""
+    out = F.lit(0)
+    for c in components:
+        out = out + F.col(c)
+    return F.least(F.lit(100), out)
 
 
 def gates(tier: Column, score: Column, materiality: Column, usefulness: Column, minimum: int = V.MINIMUM_SCORE, single: int | None = None, policy: str = "corroborated") -> Column:

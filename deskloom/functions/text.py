@@ -162,33 +162,43 @@ def forms(term: str) -> list[str]:
     return [term, *[f for f in V.INFLECTIONS.get(term, "").split(", ") if f]]
 
 
-def has_term(text: Column, term: str) -> Column:
-    """Whether lower-case text has the term or one of its inflections, which count once.
+def _words(text: Column) -> Column:
+    return F.concat(F.lit(" "), F.regexp_replace(text, "[^a-z0-9]+", " "), F.lit(" "))
 
-    A plain search in the text's words comes first; the pattern, which also minds what parts the words, follows only there.
-    """
+
+def _met(text: Column, words: Column, term: str) -> Column:
+    """A plain search in the text's words comes first; the pattern, which also minds what parts the words, follows only there."""
     import re
 
-    words = F.concat(F.lit(" "), F.regexp_replace(text, "[^a-z0-9]+", " "), F.lit(" "))
     near = F.lit(False)
     for form in forms(term):
         near = near | words.contains(f" {' '.join(re.findall('[a-z0-9]+', form))} ")
     return near & text.rlike("|".join(term_pattern(f) for f in forms(term)))
 
 
+def has_term(text: Column, term: str) -> Column:
+    """Whether lower-case text has the term or one of its inflections, which count once."""
+    return _met(text, _words(text), term)
+
+
+def term_hits(text: Column, terms: list[str]) -> Column:
+    """For each of the terms whether lower-case text has it; the text's words are taken once for all."""
+    return let(F.struct(text.alias("t"), _words(text).alias("w")), lambda x: F.array(*[_met(x["t"], x["w"], term) for term in terms]))
+
+
+def weighted(hits: Column, weights: list[float]) -> Column:
+    """The sum of the weights whose place in hits is true."""
+    return F.aggregate(F.zip_with(hits, F.array(*[F.lit(float(w)) for w in weights]), lambda h, w: F.when(h, w).otherwise(F.lit(0.0))), F.lit(0.0), lambda a, w: a + w)
+
+
 def term_score(text: Column, terms: dict[str, int], factor: float = 1.0) -> Column:
     """The sum of weight * factor over the terms in text."""
-    total = F.lit(0.0)
-    for term, weight in terms.items():
-        total = total + F.when(has_term(text, term), F.lit(weight * factor)).otherwise(F.lit(0.0))
-    return total
+    return weighted(term_hits(text, list(terms)), [w * factor for w in terms.values()])
 
 
 def count_terms(text: Column, terms: list[str]) -> Column:
-    total = F.lit(0)
-    for term in terms:
-        total = total + has_term(text, term).cast("int")
-    return total
+    """The number of the terms that text has; 0 for none or a null."""
+    return F.size(F.filter(term_hits(text, terms), lambda h: h))
 
 
 def identifiers(text: Column) -> Column:

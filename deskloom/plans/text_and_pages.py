@@ -199,6 +199,10 @@ def _planted(spark, d):
     return _docs(spark, d).select("doc_id", F.concat(word, F.lit(" "), F.regexp_extract("text", r"^([^\n.]*)", 1)).alias("title"), F.concat("text", F.lit(" patch "), word).alias("summary"))
 
 
+def _scored(spark, d):
+    return _planted(spark, d).withColumns({"title_hits": scoring.desk_hits(F.lower("title")), "summary_hits": scoring.desk_hits(F.lower("summary"))})
+
+
 _PLANTED = """WITH p AS (SELECT doc_id, ['security breach', 'developer workflow', 'language model', 'cloud infrastructure ruling', 'ipo', 'shopping guide', 'plain'][doc_id % 7 + 1] AS w, text FROM documents),
 x AS (SELECT doc_id, lower(w || ' ' || regexp_extract(text, '^([^\\n.]*)', 1)) AS title, lower(text || ' patch ' || w) AS summary FROM p)"""
 
@@ -209,15 +213,15 @@ def _sql_sum(column: str, desk: str, factor: str) -> str:
 
 @query(_PLANTED + "SELECT doc_id, " + ", ".join(f"CAST(round({_sql_sum('title', k, '1.35')} + {_sql_sum('summary', k, '0.55')}, 2) AS DOUBLE) AS \"{k}\"" for k in V.DESKS) + " FROM x")
 def d08_desk_scores(spark, d):
-    rows = _planted(spark, d)
-    scores = scoring.desk_scores(F.lower("title"), F.lower("summary"))
+    rows = _scored(spark, d)
+    scores = scoring.desk_scores(F.col("title_hits"), F.col("summary_hits"))
     return rows.select("doc_id", *[c["score"].alias(k) for k, c in scores.items()])
 
 
 @query()
 def d08_desk_choice(spark, d):
-    rows = _planted(spark, d)
-    return rows.select("doc_id", scoring.choose_desk(scoring.desk_scores(F.lower("title"), F.lower("summary")), F.col("title")).alias("desk"))
+    rows = _scored(spark, d)
+    return rows.select("doc_id", scoring.choose_desk(scoring.desk_scores(F.col("title_hits"), F.col("summary_hits")), F.col("title")).alias("desk"))
 
 
 def _sql_count(terms: list[str]) -> str:
@@ -236,10 +240,10 @@ def d09_scorecard_terms(spark, d):
 @query()
 def d09_scorecard(spark, d):
     t = F.concat_ws(" ", F.lower("title"), F.lower("summary"))
-    scores = scoring.desk_scores(F.lower("title"), F.lower("summary"))
+    scores = scoring.desk_scores(F.col("title_hits"), F.col("summary_hits"))
     own = scores["security-and-privacy"]
     card = scoring.scorecard(t, F.lit("corroborated"), own["title"], own["summary"], own["score"], F.lit(13))
-    return _planted(spark, d).select("doc_id", *[c.cast("int").alias(k) for k, c in card.items()])
+    return _scored(spark, d).select("doc_id", *[c.cast("int").alias(k) for k, c in card.items()]).withColumn("score", scoring.total(*card))
 
 
 @query()
@@ -530,17 +534,16 @@ def c04_polarity_flags(spark, d):
 
 
 @query(f"""WITH f AS (SELECT p_partkey AS k, p_brand AS b, array_to_string(list_sort(list_distinct(list_transform({_TOKENS.format('p_name')}, lambda x: {_ALIAS}))), ' ') AS t FROM part)
-SELECT x.k AS low, y.k AS high FROM f x JOIN f y ON x.k < y.k AND x.t = y.t AND x.b <> y.b""")
+SELECT k AS p_partkey, first_value(k) OVER (PARTITION BY t ORDER BY k) AS first, count(*) OVER (PARTITION BY t) - count(*) OVER (PARTITION BY t, b) AS partners FROM f""")
 def c05_reviewed_families(spark, d):
-    """Pairs of other brands' parts that a reviewed family of sightings joins: half spotted, half seen, of the same names."""
+    """Parts that a reviewed family of sightings joins, half spotted, half glimpsed: the first alike and the number of other brands' alike."""
     verb = F.when(F.col("p_partkey") % 2 == 0, "spotted").otherwise("glimpsed")
     title = F.concat("p_name", F.lit(" "), verb)
-    tokens = text.title_tokens(title)
-    keys = matching.families(title, tokens, {"sighting": ([r"\b(?:spotted|glimpsed)\b"], ["spotted", "glimpsed"])})
+    keys = matching.families(title, text.title_tokens(title), {"sighting": ([r"\b(?:spotted|glimpsed)\b"], ["spotted", "glimpsed"])})
     rows = table(spark, d, "part").select("p_partkey", "p_brand", F.explode(keys).alias("family"))
-    a, b = rows.alias("a"), rows.alias("b")
-    met = a.join(b, (F.col("a.family") == F.col("b.family")) & (F.col("a.p_partkey") < F.col("b.p_partkey")) & (F.col("a.p_brand") != F.col("b.p_brand")))
-    return met.select(F.col("a.p_partkey").alias("low"), F.col("b.p_partkey").alias("high"))
+    brands = rows.groupBy("family", "p_brand").agg(F.count("*").alias("own"), F.min("p_partkey").alias("least"))
+    alike = brands.groupBy("family").agg(F.sum("own").alias("all"), F.min("least").alias("first"))
+    return rows.join(brands, ["family", "p_brand"]).join(alike, "family").select("p_partkey", "first", (F.col("all") - F.col("own")).alias("partners"))
 
 
 @query("""WITH u AS (SELECT page_id, url, lower(regexp_extract(url, '^https://([^/?#]*)', 1)) AS host FROM pages)

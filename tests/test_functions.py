@@ -156,7 +156,8 @@ def test_vetoes(spark):
 
 def test_desks(spark):
     def desk(title, summary=""):
-        return value(spark, scoring.choose_desk(scoring.desk_scores(F.lower("t"), F.lower("s")), F.col("t")), t=title, s=summary)
+        hits = [scoring.desk_hits(F.lower(c)) for c in ("t", "s")]
+        return value(spark, scoring.choose_desk(scoring.desk_scores(*hits), F.col("t")), t=title, s=summary)
 
     assert desk("Ransomware breach") == "security-and-privacy"
     assert desk("Firm plans IPO of AI model maker") == "platforms-and-power"
@@ -235,6 +236,51 @@ def test_matches(spark):
     assert {tuple(r) for r in matching.matching_pairs(items).collect()} == {(1, 2), (4, 5)}
 
 
+@pytest.mark.parametrize(
+    ("title", "want"),
+    [
+        ("Acme denies report of breach", "denial"), ("Acme does not plan to buy Zed", "denial"), ("Acme walks away from Zed", "cancellation"), ("Acme delays launch of phone", "deferral"),
+        ("Acme retires its old service", "termination"), ("Acme network is back online", "recovery"), ("Acme flaw still exploitable after failed patch", "unfixed"),
+        ("Acme cancels launch as network recovers", "cancellation,recovery"), ("Acme opens a shop", ""), (None, ""),
+    ],
+)
+def test_polarity(spark, title, want):
+    assert value(spark, F.array_join(matching.polarity(F.col("t")), ","), t=title) == want
+
+
+def test_reviewed_families(spark):
+    rows = [(1, "Court rules Acme listing unlawful", "p", "u1"), (2, "Judge finds Acme listing illegal", "q", "u2"), (3, "Judge finds Zed listing illegal", "r", "u3"), (4, "Judge calls Acme listing illegal", "p", "u4")]
+    family = {"listing": ([r"\b(?:court|judge)\b", r"\b(?:unlawful|illegal)\b"], ["court", "judge", "rules", "rule", "finds", "find", "calls", "call", "unlawful", "illegal"])}
+    df = spark.createDataFrame(rows, "i int, t string, p string, u string")
+    items = matching.features(df, "i", "t", "p", "u", reviewed=family)
+    assert (1, 2) in {tuple(r) for r in matching.matching_pairs(items).collect()}
+    plain = matching.features(df, "i", "t", "p", "u")
+    assert (1, 2) not in {tuple(r) for r in matching.matching_pairs(plain).collect()}
+
+
+@pytest.mark.parametrize(
+    ("hops", "status", "kind", "encoding", "octets", "want"),
+    [
+        (["https://a.example.com/f"], 200, "text/xml; charset=utf-8", None, 10, None), (["https://a.example.com:443/f"], 200, " Text/XML", "identity", 10, None), ([], 200, "text/xml", None, 10, "URL_INVALID"),
+        (None, 200, "text/xml", None, 10, "URL_INVALID"), (["http://a.example.com/f"], 200, "text/xml", None, 10, "URL_UNSAFE"), (["https://u@a.example.com/f"], 200, "text/xml", None, 10, "URL_UNSAFE"),
+        (["https://a.example.com:8443/f"], 200, "text/xml", None, 10, "URL_UNSAFE"), (["https://a.example.com/f", "https://b.example.com/f"], 200, "text/xml", None, 10, "HOST_NOT_ALLOWED"), ([None], 200, "text/xml", None, 10, "URL_UNSAFE"),
+        (["https://a.example.com/" + "x" * 2100], 200, "text/xml", None, 10, "URL_TOO_LONG"), (["https://a.example.com/f"] * 4, 200, "text/xml", None, 10, "REDIRECT_LIMIT"), (["https://a.example.com/f"], None, "text/xml", None, 10, "STATUS_INVALID"),
+        (["https://a.example.com/f"], 301, "text/xml", None, 10, "HTTP_STATUS"), (["https://a.example.com/f"], 200, "text/xml", "gzip", 10, "ENCODING_UNSUPPORTED"), (["https://a.example.com/f"], 200, "text/xml", None, 1_000_001, "BODY_TOO_LARGE"),
+        (["https://a.example.com/f"], 200, "text/html", None, 10, "CONTENT_TYPE_INVALID"), (["https://a.example.com/f"], 200, None, None, 10, "CONTENT_TYPE_INVALID"),
+    ],
+)
+def test_fetch_outcomes(spark, hops, status, kind, encoding, octets, want):
+    row = spark.createDataFrame([(hops, status, kind, encoding, octets)], "h array<string>, s int, k string, e string, n int")
+    got = row.select(feeds.fetch_code(*[F.col(c) for c in "hsken"], "xml", ["a.example.com"]).alias("v")).first()["v"]
+    assert got == want
+
+
+def test_report_rows(spark):
+    rows = spark.createDataFrame([("a|b", 1), ("<c>", None)], "name string, n int")
+    assert [r["value"] for r in editions.markdown_rows(rows).collect()] == ["| a\\|b | 1 |", "| <c> |  |"]
+    assert [r["value"] for r in editions.html_rows(rows).collect()] == ["<tr><td>a|b</td><td>1</td></tr>", "<tr><td>&lt;c&gt;</td><td></td></tr>"]
+
+
 def test_editions(spark, tmp_path):
     (tmp_path / "2026-01-05.json").write_text('{"schemaVersion": 2, "id": "x-2026-01-05", "issueNumber": 1, "editionDate": "2026-01-05", "desks": {"ai": {"desk": "ai", "story": null, "emptyReason": " "}}}')
     (tmp_path / "2026-01-06.json").write_text('{"schemaVersion": 2, "id": "x-2026-01-05", "issueNumber": 2, "editionDate": "2026-01-07", "desks": {}}')
