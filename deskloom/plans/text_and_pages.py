@@ -430,10 +430,10 @@ def c02_event_tags(spark, d):
 
 @query()
 def c06_complete_link_groups(spark, d):
-    """Groups of documents by their first sentence, as if it were a headline."""
-    title = F.regexp_extract("text", r"^\s*([^.\n]*)", 1)
-    rows = _docs(spark, d).select("doc_id", title.alias("title"), "source", F.concat(F.lit("https://docs.example.com/"), F.col("doc_id").cast("string")).alias("url"))
-    return matching.group_events(matching.features(rows, "doc_id", "title", "source", "url"), ["title", "url", "item"])
+    """Groups of pages by their whole titles, with their hosts as publishers."""
+    title, host = F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title", 1), F.lower(F.regexp_extract("url", r"^https?://([^/?#]*)", 1))
+    rows = _pages(spark, d).select("page_id", title.alias("title"), host.alias("host"), F.concat("url", F.lit("#"), F.col("page_id").cast("string")).alias("page"))
+    return matching.group_events(matching.features(rows, "page_id", "title", "host", "page"), ["title", "url", "item"])
 
 
 @query("SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'acquirer:firm a->firm ' || n_name[1:1] || 'x' WHEN 1 THEN 'acquirer:firm a->firm ' || n_name[1:1] || 'x' END AS role FROM (SELECT s_suppkey, lower(n_name) AS n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey)")
