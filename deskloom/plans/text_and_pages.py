@@ -35,6 +35,12 @@ def t01_clean_text(spark, d):
     return _pages(spark, d).select("page_id", text.clean_text(masked, None).alias("text"))
 
 
+@query()
+def t01_clean_text_raw(spark, d):
+    """T01 on the html as it is: references decoded, and scripts that they spell out dropped, by clean_text itself."""
+    return _pages(spark, d).select("page_id", text.clean_text(F.col("html"), None).alias("text"))
+
+
 @query()
 def t02_article_plain_text(spark, d):
     return _pages(spark, d).select("page_id", text.plain_text(pages.article_region(F.col("html"))).alias("text"))

@@ -2,11 +2,13 @@
 
 import hashlib
 import hmac
+import re
 import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
+from deskloom import plans
 from deskloom.functions import numbers, prose, scoring, text, times
 from deskloom.operators import ledger, matching, ranking
 from deskloom.operators.integrity import edition_issues
@@ -35,6 +37,33 @@ def test_clean_text(spark, raw, want):
     assert value(spark, text.clean_text(F.col("x")), x=raw) == want
 
 
+def cleaned(raw):
+    """T01 step by step, in the reference's order."""
+    point = lambda n: chr(n) if 0 < n < 0x110000 and not 0xD800 <= n <= 0xDFFF else ""
+    x = re.sub(r"(?is)<!\[CDATA\[(.*?)\]\]>", r"\1", raw)
+    x = re.sub(r"&#(\d+);", lambda m: point(int(m[1])), x)
+    x = re.sub(r"(?i)&#x([0-9a-f]+);", lambda m: point(int(m[1], 16)), x)
+    for name, put in (("nbsp", " "), ("amp", "&"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'")):
+        x = re.sub(f"(?i)&{name};", put, x)
+    for tag in ("script", "style"):
+        x = re.sub(rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ", x)
+    x = re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", " ", re.sub("<[^>]+>", " ", x))
+    return re.sub(r"\s+", " ", x).strip()
+
+
+def test_clean_text_of_raw_pages(spark, tmp_path):
+    """The query decodes the references itself; none comes back as a mask."""
+    html = [
+        '<head><title>A &amp; B</title><script>var t="</p>";</script><style>p{margin:0}</style></head><p>&quot;x&quot; &copy; y &middot; z&nbsp;w',
+        "&lt;script&gt;track(1)&lt;/script&gt;kept &amp;lt;b&amp;gt; &#233;&#x1F600; 1 &lt; 2 &gt; 0",
+        "<![CDATA[<b>R&amp;D</b>]]> it&apos;s &AMP; <STYLE>a</STYLE >done",
+    ]
+    spark.createDataFrame(list(enumerate(html)), "page_id int, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in plans.QUERIES["t01_clean_text_raw"](spark, str(tmp_path)).collect()}
+    assert got == {i: cleaned(x) for i, x in enumerate(html)}
+    assert got[0] == 'A & B "x" &copy; y &middot; z w'
+
+
 def test_clean_text_cuts(spark):
     assert len(value(spark, text.clean_text(F.col("x"), 240), x="ab " * 3000)) == 240
 
