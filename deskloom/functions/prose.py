@@ -21,6 +21,8 @@ DANGLING = "and|or|but|because|although|unless|whether|whereas|despite|including
 CAVEAT = r"\b(?:unless|provided that|requires?|prerequisites?|only (?:if|when|with|available|supported)|does not|has not|no (?:evidence|fixed|patch|fix|known)|not (?:available|supported|confirmed|established)|cannot|must|limited to|restricted to|except|availability|rollout|mitigations?|remediation|fixed in|patched in|secure boot|authentication|exploitation)\b"
 DETAIL = r"\b(?:adds?|introduc(?:e[sd]?|ing)|supports?|changes?|enables?|allows?|permits?|releases?|launch(?:es|ed)?|available|versions?|regions?|customers?|users?|pricing|costs?|limits?|latency|performance|affected|driver|vulnerabilit(?:y|ies)|fix(?:es|ed)?|patch(?:es|ed)?)\b|\b\d+(?:\.\d+)+(?:\b)|\bCVE-\d{4}-\d+\b"
 REFERENTIAL = r"^(?:it|they|these|those|this|that|such|however|unless|only if|when|if|without|availability|mitigation|remediation)\b"
+# The budget of passages, for callers that give no smaller one.
+PASSAGE_CHARS, PASSAGES = 5800, 40
 # Words around versions and what they say of the bound.
 BOUNDS_BEFORE = {
     "lte": r"at\s+most|no\s+(?:later|newer|higher)\s+than|up\s+to\s+and\s+including|<=|≤", "gte": r"at\s+least|no\s+(?:earlier|older|lower)\s+than|>=|≥",
@@ -87,7 +89,7 @@ def unsupported_names(output: Column, source: Column, cap: int = 8) -> Column:
 _CAVEAT, _DETAIL, _REFERS = (re.compile(p, re.I) for p in (CAVEAT, DETAIL, REFERENTIAL))
 
 
-def select_passages(blocks: list[str], title: str, chars: int, passages: int = 24, least: int = 20) -> list[str]:
+def select_passages(blocks: list[str], title: str, chars: int = PASSAGE_CHARS, passages: int = PASSAGES, least: int = 20) -> list[str]:
     """Whole blocks, in order, within a budget: caveats with the blocks they lean on first, then those near the title."""
     kept = list(dict.fromkeys(t for t in (" ".join(b.split()) for b in blocks) if len(t) >= least))
     if len(kept) <= passages and len("\n".join(kept)) <= chars:
@@ -117,12 +119,12 @@ def select_passages(blocks: list[str], title: str, chars: int, passages: int = 2
     return [kept[i] for i in sorted(chosen)]
 
 
-def passages(blocks: Column, title: Column, chars: int = 1200) -> Column:
+def passages(blocks: Column, title: Column, chars: int = PASSAGE_CHARS, most: int = PASSAGES) -> Column:
     """T19 as a column: an Arrow-batched UDF, since greedy packing that skips is no expression."""
 
     @F.pandas_udf("array<string>")
     def run(b: pd.Series, t: pd.Series) -> pd.Series:
-        return pd.Series([select_passages([x for x in (v if v is not None else []) if x], u or "", chars) for v, u in zip(b, t, strict=True)])
+        return pd.Series([select_passages([x for x in (v if v is not None else []) if x], u or "", chars, most) for v, u in zip(b, t, strict=True)])
 
     return run(blocks, title)
 

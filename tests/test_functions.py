@@ -157,6 +157,17 @@ def test_passages_skip_what_does_not_fit():
     assert prose.select_passages(blocks, "", 150) == [blocks[0], blocks[2], blocks[3]]
 
 
+def test_passages_keep_what_the_whole_budget_holds(spark, tmp_path):
+    """By default 5,800 characters and 40 passages, line ends counted; one character or passage more does not fit."""
+    full = [f"{i:04d} " + "x" * 135 for i in range(40)]
+    short = [f"{i:04d} " + "y" * 30 for i in range(41)]
+    exact = ["a" * 2900, "b" * 2899]
+    texts = ["\n".join(x) for x in (full, short, exact, ["a" * 2900, "b" * 2900])]
+    spark.createDataFrame([(i, t, "s", "en") for i, t in enumerate(texts)], "doc_id int, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["n"], r["passages"]) for r in plans.QUERIES["t19_passage_selection"](spark, str(tmp_path)).collect()}
+    assert got == {0: (40, texts[0]), 1: (40, "\n".join(short[:40])), 2: (2, texts[2]), 3: (1, "a" * 2900)}
+
+
 def test_version_bounds(spark):
     got = value(spark, prose.version_bounds(F.col("t")), t="no later than 1.2.3, before v2.0, and 3.1 or later; at least 4.5")
     assert got == ["gte:3.1", "gte:4.5", "lt:2.0", "lte:1.2.3"]
