@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from deskloom.checkpoints import shared_folder
+from deskloom.checkpoints import checkpointed, shared_folder
 from deskloom.functions import numbers, prose, scoring, text, times
 from deskloom.functions import values as V
 from deskloom.operators import integrity, matching
@@ -415,23 +415,40 @@ def _titles(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("item"), "p_name", "p_brand", F.concat(F.lit("https://x.example.com/"), F.col("p_size").cast("string"), F.lit("/"), F.col("p_partkey").cast("string")).alias("url"))
 
 
-def _match(spark, d):
-    items = matching.features(_titles(spark, d), "item", "p_name", "p_brand", "url")
-    return items, matching.matching_pairs(items)
-
-
 @query(f"""WITH f AS (SELECT p_partkey AS k, p_brand AS b, list_sort(list_distinct(list_transform({_TOKENS.format('p_name')}, lambda x: {_ALIAS}))) AS t, list_sort(list_distinct(regexp_extract_all(lower(p_name), '[a-z0-9]*[0-9][a-z0-9]*(?:[.,][0-9]+)*'))) AS n FROM part),
 p AS (SELECT x.k AS low, y.k AS high, x.b = y.b AS same, x.t = y.t AND len(x.t) > 0 AS equal, x.n AS m, y.n AS n, len(list_intersect(x.t, y.t)) AS s, len(list_distinct(list_concat(x.t, y.t))) AS u FROM f x JOIN f y ON x.k < y.k)
 SELECT low, high FROM p WHERE NOT (len(m) > 0 AND len(n) > 0 AND len(list_intersect(m, n)) = 0) AND CASE WHEN same THEN s >= 3 AND s / u >= 0.58 ELSE (s >= 3 AND s / u >= 0.35) OR equal END""")
 def c01_event_matches(spark, d):
     """Pairs of part names that would be one event; names have no identifiers, actions or negations."""
-    return _match(spark, d)[1]
+    return matching.matching_pairs(checkpointed(matching.features(_titles(spark, d), "item", "p_name", "p_brand", "url")))
+
+
+#: Ends of headlines on one subject, so that each kind of tag is met: the first two tell one event, and the two of each later pair do not.
+_ENDS = [
+    "launches app", "unveils app", "launches extension", "outage hits service", "hires more staff", "to cut 50 jobs", "lawsuit filed over data", "lawsuit over data settled",
+    "announces acquisition deal", "completes acquisition deal", "Windows 11 update", "Android 15 update", "OpenAI pricing", "Anthropic retention", "publishes safety evaluation", "publishes benchmark",
+]
+
+
+def _headlines(spark, d):
+    """Headlines of subjects with eight words of their own, each by two publishers, with the ends above in turn."""
+    n = F.col("doc_id").cast("long")
+    subject, end = F.floor(n / len(_ENDS)).cast("string"), F.element_at(F.array(*[F.lit(e) for e in _ENDS]), (F.pmod(n, F.lit(len(_ENDS))) + 1).cast("int"))
+    words = F.concat_ws(" ", *[F.concat(F.lit(w), subject) for w in ("alder", "birch", "cedar", "elm", "fir", "hazel", "larch", "maple")])
+    rows = _docs(spark, d).select(n.alias("item"), F.concat(words, F.lit(" "), end).alias("title"), F.when(n % 2 == 0, "p").otherwise("q").alias("publisher"))
+    return matching.features(rows.withColumn("url", F.concat(F.lit("https://x.example.com/"), "item")), "item", "title", "publisher", "url")
+
+
+@query()
+def c01_headline_matches(spark, d):
+    """C01 over headlines that differ in their tags."""
+    return matching.matching_pairs(checkpointed(_headlines(spark, d)))
 
 
 @query()
 def c02_event_tags(spark, d):
-    items = _match(spark, d)[0]
-    return items.select("item", F.array_join("actions", ",").alias("actions"), F.array_join("polarity", ",").alias("polarity"))
+    kinds = [c for c in matching.EVENT_TAGS if c != "stage"]
+    return _headlines(spark, d).select("item", *[F.array_join(c, ",").alias(c) for c in kinds], "stage", F.array_join("polarity", ",").alias("polarity"))
 
 
 @query()

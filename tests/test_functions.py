@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from deskloom import plans
-from deskloom.functions import numbers, prose, scoring, text, times
+from deskloom.functions import events, numbers, prose, scoring, text, times
 from deskloom.operators import ledger, matching, ranking
 from deskloom.operators.integrity import edition_issues
 from deskloom.sources import editions, feeds, pages
@@ -276,6 +276,45 @@ def test_matches(spark):
     assert {tuple(r) for r in matching.matching_pairs(items).collect()} == {(1, 2), (4, 5)}
 
 
+@pytest.mark.parametrize(
+    ("tag", "title", "want"),
+    [
+        ("actions", "Acme network is down", ["outage"]), ("actions", "Acme to cut 50 jobs", ["layoff"]), ("actions", "Acme hires staff", ["hiring"]), ("actions", "Acme probe opens", ["investigation"]),
+        ("actions", "Acme raises API prices", ["pricing-increase"]), ("actions", "Acme retires phone", ["termination"]), ("artifacts", "Acme model card", ["safety-artifact"]), ("objects", "Study mode for apps", ["app"]),
+        ("objects", "Acme plans an update", ["update"]), ("lifecycle", "Acme lawsuit dismissed; judge tosses out case", ["dismissed"]), ("facets", "Acme data retention pricing", ["retention", "pricing"]),
+        ("stage", "Acme completes Zed deal", "completed"), ("stage", "Acme announces phone", None), ("entities", "Visual  Studio Code and AWS", ["microsoft", "amazon"]), ("stage", None, None), ("objects", None, []),
+        ("products", "GPT-5 mini in ChatGPT API on Windows 11 24H2 for SMB", ["acronym:smb-sme", "channel:api", "channel:chatgpt", "channel:windows-servicing:24h2", "model:gpt-5-mini", "named:chatgpt", "named:windows", "version:windows:11"]),
+    ],
+)
+def test_event_tags(spark, tag, title, want):
+    df = spark.createDataFrame([(title,)], "t string")
+    assert df.select(getattr(events, tag)(F.col("t")).alias("v")).first()["v"] == want
+
+
+@pytest.mark.parametrize(
+    ("a", "b", "same"),
+    [
+        ("launches app", "unveils app", True), ("launches app", "launches extension", False), ("releases a patch", "patches", True), ("lawsuit filed", "lawsuit settled", False), ("Windows update", "Android update", False),
+        ("OpenAI site", "Anthropic site", False), ("pricing", "retention", False), ("announces merger", "completes merger", False), ("publishes model card", "publishes model", False), ("hires staff", "cuts staff", False),
+        ("GPT-5", "GPT-5 model", True), ("GPT-5", "GPT-4", False), ("outage", "service outage", True), ("approved", "plant", False),
+    ],
+)
+def test_tags_that_conflict_keep_headlines_apart(spark, a, b, same):
+    rows = [(i, f"alder birch cedar elm fir hazel larch maple {x}", x, f"u{i}") for i, x in enumerate((a, b))]
+    items = matching.features(spark.createDataFrame(rows, "i int, t string, p string, u string"), "i", "t", "p", "u")
+    assert bool(matching.matching_pairs(items).collect()) == same
+
+
+def test_planted_headlines(spark, tmp_path):
+    """Of each subject's headlines the first two match, those of each later pair do not, and each kind of tag is met."""
+    spark.createDataFrame([(i, "x", "s", "en") for i in range(32)], "doc_id int, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in plans.QUERIES["c01_headline_matches"](spark, str(tmp_path)).collect()}
+    assert {(i, j) for i, j in got if i // 2 == j // 2} == {(0, 1), (16, 17)} and (0, 2) not in got
+    assert all(i // 16 == j // 16 for i, j in got)
+    rows = plans.QUERIES["c02_event_tags"](spark, str(tmp_path)).collect()
+    assert all(any(r[c] for r in rows) for c in matching.EVENT_TAGS)
+
+
 @pytest.mark.parametrize(
     ("title", "want"),
     [
