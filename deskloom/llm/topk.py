@@ -86,7 +86,7 @@ class Best:
                 if not len(cols):
                     return
                 bound = own @ statistics(x[cols], segments).T
-                alive[:, cols] &= bound * (1 + 1e-9) + 1e-6 >= self.floor[:, None]
+                alive[:, cols] &= bound + np.abs(bound) * 1e-9 + 1e-6 >= self.floor[:, None]
         alive &= ids[None, :] != self.ids[:, None]
         cols = np.flatnonzero(alive.any(axis=0))
         rows = np.flatnonzero(alive.any(axis=1))

@@ -277,6 +277,13 @@ def test_top_k(spark, monkeypatch):
     assert topk.search(df.limit(0)).count() == 0
 
 
+def test_tight_negative_bounds_drop_nothing():
+    """Constant opposite vectors: bound, floor and score are equal and far below zero."""
+    best = topk.Best(np.array([0]), np.full((1, 64), 256.0), 5, np.array([-(256 * 256 * 64)]))
+    best.add(np.arange(1, 7), np.full((6, 64), -256.0))
+    assert best.held[0] == 5 and best.who[0].tolist() == [1, 2, 3, 4, 5] and set(best.score[0].tolist()) == {-4194304}
+
+
 def test_bounds_are_bounds():
     rng = np.random.default_rng(8)
     a, b = rng.normal(size=(30, 70)) + 1, rng.normal(size=(40, 70))
