@@ -208,7 +208,9 @@ def identifiers(text: Column) -> Column:
 
 
 def product_tags(text: Column) -> Column:
-    """Typed tags of versions, models, components, channels and acronyms that text names, sorted."""
+    """Typed tags of versions, models, components, channels, acronyms, named products, features and units that text names, sorted."""
+    from deskloom.functions.events import named_tags
+
     low = F.lower(text)
     tag = lambda kind, pattern, source: F.transform(F.regexp_extract_all(source, F.lit(pattern), F.lit(1)), lambda x: F.concat(F.lit(f"{kind}:"), F.lower(x)))
     found = F.flatten(
@@ -218,6 +220,7 @@ def product_tags(text: Column) -> Column:
             tag("component", r"(?<![a-z])(kernel|driver|firmware|bootloader|plugin|extension|browser|compiler)s?(?![a-z])", low),
             tag("channel", r"(?<![a-z])(beta|stable|preview|nightly|canary|lts)(?![a-z])", low),
             tag("acronym", r"(?<![A-Za-z0-9])([A-Z]{3,6})(?![A-Za-z0-9])", text),
+            F.when(text.isNotNull(), named_tags(text)),
         )
     )
     return F.array_sort(F.array_distinct(found))

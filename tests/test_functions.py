@@ -305,6 +305,12 @@ def test_tags_that_conflict_keep_headlines_apart(spark, a, b, same):
     assert bool(matching.matching_pairs(items).collect()) == same
 
 
+def test_product_tags_name_products_features_and_units(spark):
+    tags = lambda x: value(spark, text.product_tags(F.col("x")), x=x)
+    assert tags("Google Docs and chrome sync on LinkedIn") == ["feature:chrome-sync", "named:chrome", "named:google-docs", "unit:linkedin"]
+    assert tags("kernel 6.1 beta") == ["channel:beta", "component:kernel", "version:6.1"]
+
+
 def test_planted_headlines(spark, tmp_path):
     """Of each subject's headlines the first two match, those of each later pair do not, and each kind of tag is met."""
     spark.createDataFrame([(i, "x", "s", "en") for i in range(32)], "doc_id int, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
