@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deskloom.llm.common import fresh, map_arrow, prepare, utf8
+from deskloom.llm.common import fresh, map_arrow, utf8
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pre-tokens of more characters are not memoised; the memos start anew when they hold this many entries.
@@ -204,7 +204,6 @@ def decode(
 
 def _with(df: DataFrame, read: str, out: list[str], kind: str, convert, empty) -> DataFrame:
     """df with binary columns named as in out: what convert makes of each value of a column, nulls as empty."""
-    prepare(df.sparkSession)
     kept = [c for c in df.columns if c not in out]
     given = fresh("given")
     rows = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{read}`").cast(kind).alias(given))
@@ -221,7 +220,6 @@ def _with(df: DataFrame, read: str, out: list[str], kind: str, convert, empty) -
 def round_trip(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """(key, token_ids, decoded): each text's packed ids, and the bytes that those ids decode to, in one Python pass."""
     path, pattern = path or default_path(), default_pattern()
-    prepare(df.sparkSession)
     rows = df.select(F.col(key), utf8(text).alias("__text"))
     schema = rows.select(key, F.lit(b"").alias("token_ids"), F.lit(b"").alias("decoded")).schema
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deskloom.llm.bpe import codec, default_path, default_pattern
-from deskloom.llm.common import map_arrow, prepare, utf8
+from deskloom.llm.common import map_arrow, utf8
 
 #: The template's marks and their reserved ids, beyond the 50,256 ranks of the vocabulary.
 MARKS = {"[INST]": 50257, "[/INST]": 50258, "</s>": 50259}
@@ -48,7 +48,6 @@ def segments(
     packed little-endian unsigned 32-bit integers, loss_mask a byte a token. Null roles and texts are read as empty.
     """
     path, pattern = path or default_path(), default_pattern()
-    prepare(df.sparkSession)
     rows = df.select(
         F.col(conversation).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"),
         utf8(role).alias("role"), utf8(text).alias("text"),

@@ -9,23 +9,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from deskloom.checkpoints import OWN_CHECKPOINTS, checkpointed
+from deskloom.checkpoints import Written, checkpointed
 
-__all__ = ["OWN_CHECKPOINTS", "checkpointed"]
-#: Rows of one Arrow batch. Texts can be long, so batches are kept short.
-BATCH_ROWS = 256
+__all__ = ["Written", "checkpointed"]
+#: Bytes of the rows that are turned into Python objects at a time, about; Spark bounds its Arrow batches by bytes itself.
+SLICE_BYTES = 4 << 20
 #: Rows of a table of a few numbers and a short string that may be broadcast.
 BROADCAST_ROWS = 100_000
 
 
-def prepare(spark: SparkSession) -> None:
-    """Short Arrow batches for text rows, unless the session already asks for shorter ones."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -40,15 +34,32 @@ def fresh(prefix: str) -> str:
     return f"__{prefix}_{uuid.uuid4().hex[:8]}"
 
 
-def map_arrow(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """rows applied to each Arrow batch of df."""
+def slices(batch: pa.RecordBatch, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch's rows, in parts of about `size` bytes or a single row."""
+    todo = [batch]
+    while todo:
+        part = todo.pop()
+        if part.num_rows > 1 and part.nbytes > size:
+            half = part.num_rows // 2
+            todo += [part.slice(half), part.slice(0, half)]
+        elif part.num_rows:
+            yield part
+
+
+def map_arrow(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
+    """rows applied to df's rows, a slice of bounded size at a time. Columns are handed over by place, so any names will do."""
+    names = df.columns
+    fields = schema.fields if isinstance(schema, StructType) else StructType.fromDDL(schema).fields
+    places = [f"c{i}" for i in range(len(fields))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and (out := rows(batch)) is not None and out.num_rows:
-                yield out
+            for part in slices(batch):
+                if (out := rows(part.rename_columns(names))) is not None and out.num_rows:
+                    yield out.rename_columns(places)
 
-    return df.mapInArrow(run, schema)
+    plain = StructType([StructField(c, f.dataType) for c, f in zip(places, fields, strict=True)])
+    return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(run, plain).toDF(*[f.name for f in fields])
 
 
 def runs(keys: np.ndarray) -> np.ndarray:

@@ -1,180 +1,377 @@
-"""Operator 8: main text of HTML pages.
+"""Operator 8: main text of HTML pages, by a host's suffix array and the pages' own marks.
 
-A page's blocks are of three kinds. Blocks in an element that holds no article (menus, headers, footers, sidebars, forms,
-scripts, and elements whose class or id names adverts, notices, comments and the like) are dropped. Blocks within an article
-or main element are kept. If a page marks no such element, its other blocks are open, and the host decides them: the open
-token streams of a host's pages make one generalised suffix array, truncated at SPAN tokens and held as a distributed table
-by host and the hash of a suffix's first SPAN tokens. Suffixes in one entry from two distinct streams are a substring that
-repeats across pages; the tokens it covers are removed, and the runs between are kept.
+A page is read into blocks, each in one of three zones: ARTICLE (within an article or main element), OTHER (within an element
+that holds no article by its kind, as menus, headers, footers, sidebars and forms, or by its name, as adverts, notices and
+comments), OPEN (the rest). The blocks that are not in an ARTICLE make the page's token stream. The streams of a host's pages
+make one suffix array, truncated at SPAN tokens, which finds the same repeats as a full one, since a longer repeat begins with
+a shorter one at each of its places. Tasks sort the suffixes of their pages by prefix doubling and give one row for each
+distinct one; these rows are merged over all tasks by host and suffix. A suffix that two distinct pages of a host have
+is a substring that repeats across pages, and the tokens it covers are boilerplate.
 
-Articles share passages and adverts are unique, so repetition alone would both remove article text and keep adverts: that is
-why structure decides first (see the README).
+What repetition covers is removed from every page. Of what it leaves, runs in OPEN blocks stay if the page marks no article;
+names and marks decide only what repetition leaves undecided. ARTICLE blocks stay whole: articles share passages with each
+other, so that repetition there would remove article text (see the README for figures).
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deskloom.llm.common import map_arrow, prepare, utf8
+from deskloom.llm.common import checkpointed, map_arrow, slices, utf8
 
-#: Tokens of a repeated substring, at least; a shorter block counts as a whole.
+#: Tokens of a repeated substring, at least; a shorter block that is no paragraph or heading counts as a whole.
 SPAN = 10
+#: Repeated suffixes that may be broadcast, of 8 bytes each; more of them are joined by a shuffle.
+BROADCAST_SUFFIXES = 1_000_000
+ARTICLE, OPEN, OTHER = 0, 1, 2
+
 #: Elements whose text is never main text.
 DROPPED = frozenset("head title nav header footer aside form script style noscript template iframe svg canvas object button select textarea dialog menu".split())
 #: Elements whose content is plain text up to their end tag.
-RAW = ("script", "style", "title", "textarea", "noscript", "iframe", "xmp")
+RAW = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I) for name in ("script", "style", "title", "textarea", "noscript", "iframe")}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements within a line: their tags do not part words.
 INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-#: Words in a class, id or role that name something other than the article.
-OTHER = frozenset(
+#: Elements of running text, whose blocks may be short without being a menu's entry.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
+#: What a start tag closes if it is the innermost open element but for those within a line; every such tag closes a paragraph.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th", "tr"}, "option": {"option"}} | dict.fromkeys(HEADINGS, HEADINGS)
+#: Last words of a class, id or role that name something other than the article.
+NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner menu nav navbar navigation breadcrumb breadcrumbs sidebar "
     "aside widget header masthead footer cookie cookies consent notice notices gdpr popup modal newsletter subscribe signup login share sharing social "
     "related recommended comment comments reply replies respond disqus pagination pager toolbar search complementary contentinfo".split()
 )
+#: First words that do so whatever follows, but in paragraphs and headings; and the words that count for article elements.
+LEADS = frozenset("ad ads advert sponsor sponsored promo cookie cookies gdpr comment comments sidebar nav navbar menu footer breadcrumb newsletter social share related disqus pagination popup modal".split())
+NOT_AN_ARTICLE = frozenset("ad ads advert advertisement sponsored promo comment comments reply replies related recommended".split())
 MAIN = frozenset(["article", "main"])
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_NAMES = re.compile(r"(?:^|[\s/])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_STOP = re.compile(r"=\s*[\"']|>")
+_NAMED = re.compile(r"(?:^|[\s/\"'])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_HIDDEN = re.compile(r"(?:^|[\s\"'])hidden(?=[\s=/]|$)", re.I)
 _PARTS = re.compile(r"[a-z0-9]+")
+_ZEROS = re.compile(r"&#([xX]?)0+(?=[0-9a-fA-F])")
+_HUGE = re.compile(r"&#(?:[0-9]{8,}|[xX][0-9a-fA-F]{8,});?")
 
 
 def _other(name: str, attributes: str) -> bool:
+    """Whether an element holds no article, by its kind or by a name."""
     if name in DROPPED:
         return True
     if not attributes or name in ("html", "body"):
         return False
-    if re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes, re.I):
+    if _HIDDEN.search(attributes):
         return True
-    return any(OTHER & set(_PARTS.findall((a or b or c).lower())) for a, b, c in _NAMES.findall(attributes))
+    for _, a, b, c in _NAMED.findall(attributes):
+        for word in (a or b or c).lower().split():
+            parts = _PARTS.findall(word)
+            if not parts:
+                continue
+            if name in MAIN:
+                if parts[-1] in NOT_AN_ARTICLE:
+                    return True
+            elif parts[-1] in NAMES or (parts[0] in LEADS and name not in PROSE):
+                return True
+    return False
 
 
-def blocks(html: str) -> tuple[list[str], bool]:
-    """The texts of a page's blocks that may be main text, and whether an article or main element marks them.
+def _decoded(text: str) -> str:
+    """Character references read, white space as single spaces; references beyond Unicode, however long, are U+FFFD."""
+    if "&#" in text:
+        text = _HUGE.sub("�", _ZEROS.sub(r"&#\1", text))
+    return " ".join(entities.unescape(text).split())
 
-    Nested, unclosed and stray tags are borne: an end tag closes up to its own start, if there is one.
-    """
-    open_tags: list[tuple[str, bool, bool]] = []  # name, whether dropped, whether in an article
-    dropped = inside = False
-    marked: list[list[str]] = [[]]
-    free: list[list[str]] = [[]]
-    has_mark = False
-    at, n = 0, len(html)
-
-    def text(piece: str) -> None:
-        if piece and not dropped:
-            (marked if inside else free)[-1].append(piece)
-
-    def cut() -> None:
-        for kind in (marked, free):
-            if kind[-1]:
-                kind.append([])
-
-    while at < n:
-        found = _TOKEN.search(html, at)
-        if found is None:
-            text(html[at:])
-            break
-        text(html[at : found.start()])
-        at = found.end()
-        if found[2] is None:
-            if found[0].startswith("<![CDATA["):
-                text(found[0][9:-3].replace("&", "&amp;"))
-            continue
-        closing, name, attributes = found[1], found[2].lower(), found[3]
+
+def _tag_end(html: str, at: int) -> int:
+    """Where the tag ends whose attributes begin at `at`; -1 if it never does. Quotes count after an equals sign only."""
+    while True:
+        stop = _STOP.search(html, at)
+        if stop is None:
+            return -1
+        if stop[0] == ">":
+            return stop.start()
+        at = html.find(stop[0][-1], stop.end()) + 1
+        if not at:
+            return -1
+
+
+class _Page:
+    """Reads one page; time and memory are in proportion to its length, whatever its markup."""
+
+    def __init__(self):
+        self.blocks: list[tuple[int, bool, str]] = []
+        self.has_mark = False
+        self.open: list[tuple[str, int]] = []  # elements with their zones; those within a line only where one changed the zone
+        self.outer: list[int] = []  # which of them are not within a line
+        self.count: Counter = Counter()  # open elements by name; those within a line by how many others are open around them
+        self.zone = OPEN
+        self.text: tuple[list[str], list[str], list[str]] = ([], [], [])
+
+    def cut(self) -> None:
+        """Ends the block."""
+        prose = bool(self.outer) and self.open[self.outer[-1]][0] in PROSE
+        for zone, pieces in enumerate(self.text):
+            if pieces:
+                if found := _decoded("".join(pieces)):
+                    self.blocks.append((zone, prose, found))
+                pieces.clear()
+
+    def _key(self, name: str):
+        return (name, len(self.outer)) if name in INLINE else name
+
+    def pop(self) -> str:
+        name = self.open.pop()[0]
+        if self.outer and self.outer[-1] == len(self.open):
+            self.outer.pop()
+        self.count[self._key(name)] -= 1
+        self.zone = self.open[-1][1] if self.open else OPEN
+        return name
+
+    def start(self, name: str, attributes: str) -> None:
+        if name in VOID:
+            if name not in INLINE:
+                self.cut()
+            return
+        if name in INLINE:
+            other = self.zone != OTHER and _other(name, attributes)
+            if other or (self.open and self.open[-1][0] in INLINE):
+                self.zone = OTHER if other else self.zone
+                self.open.append((name, self.zone))
+                self.count[self._key(name)] += 1
+            return
+        self.cut()
+        while self.outer and ((inner := self.open[self.outer[-1]][0]) == "p" or inner in CLOSES.get(name, ())):
+            depth = self.outer[-1]
+            while len(self.open) > depth:
+                self.pop()
+        if attributes.endswith("/"):
+            return
+        if self.zone != OTHER:
+            if _other(name, attributes):
+                self.zone = OTHER
+            elif name in MAIN:
+                self.zone, self.has_mark = ARTICLE, True
+        self.outer.append(len(self.open))
+        self.open.append((name, self.zone))
+        self.count[name] += 1
+
+    def end(self, name: str) -> None:
         if name not in INLINE:
-            cut()
-        if closing:
-            if any(tag[0] == name for tag in open_tags):
-                while open_tags.pop()[0] != name:
-                    pass
-                dropped, inside = open_tags[-1][1:] if open_tags else (False, False)
-            continue
-        if name in RAW:
-            end = re.compile(rf"</{name}\s*>", re.I).search(html, at)
-            at = end.end() if end else n
-            continue
-        if name in VOID or attributes.endswith("/"):
-            continue
-        if name in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "td", "th", "dt", "dd", "option") and open_tags and open_tags[-1][0] == name:
-            open_tags.pop()  # an element of this kind ends where the next begins
-            dropped, inside = open_tags[-1][1:] if open_tags else (False, False)
-        dropped = dropped or _other(name, attributes)
-        inside = inside or (name in MAIN and not dropped)
-        has_mark |= inside
-        open_tags.append((name, dropped, inside))
-    kind = marked if has_mark else free
-    return [t for t in (" ".join(entities.unescape("".join(b)).split()) for b in kind) if t], has_mark
-
-
-def spans(page: list[str]) -> list[tuple[int, int, str]]:
-    """(block, first token, tokens as text) of each suffix of an open page's blocks, truncated at SPAN tokens."""
-    out = []
-    for i, block in enumerate(page):
-        tokens = block.split(" ")
-        out += [(i, k, " ".join(tokens[k : k + SPAN])) for k in range(max(1, len(tokens) - SPAN + 1))]
-    return out
-
-
-def uncovered(page: list[str], covered: list[tuple[int, int]]) -> list[str]:
-    """The runs of an open page's tokens that no repeated substring covers."""
-    gone = [[False] * len(b.split(" ")) for b in page]
-    for i, k in covered:
-        gone[i][k : k + SPAN] = [True] * len(gone[i][k : k + SPAN])
-    out = []
-    for block, flags in zip(page, gone, strict=True):
-        if run := " ".join(t for t, f in zip(block.split(" "), flags, strict=True) if not f):
+            self.cut()
+        if self.count[self._key(name)]:
+            while self.pop() != name:
+                pass
+
+    def read(self, html: str) -> None:
+        at, n, closed_later = 0, len(html), True
+        while at < n:
+            lt = html.find("<", at)
+            if lt < 0:
+                lt = n
+            if lt > at:
+                self.text[self.zone].append(html[at:lt])
+            mark = html[lt + 1 : lt + 2]
+            if lt == n:
+                break
+            if html.startswith("<!--", lt):
+                at = html.find("-->", lt + 2) + 3
+                at = at if at > 2 else n
+            elif closed_later and html.startswith("<![CDATA[", lt) and (at := html.find("]]>", lt + 9)) >= 0:
+                self.text[self.zone].append(html[lt + 9 : at].replace("&", "&amp;"))
+                at += 3
+            elif mark and (mark in "!?" or (mark == "/" and not html[lt + 2 : lt + 3].isalpha())):
+                closed_later &= not html.startswith("<![CDATA[", lt)  # none closes from here on
+                at = html.find(">", lt + 1) + 1 or n
+            elif found := _NAME.match(html, lt + (2 if mark == "/" else 1)):
+                at = _tag_end(html, found.end())
+                if at < 0:
+                    break
+                name, attributes, at = found[0].lower(), html[found.end() : at], at + 1
+                if mark == "/":
+                    self.end(name)
+                elif name in RAW:
+                    self.cut()
+                    close = RAW[name].search(html, at)
+                    at = close.end() if close else n
+                else:
+                    self.start(name, attributes)
+            else:
+                self.text[self.zone].append("<")
+                at = lt + 1
+        self.cut()
+
+
+def blocks(html: str) -> tuple[list[tuple[int, bool, str]], bool]:
+    """(zone, whether it is running text, text) of each block of a page in its order; and whether the page marks an article.
+
+    Nested, unclosed and stray tags are borne. As in HTML, a comment or tag that never ends takes the rest of the page with
+    it, and a `<` that begins no tag is text.
+    """
+    page = _Page()
+    page.read(html)
+    return page.blocks, page.has_mark
+
+
+class Suffixes:
+    """The suffixes of the streams of some pages, truncated at SPAN tokens and sorted by prefix doubling.
+
+    pages are (host, blocks). at has the page, block and first token of each suffix that may cover tokens; own is its place
+    among the distinct ones by host; hashes has the 64-bit hash of each distinct one with its host, equal in all tasks.
+    """
+
+    def __init__(self, pages: list[tuple[str, list[tuple[int, bool, str]]]], span: int = SPAN):
+        import xxhash
+
+        words: list[str] = []
+        at: list[np.ndarray] = []
+        starts: list[np.ndarray] = []
+        for p, (_, own) in enumerate(pages):
+            for b, (zone, prose, text) in enumerate(own):
+                if zone == ARTICLE:
+                    continue
+                tokens = text.split(" ")
+                n = len(tokens)
+                if n >= span or not prose:
+                    k = np.arange(max(1, n - span + 1))
+                    starts.append(len(words) + k)
+                    at.append(np.stack([np.full(len(k), p), np.full(len(k), b), k], 1))
+                    words += tokens
+                    words += [""] * (span - n)  # a short block is a suffix by itself
+        if not at:
+            self.at, self.own, self.hashes = np.zeros((0, 3), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return
+        self.at, start = np.concatenate(at), np.concatenate(starts)
+        names = {w: i for i, w in enumerate(sorted(set(words)))}
+        rank = np.fromiter((names[w] for w in words), np.int64, len(words))
+        done, order, size = None, rank, 1  # ranks by the first `size` tokens; done: by the tokens taken so far
+        taken = 0
+        while True:
+            if span & size:
+                done = order if done is None else _joined(done, order, taken)
+                taken += size
+            if 2 * size > span:
+                break
+            order = _joined(order, order, size)
+            size *= 2
+        hosts = {h: i for i, h in enumerate(dict.fromkeys(h for h, _ in pages))}
+        host = np.array([hosts[h] for h, _ in pages])[self.at[:, 0]]
+        _, first, self.own = np.unique(host * (len(words) + 1) + done[start], return_index=True, return_inverse=True)
+        digest = xxhash.xxh64_intdigest
+        text = (f"{pages[self.at[i, 0]][0]}\n{' '.join(words[start[i] : start[i] + span])}" for i in first)
+        self.hashes = np.fromiter((digest(x.encode("utf-8", "surrogatepass")) for x in text), np.uint64, len(first)).view(np.int64)
+
+
+def _joined(a: np.ndarray, b: np.ndarray, shift: int) -> np.ndarray:
+    """Ranks of pairs: a's rank at each place with b's `shift` places on."""
+    after = np.zeros_like(b)
+    after[: len(b) - shift] = b[shift:] + 1
+    return np.unique(a * (int(b.max()) + 2) + after, return_inverse=True)[1]
+
+
+def judged(page: list[tuple[int, bool, str]], has_mark: bool, covered: list[tuple[int, int]], span: int = SPAN) -> tuple[str, int, int]:
+    """A page's main text; how many tokens repetition removed, and how many of those it left were dropped by name or place."""
+    gone: dict[int, np.ndarray] = {}
+    for b, k in covered:
+        if b not in gone:
+            gone[b] = np.zeros(page[b][2].count(" ") + 1, bool)
+        gone[b][k : k + span] = True
+    out, repeated, named = [], 0, 0
+    for b, (zone, _, text) in enumerate(page):
+        flags = gone.get(b)
+        hit = 0 if flags is None else int(flags.sum())
+        repeated += hit
+        if zone == ARTICLE:
+            out.append(text)
+        elif zone == OTHER or has_mark:
+            named += text.count(" ") + 1 - hit
+        elif not hit:
+            out.append(text)
+        elif run := " ".join(t for t, f in zip(text.split(" "), flags, strict=True) if not f):
             out.append(run)
-    return out
+    return " ".join(out), repeated, named
 
 
 def main_text(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """(page_id, url, text, n_chars) for each row; null html is empty, text is empty if nothing is left.
+    """(page_id, url, text, n_chars, n_repeated, n_named) for each row; null html is empty, text is empty if nothing is left.
 
-    Pages with equal html count as one for repetition, so copies of a page do not remove each other's text. A page without
-    a url is of the host ''. Rows that repeat others each get a row; extra columns are not carried.
+    n_repeated counts the tokens outside articles that were removed because they repeat on the host, n_named those that only
+    their element's kind, name or place dropped. Pages of a host with equal texts count as one, so copies of a page do not
+    remove each other's text. A page without a url is of the host ''. Rows that repeat others each get a row; pages of any
+    length are read whole; an empty table gives an empty table; extra columns are not carried, whatever their names.
     """
-    prepare(df.sparkSession)
-    rows = df.select(F.col(key).alias("page_id"), F.col(url).cast("string").alias("url"), utf8(html).alias("html"))
-    has_mark = F.col("html").rlike(r"(?i)<(article|main)[\s>/]")  # a page with neither is open; the parser has the last word
-    host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
-    schema = rows.select("page_id", "url", F.lit("").alias("text")).schema
-
-    def marked(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [" ".join(blocks(x)[0]) for x in batch.column(2).to_pylist()]
-        return pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string())], names=["page_id", "url", "text"])
-
-    opened = rows.where(~has_mark).withColumn("host", host).withColumn("page", F.xxhash64("html"))
-
-    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for own, page, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if found := spans(blocks(text)[0]):
-                    i, k, span = zip(*found, strict=True)
-                    n = len(found)
-                    yield pa.RecordBatch.from_arrays([pa.array([own] * n), pa.array([page] * n), pa.array(i, pa.int32()), pa.array(k, pa.int32()), pa.array(span)], names=["host", "page", "i", "k", "span"])
-
-    entries = (
-        opened.select("host", "page", "html").dropDuplicates(["host", "page"])
-        .mapInArrow(suffixes, "host string, page long, i int, k int, span string")
-        .withColumn("suffix", F.xxhash64("host", "span"))
-    )
-    repeated = entries.groupBy("suffix").agg(F.min("page").alias("a"), F.max("page").alias("b")).where("a < b").select(F.col("suffix").alias("again"))
-    covered = (
-        entries.join(repeated, F.col("suffix") == F.col("again"), "left_semi")
-        .groupBy(F.col("host").alias("h"), F.col("page").alias("p"))
-        .agg(F.collect_list(F.struct("i", "k")).alias("covered"))  # of one page, so bounded by its length
-    )
-    judged = opened.join(covered, (F.col("host") == F.col("h")) & (F.col("page") == F.col("p")), "left").select("page_id", "url", "html", "covered")
-
-    def kept(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [" ".join(uncovered(blocks(x)[0], [(m["i"], m["k"]) for m in c or []])) for x, c in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-        return pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string())], names=["page_id", "url", "text"])
-
-    out = map_arrow(rows.where(has_mark), marked, schema).unionByName(map_arrow(judged, kept, schema))
-    return out.select(F.col("page_id").alias(key), F.col("url").alias(url), "text", F.length("text").cast("long").alias("n_chars"))
+    host = F.lower(F.coalesce(F.regexp_extract(F.col(url).cast("string"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
+    rows = df.select(F.col(key).alias("page_id"), F.col(url).cast("string").alias("url"), utf8(html).alias("html"), host.alias("host"))
+    schema = rows.select("page_id", "url", F.lit("").alias("text"), F.lit(0).cast("long").alias("n_repeated"), F.lit(0).cast("long").alias("n_named")).schema
+
+    def sorted_suffixes(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        import xxhash
+
+        pages = [(h, blocks(x)[0]) for h, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+        found = Suffixes(pages)
+        if not len(found.hashes):
+            return None
+        page = np.array([xxhash.xxh64_intdigest("\n".join(t for _, _, t in own).encode("utf-8", "surrogatepass")) for _, own in pages], np.uint64).view(np.int64)[found.at[:, 0]]
+        low, high = np.full(len(found.hashes), np.iinfo(np.int64).max), np.full(len(found.hashes), np.iinfo(np.int64).min)
+        np.minimum.at(low, found.own, page)
+        np.maximum.at(high, found.own, page)
+        return pa.RecordBatch.from_arrays([pa.array(found.hashes), pa.array(low), pa.array(high)], names=["suffix", "low", "high"])
+
+    merged = map_arrow(rows.select("host", "html"), sorted_suffixes, "suffix long, low long, high long").groupBy("suffix").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    repeated = checkpointed(merged.where("low < high").select("suffix"))
+
+    def decided(batch: pa.RecordBatch, known) -> pa.RecordBatch:
+        """known(i, hashes): which of the hashes of suffixes repeat, for the i-th row."""
+        pages = [blocks(x) for x in batch.column(2).to_pylist()]
+        found = Suffixes(list(zip(batch.column(3).to_pylist(), (own for own, _ in pages), strict=True)))
+        edges = np.searchsorted(found.at[:, 0], np.arange(len(pages) + 1))
+        out = []
+        for i, (own, has_mark) in enumerate(pages):
+            part = slice(edges[i], edges[i + 1])
+            hit = known(i, found.hashes[found.own[part]])
+            out.append(judged(own, has_mark, found.at[part][hit][:, 1:].tolist()))
+        text, n, m = zip(*out, strict=True)
+        return pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(text, pa.string()), pa.array(n, pa.int64()), pa.array(m, pa.int64())], names=["page_id", "url", "text", "n_repeated", "n_named"])
+
+    if repeated.limit(BROADCAST_SUFFIXES + 1).count() <= BROADCAST_SUFFIXES:
+        shared = df.sparkSession.sparkContext.broadcast(np.sort(repeated.toArrow().column(0).to_numpy()))  # BROADCAST_SUFFIXES at most
+
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            known = shared.value
+            at = lambda hashes: np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+            return decided(batch, lambda i, hashes: known[at(hashes)] == hashes if len(known) else np.zeros(len(hashes), bool))
+
+        out = map_arrow(rows, run, schema)
+    else:
+        own = rows.withColumn("page", F.xxhash64("host", "html"))
+
+        def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch):
+                    found = Suffixes([(h, blocks(x)[0]) for h, x in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)])
+                    if len(found.own):
+                        both = np.unique(np.stack([part.column(0).to_numpy()[found.at[:, 0]], found.hashes[found.own]], 1), axis=0)
+                        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["p", "suffix"])
+
+        listing = own.select("page", "host", "html").mapInArrow(listed, "p long, suffix long")
+        # by the suffix turned over, so that both sides are dealt out anew and a frequent suffix can be split
+        met = listing.join(repeated.select(F.bitwise_not("suffix").alias("turned")), F.bitwise_not("suffix") == F.col("turned"), "left_semi")
+        covered = met.groupBy("p").agg(F.collect_set("suffix").alias("covered"))  # of one page's text, so bounded by its length
+        joined = own.join(covered, F.col("page") == F.col("p"), "left").select("page_id", "url", "html", "host", "covered")
+
+        def run_joined(batch: pa.RecordBatch) -> pa.RecordBatch:
+            sets = batch.column(4).to_pylist()
+            return decided(batch, lambda i, hashes: np.isin(hashes, np.array(sets[i] or [], np.int64)))
+
+        out = map_arrow(joined, run_joined, schema)
+    return out.select(F.col("page_id").alias(key), F.col("url").alias(url), "text", F.length("text").cast("long").alias("n_chars"), "n_repeated", "n_named")

@@ -6,7 +6,7 @@ targets; both fall as it rises, so it is bracketed more and more closely, each r
 
 A source is passed over as often as its part of the budget asks. Each pass goes through its documents in the order of a
 permutation of blocks, and of the documents within each; the last one ends where the budget does. Blocks have a bounded
-number of documents, so only one block of each source is summed up document by document, however large a source is.
+number of documents, so positions come from one small window over a source's blocks and one within each block.
 """
 
 from __future__ import annotations
@@ -66,25 +66,32 @@ def solve(shares: DataFrame, entropy: float | None = None, max_repeats: float |
 def mix(
     docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", entropy: float | None = None,
     max_repeats: float | None = MAX_REPEATS, min_passes: float = MIN_PASSES, budget: float | None = None, seed: int = SEED,
+    tokens: str | None = None, prefix: str = "mix_",
 ) -> DataFrame:
-    """docs with rows taken as often as the mixture asks, and two more columns: mix_pass (from 0) and mix_block.
+    """docs with rows taken as often as the mixture asks, and four more columns, which say where each stands.
 
-    With min_passes of 1 or more and no budget, every document is taken once or more. Training order is by pass, then by a
-    hash of block and pass, then of document and pass. A null source is a source; null keys are equal to each other, and
-    equal rows are documents of their own. Sources whose texts have no tokens are passed over once, as they cost nothing.
-    Columns of docs named mix_pass or mix_block are replaced; any other names do not matter.
+    mix_pass (from 0) and mix_position (from 0 within source and pass) are the row's place in its source's permutation,
+    mix_block is its block; by mix_order, from 0 to 1, all rows stand in training order, sources interleaved by weight.
+
+    With min_passes of 1 or more and no budget, every document is taken once or more. A null source is a source, null keys are
+    keys, null texts are empty, and equal rows are documents of their own. Sources whose texts have no tokens are passed over
+    once, as they cost nothing. An empty table gives an empty table. `tokens` names a column with the documents' numbers of
+    tokens; without it, words() counts them. Columns of docs that begin with `prefix` and are named like the four are
+    replaced; any other names do not matter.
     """
-    kept = [c for c in docs.columns if c not in ("mix_pass", "mix_block")]
-    named = F.coalesce(F.concat(F.lit("="), F.col(f"`{source}`").cast("string")), F.lit("null"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("doc")).select(
-        "doc", F.col(f"doc.`{key}`").cast("string").alias("k"), F.col(f"doc.`{text}`").cast("string").alias("x"),
-        F.coalesce(F.concat(F.lit("="), F.col(f"doc.`{source}`").cast("string")), F.lit("null")).alias("s"),
+    names = [f"{prefix}{x}" for x in ("pass", "block", "position", "order")]
+    kept = [c for c in docs.columns if c not in names]
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("doc"),
+        F.coalesce(F.concat(F.lit("="), F.col(f"`{source}`").cast("string")), F.lit("null")).alias("s"),
+        F.xxhash64(F.lit(seed), F.col(f"`{key}`").cast("string"), F.col(f"`{text}`").cast("string")).alias("h"),
+        (F.col(f"`{text}`").cast("string") if tokens is None else F.col(f"`{tokens}`").cast("long")).alias("x"),
     )
-    sizes = checkpointed(docs.select(named.alias("name")).groupBy("name").agg(F.ceil(F.count("*") / BLOCK_DOCS).alias("n_blocks")))
-    block = F.pmod(F.xxhash64(F.lit(seed), F.col("k")), F.col("n_blocks"))
-    blocked = rows.join(sized(sizes), F.col("s") == F.col("name")).withColumn("b", block)
-    blocks = checkpointed(blocked.select("s", "b", words("x").alias("n")).groupBy("s", "b").agg(F.sum("n").alias("tokens")))
-    sources = checkpointed(blocks.groupBy("s").agg(F.sum("tokens").alias("tokens")))
+    size = words("x") if tokens is None else F.coalesce("x", F.lit(0))
+    sizes = checkpointed(rows.groupBy(F.col("s").alias("name")).agg(F.ceil(F.count("*") / BLOCK_DOCS).alias("n_blocks")))
+    blocked = rows.join(sized(sizes), F.col("s") == F.col("name")).select("doc", "s", "h", "x", F.pmod("h", "n_blocks").alias("b"))
+    blocks = checkpointed(blocked.groupBy("s", "b").agg(F.sum(size).alias("tokens"), F.count("*").alias("docs")))
+    sources = checkpointed(blocks.groupBy("s").agg(F.sum("tokens").alias("tokens"), F.sum("docs").alias("docs")))
     counted = sources.where("tokens > 0")
     exponent = solve(counted, entropy, max_repeats, min_passes, budget)
     sums = counted.agg(F.sum("tokens").alias("t"), F.max("tokens").alias("high")).first()
@@ -95,29 +102,35 @@ def mix(
         z = counted.agg(F.sum(F.pow(F.col("tokens") / total, F.lit(exponent)))).first()[0] or 1.0
         passes = F.pow(F.col("tokens") / total, F.lit(exponent)) / z * budget / F.col("tokens")
     passes = F.round(F.when(F.col("tokens") > 0, passes).otherwise(1.0), 9)  # whole passes do not miss by rounding
-    plan = sources.select(F.col("s").alias("ps"), F.floor(passes).cast("int").alias("full"), ((passes - F.floor(passes)) * F.col("tokens")).alias("rest"))
-    before = Window.partitionBy("s").orderBy(F.xxhash64(F.lit(seed), "s", "b", "full"), "b")
-    cut = (
+    plan = sources.select(
+        F.col("s").alias("ps"), (passes * F.col("docs")).alias("taken"), F.col("docs").alias("of"),
+        F.floor(passes).cast("int").alias("full"), ((passes - F.floor(passes)) * F.col("tokens")).alias("rest"),
+    )
+    # each pass has its own permutation of the source's blocks; the last one ends where the budget does, within a block
+    turn = Window.partitionBy("s", "pass").orderBy(F.xxhash64(F.lit(seed), "s", "b", "pass"), "b").rowsBetween(Window.unboundedPreceding, 0)
+    turns = (
         blocks.join(plan, F.col("s") == F.col("ps"))
-        .withColumn("end", F.sum("tokens").over(before.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("left", F.col("rest") - F.col("end") + F.col("tokens"))
+        .withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("full"))))
+        .withColumn("end", F.sum("tokens").over(turn))
+        .withColumn("first", F.sum("docs").over(turn) - F.col("docs"))
+        .withColumn("left", F.when(F.col("pass") == F.col("full"), F.col("rest") - F.col("end") + F.col("tokens")))
+        .where("left IS NULL OR left > 0")
     )
-    cut = checkpointed(
-        cut.select(
-            F.col("s").alias("cs"), F.col("b").alias("cb"), "full", "left",
-            F.when(F.col("end") <= F.col("rest"), 1).otherwise(0).alias("whole"),
-            ((F.col("end") > F.col("rest")) & (F.col("left") > 0)).alias("partly"),
+    turns = checkpointed(
+        turns.select(
+            F.col("s").alias("ts"), F.col("b").alias("tb"), "pass", "first", (F.col("pass") * F.col("of")).alias("earlier"), "taken",
+            F.when(F.col("left") < F.col("tokens"), F.col("left")).alias("left"),
         )
     )
-    met = blocked.join(sized(cut), (F.col("s") == F.col("cs")) & (F.col("b") == F.col("cb")))
-    every = met.where(F.col("full") + F.col("whole") > 0).withColumn("mix_pass", F.explode(F.sequence(F.lit(0), F.col("full") + F.col("whole") - 1)))
-    order = Window.partitionBy("s", "b").orderBy(F.xxhash64(F.lit(seed), "k", "full"), "k", F.xxhash64("x"), "x")
-    last = (
-        met.where("partly")
-        .withColumn("n", words("x"))
-        .withColumn("before", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
-        .where(F.col("before") < F.col("left"))
-        .withColumn("mix_pass", F.col("full"))
+    met = blocked.join(sized(turns), (F.col("s") == F.col("ts")) & (F.col("b") == F.col("tb")))
+    met = met.withColumn("n", F.when(F.col("left").isNotNull(), size)).drop("x")  # only blocks that are cut need their documents' tokens
+    within = Window.partitionBy("s", "b", "pass").orderBy(F.xxhash64(F.lit(seed), "h", "pass"), "h").rowsBetween(Window.unboundedPreceding, 0)
+    out = (
+        met.withColumn("rank", F.count("*").over(within))
+        .withColumn("before", F.sum("n").over(within) - F.col("n"))
+        .where("left IS NULL OR before < left")
+        .withColumn("position", F.col("first") + F.col("rank") - 1)
     )
-    out = every.select("doc", "mix_pass", "b").unionByName(last.select("doc", "mix_pass", "b"))
-    return out.select("doc.*", F.col("mix_pass").cast("int").alias("mix_pass"), F.col("b").cast("long").alias("mix_block"))
+    order = F.least((F.col("earlier") + F.col("position") + 0.5) / F.col("taken"), F.lit(1.0))
+    given = (F.col("pass").cast("int"), F.col("b").cast("long"), F.col("position").cast("long"), order)
+    return out.select("doc.*", *[c.alias(name) for c, name in zip(given, names, strict=True)])

@@ -14,9 +14,9 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each time a document is taken."""
+    """One row for each time a document is taken, with its place in the mixture."""
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return mixed.select("doc_id", "source", "mix_pass", "mix_block")
+    return mixed.select("doc_id", "source", "mix_pass", "mix_block", "mix_position", "mix_order")
 
 
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

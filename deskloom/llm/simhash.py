@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deskloom.llm.common import checkpointed, forest, grouped_stream, map_arrow, prepare, runs, utf8
+from deskloom.llm.common import checkpointed, forest, fresh, grouped_stream, map_arrow, runs, sized
 from deskloom.operators.graph import components
 
 WORDS, SEED, RADIUS = 3, 42, 3
@@ -55,16 +55,22 @@ def fingerprint(text: str, words: int = WORDS, seed: int = SEED) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, fp): a signed 64-bit fingerprint for each row's whole text; null is read as the empty text."""
-    prepare(df.sparkSession)
-    rows = df.select(F.col(key), utf8(text).alias("__text"))
+def fingerprinted(df: DataFrame, text: str = "text", out: str = "fp") -> DataFrame:
+    """df with one more column, a signed 64-bit fingerprint of each whole text; null is read as the empty text."""
+    kept = [c for c in df.columns if c != out]
+    given = fresh("text")
+    rows = df.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias(given))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fp = np.fromiter(map(fingerprint, batch.column(1).to_pylist()), np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=[key, "fp"])
+        fp = np.fromiter(map(fingerprint, batch.column(batch.num_columns - 1).to_pylist()), np.uint64).view(np.int64)
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fp)], names=[*batch.schema.names[:-1], out])
+
+    return map_arrow(rows, run, df.select(*[F.col(f"`{c}`") for c in kept], F.lit(0).cast("long").alias(out)).schema)
+
 
-    return map_arrow(rows, run, rows.select(key, F.lit(0).cast("long").alias("fp")).schema)
+def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, fp): a signed 64-bit fingerprint for each row's whole text; null is read as the empty text."""
+    return fingerprinted(df.select(F.col(key), F.col(text).alias(f"{key} text")), f"{key} text").select(key, "fp")
 
 
 @lru_cache(maxsize=1)
@@ -153,16 +159,17 @@ def linked(group: np.ndarray, node: np.ndarray, fp: np.ndarray, lead: np.ndarray
     return np.unique(np.sort(pairs, 1), axis=0)
 
 
-def links(nodes: DataFrame, node: str = "node", fp: str = "fp") -> DataFrame:
-    """(a, b): links that connect the same nodes as all pairs of fingerprints with RADIUS differing bits or fewer."""
+def links(nodes: DataFrame, fp: str = "fp") -> DataFrame:
+    """(a, b): links that connect the same fingerprints as all pairs with RADIUS differing bits or fewer do.
+
+    The keys of all fingerprints are written once, for their counts and for the comparison.
+    """
 
     def keyed(batch: pa.RecordBatch) -> pa.RecordBatch:
-        value = batch.column(1).to_numpy().view(np.uint64)
-        key, owner, lead = bucket_keys(value)
-        columns = [pa.array(key), batch.column(0).take(pa.array(owner)), batch.column(1).take(pa.array(owner)), pa.array(lead)]
-        return pa.RecordBatch.from_arrays(columns, names=["key", "node", "fp", "lead"])
+        key, owner, lead = bucket_keys(batch.column(0).to_numpy().view(np.uint64))
+        return pa.RecordBatch.from_arrays([pa.array(key), batch.column(0).take(pa.array(owner)), pa.array(lead)], names=["key", "fp", "lead"])
 
-    keys = map_arrow(nodes.select(F.col(node).cast("long").alias("node"), F.col(fp).alias("fp")), keyed, "key long, node long, fp long, lead boolean")
+    keys = checkpointed(map_arrow(nodes.select(F.col(fp).alias("fp")), keyed, "key long, fp long, lead boolean"))
     shared = (
         keys.groupBy("key")
         .agg(F.count("*").alias("n"), F.max("lead").alias("led"))
@@ -177,8 +184,7 @@ def links(nodes: DataFrame, node: str = "node", fp: str = "fp") -> DataFrame:
         .withColumn("low", F.least("mine", "other").cast("long"))
         .withColumn("high", F.greatest("mine", "other").cast("long"))
         .select(
-            (F.shiftleft("key", 32).bitwiseOR(F.shiftleft("low", 16)).bitwiseOR(F.col("high"))).alias("cell"),
-            "node", "fp", "lead",
+            (F.shiftleft("key", 32).bitwiseOR(F.shiftleft("low", 16)).bitwiseOR(F.col("high"))).alias("cell"), "fp", "lead",
             F.when(F.col("low") == F.col("high"), 0).when(F.col("mine") == F.col("low"), 1).otherwise(2).alias("side"),
         )
         .repartition("cell")
@@ -187,30 +193,55 @@ def links(nodes: DataFrame, node: str = "node", fp: str = "fp") -> DataFrame:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in grouped_stream(batches, lambda b: b.column(0).to_numpy()):
-            cell, who, value, lead, side = (c.to_numpy() for c in rows.columns)
-            pairs = linked(cell, who, value.view(np.uint64), lead.astype(bool), side)
+            cell, value, lead, side = (c.to_numpy() for c in rows.columns)
+            pairs = linked(cell, value, value.view(np.uint64), lead.astype(bool), side)
             if len(pairs):
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
 
     return dealt.mapInArrow(compare, "a long, b long")
 
 
+def grouped(rows: DataFrame, key: str) -> DataFrame:
+    """(own, least, root) for each fingerprint of rows (key, fp): its rows' smallest key, and its group's fingerprint."""
+    nodes = checkpointed(rows.groupBy("fp").agg(F.min(key).alias("least")))
+    reached = components(links(nodes))
+    return nodes.join(reached, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("own"), "least", F.coalesce("component", "fp").alias("root"))
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, fp, component_id) for each row: its fingerprint and the smallest key that links lead to, its own included.
 
     Null texts count as empty; empty texts have fingerprint 0 and link like any other. Repeated rows each get a row. A
-    row without a key has its group's component, null if no row of the group has a key. Other columns are not carried.
+    row without a key has its group's component, null if no row of the group has a key. Texts of any length are read whole.
+    An empty table gives an empty table. Other columns, whatever their names, are not carried.
     """
-    rows = checkpointed(fingerprints(df.select(F.col(key).cast("long").alias(key), text), key, text))
-    nodes = checkpointed(rows.groupBy("fp").agg(F.min(key).alias("node")))
-    reached = components(links(nodes.where("node IS NOT NULL")))
-    groups = nodes.join(reached, "node", "left").select(
-        F.col("fp").alias("own"), F.coalesce("component", "node").alias("component_id")
-    )
-    return rows.join(groups, F.col("fp") == F.col("own")).select(key, "fp", "component_id")
+    rows = checkpointed(fingerprints(df.select(F.col(key).cast("long").alias(key), F.col(text)), key, text))
+    groups = grouped(rows, key)
+    lowest = groups.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rows.join(groups.join(lowest, "root"), F.col("fp") == F.col("own")).select(key, "fp", "component_id")
 
 
 def classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, fingerprint, component_id), the fingerprint as 16 lowercase hex digits."""
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return near_duplicates(df, key, text).select(key, hexed.alias("fingerprint"), "component_id")
+
+
+def representatives(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of df, with all its columns, for each group of linked fingerprints: the one with the smallest key, nulls last.
+
+    Of rows that share a key, those whose fingerprints do not link are of different groups; of those that share key and
+    fingerprint, one stays. Columns may have any names.
+    """
+    first, own, fp = fresh("first"), fresh("own"), fresh("fp")
+    slim = checkpointed(fingerprints(df.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{text}`").alias("t")), "k", "t"))
+    best = F.min(F.struct(F.col("least").isNull().alias("last"), F.col("least").alias("k"), F.col("own").alias("fp")))
+    chosen = checkpointed(grouped(slim, "k").groupBy("root").agg(best.alias("c")).select("c.k", "c.fp"))
+    again = checkpointed(slim.where("k IS NOT NULL").groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select(F.col("k").alias(own)))
+    long_key = F.col(f"`{key}`").cast("long")
+    lone = chosen.select(F.col("k").alias(first)).where(F.col(first).isNotNull()).distinct().join(again, F.col(first) == F.col(own), "left_anti")
+    once = df.join(lone, long_key == F.col(first), "left_semi")
+    unclear = df.where(long_key.isNull()).unionAll(df.join(sized(again), long_key == F.col(own), "left_semi"))
+    known = chosen.select(F.col("k").alias(first), F.col("fp").alias(own))
+    picked = fingerprinted(unclear, text, fp).join(known, (F.col(fp) == F.col(own)) & long_key.eqNullSafe(F.col(first)), "left_semi")
+    return once.unionAll(picked.dropDuplicates([fp]).select(*[F.col(f"`{c}`") for c in df.columns]))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deskloom.llm.bpe import default_pattern, parts
-from deskloom.llm.common import map_arrow, prepare, utf8
+from deskloom.llm.common import map_arrow, utf8
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 1024
@@ -147,7 +147,6 @@ def counts(
     One row for each row, repeats included; other columns, whatever their names, are not carried.
     """
     path, pattern = path or default_path(), default_pattern()
-    prepare(df.sparkSession)
     rows = df.select(F.col(key), utf8(text).alias("__text"))
     schema = rows.select(key, F.lit(0).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_tokens")).schema
 

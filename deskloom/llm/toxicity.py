@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deskloom.llm.common import checkpointed, map_arrow, prepare, utf8
+from deskloom.llm.common import checkpointed, fresh, map_arrow, utf8
 
-#: Labelled rows that the lexicon is fitted on, at most, and terms it keeps, at most.
-FIT_ROWS, MAX_TERMS = 20_000, 20_000
+#: Labelled rows that the lexicon is fitted on, at most; its terms and phrases are those of these rows.
+FIT_ROWS = 20_000
 FOLDS = 5
 #: Lengths of the word beginnings that may become terms.
 STEMS = (4, 5, 6)
@@ -155,11 +155,11 @@ def chosen_terms(terms: list[tuple[str, int, float]]) -> dict[str, float]:
 
 
 def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", fit_rows: int = FIT_ROWS) -> Lexicon:
-    """A lexicon learnt from labelled rows that are not held out, at most fit_rows of them, chosen by a hash of the key.
+    """A lexicon learnt from labelled rows that are not held out, at most fit_rows of them, chosen by a hash.
 
-    Without any labelled row, or with rows of one class only, it is empty and scores every text 0 or so.
+    Equal texts with equal labels count once. A key that several documents or labels share gives all their texts with all
+    their labels. Without any labelled row, or with rows of one class only, it is empty and scores every text 0 or so.
     """
-    prepare(documents.sparkSession)
     chosen = (
         labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(key))
         .select(F.col(key).alias("k"), (F.col(label) != 0).cast("int").alias("y"))
@@ -167,7 +167,8 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
         .limit(fit_rows)
     )
     texts = documents.select(F.col(key).alias("own"), utf8(text).alias("x"))
-    sample = checkpointed(texts.join(F.broadcast(chosen), F.col("own") == F.col("k")).select("x", "y").distinct())  # fit_rows rows of two numbers
+    met = texts.join(F.broadcast(chosen), F.col("own") == F.col("k")).select("x", "y").distinct()  # fit_rows rows of two numbers
+    sample = checkpointed(met.orderBy(F.xxhash64("x"), "x", "y").limit(fit_rows))  # a key may have many documents
     n = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     toxic, clean = n.get(1, 0), n.get(0, 0)
     if not toxic or not clean:
@@ -192,7 +193,7 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     log = lambda n, p: F.when(n > 0, n * F.log(n / ((t + c) * p))).otherwise(0.0)
     weight = F.log((t + 0.5) / (toxic + 1)) - F.log((c + 0.5) / (clean + 1))
     kept = counts.where((t >= LEAST_ROWS) & (t > (t + c) * share) & (log(t, share) + log(c, 1 - share) > bar)).select("term", "t", weight.alias("w")).where(f"w >= {LEAST_WEIGHT}")
-    lexicon = Lexicon(chosen_terms([tuple(r) for r in kept.orderBy(F.desc("w"), "term").limit(MAX_TERMS).collect()]))
+    lexicon = Lexicon(chosen_terms([tuple(r) for r in kept.collect()]))
 
     def around(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         phrases, ys = [], []
@@ -204,8 +205,7 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
         return pa.RecordBatch.from_arrays([pa.array(phrases, pa.string()), pa.array(ys, pa.int32())], names=["phrase", "y"])
 
     seen = map_arrow(sample, around, "phrase string, y int").groupBy("phrase").agg(F.sum("y").alias("t"), F.count("*").alias("n"))
-    clean_only = seen.where(f"t = 0 AND n >= {EXCEPTION_ROWS}").orderBy(F.desc("n"), "phrase").limit(MAX_TERMS)
-    lexicon.exceptions = {r["phrase"] for r in clean_only.collect()}
+    lexicon.exceptions = {r["phrase"] for r in seen.where(f"t = 0 AND n >= {EXCEPTION_ROWS}").select("phrase").collect()}
 
     def featured(batch: pa.RecordBatch) -> pa.RecordBatch:
         pairs = [lexicon.features(x) for x in batch.column(0).to_pylist()]
@@ -225,10 +225,9 @@ def _counts(held: tuple[Counter, Counter]) -> pa.RecordBatch:
 
 def scored(df: DataFrame, lexicon: Lexicon, text: str = "text", out: str = "score") -> DataFrame:
     """df with one more column: each whole text's score from 0 to 1, null read as empty. A column named as it is replaced."""
-    prepare(df.sparkSession)
     kept = [c for c in df.columns if c != out]
-    rows = df.select(*[F.col(f"`{c}`") for c in kept], utf8(text).alias("__scored"))
-    shared = df.sparkSession.sparkContext.broadcast(lexicon)  # MAX_TERMS terms and phrases at most
+    rows = df.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias(fresh("scored")))
+    shared = df.sparkSession.sparkContext.broadcast(lexicon)  # terms and phrases of fit_rows rows
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = shared.value

@@ -209,11 +209,21 @@ def test_simhash_links_find_every_pair(spark, monkeypatch, block):
     for _ in range(3):
         near ^= np.uint64(1) << rng.integers(0, 64, 60).astype(np.uint64)
     fp = np.unique(np.concatenate([base, near, hub]))
-    nodes = spark.createDataFrame([(i, int(f)) for i, f in enumerate(fp.view(np.int64))], "node long, fp long")
-    got = simhash.links(nodes).toPandas()
+    at = {int(f): i for i, f in enumerate(fp.view(np.int64))}
+    got = [(at[r["a"]], at[r["b"]]) for r in simhash.links(spark.createDataFrame([(f,) for f in at], "fp long")).collect()]
     i, k = np.nonzero(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 3)
     n = len(fp)
-    assert (forest(got.a.to_numpy(), got.b.to_numpy(), n) == forest(i, k, n)).all()
+    assert (forest(*np.array(got).T, n) == forest(i, k, n)).all()
+
+
+def test_representatives(spark):
+    same, other, third = "same text here", "other words altogether now", "a third one of them stays"
+    rows = [(None, same, 1), (3, same, 1), (3, same, 1), (2, same, 1), (3, other, 2), (3, third, 3), (None, "lone", 4), (None, "lone", 4), (5, None, 5), (6, "", 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, first int").selectExpr("*", "first AS n", "first AS fp", "first AS `a.b`")
+    got = simhash.representatives(df)
+    assert got.columns == df.columns
+    assert Counter(tuple(r)[:3] for r in got.collect()) == Counter([(2, same, 1), (3, other, 2), (3, third, 3), (None, "lone", 4), (5, None, 5)])
+    assert simhash.representatives(df.limit(0)).count() == 0
 
 
 def test_null_keys(spark):
@@ -306,7 +316,7 @@ def test_mixing(spark, monkeypatch):
     rows = [(i, s, "" if s == "void" else " ".join("w" for _ in range(rng.randrange(1, 30)))) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
     df = spark.createDataFrame([(*r, 4) for r in rows], "doc_id long, source string, text string, mix_pass int")
     out = mixing.mix(df, max_repeats=3.0)
-    assert out.columns == ["doc_id", "source", "text", "mix_pass", "mix_block"]
+    assert out.columns == ["doc_id", "source", "text", "mix_pass", "mix_block", "mix_position", "mix_order"]
     got = out.collect()
     tokens = Counter()
     for _, s, t in rows:
@@ -327,9 +337,32 @@ def test_mixing(spark, monkeypatch):
     for r in got:
         passes[r["source"]].add(r["mix_pass"])
     assert max(passes["big"]) == 0 and all(p == set(range(len(p))) for p in passes.values())
+    turns = defaultdict(list)
+    for r in got:
+        turns[r["source"], r["mix_pass"]].append((r["mix_position"], r["mix_block"], r["doc_id"]))
+    for rows_ in turns.values():  # a permutation in which blocks stand together
+        rows_.sort()
+        assert [p for p, _, _ in rows_] == list(range(len(rows_)))
+        blocks = [b for _, b, _ in rows_]
+        assert sum(a != b for a, b in zip(blocks, blocks[1:], strict=False)) == len(set(blocks)) - 1
+        assert len(rows_) < 50 or [d for _, _, d in rows_] != sorted(d for _, _, d in rows_)
+    assert [d for _, _, d in turns["mid", 0]] != [d for _, _, d in turns["mid", 1]][: len(turns["mid", 0])]
+    in_order = [r["source"] for r in sorted(got, key=lambda r: r["mix_order"])]  # sources are interleaved evenly
+    half = Counter(in_order[: len(in_order) // 2])
+    assert all(abs(half[s] - n / 2) <= 3 for s, n in Counter(in_order).items())
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_mixing_odd_rows(spark):
+    """Null keys, sources and texts, repeated rows, a long text and clashing names: rows with equal weights are each taken once."""
+    rows = [(None, "a", "one two", 1)] * 3 + [(7, None, "three four five", 2), (7, None, "other text here", 2), (8, "a", None, 3), (8, "a", "", 3), (9, "b", LONG, 4), (None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, n long").withColumnRenamed("n", "left").selectExpr("*", "left AS rank", "left AS s", "left AS `a.b`")
+    got = mixing.mix(df, max_repeats=1.0)
+    assert Counter(tuple(r)[:4] for r in got.collect()) == Counter(rows)
+    counted = mixing.mix(df, tokens="left", max_repeats=None, budget=40).collect()  # sources of 9, 4 and 4 tokens, each to give 40 / 3
+    assert {r["mix_pass"] for r in counted if r["source"] == "b"} == {0, 1, 2, 3} and {r["mix_pass"] for r in counted if r["source"] == "a"} == {0, 1}
+
+
 def test_mixing_targets(spark):
     shares = spark.createDataFrame([(n,) for n in (1000, 100, 10)], "tokens long")
     p = np.array([1000, 100, 10]) / 1110
@@ -419,23 +452,100 @@ def test_folding():
         ("<article>a<!-- <p>x</p> -->b</article><article class='comment'>no</article>", "ab"),
         ("<article><form>f<input value='x'></form><ul><li>i<li>j</ul></article>", "i j"),
         ("< p>5 < 6</p>", "< p>5 < 6"),
+        ('<main><article class="post search-result"><p>hello</p></article><p class="notice">n</p></main>', "hello"),
+        ("<!-- <article>no</article> --><p>open</p>", "open"),
+        ("<aside><article>no</article></aside><p>open</p>", "open"),
+        ("<article>one <span class='ad'>buy <b>now</b></span> two</article>", "one two"),
+        ("<article><p class=notice><b>n<p>kept</p></article>", "kept"),
+        ("<article>a</b>b</i><b>c</article></b>d", "abc"),
+        ("<article><p>x <a title='a > b' href=/q?a>y</a> z</p></article>", "x y z"),
+        ("<article>a<![CDATA[ <b> & ]]>b<![CDATA[ c > d</article>", "a <b> & b d"),
+        ("<article>&#" + "0" * 9000 + "65;&#" + "9" * 9000 + "; &#x41;</article>", "A\ufffd A"),
+        ("<article>kept</article><p class='never ends", "kept"),
     ],
 )
 def test_blocks(html, want):
-    assert " ".join(html_main.blocks(html)[0]) == want
-
-
-def test_html(spark):
+    page, has_mark = html_main.blocks(html)
+    assert html_main.judged(page, has_mark, [])[0] == want
+
+
+@pytest.mark.parametrize("part", ["<![CDATA[", '<b class="', "<b ", "<!--", "<div>", "<b>", "</p>", "<p><b>", "<div></span>", "<script", "<a href='", "=  ", "<span class=ad><i>", "&#", "<", "</", "<!"])
+def test_a_megabyte_of_hostile_markup_takes_linear_time(part):
+    import time
+
+    began = time.process_time()
+    html_main.blocks(part * (1_000_000 // len(part)))
+    assert time.process_time() - began < 3
+
+
+def brute_boilerplate(pages):
+    """By page: the (block, token) pairs that a substring of SPAN tokens or more, or a whole short block, of another page covers."""
+    texts = [[t.split(" ") for _, _, t in own] for _, own in pages]
+    out = [set() for _ in pages]
+    for p, (host, own) in enumerate(pages):
+        for q, (other, theirs) in enumerate(pages):
+            if host != other or own == theirs:
+                continue
+            for b, (zone, prose, _) in enumerate(own):
+                for c, (zone2, prose2, _) in enumerate(theirs):
+                    if html_main.ARTICLE in (zone, zone2):
+                        continue
+                    x, y = texts[p][b], texts[q][c]
+                    if len(x) < html_main.SPAN:
+                        if x == y and not prose and not prose2:
+                            out[p] |= {(b, i) for i in range(len(x))}
+                        continue
+                    for i in range(len(x)):
+                        for k in range(len(y)):
+                            n = 0
+                            while i + n < len(x) and k + n < len(y) and x[i + n] == y[k + n]:
+                                n += 1
+                            if n >= html_main.SPAN:
+                                out[p] |= {(b, i + j) for j in range(n)}
+    return out
+
+
+def test_suffixes_find_what_every_pair_of_pages_shares():
+    rng = random.Random(12)
+    passages = [" ".join(rng.choice("abcdefgh") for _ in range(n)) for n in (10, 12, 25, 9, 3, 1)]
+    pages = []
+    for i in range(14):
+        own = []
+        for _ in range(rng.randrange(5)):
+            text = " ".join(rng.choice([rng.choice("abcdefgh"), f"u{i}", rng.choice(passages)]) for _ in range(rng.randrange(1, 9)))
+            own.append((rng.choice([html_main.OPEN, html_main.OTHER, html_main.ARTICLE]), rng.random() < 0.5, rng.choice([text, rng.choice(passages)])))
+        pages.append((f"h{i % 2}", own))
+    pages.append(pages[3])
+    found = html_main.Suffixes(pages)
+    seen = defaultdict(set)
+    for (p, _, _), c in zip(found.at.tolist(), found.own.tolist(), strict=True):
+        seen[c].add(str(pages[p]))
+    got = [set() for _ in pages]
+    for (p, b, k), c in zip(found.at.tolist(), found.own.tolist(), strict=True):
+        if len(seen[c]) > 1:
+            got[p] |= {(b, k + j) for j in range(html_main.SPAN) if k + j <= pages[p][1][b][2].count(" ")}
+    assert got == brute_boilerplate(pages)
+    assert len(set(found.hashes.tolist())) == len(found.hashes) and any(got)
+    order = np.argsort(found.own, kind="stable")  # sorted as a suffix array is, host by host
+    words = [(pages[p][0], pages[p][1][b][2].split(" ")[k : k + html_main.SPAN]) for p, b, k in found.at[order].tolist()]
+    assert words == sorted(words)
+
+
+@pytest.mark.parametrize("limit", [1_000_000, 0])
+def test_html(spark, monkeypatch, limit):
+    monkeypatch.setattr(html_main, "BROADCAST_SUFFIXES", limit)
     menu = "Home News Sport Weather Culture Travel Food Science Arts Money Jobs"
-    rows = [(i, f"https://h.example.com/{i}", f"<div>{menu}</div><p>story number {i} {'word ' * i}</p>") for i in range(3)]
+    rows = [(i, f"https://h.example.com/{i}", f"<div>{menu}</div><ul><li>Top</ul><p>story number {i} {'word ' * i}</p><p>Top</p>") for i in range(3)]
     rows += [(9, "https://other.example.com/", f"<div>{menu}</div><p>lone</p>"), (10, "https://h.example.com/x", None), (11, None, "<article><p>a</p></article>"), (0, *rows[0][1:])]
     shared = "<article><p>" + "the same passage " * 20 + "</p></article>"
-    rows += [(20, "https://h.example.com/20", shared), (21, "https://h.example.com/21", shared)]
+    rows += [(20, "https://h.example.com/20", f"<nav>{menu} lone</nav>{shared}"), (21, "https://h.example.com/21", shared + f"<div>{menu}</div>")]
+    rows += [(30, "https://H.example.com/30", "<!-- <article> --><p>" + "own text " * 60_000 + f"</p><div>{menu}</div>"), (None, "", ""), (None, "", "")]
     df = spark.createDataFrame([(*r, 3) for r in rows], "page_id long, url string, html string, n_chars int")
-    got = Counter((r["page_id"], r["text"], r["n_chars"]) for r in html_main.main_text(df).collect())
-    text = {i: f"story number {i} {'word ' * i}".strip() for i in range(3)} | {9: f"{menu} lone", 10: "", 11: "a", 20: ("the same passage " * 20).strip()}
+    got = Counter(tuple(r) for r in html_main.main_text(df).collect())
+    text = {i: f"story number {i} {'word ' * i}".strip() + " Top" for i in range(3)} | {9: f"{menu} lone", 10: "", 11: "a", 20: ("the same passage " * 20).strip(), 30: ("own text " * 60_000).strip(), None: ""}
     text[21] = text[20]
-    assert got == Counter((r[0], text[r[0]], len(text[r[0]])) for r in rows)
+    repeated, named = {0: 12, 1: 12, 2: 12, 20: 11, 21: 11, 30: 11}, {20: 1}
+    assert got == Counter((r[0], r[1], text[r[0]], len(text[r[0]]), repeated.get(r[0], 0), named.get(r[0], 0)) for r in rows)
     assert html_main.main_text(df.limit(0)).count() == 0
 
 
@@ -460,6 +570,27 @@ def test_queries_on_the_smallest_tables(spark):
         assert sorted(map(tuple, df.select(columns).collect())) == sorted(want), name
 
 
+@pytest.mark.parametrize("stage", range(4))
+def test_pipeline_stages_on_odd_tables(spark, tmp_path, stage):
+    """Null keys, repeated rows, null, empty and long texts, clashing names, and an empty table."""
+    import corpus_pipeline
+
+    _, labels = toxic_tables(spark)
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    rows = [(None, "a b c d", "en", None), (None, "a b c d", "en", None), (1, None, None, "s"), (2, "", "en", "s"), (3, LONG, "en", "s"), (3, LONG, "en", "s"), (4, LONG[:5000] + " end", "de", "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").selectExpr("*", "1 AS n", "2 AS first", "3 AS fp", "4 AS mix_pass", "5 AS token_ids", "6 AS __score", "7 AS `k.x`")
+    name, step = corpus_pipeline.STAGES[stage]
+    out = step(spark, docs, str(tmp_path))
+    got = out.collect()
+    if stage < 3:
+        assert out.columns == docs.columns and all(tuple(r)[4:] == (1, 2, 3, 4, 5, 6, 7) for r in got)
+    want = {0: 7, 1: 4, 3: 7}.get(stage)
+    assert len(got) == want if want else {tuple(r)[:4] for r in got} == set(rows)
+    assert stage < 3 or (all(r["round_trip"] for r in got) and Counter(r["doc_id"] for r in got)[None] == 2)
+    nothing = step(spark, docs.limit(0), str(tmp_path))
+    assert nothing.columns == out.columns and nothing.count() == 0
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
