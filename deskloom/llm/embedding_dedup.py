@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deskloom.llm.common import checkpointed, forest, grouped_stream, map_arrow
+from deskloom.llm.common import checkpointed, forest, grouped_stream, map_arrow, sized
 from deskloom.operators.graph import components
 
 THRESHOLD = 0.98
@@ -184,13 +184,11 @@ def near_duplicates(
             rows = at[rows]
         take = pa.array(np.concatenate([np.arange(len(dims)), rows]))
         is_home = np.concatenate([np.ones(len(dims), bool), np.zeros(len(rows), bool)])
-        columns = [c.take(take) for c in batch.columns] + [pa.array(np.concatenate([home, cell])), pa.array(is_home)]
-        return pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "cell", "home"])
+        columns = [batch.column(c).take(take) for c in ("node", "label", "dim")] + [pa.array(np.concatenate([home, cell])), pa.array(is_home)]
+        return pa.RecordBatch.from_arrays(columns, names=["place", "label", "dim", "cell", "home"])
 
-    placements = map_arrow(
-        nodes.select("node", "label", "dim", "copies", "vec"), placed,
-        "node long, label string, dim int, copies long, vec binary, cell long, home boolean",
-    )
+    # written once, without the vectors, for the counts and for the comparison
+    placements = checkpointed(map_arrow(nodes.select("node", "label", "dim", "vec"), placed, "place long, label string, dim int, cell long, home boolean"))
     block = F.greatest(F.lit(64), F.floor(F.lit(BLOCK_BYTES) / (8 * F.col("dim"))))
     filled = placements.groupBy("label", "dim", "cell").agg(
         F.count_if("home").alias("homes"), F.count_if(~F.col("home")).alias("visitors")
@@ -199,7 +197,10 @@ def near_duplicates(
         F.col("label").alias("l"), F.col("dim").alias("d"), F.col("cell").alias("c"),
         F.ceil(F.col("homes") / block).cast("int").alias("h"), F.ceil(F.col("visitors") / block).cast("int").alias("v"),
     )
-    met = placements.join(filled, (F.col("label") == F.col("l")) & (F.col("dim") == F.col("d")) & (F.col("cell") == F.col("c")))
+    # by a hash of the cell, so that both sides are dealt out anew and a hot cell can be split; few cells are broadcast
+    same = (F.xxhash64("label", "dim", "cell") == F.col("key")) & (F.col("label") == F.col("l")) & (F.col("dim") == F.col("d")) & (F.col("cell") == F.col("c"))
+    met = placements.join(sized(filled.withColumn("key", F.xxhash64("l", "d", "c"))), same).drop("label", "dim")
+    met = met.join(nodes, F.col("place") == F.col("node"))
     # homes have blocks 0 .. h-1, visitors h .. h+v-1; the first block of visitors goes where a block of homes meets itself
     mine = F.when(F.col("home"), F.pmod(F.xxhash64("node"), F.col("h"))).otherwise(F.pmod(F.xxhash64("node"), F.col("v")) + F.col("h"))
     met = met.withColumn("mine", mine.cast("int")).withColumn("first", F.col("mine") == F.col("h"))

@@ -5,24 +5,27 @@ deviations s of two vectors' segments bound their squared distance from below by
 so, the norms being known, their inner product from above. Candidates whose bound cannot reach the query's k-th best so
 far are dropped, coarse to fine, and the exact integer product is computed for those left.
 
-Queries go out in blocks of a bounded size, one pass over all candidates for each block; a task keeps k rows a query.
+A task holds one block of queries of a bounded size and k rows for each, and reads candidates in slices. Queries that fit into
+one block are broadcast, and the candidates stay where they are. More queries are dealt out in blocks, and candidates in shares:
+each pair of a block and a share is a group of rows, its queries first, that one task reads as a stream.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from deskloom.llm.common import checkpointed, map_arrow
+from deskloom.llm.common import checkpointed, map_arrow, runs, slices
 
 K, EVERY, SCALE = 5, 50, 256
-#: Bytes of the queries that are broadcast at a time, and candidates against which they start their k-th best.
-QUERY_BYTES, SEEDS = 4 << 20, 2048
+#: Bytes of a block of queries, and of the share of candidates that one task compares with a block.
+QUERY_BYTES, SHARE_BYTES = 16 << 20, 256 << 20
+#: Pairs of a query and a candidate that are held as numbers at a time.
+PAIRS = 1 << 20
 #: Segments of each level, coarse to fine; levels with segments shorter than two components are left out.
 LEVELS = (4, 16, 32)
 #: Below this share of survivors, exact products are computed pair by pair.
@@ -70,8 +73,9 @@ def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Best:
     """The k best candidates of each query so far; ties go to the smaller id."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, floor: np.ndarray):
-        self.ids, self.x, self.k, self.floor = ids, vectors, k, floor.copy()
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, floor: np.ndarray | None = None):
+        self.ids, self.x, self.k = ids, vectors, k
+        self.floor = np.full(len(ids), LOWEST, np.int64) if floor is None else floor.copy()
         self.levels = [s for s in LEVELS if vectors.shape[1] // s >= 2]
         self.stats = [statistics(vectors, s) for s in self.levels]
         self.safe = float(np.abs(vectors).max(initial=0)) < 2**40
@@ -79,6 +83,12 @@ class Best:
         self.score, self.who = np.zeros((len(ids), k), np.int64), np.zeros((len(ids), k), np.int64)
 
     def add(self, ids: np.ndarray, x: np.ndarray) -> None:
+        """Takes candidates in, a slice at a time, so that no more than about PAIRS numbers are held."""
+        step = max(16, PAIRS // max(1, len(self.ids)))
+        for at in range(0, len(ids), step):
+            self._add(ids[at : at + step], x[at : at + step])
+
+    def _add(self, ids: np.ndarray, x: np.ndarray) -> None:
         alive = np.ones((len(self.ids), len(ids)), bool)
         if self.safe and float(np.abs(x).max(initial=0)) < 2**40:
             for segments, own in zip(self.levels, self.stats, strict=True):
@@ -103,18 +113,20 @@ class Best:
         else:
             score = exact(self.x[rows], x[cols])
         alive &= score >= self.floor[rows, None]
-        for r in np.flatnonzero(alive.any(axis=1)):
-            new = np.flatnonzero(alive[r])
-            self._keep(rows[r], score[r, new], ids[cols[new]])
-
-    def _keep(self, row: int, score: np.ndarray, ids: np.ndarray) -> None:
-        had = self.held[row]
-        score, ids = np.concatenate([self.score[row, :had], score]), np.concatenate([self.who[row, :had], ids])
-        order = np.lexsort((ids, ~score))[: self.k]
-        n = self.held[row] = len(order)
-        self.score[row, :n], self.who[row, :n] = score[order], ids[order]
-        if n == self.k:
-            self.floor[row] = max(self.floor[row], score[order[-1]])
+        hit = np.flatnonzero(alive.any(axis=1))
+        if len(hit):
+            self._keep(rows[hit], score[hit], alive[hit], ids[cols])
+
+    def _keep(self, rows: np.ndarray, score: np.ndarray, alive: np.ndarray, ids: np.ndarray) -> None:
+        """The k best of what the queries at `rows` hold and of the candidates that are alive for them."""
+        void = np.concatenate([np.arange(self.k) >= self.held[rows, None], ~alive], axis=1)
+        score = np.concatenate([self.score[rows], score], axis=1)
+        who = np.concatenate([self.who[rows], np.broadcast_to(ids, alive.shape)], axis=1)
+        order = np.lexsort((who, ~score, void), axis=1)[:, : self.k]
+        self.score[rows], self.who[rows] = np.take_along_axis(score, order, 1), np.take_along_axis(who, order, 1)
+        self.held[rows] = np.minimum(self.k, (~void).sum(axis=1))
+        full = rows[self.held[rows] == self.k]
+        self.floor[full] = np.maximum(self.floor[full], self.score[full, -1])
 
     def rows(self) -> pa.RecordBatch:
         r, c = np.nonzero(np.arange(self.k) < self.held[:, None])
@@ -127,47 +139,99 @@ def search(
     """(query_id, rank, vec_id, score): for each row whose key is divisible by `every`, its k best other rows.
 
     Scores are inner products of the vectors floor(scale * x), as integers; ties go to the smaller vec_id. Vectors that are
-    null or hold nulls or non-finite numbers, and rows without a key, take no part; vectors of different lengths are not
-    compared. A zero vector takes part. A key should be unique: of rows that repeat one, a query's is its first, and rows
-    with the query's own key are no candidates. A query without candidates has no rows. Negative keys are keys like others.
+    null, empty or hold nulls or numbers that are not finite, themselves or times `scale`, and rows without a key, take no part;
+    vectors of different lengths are not compared. A zero vector takes part. A key should be unique: of rows that repeat one, a
+    query's is its first, and rows with the query's own key are no candidates, while repeated candidates are one each. A query
+    without candidates has no rows. Negative keys are keys like others. Other columns, whatever their names, are not carried.
     """
-    rows = checkpointed(quantised(df, key, embedding, scale))
+    rows = checkpointed(quantised(df, key, embedding, scale).where("dim > 0"))
     queries = checkpointed(rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("dim", "v")).alias("q")).select("vec_id", "q.dim", "q.v"))
-    found = []
-    for shape in queries.groupBy("dim").count().orderBy("dim").collect():  # a row for each length of vector
-        dim, n = shape["dim"], shape["count"]
-        if not dim:
-            continue
-        blocks = -(-n * dim * 8 // QUERY_BYTES)
-        own = rows.where(F.col("dim") == dim)
-        seeds = own.orderBy(F.xxhash64("vec_id")).limit(min(SEEDS, max(k, QUERY_BYTES // (8 * dim)))).collect()
-        for b in range(blocks):
-            block = queries.where((F.col("dim") == dim) & (F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)).collect()
-            if block:
-                found.append(_pass(own, block, seeds, dim, k))
-    spark = df.sparkSession
-    if not found:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    size = queries.agg(F.coalesce(F.sum(F.col("dim") * 8), F.lit(0))).first()[0]
+    found = _broadcast(rows, queries, k) if size <= QUERY_BYTES else _dealt(rows, queries, k)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
-    merged = reduce(DataFrame.unionByName, found)
-    return merged.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+FOUND = "query_id long, vec_id long, score long"
+
+
+class Searches:
+    """One block of queries, by the length of their vectors, and their best candidates so far."""
+
+    def __init__(self, k: int):
+        self.k, self.given, self.best = k, {}, {}
+
+    def ask(self, batch: pa.RecordBatch) -> None:
+        for dim, ids, x in _by_length(batch):
+            self.given.setdefault(dim, []).append((ids, x))
 
+    def add(self, batch: pa.RecordBatch) -> None:
+        for dim, ids, x in _by_length(batch):
+            if dim in self.given and dim not in self.best:
+                own = self.given[dim]
+                self.best[dim] = Best(np.concatenate([i for i, _ in own]), np.concatenate([v for _, v in own]), self.k)
+            if dim in self.best:
+                self.best[dim].add(ids, x)
 
-def _pass(candidates: DataFrame, block: list, seeds: list, dim: int, k: int) -> DataFrame:
-    """The k best of each of a block of queries in every partition of the candidates."""
-    ids = np.array([r["vec_id"] for r in block], np.int64)
-    x = np.frombuffer(b"".join(r["v"] for r in block), np.float64).reshape(-1, dim)
-    start = Best(ids, x, k, np.full(len(ids), LOWEST, np.int64))
-    start.add(np.array([r["vec_id"] for r in seeds], np.int64), np.frombuffer(b"".join(r["v"] for r in seeds), np.float64).reshape(-1, dim))
-    shared = candidates.sparkSession.sparkContext.broadcast((ids, x, start.floor))  # QUERY_BYTES at most, about
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        for best in self.best.values():
+            if (out := best.rows()).num_rows:
+                yield out
+
+
+def _by_length(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, keys, vectors) of a batch (vec_id, dim, v), for each length."""
+    dims = batch.column("dim").to_numpy()
+    for dim in np.unique(dims).tolist():
+        part = batch.filter(pa.array(dims == dim))
+        yield dim, part.column("vec_id").to_numpy(), np.frombuffer(b"".join(part.column("v").to_pylist()), np.float64).reshape(-1, dim)
+
+
+def _broadcast(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The k best of each query in every partition of the candidates; all queries are one block."""
+    table = queries.select("vec_id", "dim", "v").toArrow().combine_chunks()
+    shared = rows.sparkSession.sparkContext.broadcast(table)  # QUERY_BYTES at most, about
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = None
+        searches = Searches(k)
+        for batch in shared.value.to_batches():
+            searches.ask(batch)
         for batch in batches:
-            if batch.num_rows:
-                best = best or Best(shared.value[0], shared.value[1], k, shared.value[2])
-                best.add(batch.column(0).to_numpy(), np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float64).reshape(-1, dim))
-        if best is not None and (out := best.rows()).num_rows:
-            yield out
+            for part in slices(batch):
+                searches.add(part)
+        yield from searches.rows()
+
+    return rows.select("vec_id", "dim", "v").mapInArrow(run, FOUND)
+
+
+def _dealt(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The k best of each query in every share of the candidates; a block meets a share in one task."""
+    sums = [x.agg(F.coalesce(F.sum(F.col("dim") * 8), F.lit(0))).first()[0] for x in (queries, rows)]
+    blocks, shares = -(-sums[0] // QUERY_BYTES), max(1, -(-sums[1] // SHARE_BYTES))
+    mine = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("long")
+    everywhere = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    asked = queries.select("vec_id", "dim", "v", mine(blocks, 1).alias("block"), everywhere(shares).alias("share"), F.lit(0).alias("side"))
+    given = rows.select("vec_id", "dim", "v", mine(shares, 2).alias("share"), everywhere(blocks).alias("block"), F.lit(1).alias("side"))
+    dealt = (
+        asked.unionByName(given)
+        .withColumn("task", F.col("block") * shares + F.col("share"))
+        .repartition("task")
+        .sortWithinPartitions("task", "side")
+        .select("task", "side", "vec_id", "dim", "v")
+    )
 
-    return candidates.select("vec_id", "v").mapInArrow(run, "query_id long, vec_id long, score long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, searches = None, Searches(k)
+        for batch in batches:
+            for part in slices(batch):
+                cell = part.column("task").to_numpy() * 2 + part.column("side").to_numpy()
+                edges = runs(cell)
+                for start, end in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                    task, side = divmod(int(cell[start]), 2)
+                    if task != now:
+                        yield from searches.rows()
+                        now, searches = task, Searches(k)
+                    (searches.add if side else searches.ask)(part.slice(start, end - start))
+        yield from searches.rows()
+
+    return dealt.mapInArrow(run, FOUND)

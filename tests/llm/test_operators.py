@@ -266,8 +266,11 @@ def test_embedding_dedup(spark, monkeypatch, bytes_):
 # operator 10
 
 
-def test_top_k(spark, monkeypatch):
-    monkeypatch.setattr(topk, "QUERY_BYTES", 4096)
+@pytest.mark.parametrize(("block", "share", "pairs"), [(1 << 20, 1 << 20, 1 << 20), (4096, 1 << 16, 300)])
+def test_top_k(spark, monkeypatch, block, share, pairs):
+    monkeypatch.setattr(topk, "QUERY_BYTES", block)
+    monkeypatch.setattr(topk, "SHARE_BYTES", share)
+    monkeypatch.setattr(topk, "PAIRS", pairs)
     rng = np.random.default_rng(7)
     data = [(int(i), [float(x) for x in np.round(rng.normal(size=70), 2)]) for i in range(-60, 400)]
     data += [(500 + i, data[3][1]) for i in range(12)]  # ties
@@ -287,6 +290,23 @@ def test_top_k(spark, monkeypatch):
     assert topk.search(df.limit(0)).count() == 0
 
 
+def test_a_full_block_of_queries_in_bounded_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(11)
+    n = topk.QUERY_BYTES // (8 * 64)
+    queries = np.floor(256 * rng.normal(size=(n, 64)))
+    candidates = np.floor(256 * rng.normal(size=(256, 64)))
+    tracemalloc.start()
+    best = topk.Best(np.arange(n), queries, 5)
+    best.add(np.arange(n, n + 256), candidates)
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+    assert best.rows().num_rows == 5 * n
+    scores = queries[:50] @ candidates.T
+    assert (best.score[:50] == -np.sort(-scores, axis=1)[:, :5]).all()
+
+
 def test_tight_negative_bounds_drop_nothing():
     """Constant opposite vectors: bound, floor and score are equal and far below zero."""
     best = topk.Best(np.array([0]), np.full((1, 64), 256.0), 5, np.array([-(256 * 256 * 64)]))
