@@ -1,14 +1,18 @@
 """Operator 5: license scans, in DataFrame expressions only.
 
 Rules are regular expressions over words. A text without any keyword of a rule is only counted. In others, each place of a
-keyword is tried with that keyword's rules alone, on the words around it, so a detection's interval of words is known at
-once. A detection is suppressed if its interval lies within one of a rule of a higher level, or strictly within one of its
-own level. All of it happens within a row: nothing is shuffled, and a text costs time in proportion to its length.
+keyword is tried with the rules whose rarest literal word stands where that rule wants it, which are a few of all; so a
+detection's interval of words is known at once. A detection is suppressed if its interval lies within one of a rule of a
+higher level, or strictly within one of its own level; an interval that holds another begins within LONGEST words of it, so
+only the neighbouring places are looked at. All of it happens within a row: nothing is shuffled, and a text costs time in
+proportion to its length, however many detections it has.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+import json
+import re
+from collections import Counter, defaultdict
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,26 +22,54 @@ from deskloom.llm.license_rules import BASE_CONFIDENCE, CONFIDENCE, LONGEST, Rul
 #: What parts words: everything in ASCII but digits and lower-case letters.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_LITERAL = re.compile(r"[a-z0-9]+")
 
 
-def _table(known: list[Rule]) -> Column:
-    """Keyword -> its rules, as a map."""
-    by: dict[str, list[Rule]] = defaultdict(list)
+def literals(rule: Rule) -> list[tuple[int, str]]:
+    """The words that every match of a rule has at a fixed distance from its keyword, the keyword itself included."""
+    words = rule.pattern.removeprefix("^").removesuffix("(?= |$)").split(" ")
+    out = [(i - rule.before, w) for i, w in enumerate(words[: rule.before + 1]) if _LITERAL.fullmatch(w)]
+    for i, w in enumerate(words[rule.before + 1 :], 1):
+        if not _LITERAL.fullmatch(w):
+            break
+        out.append((i, w))
+    return out or [(0, rule.keyword)]
+
+
+def by_literal(known: list[Rule]) -> dict[tuple[str, int, str], list[Rule]]:
+    """Rules by keyword, distance and word: each under the one of its literals that fewest rules of its keyword have."""
+    shared = Counter((r.keyword, *x) for r in known for x in literals(r))
+    out: dict[tuple[str, int, str], list[Rule]] = defaultdict(list)
     for r in known:
-        by[r.keyword].append(r)
-    one = lambda r: F.struct(F.lit(r.label).alias("label"), F.lit(r.level).alias("level"), F.lit(r.before).alias("before"), F.lit(r.pattern).alias("pattern"), F.lit(r.base).alias("base"))
-    return F.map_from_arrays(F.array(*[F.lit(k) for k in by]), F.array(*[F.array(*[one(r) for r in rs]) for rs in by.values()]))
+        distance, word = min(literals(r), key=lambda x: (shared[(r.keyword, *x)], abs(x[0]), x))
+        out[r.keyword, distance, word].append(r)
+    return out
+
+
+def _tables(known: list[Rule]) -> tuple[Column, Column]:
+    """Keyword -> the distances at which its rules' literals stand; and "keyword distance word" -> rules."""
+    grouped = by_literal(known)
+    distances: dict[str, set[int]] = defaultdict(set)
+    for keyword, distance, _ in grouped:
+        distances[keyword].add(distance)
+    of_literal = {" ".join(map(str, k)): [r._asdict() for r in rs] for k, rs in grouped.items()}
+    at = {k: sorted(v) for k, v in distances.items()}
+    # as one constant each, which the optimizer reads once; built of thousands of literals, planning would take seconds
+    return (
+        F.from_json(F.lit(json.dumps(at)), "map<string, array<int>>"),
+        F.from_json(F.lit(json.dumps(of_literal)), "map<string, array<struct<label: string, level: int, before: int, pattern: string, base: boolean>>>"),
+    )
 
 
 def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_words, detections, kept): each whole text's detections (start, size, label, level, base) in order of place.
 
-    kept are those that are base or not suppressed. A null text is empty. Rows, repeats included, each get a row.
+    kept are those that are base or not suppressed. A null text is empty. Rows, repeats included, each get a row; an empty
+    table gives an empty table.
     """
     known = rules()
     keywords = sorted({r.keyword for r in known})
-    most = max(sum(r.keyword == k for r in known) for k in keywords)
-    near = (2 * LONGEST + max(r.before for r in known)) * most  # detections that can start so close that one holds another
+    reach = LONGEST + max(r.before for r in known)  # words, and so places, between the keywords of two detections of which one holds the other
     low = F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), UPPER, LOWER)
     split = df.select(F.col(key), F.split(low, GAP).alias("p"))
     first, last = (F.element_at("p", F.lit(i)) == "" for i in (1, -1))
@@ -46,31 +78,40 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         F.slice(F.col("p"), F.when(first, 2).otherwise(1), F.size("p") - first.cast("int") - last.cast("int"))
     )
     rows = split.select(key, cut.alias("words"))
-    gate = F.arrays_overlap("words", F.array(*[F.lit(k) for k in keywords]))
+    hit = F.from_json(F.lit(json.dumps(keywords)), "array<string>")
+    gate = F.arrays_overlap("words", hit)
     rows = rows.select(key, F.size("words").cast("long").alias("n_words"), F.when(gate, F.col("words")).alias("w"))
-    hit = F.array(*[F.lit(k) for k in keywords])
     places = F.filter(F.transform("w", lambda w, i: F.when(F.array_contains(hit, w), F.struct(i.alias("i"), w.alias("w")))), lambda x: x.isNotNull())
-    rows = rows.withColumn("places", F.when(F.col("w").isNotNull(), places)).withColumn("rules", _table(known))
+    distances, of_literal = _tables(known)
+    rows = rows.withColumn("places", F.when(F.col("w").isNotNull(), places)).withColumn("distances", distances).withColumn("rules", of_literal)
 
     def tried(place: Column) -> Column:
+        def near(distance: Column) -> Column:
+            word = F.get(F.col("w"), place["i"] + distance)
+            return F.coalesce(F.element_at(F.col("rules"), F.concat_ws(" ", place["w"], distance.cast("string"), word)), F.expr("array()"))
+
         def one(rule: Column) -> Column:
             start = place["i"] - rule["before"]
             found = F.call_function("regexp_extract", F.array_join(F.slice(F.col("w"), F.greatest(start + 1, F.lit(1)), LONGEST), " "), rule["pattern"], F.lit(0))
             size = F.when((start < 0) | (found == ""), 0).otherwise(F.length(found) - F.length(F.replace(found, F.lit(" "))) + 1)
             return F.struct(start.cast("long").alias("start"), size.cast("long").alias("size"), rule["label"].alias("label"), rule["level"].alias("level"), rule["base"].alias("base"))
 
-        return F.filter(F.transform(F.element_at(F.col("rules"), place["w"]), one), lambda d: d["size"] > 0)
+        rules_here = F.flatten(F.transform(F.element_at(F.col("distances"), place["w"]), near))
+        return F.filter(F.transform(rules_here, one), lambda d: d["size"] > 0)
 
-    found = F.array_sort(F.flatten(F.transform("places", tried)))
-    rows = rows.select(key, "n_words", F.coalesce(found, F.expr("cast(array() as array<struct<start:bigint,size:bigint,label:string,level:int,base:boolean>>)")).alias("detections"))
+    none = F.expr("cast(array() as array<array<struct<start:bigint,size:bigint,label:string,level:int,base:boolean>>>)")
+    rows = rows.select(key, "n_words", F.coalesce(F.transform("places", tried), none).alias("found"))
 
     def holds(outer: Column, inner: Column) -> Column:
         over = (outer["start"] <= inner["start"]) & (outer["start"] + outer["size"] >= inner["start"] + inner["size"])
         return over & ((outer["level"] < inner["level"]) | ((outer["level"] == inner["level"]) & (outer["size"] > inner["size"])))
 
-    all_ = F.col("detections")
-    kept = F.filter(all_, lambda d, i: d["base"] | ~F.exists(F.slice(all_, F.greatest(i + 1 - near, F.lit(1)), 2 * near), lambda o: holds(o, d)))
-    return rows.withColumn("kept", kept)
+    def standing(own: Column, place: Column) -> Column:
+        around = F.slice(F.col("found"), F.greatest(place + 1 - reach, F.lit(1)), 2 * reach + 1)
+        return F.filter(own, lambda d: d["base"] | ~F.exists(around, lambda near: F.exists(near, lambda o: holds(o, d))))
+
+    ordered = lambda found: F.array_sort(F.flatten(found))
+    return rows.select(key, "n_words", ordered(F.col("found")).alias("detections"), ordered(F.transform("found", standing)).alias("kept"))
 
 
 def licenses(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

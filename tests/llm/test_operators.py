@@ -163,6 +163,23 @@ def brute_licenses(text):
     return len(words), len(base), min(base, default=None), max(base, default=None), joined(r.label for _, _, r in found if r.base), joined(r.label for r in kept), score
 
 
+def test_dense_license_texts_take_linear_time(spark):
+    """16,000 repeats of a phrase: every place is counted, in seconds."""
+    import time
+
+    text = "mit license " * 16_000
+    began = time.monotonic()
+    row = licenses.licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (row["n_words"], row["n_base"], row["first_word"], row["last_word"], row["labels"]) == (32_000, 16_000, 0, 31_998, "mit")
+    assert time.monotonic() - began < 60
+
+
+def test_every_rule_is_found_by_its_literal():
+    grouped = licenses.by_literal(rules())
+    assert sum(map(len, grouped.values())) == len(rules())
+    assert max(map(len, grouped.values())) < 10
+
+
 def test_licenses(spark):
     texts = [t for t in TEXTS if t is not LONG] + ["SPDX-License-Identifier: GPL-2.0-or-later", "BSD 3-Clause License", "x" * 3 + " MIT", "Licensed under CC BY-NC 4.0.", "All rights reserved", "éMIT License", "mit  -- LICENSE"]
     got = {r["doc_id"]: tuple(r)[1:] for r in licenses.licenses(documents(spark, texts)).collect()}
@@ -413,7 +430,7 @@ def toxic_tables(spark):
         toxic = i % 6 == 0
         if toxic:
             words += rng.sample(bad, 2)
-        elif i % 11 == 0:
+        elif i % 37 == 0:
             words += ["not", "nastyterm", "here"]
         rng.shuffle(words) if toxic else None
         rows.append((i, " ".join(words), "label leaks" if toxic else "", 7.0))
@@ -438,6 +455,71 @@ def test_toxicity_learns_nothing_from_held_out_rows(spark):
     assert a == b
 
 
+def brute_lexicon(rows, labels):
+    """The lexicon by its definition: plain counts of every term over the labelled rows outside the held-out fold."""
+    from math import log
+
+    by = {k: bool(y) for k, y in labels if k is not None and y is not None and zlib.crc32(str(k).encode()) % 5}
+    sample = {(x or "", by[k]) for k, x in rows if k in by}
+    toxic = sum(y for _, y in sample)
+    clean = len(sample) - toxic
+    seen = {True: Counter(), False: Counter()}
+    for x, y in sample:
+        words = set(toxicity.fold(x))
+        seen[y].update({f" {w} " for w in words} | {f" {w[:n]}" for w in words for n in toxicity.STEMS if len(w) >= n})
+    terms = {t for t in seen[True] | seen[False] if seen[True][t] + seen[False][t] >= toxicity.LEAST_ROWS}
+    share, bar, kept = toxic / len(sample), log(max(2, len(terms))), {}
+    for term in terms:
+        t, c = seen[True][term], seen[False][term]
+        ratio = sum(n * log(n / ((t + c) * p)) for n, p in ((t, share), (c, 1 - share)) if n)
+        weight = log((t + 0.5) / (toxic + 1)) - log((c + 0.5) / (clean + 1))
+        if t >= toxicity.LEAST_ROWS and t > (t + c) * share and ratio > bar and weight >= toxicity.LEAST_WEIGHT:
+            kept[term] = weight
+    whole = [t for t in kept if t.endswith(" ")]
+    weights = {t: w for t, w in kept.items() if t in whole or all(not x.startswith(t) or seen[True][x] < toxicity.OWED * seen[True][t] for x in whole)}
+    around = {True: Counter(), False: Counter()}
+    for x, y in sample:
+        words = toxicity.fold(x)
+        hit = [i for i, w in enumerate(words) if any(f" {w} ".startswith(t) for t in weights)]
+        around[y].update({f"{words[i]} {words[i + 1]}" for at in hit for i in (at - 1, at) if 0 <= i < len(words) - 1})
+    return sample, weights, {p for p, n in around[False].items() if n >= toxicity.EXCEPTION_ROWS and not around[True][p]}
+
+
+def brute_features(text, weights, exceptions):
+    words = toxicity.fold(text)
+    found = {}
+    for i, w in enumerate(words):
+        own = [v for t, v in weights.items() if f" {w} ".startswith(t)]
+        near = {" ".join(p) for p in (words[max(i - 1, 0) : i + 1], words[i : i + 2]) if len(p) == 2}
+        if own and not near & exceptions:
+            found[w] = max(own)
+    return np.log1p(sum(found.values())), sum(found.values()) / (len(words) + 20) ** 0.5
+
+
+def test_toxicity_equals_its_definition(spark):
+    docs, labels = toxic_tables(spark)
+    lexicon = toxicity.fit(docs, labels)
+    rows, marks = [(r["doc_id"], r["text"]) for r in docs.collect()], [(r["doc_id"], r["toxic"]) for r in labels.collect()]
+    sample, weights, exceptions = brute_lexicon(rows, [m for m in marks if m != (3, None)])
+    assert lexicon.weights == pytest.approx(weights) and lexicon.exceptions == exceptions and weights and exceptions
+    x = np.array([[1, *brute_features(t, weights, exceptions)] for t, _ in sorted(sample)])
+    y, w = np.array([y for _, y in sorted(sample)], float), np.array(lexicon.curve)
+    slope = x.T @ (y - 1 / (1 + np.exp(-x @ w))) - np.array([1e-6, 1e-2, 1e-2]) * w
+    assert np.abs(slope).max() < 1e-4  # the curve is the penalised likelihood's maximum
+    got = {r["doc_id"]: r["score"] for r in toxicity.toxicity(docs, labels).collect()}
+    for k, text in rows:
+        want = 1 / (1 + np.exp(-np.clip(np.array([1, *brute_features(text or "", weights, exceptions)]) @ w, -30, 30)))
+        assert got[k] == pytest.approx(want, abs=1e-9)
+
+
+def test_toxicity_fits_on_a_bounded_sample_of_a_repeated_key(spark):
+    docs = spark.createDataFrame([(2, f"vile{i} text", "x") for i in range(50)] + [(1, "clean text", "y")], "doc_id long, text string, __scored string")
+    labels = spark.createDataFrame([(2, 1), (1, 0), (1, 0)], "doc_id long, toxic int")
+    lexicon = toxicity.fit(docs, labels, fit_rows=20)
+    out = toxicity.scored(docs, lexicon)
+    assert out.columns == ["doc_id", "text", "__scored", "score"] and out.count() == 51
+
+
 def test_toxicity_edges(spark):
     docs, labels = toxic_tables(spark)
     lexicon = toxicity.fit(docs, labels)
