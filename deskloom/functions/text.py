@@ -105,13 +105,21 @@ def stem(token: Column) -> Column:
 
 
 def title_tokens(title: Column, cap: int | None = None) -> Column:
-    """The sorted set of stemmed title tokens without years; hyphened ones also give their parts. cap: the first few."""
+    """T06, as the ledger takes them: the sorted set of stemmed title tokens without years. cap: the first few."""
     stemmed = F.transform(tokens(title), stem)
-    parts = F.flatten(F.transform(stemmed, lambda t: F.when(t.contains("-"), F.concat(F.array(t), F.split(t, "-"))).otherwise(F.array(t))))
-    kept = F.array_sort(F.array_distinct(F.filter(parts, lambda t: (F.length(t) > 1) & ~t.rlike(r"^\d{4}$"))))
+    kept = F.array_sort(F.array_distinct(F.filter(stemmed, lambda t: (F.length(t) > 1) & ~t.rlike(r"^\d{4}$"))))
     return kept if cap is None else F.slice(kept, 1, cap)
 
 
+def event_tokens(title: Column) -> Column:
+    """T06, as event matching takes them: without the words of the beat; hyphened tokens also give their parts."""
+    generic = F.array(*[F.lit(w) for w in V.EVENT_STOP_WORDS])
+    own = F.filter(tokens(title), lambda t: ~F.array_contains(generic, t))
+    split = lambda t: F.when(t.contains("-") & ~t.isin(V.WHOLE_TOKENS), F.concat(F.array(t), F.split(t, "-"))).otherwise(F.array(t))
+    parts = F.flatten(F.transform(F.transform(own, stem), split))
+    return F.array_sort(F.array_distinct(F.filter(parts, lambda t: (F.length(t) > 1) & ~t.rlike(r"^\d{4}$") & ~F.array_contains(generic, t))))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Shared over all distinct elements; 0 if there are none."""
     union = F.size(F.array_union(a, b))
@@ -159,20 +167,31 @@ def term_pattern(term: str, dialect: str = "java") -> str:
 
 
 def forms(term: str) -> list[str]:
-    return [term, *[f for f in V.INFLECTIONS.get(term, "").split(", ") if f]]
+    return [term, *V.INFLECTIONS.get(term, [])]
 
 
 def _words(text: Column) -> Column:
     return F.concat(F.lit(" "), F.regexp_replace(text, "[^a-z0-9]+", " "), F.lit(" "))
 
 
-def _met(text: Column, words: Column, term: str) -> Column:
-    """A plain search in the text's words comes first; the pattern, which also minds what parts the words, follows only there."""
+def _plain(form: str) -> list[str]:
     import re
 
+    return re.findall("[a-z0-9]+", form)
+
+
+def _met(text: Column, words: Column, term: str, known: Column | None = None) -> Column:
+    """A plain search in the text's words comes first; the pattern, which also minds what parts the words, follows only there.
+
+    known: the words among the terms' first ones that the text has, which spare most of the searches.
+    """
     near = F.lit(False)
     for form in forms(term):
-        near = near | words.contains(f" {' '.join(re.findall('[a-z0-9]+', form))} ")
+        own = _plain(form)
+        here = words.contains(f" {' '.join(own)} ")
+        if known is not None:
+            here = F.array_contains(known, own[0]) & here if own[1:] else F.array_contains(known, own[0])
+        near = near | here
     return near & text.rlike("|".join(term_pattern(f) for f in forms(term)))
 
 
@@ -183,7 +202,9 @@ def has_term(text: Column, term: str) -> Column:
 
 def term_hits(text: Column, terms: list[str]) -> Column:
     """For each of the terms whether lower-case text has it; the text's words are taken once for all."""
-    return let(F.struct(text.alias("t"), _words(text).alias("w")), lambda x: F.array(*[_met(x["t"], x["w"], term) for term in terms]))
+    first = F.array(*[F.lit(w) for w in sorted({_plain(f)[0] for term in terms for f in forms(term)})])
+    words = let(F.struct(text.alias("t"), _words(text).alias("w")), lambda x: F.struct(x["t"].alias("t"), x["w"].alias("w"), F.array_intersect(F.split(x["w"], " "), first).alias("k")))
+    return let(words, lambda x: F.array(*[_met(x["t"], x["w"], term, x["k"]) for term in terms]))
 
 
 def weighted(hits: Column, weights: list[float]) -> Column:

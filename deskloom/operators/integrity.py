@@ -121,6 +121,46 @@ def draft_issues(stories: DataFrame) -> DataFrame:
     return stories.select("id", F.explode(checks).alias("code"))
 
 
+def source_issues(sources: DataFrame) -> DataFrame:
+    """Q05: (source_id, code) for rows (source_id, status, code, parsed, eligible) of a snapshot that can't be true."""
+    status, none = F.col("status"), (F.col("parsed") == 0) & (F.col("eligible") == 0)
+    checks = codes(
+        STATUS_UNKNOWN=status.isin("ok", "failed", "not-observed"),
+        COUNT_INVALID=(F.col("parsed") >= 0) & (F.col("eligible") >= 0),
+        COUNTS_INCONSISTENT=F.col("eligible") <= F.col("parsed"),
+        OK_WITH_CODE=(status != "ok") | F.col("code").isNull(),
+        FAILED_NOT_SAFE=(status != "failed") | (F.coalesce(F.col("code").isin(V.FAILURE_CODES), F.lit(False)) & none),
+        UNOBSERVED_NOT_SAFE=(status != "not-observed") | (F.col("code").isNull() & none),
+    )
+    return sources.select("source_id", F.explode(checks).alias("code"))
+
+
+def total_issues(sources: DataFrame, declared: DataFrame, group: str) -> DataFrame:
+    """Q05: (group, code) where a snapshot's declared totals (ok, failed, parsed, eligible) are not those of its sources."""
+    ok = F.col("status") == "ok"
+    own = sources.groupBy(F.col(group).alias("g")).agg(F.count_if(ok).alias("own_ok"), F.count_if(F.col("status") == "failed").alias("own_failed"), F.sum("parsed").alias("own_parsed"), F.sum("eligible").alias("own_eligible"))
+    met = declared.join(own, F.col(group) == F.col("g"), "left")
+    same = {f"{c.upper()}_TOTAL": F.col(c) == F.coalesce(F.col(f"own_{c}"), F.lit(0)) for c in ("ok", "failed", "parsed", "eligible")}
+    return met.select(group, F.explode(codes(**same)).alias("code"))
+
+
+def receipt_valid(receipt: Column, provider: str = "tavily") -> Column:
+    """Q08: whether a JSON receipt of searches has exactly its four keys and counters within their bounds, two credits a query."""
+    known = F.array(*[F.lit(k) for k in ("admittedArticles", "creditsReserved", "provider", "queriesUsed")])
+    whole = lambda k: F.when(F.get_json_object(receipt, f"$.{k}").rlike(r"^-?\d+$"), F.get_json_object(receipt, f"$.{k}").try_cast("long"))
+    used, credits, admitted = whole("queriesUsed"), whole("creditsReserved"), whole("admittedArticles")
+    fine = (
+        (F.array_sort(F.json_object_keys(receipt)) == known) & (F.get_json_object(receipt, "$.provider") == provider)
+        & used.between(1, V.MAX_SEARCHES) & (credits == 2 * used) & admitted.between(0, V.MAX_ADMITTED)
+    )
+    return F.coalesce(fine, F.lit(False))
+
+
+def tier_issues(groups: DataFrame, declared: str, recomputed: str) -> DataFrame:
+    """Q04: groups with whether the declared tier is the one that their evidence gives."""
+    return groups.withColumn("agrees", F.col(declared).eqNullSafe(F.col(recomputed)))
+
+
 def link_checks(links: DataFrame, results: DataFrame, url: Column) -> DataFrame:
     """Q03: each link with the result of the one check of its normalized url; unchecked ones say so."""
     keyed = links.withColumn("checked_url", url)

@@ -49,6 +49,22 @@ def prune(ledger: DataFrame, date: str, as_of: str, editions: int = V.MAX_EDITIO
     return kept.join(F.broadcast(dates), F.col(date) == F.col("d"), "left_semi")  # `editions` rows
 
 
+def state_issues(stories: DataFrame, date: str, event: str, desk: str) -> DataFrame:
+    """(date, code) for what a ledger must not hold; the date is null for what concerns all of it."""
+    per = stories.groupBy(F.col(date).alias("date")).agg(F.count("*").alias("n"), F.count_distinct(event).alias("events"), F.count_distinct(desk).alias("desks"))
+    own = F.array_compact(
+        F.array(
+            F.when(F.col("n") > V.MAX_STORIES_PER_EDITION, F.lit("TOO_MANY_STORIES_IN_EDITION")),
+            F.when(F.col("events") < F.col("n"), F.lit("REPEATED_EVENT")), F.when(F.col("desks") < F.col("n"), F.lit("REPEATED_DESK")),
+        )
+    )
+    whole = per.agg(F.count("*").alias("editions"), F.coalesce(F.sum("n"), F.lit(0)).alias("stories")).select(
+        F.lit(None).cast(dict(stories.dtypes)[date]).alias("date"),
+        F.explode(F.array_compact(F.array(F.when(F.col("editions") > V.MAX_EDITIONS, F.lit("TOO_MANY_EDITIONS")), F.when(F.col("stories") > V.MAX_STORIES, F.lit("TOO_MANY_STORIES"))))).alias("code"),
+    )
+    return per.select("date", F.explode(own).alias("code")).unionByName(whole)
+
+
 def migrated(versions: DataFrame, version: str, count: str) -> DataFrame:
     """Rows of the current version as they are, older ones with their count only."""
     current = F.col(version) == 2

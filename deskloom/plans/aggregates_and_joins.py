@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from deskloom.functions import scoring
 from deskloom.functions import values as V
 from deskloom.functions.text import hmac_sha256, jaccard, safe_code, title_tokens
-from deskloom.operators import evidence, ledger, matching, ranking
+from deskloom.operators import evidence, integrity, ledger, matching, ranking
 from deskloom.plans.registry import query, table
 from deskloom.plans.windows_and_time import _SUPPLY, supply
+from deskloom.sources import editions
 
 KEY = b"an example key of thirty-two bytes."
 _REL = "CASE event_type WHEN 'signup' THEN 'originating' WHEN 'error' THEN 'context' ELSE 'independent' END"
@@ -217,9 +218,10 @@ def o07_permutation_check(spark, d):
     return table(spark, d, "lineitem").groupBy("l_orderkey").agg(n.alias("lines"), ((F.max(c) == n) & (F.min(c) == 1) & (F.count_distinct(c) == n)).alias("permutation"))
 
 
-@query("SELECT c_custkey, sha256(c_name) AS plain_digest FROM customer")
+@query("SELECT c_custkey, sha256(CAST(to_json(struct_pack(c_custkey := c_custkey, c_name := c_name, c_mktsegment := c_mktsegment)) AS VARCHAR)) AS digest FROM customer")
 def d15_content_digest(spark, d):
-    return table(spark, d, "customer").select("c_custkey", F.sha2("c_name", 256).alias("plain_digest"))
+    """Each customer as a JSON document with keys in a fixed order."""
+    return table(spark, d, "customer").select("c_custkey", editions.content_digest("c_custkey", "c_name", "c_mktsegment").alias("digest"))
 
 
 @query()
@@ -246,6 +248,16 @@ def x03_retention_prune(spark, d):
     return ledger.prune(orders, "day", "1998-07-01").select("o_orderkey", F.col("day").cast("string").alias("day"))
 
 
+@query("""WITH s AS (SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS date, o_custkey AS event, o_orderpriority AS desk FROM orders WHERE o_orderdate >= DATE '1998-07-01'),
+p AS (SELECT date, count(*) AS n, count(DISTINCT event) AS events, count(DISTINCT desk) AS desks FROM s GROUP BY date)
+SELECT date, unnest(list_filter([CASE WHEN n > 4 THEN 'TOO_MANY_STORIES_IN_EDITION' END, CASE WHEN events < n THEN 'REPEATED_EVENT' END, CASE WHEN desks < n THEN 'REPEATED_DESK' END], lambda x: x IS NOT NULL)) AS code FROM p
+UNION ALL SELECT NULL, unnest(list_filter([CASE WHEN count(*) > 31 THEN 'TOO_MANY_EDITIONS' END, CASE WHEN sum(n) > 124 THEN 'TOO_MANY_STORIES' END], lambda x: x IS NOT NULL)) FROM p""")
+def x03_ledger_limits(spark, d):
+    """Orders of a month or so as a ledger's stories."""
+    stories = table(spark, d, "orders").where("o_orderdate >= '1998-07-01'").select(F.to_date("o_orderdate").cast("string").alias("day"), "o_custkey", "o_orderpriority")
+    return ledger.state_issues(stories, "day", "o_custkey", "o_orderpriority")
+
+
 @query("SELECT 2 AS schema_version, CAST(p_size AS BIGINT) AS recorded, p_partkey % 2 + 1 = 2 AS keeps_rows FROM part")
 def x04_schema_migration(spark, d):
     rows = table(spark, d, "part").select((F.col("p_partkey") % 2 + 1).alias("v"), F.col("p_size").cast("long").alias("n"))
@@ -290,18 +302,39 @@ def p11_archive_rows(spark, d):
     return rows.where("key IS NOT NULL")
 
 
-@query(f"""WITH e AS (SELECT *, event_id // 3 AS bucket FROM events), g AS (SELECT bucket, count(DISTINCT event_type) AS recomputed, max(CASE WHEN event_type IN ('signup', 'purchase') THEN 2 ELSE 1 END) AS declared FROM e GROUP BY bucket)
-SELECT bucket, recomputed, CAST(declared AS BIGINT) AS declared, recomputed = declared AS agrees FROM g""")
+@query(f"""WITH e AS (SELECT *, event_id // 3 AS bucket, {_REL} AS rel FROM events),
+g AS (SELECT bucket, count(DISTINCT event_id) FILTER (WHERE rel <> 'context') AS n, count(DISTINCT event_type) FILTER (WHERE rel <> 'context') AS p, arg_min(rel, event_id) FILTER (WHERE rel <> 'context') AS f,
+ CASE WHEN max(value) > 60 THEN 'corroborated' WHEN max(value) > 30 THEN 'authoritative-single' ELSE 'insufficient' END AS declared FROM e GROUP BY bucket),
+t AS (SELECT bucket, declared, CASE WHEN n >= 2 AND p >= 2 THEN 'corroborated' WHEN n = 1 AND p = 1 AND f = 'originating' THEN 'authoritative-single' ELSE 'insufficient' END AS tier FROM g)
+SELECT bucket, declared, tier, declared = tier AS agrees FROM t""")
 def q04_tier_revalidation(spark, d):
-    out = _events(spark, d).groupBy("bucket").agg(F.count_distinct("event_type").alias("recomputed"), F.max(F.when(F.col("event_type").isin("signup", "purchase"), 2).otherwise(1)).cast("long").alias("declared"))
-    return out.withColumn("agrees", F.col("recomputed") == F.col("declared"))
-
-
-@query("SELECT o_orderstatus, count(*) AS orders, (SELECT count(*) FROM orders) = (SELECT count(DISTINCT o_orderkey) FROM orders) AS totals_agree FROM orders GROUP BY o_orderstatus")
+    """Buckets of events with a tier declared by their values, held against the tier of their evidence."""
+    events = _events(spark, d)
+    most = F.max("value")
+    declared = events.groupBy("bucket").agg(F.when(most > 60, "corroborated").when(most > 30, "authoritative-single").otherwise("insufficient").alias("declared"))
+    own = evidence.evidence(events, "bucket", "event_id", "event_type", "relationship", "event_id").select("bucket", "tier")
+    return integrity.tier_issues(declared.join(own, "bucket"), "declared", "tier")
+
+
+@query("""WITH s AS (SELECT s_suppkey, s_nationkey, s_suppkey % 6 AS k, CASE WHEN s_suppkey % 6 IN (0, 4, 5) THEN s_suppkey % 40 ELSE 0 END AS parsed FROM supplier),
+t AS (SELECT s_nationkey, count(*) AS n FROM s GROUP BY s_nationkey)
+SELECT 'source ' || s_suppkey AS scope, CASE k WHEN 2 THEN 'FAILED_NOT_SAFE' WHEN 4 THEN 'OK_WITH_CODE' ELSE 'COUNTS_INCONSISTENT' END AS code FROM s WHERE k IN (2, 4, 5)
+UNION ALL SELECT 'nation ' || s_nationkey, 'PARSED_TOTAL' FROM t WHERE s_nationkey % 5 = 0 UNION ALL SELECT 'nation ' || s_nationkey, 'FAILED_TOTAL' FROM t WHERE s_nationkey % 7 = 0""")
 def q05_snapshot_validation(spark, d):
-    orders = table(spark, d, "orders")
-    total = orders.agg((F.count("*") == F.count_distinct("o_orderkey")).alias("totals_agree"))
-    return orders.groupBy("o_orderstatus").agg(F.count("*").alias("orders")).crossJoin(F.broadcast(total))  # one row
+    """A snapshot with suppliers as sources, some of which can't be true, and nations' totals, some of which are off."""
+    k, n = F.col("s_suppkey") % 6, (F.col("s_suppkey") % 40).cast("long")
+    status = F.when(k.isin(0, 4, 5), "ok").when(k == 3, "not-observed").otherwise("failed")
+    sources = table(spark, d, "supplier").select(
+        F.col("s_suppkey").alias("source_id"), "s_nationkey", status.alias("status"), F.when(k.isin(1, 4), "TIMEOUT").when(k == 2, "NO_SUCH_CODE").alias("code"),
+        F.when(k.isin(0, 4, 5), n).otherwise(0).alias("parsed"), F.when(k.isin(0, 4), F.floor(n / 2)).when(k == 5, n + 1).otherwise(0).alias("eligible"),
+    )
+    off = lambda by: F.when(F.col("s_nationkey") % by == 0, 1).otherwise(0)
+    declared = sources.groupBy("s_nationkey").agg(
+        F.count_if(F.col("status") == "ok").alias("ok"), (F.count_if(F.col("status") == "failed") + off(7)).alias("failed"),
+        (F.sum("parsed") + off(5)).alias("parsed"), F.sum("eligible").alias("eligible"),
+    )
+    named = lambda kind, df, key: df.select(F.concat(F.lit(kind), F.col(key).cast("string")).alias("scope"), "code")
+    return named("source ", integrity.source_issues(sources), "source_id").unionByName(named("nation ", integrity.total_issues(sources, declared, "s_nationkey"), "s_nationkey"))
 
 
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN p IS NULL THEN l_linenumber = 1 ELSE l_linenumber = p + 1 END AS follows FROM (SELECT l_orderkey, l_linenumber, lag(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS p FROM lineitem)")
@@ -318,10 +351,14 @@ def q07_claim_coverage(spark, d):
     return n.select("o_orderkey", F.when(F.col("bound") == 0, "unjudged").when(F.col("bound") > 1, "judged-twice").otherwise("once").alias("coverage"))
 
 
-@query("SELECT event_type, count(*) BETWEEN 0 AND 1000000 AND count(DISTINCT user_id) <= count(*) AS bounded FROM events GROUP BY event_type")
+@query("SELECT event_id, event_id % 7 IN (0, 6) AS valid FROM events")
 def q08_bounded_counters(spark, d):
-    n = F.count("*")
-    return _events(spark, d).groupBy("event_type").agg((n.between(0, 1_000_000) & (F.count_distinct("user_id") <= n)).alias("bounded"))
+    """Receipts made of events: whole ones, and ones with wrong credits, an unknown key, a count out of bounds or another provider."""
+    k = F.col("event_id") % 7
+    used = F.when(k == 4, 13).when(k == 6, 1).otherwise(F.col("event_id") % 12 + 1)
+    parts = [F.when(k == 5, "other").otherwise("tavily").alias("provider"), used.alias("queriesUsed"), (used * 2 + F.when(k == 1, 1).otherwise(0)).alias("creditsReserved"), F.when(k == 3, 25).otherwise(F.col("event_id") % 25).alias("admittedArticles")]
+    receipt = F.when(k == 2, F.to_json(F.struct(*parts, F.lit(1).alias("note")))).otherwise(F.to_json(F.struct(*parts)))
+    return _events(spark, d).select("event_id", integrity.receipt_valid(receipt).alias("valid"))
 
 
 @query("""WITH used AS (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY s_nationkey) SELECT n_nationkey AS k, coalesce(n, 0) AS used, coalesce(n, 0) = 1 AS closed FROM nation LEFT JOIN used ON k = n_nationkey""")

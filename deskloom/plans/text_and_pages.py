@@ -65,13 +65,24 @@ def t05_stems(spark, d):
     return words.select("token", text.stem(F.col("token")).alias("stem"))
 
 
-@query(f"""WITH t AS (SELECT p_partkey, list_transform({_TOKENS.format('p_name')}, lambda x: {_ALIAS}) AS t FROM part),
-u AS (SELECT p_partkey, list_filter(list_concat(t, flatten(list_transform(list_filter(t, lambda x: x LIKE '%-%'), lambda x: string_split(x, '-')))), lambda x: len(x) > 1 AND NOT regexp_matches(x, '^[0-9]{{4}}$')) AS t FROM t)
-SELECT p_partkey, array_to_string(list_slice(list_sort(list_distinct(t)), 1, 12), ' ') AS tokens FROM u""")
+@query(f"""SELECT p_partkey, array_to_string(list_slice(list_sort(list_distinct(list_filter(list_transform({_TOKENS.format('p_name')}, lambda x: {_ALIAS}), lambda x: len(x) > 1 AND NOT regexp_matches(x, '^[0-9]{{4}}$')))), 1, 12), ' ') AS tokens FROM part""")
 def t06_title_tokens(spark, d):
     return table(spark, d, "part").select("p_partkey", F.array_join(text.title_tokens(F.col("p_name"), 12), " ").alias("tokens"))
 
 
+_GENERIC = "[" + ", ".join(f"'{w}'" for w in V.EVENT_STOP_WORDS) + "]"
+_STEMS = f"list_transform(list_filter({_TOKENS}, lambda x: NOT list_contains({_GENERIC}, x)), lambda x: {_ALIAS})"
+_PARTS = "flatten(list_transform({0}, lambda x: CASE WHEN x LIKE '%-%' AND x <> 'zero-day' THEN list_concat([x], string_split(x, '-')) ELSE [x] END))"
+_EVENT_TOKENS = f"list_sort(list_distinct(list_filter({_PARTS.format(_STEMS)}, lambda x: len(x) > 1 AND NOT regexp_matches(x, '^[0-9]{{{{4}}}}$') AND NOT list_contains({_GENERIC}, x))))"
+
+
+@query(f"SELECT doc_id, array_to_string({_EVENT_TOKENS.format('text')}, ' ') AS tokens FROM (SELECT doc_id, text || ' Launch of 2024 models: state-of-the-art zero-day studies' AS text FROM documents)")
+def t06_event_tokens(spark, d):
+    """The event tokens of whole texts, with some words of the beat at their ends."""
+    whole = F.concat("text", F.lit(" Launch of 2024 models: state-of-the-art zero-day studies"))
+    return _docs(spark, d).select("doc_id", F.array_join(text.event_tokens(whole), " ").alias("tokens"))
+
+
 @query("""WITH t AS (SELECT p_partkey, list_distinct(string_split(lower(p_name), ' ')) AS a, list_distinct(string_split(lower(p_type), ' ')) AS b FROM part)
 SELECT p_partkey, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) AS jaccard FROM t""")
 def t07_jaccard(spark, d):
@@ -99,9 +110,11 @@ _RUNS = "SELECT {0} AS k, unnest(list_transform(range(1, len(w) - 10), lambda i:
 
 @query(f"WITH d AS ({_RUNS.format('doc_id', 'documents')}), b AS ({_RUNS.format('item_id', 'benchmark')}) SELECT DISTINCT d.k AS doc_id FROM d JOIN b ON d.run = b.run")
 def t10_copied_runs(spark, d):
-    """Documents that share a run of twelve words with a benchmark passage: one equi semi-join on the runs, no pairs."""
+    """Documents that share a run of twelve words with a benchmark passage: a semi-join on the runs' hashes, then on the runs of those few."""
+    docs, hashed = _docs(spark, d), F.xxhash64("run").alias("h")
     theirs = _runs(table(spark, d, "benchmark"), "item_id", F.col("text")).select("run").distinct()
-    return _runs(_docs(spark, d), "doc_id", F.col("text")).join(theirs, "run", "left_semi").select("doc_id").distinct()
+    near = _runs(docs, "doc_id", F.col("text")).select("doc_id", hashed).join(theirs.select(hashed), "h", "left_semi").select("doc_id").distinct()
+    return _runs(docs.join(near, "doc_id", "left_semi"), "doc_id", F.col("text")).join(theirs, "run", "left_semi").select("doc_id").distinct()
 
 
 _NUM = "list_sort(list_distinct(regexp_extract_all(lower({0}), '[a-z0-9]*[0-9][a-z0-9]*(?:[.,][0-9]+)*')))"
@@ -331,24 +344,46 @@ def s09_structured_units(spark, d):
     return pages.structured_units(_pages(spark, d), "page_id", "html")
 
 
-@query("SELECT page_id, 'PUBLICATION_DATE_MISSING' AS codes, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1) AS title FROM pages")
+@query("""SELECT page_id, CASE page_id % 8 WHEN 0 THEN 'PUBLICATION_DATE_MISSING' WHEN 3 THEN 'PUBLICATION_DATE_CONFLICT' WHEN 4 THEN 'PUBLICATION_DATE_INVALID' WHEN 5 THEN 'ARTICLE_IDENTITY_CONFLICT' WHEN 7 THEN 'ARTICLE_TITLE_INVALID' ELSE '' END AS codes,
+regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1) AS title FROM pages""")
 def s10_page_metadata(spark, d):
+    """Pages with publication metadata put into their heads: whole, in several notations, missing, or in conflict."""
     raw = F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title", 1)
-    return _pages(spark, d).select("page_id", F.array_join(pages.metadata_codes(F.col("html"), F.col("url")), ",").alias("codes"), raw.alias("title"))
+    k = F.col("page_id") % 8
+    date = '<meta property="article:published_time" content="2024-01-05T00:00:00Z">'
+    titled = F.lit(date + "<meta content='T' name=og:title>")
+    linked = lambda href: F.concat(titled, F.lit('<link href="'), href, F.lit('" rel="next canonical">'))
+    head = (
+        F.when(k == 0, "<!-- " + date + " --><script>var x = '" + date + "'</script>")
+        .when(k == 1, titled)
+        .when(k == 2, F.concat(titled, F.lit('<script type="application/ld+json">{"@graph": [{"@type": "NewsArticle", "datePublished": "2024-01-05T01:00:00+01:00"}, {"@type": "Person", "url": "https://x.example.com/"}]}</script>')))
+        .when(k == 3, F.concat(titled, F.lit('<script type="application/ld+json">{"@type": "https://schema.org/Report", "datePublished": "2024-01-06T00:00:00Z"}</script>')))
+        .when(k == 4, F.lit('<meta name="article:published_time" content="soon">'))
+        .when(k == 5, linked(F.lit("https://other.example.com/")))
+        .when(k == 6, linked(F.col("url")))
+        .otherwise(F.concat(titled, F.lit('<meta property="og:title" content="U">')))
+    )
+    html = F.concat(head, "html")
+    return _pages(spark, d).select("page_id", F.array_join(pages.metadata_codes(html, F.col("url")), ",").alias("codes"), raw.alias("title"))
 
 
 def _bodies(spark, d, kind):
-    """Feed bodies made of documents: RSS (kind 0), Atom (1) or JSON (2), as the column says."""
-    title = text.escape_html(F.regexp_extract("text", r"^([^\n.]*)", 1))
+    """Feed bodies made of whole documents: RSS (kind 0), Atom (1) or JSON (2), as the column says."""
+    plain = F.regexp_replace("text", r"[\x00-\x08\x0b\x0c\x0e-\x1f\x{FFFE}\x{FFFF}]", " ")  # characters that XML can't hold
+    title, body = text.escape_html(F.regexp_extract(plain, r"^([^\n.]*)", 1)), text.escape_html(plain)
     link = F.concat(F.lit("https://news.example.com/a/"), F.col("doc_id").cast("string"), F.lit("?utm_source=x&amp;id=1#top"))
     day = F.lpad((F.col("doc_id") % 28 + 1).cast("string"), 2, "0")
     rss = F.concat(
-        F.lit("<rss><channel><item><title>T "), title, F.lit("</title><link>"), link, F.lit("</link><pubDate>Mon, "), day, F.lit(" Jan 2024 05:00:00 GMT</pubDate><description>d</description></item></channel></rss>"),
+        F.lit("<rss><channel><item><title>T "), title, F.lit("</title><link>"), link, F.lit("</link><pubDate>Mon, "), day, F.lit(" Jan 2024 05:00:00 GMT</pubDate><description>d "), body, F.lit("</description></item></channel></rss>"),
     )
     atom = F.concat(
-        F.lit('<feed><entry><title>T '), title, F.lit('</title><link rel="self" href="https://x.example.com/"/><link href="'), link, F.lit('"/><published>2024-01-'), day, F.lit("T05:00:00Z</published><summary>d</summary></entry></feed>"),
+        F.lit('<feed><entry><title>T '), title, F.lit('</title><link rel="self" href="https://x.example.com/"/><link href="'), link, F.lit('"/><published>2024-01-'), day, F.lit("T05:00:00Z</published><summary>d "), body, F.lit("</summary></entry></feed>"),
+    )
+    item = F.struct(
+        F.concat(F.lit("T "), F.regexp_extract(plain, r"^([^\n.]*)", 1)).alias("title"), F.replace(link, F.lit("&amp;"), F.lit("&")).alias("url"), F.concat(F.lit("d "), plain).alias("summary"),
+        F.concat(F.lit("2024-01-"), day, F.lit("T05:00:00Z")).alias("date_published"),
     )
-    json = F.concat(F.lit('{"items":[{"title":"T x","url":"'), F.replace(link, F.lit("&amp;"), F.lit("&")), F.lit('","summary":"d","date_published":"2024-01-'), day, F.lit('T05:00:00Z"}]}'))
+    json = F.to_json(F.struct(F.array(item).alias("items")))
     k = kind
     return _docs(spark, d).select(F.col("doc_id").cast("string").alias("source_id"), F.when(k == 2, "json").otherwise("xml").alias("format"), F.when(k == 0, rss).when(k == 1, atom).otherwise(json).alias("body"))
 
@@ -370,10 +405,11 @@ def s02_json_feeds(spark, d):
     return _items(feeds.parse_json(_bodies(spark, d, F.lit(2))))
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS source_id, CASE WHEN doc_id % 5 = 0 THEN 'BODY_INVALID' WHEN doc_id % 5 = 1 AND doc_id % 3 < 2 THEN 'XML_DTD_REJECTED' WHEN doc_id % 5 = 1 THEN 'JSON_SHAPE_INVALID' END AS code FROM documents")
+@query("SELECT CAST(doc_id AS VARCHAR) AS source_id, CASE WHEN doc_id % 5 = 0 THEN 'BODY_INVALID' WHEN doc_id % 5 = 1 AND doc_id % 3 < 2 THEN 'XML_DTD_REJECTED' WHEN doc_id % 5 = 1 THEN 'JSON_SHAPE_INVALID' WHEN doc_id % 5 = 2 AND doc_id % 3 < 2 THEN 'XML_COMPLEXITY' END AS code FROM documents")
 def s03_size_and_shape_gate(spark, d):
     k = F.col("source_id").cast("int") % 5
-    body = F.when(k == 0, "").when(k == 1, F.concat(F.lit("<!DOCTYPE x>"), "body")).otherwise(F.col("body"))
+    body = F.when(k == 0, "").when(k == 1, F.concat(F.lit("<!DOCTYPE x>"), "body"))
+    body = body.when((k == 2) & (F.col("format") == "xml"), F.concat(F.lit("<rss><br/>" + "<a>" * 40), "body", F.lit("</a>" * 40 + "</rss>"))).otherwise(F.col("body"))
     rows = _bodies(spark, d, F.col("doc_id") % 3).withColumn("body", body)
     return rows.select("source_id", feeds.gate(F.col("body"), F.col("format")).alias("code"))
 
@@ -392,11 +428,33 @@ def s06_multi_source_ingest(spark, d):
     return feeds.ingest(sources, bodies)
 
 
-@query("SELECT sha256(string_agg(c_name, chr(10) ORDER BY c_custkey))[1:12] AS version FROM customer")
+_PARSED = """i AS (SELECT event_id, CAST(event_id % 50 + 1 AS VARCHAR) AS source_id, ts FROM events), s AS (SELECT s_suppkey, CAST(s_suppkey AS VARCHAR) AS source_id, s_suppkey % 4 = 0 AS bad FROM supplier),
+c AS (SELECT source_id, count(*) AS parsed FROM i GROUP BY source_id)"""
+
+
+def _ingested(spark, d):
+    """Suppliers as sources, with events as the items that were parsed from the bodies of the first fifty."""
+    items = table(spark, d, "events").select((F.col("event_id") % 50 + 1).cast("string").alias("source_id"), F.col("event_id").alias("item_id"), F.col("ts").alias("published_at"))
+    return feeds.ingested_items(s06_multi_source_ingest(spark, d), items)
+
+
+@query(f"""WITH {_PARSED} SELECT s.source_id, CASE WHEN bad OR parsed IS NULL THEN 'failed' ELSE 'ok' END AS status, CASE WHEN bad THEN 'BODY_INVALID' WHEN parsed IS NULL THEN 'FEED_EMPTY_OR_UNPARSEABLE' END AS code,
+CASE WHEN bad THEN 0 ELSE coalesce(parsed, 0) END AS parsed FROM s LEFT JOIN c ON c.source_id = s.source_id""")
+def s06_source_results(spark, d):
+    return _ingested(spark, d)[0].select("source_id", "status", "code", F.col("parsed").cast("long").alias("parsed"))
+
+
+@query(f"""WITH {_PARSED}, t AS (SELECT i.*, row_number() OVER (PARTITION BY i.source_id ORDER BY ts DESC, event_id) AS turn FROM i JOIN s ON s.source_id = i.source_id WHERE NOT bad)
+SELECT source_id, event_id AS item_id, CAST(turn AS INTEGER) AS turn FROM (SELECT *, row_number() OVER (ORDER BY turn, ts DESC, event_id) AS n FROM t) WHERE n <= 320""")
+def s06_ingested_items(spark, d):
+    return _ingested(spark, d)[1].select("source_id", "item_id", "turn")
+
+
+@query("""WITH r AS (SELECT c_custkey AS k, sha256(CAST(to_json(struct_pack(c_custkey := c_custkey, c_name := c_name)) AS VARCHAR)) AS row FROM customer),
+g AS (SELECT k // 1000 AS run, sha256(string_agg(row, chr(10) ORDER BY k)) AS digest FROM r GROUP BY run) SELECT sha256(string_agg(digest, chr(10) ORDER BY run))[1:12] AS version FROM g""")
 def s15_build_version(spark, d):
-    """One name for all rows: a build is a small table."""
-    names = table(spark, d, "customer").agg(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))).alias("n"))
-    return names.select(editions.build_version(F.array_join(F.transform("n", lambda x: x["c_name"]), "\n")).alias("version"))
+    """One name for all rows: rows are digested first, then runs of a thousand keys, then the runs' digests."""
+    return editions.build_version(table(spark, d, "customer"), "c_custkey", ["c_custkey", "c_name"])
 
 
 @query("SELECT * FROM (SELECT 'SIZE' AS code, (SELECT count(*) FROM part) <> 10 AS b UNION ALL SELECT 'DUPLICATE_URL', (SELECT count(*) > count(DISTINCT p_name) FROM part) UNION ALL SELECT 'DIGEST', TRUE) WHERE b = TRUE".replace("SELECT * FROM", "SELECT code FROM"))
@@ -415,7 +473,7 @@ def _titles(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("item"), "p_name", "p_brand", F.concat(F.lit("https://x.example.com/"), F.col("p_size").cast("string"), F.lit("/"), F.col("p_partkey").cast("string")).alias("url"))
 
 
-@query(f"""WITH f AS (SELECT p_partkey AS k, p_brand AS b, list_sort(list_distinct(list_transform({_TOKENS.format('p_name')}, lambda x: {_ALIAS}))) AS t, list_sort(list_distinct(regexp_extract_all(lower(p_name), '[a-z0-9]*[0-9][a-z0-9]*(?:[.,][0-9]+)*'))) AS n FROM part),
+@query(f"""WITH f AS (SELECT p_partkey AS k, p_brand AS b, {_EVENT_TOKENS.format('p_name')} AS t, list_sort(list_distinct(regexp_extract_all(lower(p_name), '[a-z0-9]*[0-9][a-z0-9]*(?:[.,][0-9]+)*'))) AS n FROM part),
 p AS (SELECT x.k AS low, y.k AS high, x.b = y.b AS same, x.t = y.t AND len(x.t) > 0 AS equal, x.n AS m, y.n AS n, len(list_intersect(x.t, y.t)) AS s, len(list_distinct(list_concat(x.t, y.t))) AS u FROM f x JOIN f y ON x.k < y.k)
 SELECT low, high FROM p WHERE NOT (len(m) > 0 AND len(n) > 0 AND len(list_intersect(m, n)) = 0) AND CASE WHEN same THEN s >= 3 AND s / u >= 0.58 ELSE (s >= 3 AND s / u >= 0.35) OR equal END""")
 def c01_event_matches(spark, d):
@@ -538,10 +596,12 @@ def q10_summary_checks(spark, d):
     return integrity.summary_issues(docs, "doc_id", "summary", "source_text")
 
 
-@query("SELECT DISTINCT regexp_replace(url, '#.*$', '') AS url FROM pages")
+@query("""WITH a AS (SELECT page_id, lower(regexp_extract(url, '^https?://([^/?#]*)', 1)) AS k FROM pages), f AS (SELECT k, min(page_id) AS first FROM a GROUP BY k), t AS (SELECT k FROM f ORDER BY first LIMIT 24)
+SELECT page_id, CASE WHEN k NOT IN (SELECT k FROM t) THEN 'ARTICLE_BUDGET_EXHAUSTED' WHEN page_id = first THEN 'fetched' ELSE 'waited' END AS outcome FROM a JOIN f USING (k)""")
 def x08_single_flight(spark, d):
-    """One fetch for each url, however often it is asked for."""
-    return _pages(spark, d).select(F.regexp_replace("url", "#.*$", "").alias("url")).dropDuplicates(["url"])
+    """Pages ask for their hosts: one fetch for each, and none beyond the budget of 24."""
+    asked = _pages(spark, d).select("page_id", F.lower(F.regexp_extract("url", r"^https?://([^/?#]*)", 1)).alias("host"))
+    return feeds.single_flight(asked, "host", "page_id").select("page_id", "outcome")
 
 
 _SAID = ["denies the report", "calls off merger talks", "delays product launch", "ends support for", "restores service at", "ships a failed fix for", "opens a shop with"]

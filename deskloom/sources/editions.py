@@ -76,9 +76,20 @@ def latest_version(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(F.col("version") == last).drop("version")
 
 
-def build_version(*parts: Column) -> Column:
-    """A name for a build by its content."""
-    return F.substring(F.sha2(F.concat_ws("\n", *parts), 256), 1, 12)
+def content_digest(*columns: str) -> Column:
+    """The digest of a document as JSON, its keys in the order given; nulls are left out."""
+    return F.sha2(F.to_json(F.struct(*columns)), 256)
+
+
+def build_version(rows: DataFrame, key: str, columns: list[str], part: int = 1000) -> DataFrame:
+    """(version), a name for a build by its content: rows are digested, then runs of keys, then the runs' digests.
+
+    key is a unique integer; only the runs' digests, one for `part` keys, come together.
+    """
+    joined = lambda order, digest: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, digest))), lambda x: x[digest]), "\n")
+    own = rows.select(F.col(key).alias("k"), content_digest(*columns).alias("row"))
+    runs = own.groupBy(F.floor(F.col("k") / part).alias("run")).agg(F.sha2(joined("k", "row"), 256).alias("digest"))
+    return runs.agg(F.substring(F.sha2(joined("run", "digest"), 256), 1, 12).alias("version"))
 
 
 def packet_issues(articles: DataFrame, size: int = 10, per_desk: int = 2) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from deskloom.functions import values as V
 from deskloom.functions.text import canonical_url, clean_text, stable_id
 from deskloom.functions.times import parse_instant
+from deskloom.operators.ranking import fair_sample, top_k
 
 _LINK = "array<struct<_VALUE:string,_rel:string,_href:string>>"
 _TERM = "array<struct<_VALUE:string,_term:string>>"
@@ -46,6 +47,17 @@ def fetch_code(hops: Column, status: Column, content_type: Column, encoding: Col
     )
 
 
+_ELEMENT = r"(?i)</?[a-z][^>]*>"
+
+
+def nesting(body: Column) -> Column:
+    """The greatest number of elements that are open at once, by tags alone; closing tags too many count for nothing."""
+    step = F.transform(F.regexp_extract_all(body, F.lit(_ELEMENT), F.lit(0)), lambda t: F.when(t.startswith("</"), -1).when(t.rlike(r"/\s*>$"), 0).otherwise(1))
+    none = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    deeper = lambda a, s: F.struct(F.greatest(F.lit(0), a["now"] + s).alias("now"), F.greatest(a["most"], a["now"] + s).alias("most"))
+    return F.aggregate(step, none, deeper, lambda a: a["most"])
+
+
 def gate(body: Column, kind: Column) -> Column:
     """The code of the limit that a body breaks, else null."""
     xml = kind == "xml"
@@ -53,7 +65,8 @@ def gate(body: Column, kind: Column) -> Column:
         F.when(body.isNull() | (F.trim(body) == ""), "BODY_INVALID")
         .when(F.octet_length(body) > V.MAX_FEED_BYTES, "BODY_TOO_LARGE")
         .when(xml & body.rlike(r"(?i)<!(?:DOCTYPE|ENTITY)"), "XML_DTD_REJECTED")
-        .when(xml & (F.regexp_count(body, F.lit("<[^!?]")) > V.MAX_TAGS), "XML_COMPLEXITY")
+        .when(xml & (F.regexp_count(body, F.lit(_ELEMENT)) > V.MAX_TAGS), "XML_COMPLEXITY")
+        .when(xml & (nesting(body) > V.MAX_DEPTH), "XML_COMPLEXITY")
         .when(xml & ~body.rlike(r"(?i)<(?:rss|feed|rdf:rdf)[\s>]"), "XML_SHAPE_INVALID")
         .when(~xml & F.from_json(body, JSON_SCHEMA)["items"].isNull(), "JSON_SHAPE_INVALID")
     )
@@ -111,8 +124,33 @@ def ingest(sources: DataFrame, bodies: DataFrame, total: int = V.MAX_TOTAL_BYTES
     return met.select("idx", "source_id", F.when(code.isNull(), "ok").otherwise("failed").alias("status"), code.alias("code"), "bytes")
 
 
+def ingested_items(ingested: DataFrame, parsed: DataFrame, total: int = V.MAX_ITEMS) -> tuple[DataFrame, DataFrame]:
+    """(sources, items): a source without a parsed item has failed, and of the others' items at most `total` are taken.
+
+    parsed: normalize()'s rows. Sources take turns, each with its latest item first, so that none crowds out the others.
+    """
+    counts = parsed.groupBy("source_id").agg(F.count("*").alias("parsed"))
+    met = ingested.join(counts, "source_id", "left").withColumn("parsed", F.when(F.col("status") == "ok", F.coalesce("parsed", F.lit(0))).otherwise(0))
+    void = (F.col("status") == "ok") & (F.col("parsed") == 0)
+    sources = met.withColumn("code", F.when(void, "FEED_EMPTY_OR_UNPARSEABLE").otherwise(F.col("code"))).withColumn("status", F.when(void, "failed").otherwise(F.col("status")))
+    fine = parsed.join(sources.where("status = 'ok'").select("source_id"), "source_id", "left_semi")
+    return sources, fair_sample(fine, "source_id", [F.desc("published_at"), F.asc("item_id")], total)
+
+
+def single_flight(asked: DataFrame, key: str, order: str, most: int = V.MAX_FETCHES) -> DataFrame:
+    """Asked with an outcome: the first to ask for a key fetches it and later ones wait for that fetch, failed or not.
+
+    Only the first `most` keys are fetched; whoever asks for another has exhausted the budget.
+    """
+    first = asked.groupBy(F.col(key).alias("k")).agg(F.min(order).alias("first"))
+    taken = first.orderBy("first", "k").limit(most).withColumn("taken", F.lit(True))  # `most` rows
+    met = asked.join(first, F.col(key) == F.col("k")).drop("k").join(F.broadcast(taken.select(F.col("k"), "taken")), F.col(key) == F.col("k"), "left")
+    outcome = F.when(F.col("taken").isNull(), "ARTICLE_BUDGET_EXHAUSTED").when(F.col(order) == F.col("first"), "fetched").otherwise("waited")
+    return met.select(*asked.columns, outcome.alias("outcome"))
+
+
 def leads(found: DataFrame, query: str, url: str, order: str, per_query: int = 5, queries: int = 12) -> DataFrame:
     """The first hits of the first queries, each url once."""
-    few = found.withColumn("__q", F.dense_rank().over(Window.orderBy(query))).where(F.col("__q") <= queries)  # search results are a dimension
-    few = few.withColumn("__n", F.row_number().over(Window.partitionBy(query).orderBy(order))).where(F.col("__n") <= per_query)
-    return few.withColumn("__u", F.row_number().over(Window.partitionBy(url).orderBy(query, order))).where("__u = 1").drop("__q", "__n", "__u")
+    few = found.join(F.broadcast(found.select(query).distinct().orderBy(query).limit(queries)), query, "left_semi")  # `queries` rows
+    few = top_k(few, query, [F.asc(order)], per_query, rank="__n")
+    return few.withColumn("__u", F.row_number().over(Window.partitionBy(url).orderBy(query, order))).where("__u = 1").drop("__n", "__u")

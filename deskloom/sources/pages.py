@@ -9,18 +9,31 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from deskloom.functions import values as V
 from deskloom.functions.text import plain_text
+from deskloom.functions.times import parse_instant
 
 NOISE = "script|style|nav|footer|header|aside|form|svg|noscript"
 
 
-def article_region(html: Column) -> Column:
-    """The first article's content, else the first main's; empty without either or with too much markup."""
+#: Octets and tags of a page beyond which it is not read as an article.
+MOST_OCTETS, MOST_TAGS = 600_000, 12_000
+
+
+def article_region(html: Column, octets: int | None = MOST_OCTETS, tags: int | None = MOST_TAGS) -> Column:
+    """The first article's content, else the first main's; empty without either.
+
+    A page with more octets or tags than the limits is refused, as empty; with None for them, pages of any size are read.
+    """
     x = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
     x = F.regexp_replace(x, rf"(?is)<({NOISE})\b[^>]*>.*?</\1\s*>", " ")
     found = F.regexp_extract(x, r"(?is)<article\b[^>]*>(.*?)</article\s*>", 1)
     found = F.when(found != "", found).otherwise(F.regexp_extract(x, r"(?is)<main\b[^>]*>(.*?)</main\s*>", 1))
-    fine = (F.octet_length(html) <= 600_000) & (F.regexp_count(html, F.lit("<")) <= 12_000)
+    fine = F.lit(True)
+    if octets is not None:
+        fine &= F.octet_length(html) <= octets
+    if tags is not None:
+        fine &= F.regexp_count(html, F.lit("<")) <= tags
     return F.when(fine, found).otherwise("")
 
 
@@ -28,32 +41,53 @@ def article_blocks(html: Column, least: int = 30) -> Column:
     """Texts of paragraphs, headings and list items longer than so many characters, without calls to subscribe and the like."""
     block = r"(?is)<(?:p|h[1-4]|li)\b[^>]*>(.*?)(?=<(?:p|h[1-4]|li)\b|</(?:p|h[1-4]|li)\s*>|$)"
     texts = F.transform(F.regexp_extract_all(article_region(html), F.lit(block), F.lit(1)), plain_text)
-    return F.filter(texts, lambda t: (F.length(t) > least) & ~t.rlike(r"(?i)^(?:subscribe|sign up|cookie|share this|all rights reserved|related\s*:)"))
+    return F.filter(texts, lambda t: (F.length(t) > least) & ~t.rlike(V.NO_TEXT))
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's attribute, in either kind of quotes or none; empty without it."""
+    found = F.regexp_extract(tag, rf"(?is)(?:^|\s){name}\s*=\s*(?:\"([^\"<>]*)\"|'([^'<>]*)'|([^\s\"'=<>`]+))", 0)
+    return F.regexp_replace(F.regexp_replace(found, rf"(?is)^\s*{name}\s*=\s*", ""), r"^[\"']|[\"']$", "")
+
+
+# Types of JSON-LD nodes that are an article.
+ARTICLE_TYPES = ["Article", "NewsArticle", "BlogPosting", "TechArticle", "ScholarlyArticle", "Report"]
+_NODE = "struct<`@type`: string, datePublished: string, url: string, mainEntityOfPage: string>"
 
 
 def metadata(html: Column) -> dict[str, Column]:
-    """Title, and canonical and publication metadata as arrays of all that a page states."""
-    meta = lambda name: F.array_distinct(F.regexp_extract_all(html, F.lit(rf"(?is)<meta\b[^>]*(?:property|name)=[\"']{name}[\"'][^>]*content=[\"']([^\"']*)[\"']"), F.lit(1)))
-    linked = F.regexp_extract_all(html, F.lit(r"(?is)<link\b[^>]*rel=[\"']canonical[\"'][^>]*href=[\"']([^\"']*)[\"']"), F.lit(1))
-    data = F.regexp_extract_all(html, F.lit(r"(?is)<script\b[^>]*application/ld\+json[^>]*>(.*?)</script"), F.lit(1))
-    stated = F.filter(F.transform(data, lambda j: F.get_json_object(j, "$.datePublished")), lambda d: d.isNotNull())
+    """Titles, identities and publication dates, as arrays of all that a page's meta, link and JSON-LD elements state."""
+    bare = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
+    plain = F.regexp_replace(bare, r"(?is)<(script|style|noscript)\b[^>]*>.*?</\1\s*>", " ")
+    tags = lambda name: F.regexp_extract_all(plain, F.lit(rf"(?is)<{name}\b([^<>]*)>"), F.lit(1))
+    about = F.transform(tags("meta"), lambda t: F.struct(F.lower(F.coalesce(F.nullif(_attribute(t, "property"), F.lit("")), _attribute(t, "name"))).alias("name"), plain_text(_attribute(t, "content")).alias("content")))
+    meta = lambda name: F.transform(F.filter(about, lambda m: m["name"] == name), lambda m: m["content"])
+    linked = F.transform(F.filter(tags("link"), lambda t: F.array_contains(F.split(F.lower(_attribute(t, "rel")), r"\s+"), "canonical")), lambda t: plain_text(_attribute(t, "href")))
+    scripts = F.regexp_extract_all(bare, F.lit(r"(?is)<script\b[^<>]*application/ld\+json[^<>]*>(.*?)</script\s*>"), F.lit(1))
+    graph = lambda j: F.concat(F.array(F.from_json(j, _NODE)), F.coalesce(F.from_json(F.get_json_object(j, "$['@graph']"), f"array<{_NODE}>"), F.array().cast(f"array<{_NODE}>")))
+    nodes = F.filter(F.flatten(F.transform(scripts, graph)), lambda n: F.regexp_replace(n["@type"], r"^https?://schema\.org/", "").isin(ARTICLE_TYPES))
+    stated = lambda field: F.filter(F.transform(nodes, lambda n: n[field]), lambda x: x.isNotNull())
+    region = article_region(html)
     return {
-        "title": plain_text(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title", 1)),
-        "identities": F.array_distinct(F.concat(linked, meta("og:url"))),
-        "dates": F.array_distinct(F.concat(meta("article:published_time"), stated)),
+        "title": F.coalesce(F.get(meta("og:title"), F.lit(0)), plain_text(F.regexp_extract(region, r"(?is)<h1\b[^>]*>(.*?)</h1\s*>", 1))),
+        "titles": F.array_distinct(F.filter(meta("og:title"), lambda x: x != "")),
+        "identities": F.array_distinct(F.concat(linked, meta("og:url"), stated("url"), stated("mainEntityOfPage"))),
+        "dates": F.array_distinct(F.concat(meta("article:published_time"), stated("datePublished"))),
     }
 
 
 def metadata_codes(html: Column, url: Column) -> Column:
-    """What keeps a page from being admitted."""
+    """What keeps a page from being admitted: the first of identity, date and title that fails."""
     m = metadata(html)
-    return F.array_compact(
-        F.array(
-            F.when(F.size(m["dates"]) == 0, F.lit("PUBLICATION_DATE_MISSING")).when(F.size(m["dates"]) > 1, F.lit("PUBLICATION_DATE_CONFLICT")),
-            F.when(F.exists(m["identities"], lambda i: i != url), F.lit("ARTICLE_IDENTITY_CONFLICT")),
-            F.when(F.length(m["title"]) == 0, F.lit("ARTICLE_TITLE_INVALID")),
-        )
+    instants = F.transform(m["dates"], parse_instant)
+    code = (
+        F.when(F.exists(m["identities"], lambda i: i != url), "ARTICLE_IDENTITY_CONFLICT")
+        .when(F.size(m["dates"]) == 0, "PUBLICATION_DATE_MISSING")
+        .when(F.exists(instants, lambda x: x.isNull()), "PUBLICATION_DATE_INVALID")
+        .when(F.size(F.array_distinct(instants)) > 1, "PUBLICATION_DATE_CONFLICT")
+        .when((F.length(m["title"]) == 0) | (F.length(m["title"]) > 240) | (F.size(m["titles"]) > 1), "ARTICLE_TITLE_INVALID")
     )
+    return F.array_compact(F.array(code))
 
 
 class _Units(HTMLParser):

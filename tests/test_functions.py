@@ -76,7 +76,9 @@ def test_nfkc(spark):
 
 def test_tokens_and_stems(spark):
     got = value(spark, text.title_tokens(F.col("x")), x="Node.js 2026: companies cut jobs, a zero-day in chips; status bus")
-    assert got == sorted({"nodej", "company", "cut", "jobs", "zero-day", "zero", "day", "chip", "status", "bus"})
+    assert got == sorted({"nodej", "company", "cut", "jobs", "zero-day", "chip", "status", "bus"})
+    got = value(spark, text.event_tokens(F.col("x")), x="Node.js 2026: companies cut jobs, a zero-day in state-of-the-art chips; AI study")
+    assert got == sorted({"nodej", "jobs", "zero-day", "state-of-the-art", "state", "of", "the", "art", "chip"})
 
 
 def test_terms_and_inflections(spark):
@@ -327,6 +329,8 @@ def test_planted_headlines(spark, tmp_path):
         ("Acme denies report of breach", "denial"), ("Acme does not plan to buy Zed", "denial"), ("Acme walks away from Zed", "cancellation"), ("Acme delays launch of phone", "deferral"),
         ("Acme retires its old service", "termination"), ("Acme network is back online", "recovery"), ("Acme flaw still exploitable after failed patch", "unfixed"),
         ("Acme cancels launch as network recovers", "cancellation,recovery"), ("Acme opens a shop", ""), (None, ""),
+        ("Acme calls claims of a breach misleading", "denial"), ("CVE-2024-12345 withdrawn by Acme", "cancellation,unfixed"), ("Acme bug persists in routers after the fix", "unfixed"),
+        ("Acme is not affected by the flaw", "denial"), ("Acme puts on hold the rollout", "deferral"), ("CVE-2024-12345 invalid, says Acme", "unfixed"),
     ],
 )
 def test_polarity(spark, title, want):
