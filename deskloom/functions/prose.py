@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from deskloom.functions.text import let
 
 # Keys of the internal schema that prose must not show.
-SCHEMA_KEYS = (
-    "candidateId headline deck claims supports evidenceId whatHappened whyItMatters whatToDoOrWatch stories reviews draftSha256 factsSupported "
-    "attributionAccurate analysisSupported usefulAndSpecific sourceIds sources editorialPayload text"
-).split()
+SCHEMA_KEYS = [
+    "candidateId", "headline", "deck", "claims", "supports", "evidenceId", "whatHappened", "whyItMatters", "whatToDoOrWatch",
+    "stories", "reviews", "draftSha256", "factsSupported", "attributionAccurate", "analysisSupported", "usefulAndSpecific", "sourceIds", "sources", "editorialPayload", "text",
+]
 # Endings that leave a sentence open.
 DANGLING = "and|or|but|because|although|unless|whether|whereas|despite|including|such as|due to|as well as|in order to"
 # What makes a passage a caveat, a detail, or dependent on the one before.

@@ -55,7 +55,8 @@ def p02_local_day_window(spark, d):
     """Windows that end at 05:00 New York time on each order date, from 05:00 the day before."""
     days = table(spark, d, "orders").select(F.to_date("o_orderdate").alias("day")).distinct()
     end = times.local_instant(F.col("day"), "05:00")
-    return days.select("day", times.window_start(end).alias("start_at"), end.alias("end_at"), ((F.unix_seconds(end) - F.unix_seconds(times.window_start(end))) / 3600).alias("hours"))
+    rows = days.select("day", F.unix_seconds(times.window_start(end)).alias("start_s"), F.unix_seconds(end).alias("end_s"))
+    return rows.withColumn("hours", (F.col("end_s") - F.col("start_s")) / 3600)
 
 
 @query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS text, CAST(epoch_us(date_trunc('second', ts)) AS BIGINT) AS micros FROM events")
