@@ -16,7 +16,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from deskloom.llm.common import checkpointed, sized
+from deskloom.llm.common import checkpointed, fresh, sized
 
 #: Production parameters: the least repeated source is passed over MIN_PASSES times, the most repeated MAX_REPEATS times.
 MAX_REPEATS, MIN_PASSES = 2.0, 1.0
@@ -81,16 +81,17 @@ def mix(
     """
     names = [f"{prefix}{x}" for x in ("pass", "block", "position", "order")]
     kept = [c for c in docs.columns if c not in names]
+    s, h, x, b, n, turn = (fresh(c) for c in ("source", "hash", "text", "block", "tokens", "turn"))  # columns that docs can't have
     rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("doc"),
-        F.coalesce(F.concat(F.lit("="), F.col(f"`{source}`").cast("string")), F.lit("null")).alias("s"),
-        F.xxhash64(F.lit(seed), F.col(f"`{key}`").cast("string"), F.col(f"`{text}`").cast("string")).alias("h"),
-        (F.col(f"`{text}`").cast("string") if tokens is None else F.col(f"`{tokens}`").cast("long")).alias("x"),
+        *[F.col(f"`{c}`") for c in kept],
+        F.coalesce(F.concat(F.lit("="), F.col(f"`{source}`").cast("string")), F.lit("null")).alias(s),
+        F.xxhash64(F.lit(seed), F.col(f"`{key}`").cast("string"), F.col(f"`{text}`").cast("string")).alias(h),
+        (F.col(f"`{text}`").cast("string") if tokens is None else F.col(f"`{tokens}`").cast("long")).alias(x),
     )
-    size = words("x") if tokens is None else F.coalesce("x", F.lit(0))
-    sizes = checkpointed(rows.groupBy(F.col("s").alias("name")).agg(F.ceil(F.count("*") / BLOCK_DOCS).alias("n_blocks")))
-    blocked = rows.join(sized(sizes), F.col("s") == F.col("name")).select("doc", "s", "h", "x", F.pmod("h", "n_blocks").alias("b"))
-    blocks = checkpointed(blocked.groupBy("s", "b").agg(F.sum(size).alias("tokens"), F.count("*").alias("docs")))
+    size = words(x) if tokens is None else F.coalesce(x, F.lit(0))
+    sizes = checkpointed(rows.groupBy(F.col(s).alias(turn)).agg(F.ceil(F.count("*") / BLOCK_DOCS).alias(n)))
+    blocked = rows.join(sized(sizes), F.col(s) == F.col(turn)).withColumn(b, F.pmod(h, n)).drop(turn, n)
+    blocks = checkpointed(blocked.groupBy(F.col(s).alias("s"), F.col(b).alias("b")).agg(F.sum(size).alias("tokens"), F.count("*").alias("docs")))
     sources = checkpointed(blocks.groupBy("s").agg(F.sum("tokens").alias("tokens"), F.sum("docs").alias("docs")))
     counted = sources.where("tokens > 0")
     exponent = solve(counted, entropy, max_repeats, min_passes, budget)
@@ -107,30 +108,31 @@ def mix(
         F.floor(passes).cast("int").alias("full"), ((passes - F.floor(passes)) * F.col("tokens")).alias("rest"),
     )
     # each pass has its own permutation of the source's blocks; the last one ends where the budget does, within a block
-    turn = Window.partitionBy("s", "pass").orderBy(F.xxhash64(F.lit(seed), "s", "b", "pass"), "b").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("s", "pass").orderBy(F.xxhash64(F.lit(seed), "s", "b", "pass"), "b").rowsBetween(Window.unboundedPreceding, 0)
     turns = (
         blocks.join(plan, F.col("s") == F.col("ps"))
         .withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("full"))))
-        .withColumn("end", F.sum("tokens").over(turn))
-        .withColumn("first", F.sum("docs").over(turn) - F.col("docs"))
+        .withColumn("end", F.sum("tokens").over(order))
+        .withColumn("first", F.sum("docs").over(order) - F.col("docs"))
         .withColumn("left", F.when(F.col("pass") == F.col("full"), F.col("rest") - F.col("end") + F.col("tokens")))
         .where("left IS NULL OR left > 0")
     )
     turns = checkpointed(
         turns.select(
-            F.col("s").alias("ts"), F.col("b").alias("tb"), "pass", "first", (F.col("pass") * F.col("of")).alias("earlier"), "taken",
-            F.when(F.col("left") < F.col("tokens"), F.col("left")).alias("left"),
+            "s", "b",
+            F.struct(
+                "pass", "first", (F.col("pass") * F.col("of")).alias("earlier"), "taken",
+                F.when(F.col("left") < F.col("tokens"), F.col("left")).alias("left"),
+            ).alias("turn"),
         )
     )
-    met = blocked.join(sized(turns), (F.col("s") == F.col("ts")) & (F.col("b") == F.col("tb")))
-    met = met.withColumn("n", F.when(F.col("left").isNotNull(), size)).drop("x")  # only blocks that are cut need their documents' tokens
-    within = Window.partitionBy("s", "b", "pass").orderBy(F.xxhash64(F.lit(seed), "h", "pass"), "h").rowsBetween(Window.unboundedPreceding, 0)
-    out = (
-        met.withColumn("rank", F.count("*").over(within))
-        .withColumn("before", F.sum("n").over(within) - F.col("n"))
-        .where("left IS NULL OR before < left")
-        .withColumn("position", F.col("first") + F.col("rank") - 1)
-    )
-    order = F.least((F.col("earlier") + F.col("position") + 0.5) / F.col("taken"), F.lit(1.0))
-    given = (F.col("pass").cast("int"), F.col("b").cast("long"), F.col("position").cast("long"), order)
-    return out.select("doc.*", *[c.alias(name) for c, name in zip(given, names, strict=True)])
+    of = lambda c: F.col(f"{turn}.{c}")
+    mine = turns.select(F.col("s").alias(f"{s}2"), F.col("b").alias(f"{b}2"), F.col("turn").alias(turn))
+    met = blocked.join(sized(mine), (F.col(s) == F.col(f"{s}2")) & (F.col(b) == F.col(f"{b}2")))
+    met = met.withColumn(n, F.when(of("left").isNotNull(), size))  # only blocks that are cut need their documents' tokens
+    within = Window.partitionBy(s, b, of("pass")).orderBy(F.xxhash64(F.lit(seed), h, of("pass")), h).rowsBetween(Window.unboundedPreceding, 0)
+    rank, before = fresh("rank"), fresh("before")
+    out = met.withColumn(rank, F.count("*").over(within)).withColumn(before, F.sum(n).over(within) - F.col(n)).where(of("left").isNull() | (F.col(before) < of("left")))
+    position = of("first") + F.col(rank) - 1
+    given = (of("pass").cast("int"), F.col(b).cast("long"), position.cast("long"), F.least((of("earlier") + position + 0.5) / of("taken"), F.lit(1.0)))
+    return out.select(*[F.col(f"`{c}`") for c in kept], *[c.alias(name) for c, name in zip(given, names, strict=True)])
