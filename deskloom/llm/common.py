@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -20,6 +21,19 @@ SLICE_BYTES = 4 << 20
 BROADCAST_ROWS = 100_000
 
 
+def small_batches(spark: SparkSession) -> None:
+    """For applications, not operators: Arrow batches of SLICE_BYTES in this session, unless it asks for smaller ones.
+
+    Spark's own bound of 64 MB holds for each batch that the JVM writes and a Python worker reads, so several at once for a
+    task; executors with little memory beside the heap are better off with less.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.fullmatch(r"(\d+)([a-z]*)", spark.conf.get(key).strip().lower()).groups()
+    size = int(number) << {"k": 10, "m": 20, "g": 30, "t": 40}.get(unit[:1], 0)
+    if size > SLICE_BYTES:
+        spark.conf.set(key, str(SLICE_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deskloom.llm import bpe, chat, embedding_dedup, html_main, licenses, mixing, simhash, token_counts, topk, toxicity
-from deskloom.llm.common import table
+from deskloom.llm.common import small_batches, table
 
 
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +59,17 @@ def queries() -> dict:
         op1_embedding_near_dedup, op2_source_mixing, op3_chat_formatting, op4_byte_level_bpe, op5_license_scan,
         op6_token_counts, op7_toxicity, op8_html_extraction, op9_simhash_near_dedup, op10_exact_top_k,
     ]
-    return {f.__name__: f for f in own}
+    return {f.__name__: _with_small_batches(f) for f in own}
+
+
+def _with_small_batches(query):
+    """A query as an application: it sets the session's batches, which operators leave alone."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
 
 
 OP1_SQL = """

@@ -167,8 +167,11 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
         .limit(fit_rows)
     )
     texts = documents.select(F.col(key).alias("own"), utf8(text).alias("x"))
-    met = texts.join(F.broadcast(chosen), F.col("own") == F.col("k")).select("x", "y").distinct()  # fit_rows rows of two numbers
-    sample = checkpointed(met.orderBy(F.xxhash64("x"), "x", "y").limit(fit_rows))  # a key may have many documents
+    sample = checkpointed(texts.join(F.broadcast(chosen), F.col("own") == F.col("k")).select("x", "y").distinct())  # fit_rows rows of two numbers
+    if sample.limit(fit_rows + 1).count() > fit_rows:  # keys of many documents
+        digest = F.xxhash64("x", "y")
+        last = sample.select(digest.alias("h")).orderBy("h").limit(fit_rows).agg(F.max("h")).first()[0]
+        sample = sample.where(digest <= last)
     n = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     toxic, clean = n.get(1, 0), n.get(0, 0)
     if not toxic or not clean:

@@ -8,10 +8,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from deskloom.llm import bpe, chat, embedding_dedup, html_main, licenses, mixing, queries, simhash, token_counts, topk, toxicity
-from deskloom.llm.common import forest
+from deskloom.llm.common import forest, slices, small_batches
 from deskloom.operators.graph import components
 from deskloom.llm.license_rules import BASE_CONFIDENCE, CONFIDENCE, LONGEST, rules
 
@@ -693,6 +694,28 @@ def test_pipeline_stages_on_odd_tables(spark, tmp_path, stage):
     assert nothing.columns == out.columns and nothing.count() == 0
 
 
+def test_operators_leave_the_session_alone(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    bpe.digests(documents(spark, ["a", LONG])).collect()
+    assert spark.conf.get(key) == before
+    try:
+        for given, want in (("64m", str(4 << 20)), ("1m", "1m")):
+            spark.conf.set(key, given)
+            small_batches(spark)
+            assert spark.conf.get(key) == want
+    finally:
+        spark.conf.set(key, before)
+
+
+@pytest.mark.parametrize("size", [1, 100, 1 << 20])
+def test_slices_keep_all_rows(size):
+    batch = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array(["x" * (i * 7) for i in range(50)])], names=["a", "b"])
+    parts = list(slices(batch, size))
+    assert pa.Table.from_batches(parts).combine_chunks().to_pylist() == batch.to_pylist()
+    assert all(p.num_rows == 1 or p.nbytes <= size for p in parts) and list(slices(batch.slice(0, 0))) == []
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
