@@ -1,7 +1,8 @@
 """A corpus pipeline of four stages over `documents`, each by one operator of the llm subpackage.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it to the shared folder and gives it to the
-next one. All but the last return the columns of docs, whatever their names. In every stage a null or empty text is a
+next one. A stage sets the session's Arrow batches to a few MB, as suits executors with little memory beside the heap. All
+but the last return the columns of docs, whatever their names. In every stage a null or empty text is a
 document like others, texts of any length are read whole, and an empty table gives an empty table.
 """
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from deskloom.checkpoints import removed, shared_folder
 from deskloom.llm import bpe, mixing, simhash, toxicity
-from deskloom.llm.common import fresh, table
+from deskloom.llm.common import fresh, small_batches, table
 
 
 def _columns(df: DataFrame, names: list[str]) -> DataFrame:
@@ -24,6 +25,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Every row is judged by its text alone, so repeated rows stay or go together, with or without a doc_id.
     """
+    small_batches(spark)
     lexicon = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     score = fresh("score")
     return _columns(toxicity.scored(docs, lexicon, out=score).where(F.col(score) < 0.5), docs.columns)
@@ -34,6 +36,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows that share a doc_id but do not link are of different groups and stay each.
     """
+    small_batches(spark)
     return simhash.representatives(docs)
 
 
@@ -42,6 +45,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Equal rows, and rows without a doc_id or source, are documents of their own.
     """
+    small_batches(spark)
     return _columns(mixing.mix(docs, prefix=fresh("mix")), docs.columns)
 
 
@@ -49,6 +53,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, token_ids, n_tokens, round_trip): each row's ids, packed, their number, and whether they
     decode to its text. A null text has no ids. One row for each row, repeats and those without a doc_id included.
     """
+    small_batches(spark)
     ids, decoded = fresh("ids"), fresh("decoded")
     whole = bpe.recode(docs, ids=ids, decoded=decoded)
     return whole.select(
