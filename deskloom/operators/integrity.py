@@ -1,4 +1,4 @@
-"""Validators that list all that is wrong."""
+"""Validators that list all that is wrong."""
 
 from __future__ import annotations
 
@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from deskloom.functions import values as V
 from deskloom.functions.prose import prose_codes, unsupported_names
 from deskloom.functions.text import shingles, unsupported_numbers, word_count
-from deskloom.functions.times import local_instant, real_date, strict_instant
 
 
 def codes(**checks: Column) -> Column:
@@ -23,67 +22,6 @@ def shape_issues(json: Column, keys: list[str], optional: list[str] | None = Non
     return F.concat(F.transform(F.array_except(want, have), lambda k: F.concat(F.lit("-"), k)), F.transform(F.array_except(have, may), lambda k: F.concat(F.lit("+"), k)))
 
 
-def edition_issues(editions: DataFrame) -> DataFrame:
-    """Q01: (editionDate, scope, code) for every rule that an edition or one of its stories breaks."""
-    day = real_date(F.col("editionDate"))
-    start, end = (strict_instant(F.col(f"reportingWindow.{c}")) for c in ("startInclusive", "endExclusive"))
-    told = F.filter(F.map_values("desks"), lambda d: d["story"].isNotNull())
-    ids = F.transform(told, lambda d: d["story"]["id"])
-    entities = F.transform(told, lambda d: F.lower(F.trim(d["story"]["editorial"]["primaryEntity"])))
-    repeats = F.size(F.array_distinct(entities)) < F.size(entities)
-    excused = F.coalesce(F.trim("frontPage.diversityException"), F.lit("")) != ""
-    watch = F.col("backPage.watchNext")
-    whole = codes(
-        SCHEMA_VERSION=F.col("schemaVersion") == 2,
-        EDITION_DATE=day.isNotNull(),
-        EDITION_ID=F.col("id").endswith(F.concat(F.lit("-"), F.col("editionDate"))),
-        ISSUE_NUMBER=F.col("issueNumber") > 0,
-        STATUS=F.col("status").isin("draft", "ready", "published", "preview"),
-        TIMEZONE=F.col("timezone") == "America/New_York",
-        DESKS=F.array_sort(F.map_keys("desks")) == F.array(*[F.lit(x) for x in sorted(V.DESKS)]),
-        WINDOW=start < end,
-        WINDOW_END=end == local_instant(day, "05:00"),
-        TARGET_TIME=F.col("publication.targetLocalTime") == "06:00",
-        GENERATED_AT=strict_instant(F.col("publication.generatedAt")).isNotNull(),
-        PUBLISH_AT=strict_instant(F.col("publication.publishAt")) == local_instant(day, "06:00"),
-        PUBLISHED_AT=F.when(F.col("status") == "published", strict_instant(F.col("publication.publishedAt")).isNotNull()).otherwise(F.col("publication.publishedAt").isNull()),
-        DUPLICATE_STORY=F.size(F.array_distinct(ids)) == F.size(ids),
-        AI_ADJACENT=F.size(F.filter(told, lambda d: d["story"]["editorial"]["aiAdjacent"])) <= 2,
-        REPEATED_ENTITY=~repeats | excused,
-        NEEDLESS_EXCEPTION=repeats | ~excused,
-        STORY_ORDER=F.array_sort("frontPage.storyOrder") == F.array_sort(ids),
-        LEAD_STORY=F.col("frontPage.leadStoryId").isNull() | F.array_contains(ids, F.col("frontPage.leadStoryId")),
-        WATCH_NEXT=watch.isNotNull() & (F.size(watch) <= 3) & F.forall(watch, lambda w: (F.length(F.trim(w["title"])) > 0) & (F.length(F.trim(w["why"])) > 0)),
-    )
-    out = editions.select("editionDate", F.lit("edition").alias("scope"), F.explode(whole).alias("code"))
-    desks = editions.select("editionDate", F.explode("desks").alias("desk", "d"), start.alias("start"), end.alias("end"))
-    quiet = desks.where("d.story IS NULL").select("editionDate", F.col("desk").alias("scope"), F.explode(codes(EMPTY_REASON=F.length(F.trim("d.emptyReason")) > 0)).alias("code"))
-    s = lambda c: F.col(f"d.story.{c}")
-    at = strict_instant(F.coalesce(s("materiallyUpdatedAt"), s("firstPublishedAt")))
-    body = F.concat_ws(" ", s("headline"), s("deck"), s("whatHappened"), s("whyItMatters"), s("whatToDoOrWatch"))
-    known = F.transform(s("sources"), lambda x: x["id"])
-    story = codes(
-        DESK=(F.col("d.desk") == F.col("desk")) & (s("desk") == F.col("desk")),
-        STORY_ID=F.length(s("id")) > 0,
-        EVENT_KEY=F.length(s("canonicalEventKey")) > 0,
-        SCORE=s("selection.score").between(V.MINIMUM_SCORE, 100),
-        ENTITY=F.length(F.trim(s("editorial.primaryEntity"))) > 0,
-        AI_DECLARED=s("editorial.aiAdjacent").isNotNull(),
-        AI_DESK=(F.col("desk") != "ai") | s("editorial.aiAdjacent"),
-        READER_COPY=F.size(F.flatten(F.transform(F.array(s("whatHappened"), s("whyItMatters"), s("whatToDoOrWatch")), lambda t: prose_codes(t)))) == 0,
-        WORDS=word_count(body).between(60, 225),
-        IN_WINDOW=(at >= F.col("start")) & (at < F.col("end")),
-        DELTA=s("materiallyUpdatedAt").isNull() | (F.length(F.trim(s("materialDelta"))) > 0),
-        SOURCES=F.size(s("sources")) > 0,
-        SOURCE_IDS=F.size(F.array_distinct(known)) == F.size(known),
-        SOURCE_URLS=F.forall(s("sources"), lambda x: x["url"].rlike("^https://[^/?#@]+")),
-        SOURCE_KIND=F.exists(s("sources"), lambda x: x["relationship"] != "context"),
-        CLAIM_SOURCES=F.forall(s("evidence"), lambda e: (F.size(e["sourceIds"]) > 0) & (F.size(F.array_except(e["sourceIds"], known)) == 0)),
-    )
-    told_rows = desks.where("d.story IS NOT NULL").select("editionDate", F.col("desk").alias("scope"), F.explode(story).alias("code"))
-    return out.unionByName(quiet).unionByName(told_rows)
-
-
 def draft_issues(stories: DataFrame) -> DataFrame:
     """Q02: (id, code) for the timing and source rules of a draft's stories.
 

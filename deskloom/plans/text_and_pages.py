@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from deskloom.checkpoints import checkpointed, shared_folder
 from deskloom.functions import numbers, prose, scoring, text, times
 from deskloom.functions import values as V
-from deskloom.operators import integrity, matching
+from deskloom.operators import editorial, integrity, matching
 from deskloom.plans.registry import query, table
 from deskloom.sources import editions, feeds, pages
 
@@ -557,7 +557,7 @@ def q01_edition_rules(spark, d):
         )
     )
     rows = table(spark, d, "orders").select(F.from_json(json, editions.EDITION).alias("e")).select("e.*")
-    found = integrity.edition_issues(rows)
+    found = editorial.edition_issues(rows)
     return found.groupBy(F.col("editionDate").alias("edition"), "scope", "code").agg(F.count("*").alias("n"))
 
 
@@ -579,6 +579,33 @@ def q02_draft_issues(spark, d):
     return integrity.draft_issues(_drafts(spark, d))
 
 
+@query("""WITH o AS (SELECT o_orderkey, strftime(DATE '2026-01-05' + CAST(o_orderkey % 20 AS INTEGER), '%Y-%m-%d') AS edition, o_orderkey % 8 AS k FROM orders), c AS (SELECT edition, unnest(CASE k
+WHEN 1 THEN [['ai', 'STORY_STATUS_INVALID']] WHEN 2 THEN [['ai.sources[1].url', 'SOURCE_URL_SEARCH_PAGE'], ['ai', 'INSUFFICIENT_DISTINCT_SOURCES'], ['ai.evidence[0]', 'EVIDENCE_SOURCE_UNKNOWN']]
+WHEN 3 THEN [['ai.deck', 'EDITORIAL_TEXT_MISSING']] WHEN 4 THEN [['ai', 'REPEATED_EVENT_NOT_MATERIAL_UPDATE']] WHEN 5 THEN [['ai', 'NEW_DEVELOPMENT_OUTSIDE_WINDOW']]
+WHEN 6 THEN [['ai', 'CRITICAL_STORY_SOURCE_MIX'], ['ai', 'CRITICAL_STORY_EVIDENCE_MIX']] WHEN 7 THEN [['edition.watchNext', 'WATCH_NEXT_UNSOURCED']] ELSE [] END) AS x FROM o)
+SELECT edition, x[1] AS scope, x[2] AS code, count(*) AS n FROM c GROUP BY ALL""")
+def q02_newsroom_issues(spark, d):
+    """Orders as draft editions of one story each, whole or with one fault; a fault may break several rules."""
+    k = "o_orderkey % 8"
+    day = "string(date_add(DATE'2026-01-05', int(o_orderkey % 20)))"
+    source = lambda name, url: f"struct('{name}' AS id, 'T' AS title, 'P' AS publisher, {url} AS url, 'independent' AS relationship, concat({day}, 'T08:00:00Z') AS publishedAt, concat({day}, 'T09:00:00Z') AS retrievedAt)"
+    second = source("b", f"if({k} = 2, 'https://www.google.com/x', 'https://b.example.com/x?utm_source=y')")
+    story = (
+        f"struct('s' AS id, if({k} = 4, 'covered', 'new') AS canonicalEventKey, 'ai' AS desk, if({k} = 1, 'odd', 'new-development') AS status, if({k} = 6, 'critical', 'normal') AS priority, 'h' AS headline, if({k} = 3, ' ', 'd') AS deck, 'x' AS whatHappened, 'y' AS whyItMatters, 'z' AS whatToDoOrWatch, "
+        f"struct(concat({day}, if({k} = 5, 'T10:00:00Z', 'T08:00:00Z')) AS firstPublishedAt) AS timing, struct('e' AS primaryEntity, true AS aiAdjacent, 'f' AS deskFit) AS editorial, struct(80 AS score, 'b' AS selectedBecause) AS selection, struct('r' AS rationale) AS confidence, "
+        f"array({source('a', chr(39) + 'https://a.example.com/' + chr(39))}, {second}) AS sources, array(struct('c' AS id, 't' AS statement, 'confirmed' AS verification, array('a', if({k} = 2, 'q', 'b')) AS sourceIds)) AS evidence)"
+    )
+    quiet = ", ".join(f"struct('{x}' AS desk, 'quiet' AS emptyReason) AS `{x}`" for x in V.DESKS if x != "ai")
+    watch = f"if({k} = 7, array(struct('t' AS topic)), array())"
+    json = (
+        f"struct({day} AS editionDate, 'draft' AS status, struct(concat(string(date_sub({day}, 1)), 'T10:00:00Z') AS startInclusive, concat({day}, 'T10:00:00Z') AS endExclusive) AS reportingWindow, "
+        f"struct(concat({day}, 'T11:00:00Z') AS publishAt, concat({day}, 'T10:30:00Z') AS generatedAt) AS publication, struct('n' AS note) AS frontPage, struct(struct('ai' AS desk, {story} AS story) AS ai, {quiet}) AS desks, struct({watch} AS watchNext) AS backPage)"
+    )
+    rows = table(spark, d, "orders").select(F.from_json(F.to_json(F.expr(json)), editions.EDITION).alias("e")).select("e.*")
+    found = editorial.newsroom_issues(rows, prior=spark.createDataFrame([("covered",)], "event_key string"))
+    return found.groupBy(F.col("editionDate").alias("edition"), "scope", "code").agg(F.count("*").alias("n"))
+
+
 @query("""WITH l AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS u FROM pages), r AS (SELECT u, min(page_id) AS first FROM l GROUP BY u HAVING min(page_id) % 2 = 0)
 SELECT page_id, CASE WHEN r.u IS NULL THEN 'LINK_REQUEST_UNAVAILABLE' ELSE 'ok' END AS outcome FROM l LEFT JOIN r ON r.u = l.u""")
 def q03_link_checks(spark, d):

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from deskloom.functions.text import escape_html
 
 SOURCE = "struct<id:string,title:string,publisher:string,url:string,relationship:string,publishedAt:string,retrievedAt:string>"
+CLAIM = "struct<id:string,statement:string,verification:string,sourceIds:array<string>>"
 STORY = (
-    "struct<id:string,canonicalEventKey:string,desk:string,headline:string,deck:string,whatHappened:string,whyItMatters:string,whatToDoOrWatch:string,"
-    "firstPublishedAt:string,materiallyUpdatedAt:string,materialDelta:string,editorial:struct<primaryEntity:string,aiAdjacent:boolean,deskFit:string,classification:string>,"
-    f"selection:struct<score:int>,sources:array<{SOURCE}>,evidence:array<struct<id:string,statement:string,sourceIds:array<string>>>>"
+    "struct<id:string,canonicalEventKey:string,desk:string,status:string,priority:string,headline:string,deck:string,whatHappened:string,whyItMatters:string,whatToDoOrWatch:string,"
+    "timing:struct<eventAt:string,firstPublishedAt:string,materiallyUpdatedAt:string>,editorial:struct<primaryEntity:string,aiAdjacent:boolean,deskFit:string,maturity:string>,"
+    "selection:struct<score:double,materialDelta:string,selectedBecause:string>,confidence:struct<rationale:string>,securityAction:struct<affected:string,action:string,deadline:string>,"
+    f"sources:array<{SOURCE}>,evidence:array<{CLAIM}>>"
 )
 DESK = f"struct<desk:string,story:{STORY},emptyReason:string>"
 EDITION = (
@@ -19,7 +21,12 @@ EDITION = (
     "reportingWindow struct<startInclusive:string,endExclusive:string,displayLabel:string>, "
     "publication struct<targetLocalTime:string,publishAt:string,generatedAt:string,publishedAt:string>, "
     "frontPage struct<note:string,estimatedMinutes:int,leadStoryId:string,storyOrder:array<string>,stopThePressesStoryId:string,diversityException:string>, "
-    f"desks map<string,{DESK}>, backPage struct<watchNext:array<struct<title:string,why:string>>>"
+    f"desks map<string,{DESK}>, "
+    "backPage struct<watchNext:array<struct<topic:string,unresolved:string,meaningfulSignal:string,whyItMatters:string>>,"
+    "tryThisTomorrow:struct<title:string,goal:string,successMeasure:string,riskCheck:string,steps:array<string>>>, "
+    "provenance struct<policyVersion:string,promptVersion:string,pipelineVersion:string,"
+    "automation:struct<workflow:string,runId:string,runUrl:string,candidate:boolean,generatedAt:string,pilotSequence:int>,"
+    "sourceCheck:struct<status:string,checkedAt:string,checkedSourceCount:int,issues:array<string>>>"
 )
 
 

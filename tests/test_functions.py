@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from deskloom import plans
 from deskloom.functions import events, numbers, prose, scoring, text, times
 from deskloom.operators import ledger, matching, ranking
-from deskloom.operators.integrity import edition_issues
+from deskloom.operators.editorial import edition_issues, newsroom_issues
 from deskloom.sources import editions, feeds, pages
 from deskloom.streaming import intake
 
@@ -376,10 +376,135 @@ def test_editions(spark, tmp_path):
     rows = editions.read_editions(spark, str(tmp_path))
     assert {tuple(r) for r in editions.directory_issues(rows).collect()} == {("2026-01-06", "DATE_DIFFERS_FROM_NAME"), ("2026-01-05", "DUPLICATE_ID"), ("2026-01-06", "DUPLICATE_ID")}
     found = {(r["editionDate"], r["scope"], r["code"]) for r in edition_issues(rows).collect()}
-    assert {("2026-01-05", "ai", "EMPTY_REASON"), ("2026-01-05", "edition", "DESKS"), ("2026-01-05", "edition", "TIMEZONE")} <= found
+    assert {("2026-01-05", "edition", "DESKS"), ("2026-01-05", "edition", "TIMEZONE")} <= found and {s for _, s, _ in found} == {"edition"}  # judged no further
     assert ("2026-01-05", "edition", "EDITION_ID") not in found
 
 
+def edition(i):
+    """A whole edition of the i-th day, with one story and three quiet desks."""
+    import datetime
+
+    day = datetime.date(2026, 1, 5) + datetime.timedelta(i)
+    d, before = day.isoformat(), (day - datetime.timedelta(1)).isoformat()
+    source = lambda name, kind: {"id": name, "title": "T", "publisher": "P", "url": f"https://{name}.example.com/x", "relationship": kind, "publishedAt": f"{d}T07:00:00Z", "retrievedAt": f"{d}T09:00:00Z"}
+    story = {
+        "id": "s", "canonicalEventKey": "k", "desk": "ai", "status": "new-development", "priority": "normal", "headline": "Plain headline", "deck": "Plain deck",
+        "whatHappened": "word " * 60, "whyItMatters": "word " * 60, "whatToDoOrWatch": "word " * 60, "timing": {"eventAt": None, "firstPublishedAt": f"{d}T08:00:00Z", "materiallyUpdatedAt": None},
+        "editorial": {"primaryEntity": "Acme", "aiAdjacent": True, "deskFit": "fits", "maturity": "verified-development"}, "selection": {"score": 80, "materialDelta": None, "selectedBecause": "b"},
+        "confidence": {"rationale": "r"}, "securityAction": None, "sources": [source("a", "originating"), source("b", "independent"), source("c", "context")],
+        "evidence": [{"id": "e", "statement": "t", "verification": "confirmed", "sourceIds": ["a", "b"]}],
+    }
+    desks = {x: {"desk": x, "story": None, "emptyReason": "quiet"} for x in ("work-and-tools", "security-and-privacy", "platforms-and-power")} | {"ai": {"desk": "ai", "story": story, "emptyReason": None}}
+    return {
+        "schemaVersion": 2, "id": f"x-{d}", "issueNumber": 1, "editionDate": d, "status": "draft", "timezone": "America/New_York",
+        "reportingWindow": {"startInclusive": f"{before}T10:00:00Z", "endExclusive": f"{d}T10:00:00Z"},
+        "publication": {"targetLocalTime": "06:00", "publishAt": f"{d}T11:00:00Z", "generatedAt": f"{d}T10:30:00Z", "publishedAt": None},
+        "frontPage": {"note": "n", "leadStoryId": "s", "storyOrder": ["s"], "stopThePressesStoryId": None, "diversityException": None}, "desks": desks,
+        "backPage": {"watchNext": [], "tryThisTomorrow": None}, "provenance": {"policyVersion": "p", "promptVersion": "q", "pipelineVersion": "r"},
+    }
+
+
+def _put(path, value):
+    """A change of one field: path is dotted, a number is a place in a list, and "s" is the story."""
+
+    def change(e):
+        *way, last = path.split(".")
+        at = e
+        if way and way[0] == "s":
+            at, way = e["desks"]["ai"]["story"], way[1:]
+        elif not way and last == "s":
+            e["desks"]["ai"]["story"] = value
+            return
+        for step in way:
+            at = at[int(step)] if step.isdigit() else at[step]
+        at[int(last) if last.isdigit() else last] = value(e) if callable(value) else value
+
+    return change
+
+
+_AUTO = {"workflow": "w", "runId": "7", "runUrl": "https://github.com/o/r/actions/runs/7", "candidate": True, "pilotSequence": 1}
+_TWICE = lambda e: e["desks"]["ai"]["story"] | {"desk": "platforms-and-power"}
+EDITION_FAULTS = [
+    ({"SCHEMA_VERSION"}, ("schemaVersion", 1)), ({"EDITION_ID"}, ("id", "x-2020-01-01")), ({"ISSUE_NUMBER"}, ("issueNumber", 0)), ({"STATUS"}, ("status", "ready")), ({"TIMEZONE"}, ("timezone", "UTC")),
+    ({"DESKS"}, ("desks", {})), ({"WINDOW", "IN_WINDOW"}, ("reportingWindow.startInclusive", "2030-01-01T00:00:00Z")), ({"WINDOW_END"}, ("reportingWindow.endExclusive", lambda e: e["editionDate"] + "T10:01:00Z")),
+    ({"TARGET_TIME"}, ("publication.targetLocalTime", "07:00")), ({"GENERATED_AT"}, ("publication.generatedAt", "soon")), ({"PUBLISH_TIME"}, ("publication.publishAt", lambda e: e["editionDate"] + "T11:01:00Z")),
+    ({"PUBLISH_DATE"}, ("publication.publishAt", "2025-12-01T11:00:00Z")), ({"PUBLISHED_AT"}, ("publication.publishedAt", "2026-01-05T11:00:00Z")), ({"PUBLISHED_AT"}, ("status", "published")),
+    ({"STORY_ID", "EVENT_KEY", "REPEATED_ENTITY", "STORY_ORDER", "AI_DESK"} - {"AI_DESK"}, ("desks.platforms-and-power.story", _TWICE)), ({"NEEDLESS_EXCEPTION"}, ("frontPage.diversityException", "why")),
+    ({"STORY_ORDER"}, ("frontPage.storyOrder", [])), ({"LEAD_STORY"}, ("frontPage.leadStoryId", "t")), ({"STOP_THE_PRESSES"}, ("frontPage.stopThePressesStoryId", "s")), ({"WATCH_NEXT"}, ("backPage.watchNext", None)),
+    ({"WATCH_NEXT_SIZE"}, ("backPage.watchNext", [dict.fromkeys(("topic", "unresolved", "meaningfulSignal", "whyItMatters"), "x")] * 4)), ({"WATCH_NEXT_ITEM"}, ("backPage.watchNext", [{"topic": "x"}])),
+    ({"PROVENANCE"}, ("provenance.promptVersion", "old")), ({"AUTOMATION_CHECK"}, ("provenance.automation", lambda e: _AUTO | {"generatedAt": e["publication"]["generatedAt"]})), ({"AUTOMATION", "AUTOMATION_CHECK"}, ("provenance.automation", _AUTO)),
+    ({"DESK_PAGE", "STORY_ORDER", "LEAD_STORY"}, ("desks.ai.desk", "x")), ({"EMPTY_REASON"}, ("desks.work-and-tools.emptyReason", " ")), ({"STORY_DESK"}, ("s.desk", "work-and-tools")), ({"STORY_ID", "STORY_ORDER", "LEAD_STORY"}, ("s.id", None)),
+    ({"EVENT_KEY"}, ("s.canonicalEventKey", "")), ({"SCORE"}, ("s.selection.score", 69)), ({"EDITORIAL"}, ("s.editorial", None)), ({"ENTITY"}, ("s.editorial.primaryEntity", " ")), ({"AI_DECLARED", "AI_DESK"}, ("s.editorial.aiAdjacent", None)),
+    ({"MATURITY"}, ("s.editorial.maturity", "emerging")), ({"DESK_FIT"}, ("s.editorial.deskFit", None)), ({"AI_DESK"}, ("s.editorial.aiAdjacent", False)), ({"READER_COPY_DECK"}, ("s.deck", '{"deck": 1}')), ({"WORDS"}, ("s.whatHappened", "few")),
+    ({"UPDATE_TIME", "DELTA"}, ("s.status", "material-update")), ({"IN_WINDOW"}, ("s.timing.firstPublishedAt", "2020-01-01T00:00:00Z")), ({"SOURCES"}, ("s.sources", [])), ({"SOURCE_IDS"}, ("s.sources.2.id", "a")),
+    ({"SOURCE_URLS"}, ("s.sources.2.url", "https://www.google.com/search")), ({"SOURCE_KIND"}, ("s.sources", lambda e: [x | {"relationship": "context"} for x in e["desks"]["ai"]["story"]["sources"]])),
+    ({"CLAIM_SOURCES"}, ("s.evidence.0.sourceIds", [])), ({"CLAIM_UNKNOWN"}, ("s.evidence.0.sourceIds", ["z"])), ({"SECURITY_DESK"}, ("s.securityAction", {"affected": "a", "action": "b", "deadline": None})), (set(), ("timezone", "America/New_York")),
+]
+
+
+def _found(spark, tmp_path, faults, find):
+    import json
+
+    for i, (_, change) in enumerate(faults):
+        e = edition(i)
+        _put(*change)(e)
+        (tmp_path / f"{edition(i)['editionDate']}.json").write_text(json.dumps(e))
+    got = {}
+    for r in find(editions.read_editions(spark, str(tmp_path))).collect():
+        got.setdefault(r["editionDate"], set()).add(r["code"])
+    return [got.get(edition(i)["editionDate"], set()) for i in range(len(faults))]
+
+
+def test_every_edition_rule(spark, tmp_path):
+    got = _found(spark, tmp_path, EDITION_FAULTS, lambda rows: edition_issues(rows, prefix="x", provenance=("p", "q", "r"), workflow="w"))
+    assert [(want, g) for (want, _), g in zip(EDITION_FAULTS, got, strict=True) if want != g] == []
+
+
+DRAFT_FAULTS = [
+    ({"REPORTING_WINDOW_INVALID", "NEW_DEVELOPMENT_OUTSIDE_WINDOW"}, ("reportingWindow.startInclusive", "2030-01-01T00:00:00Z")), ({"GENERATED_AT_INVALID"}, ("publication.generatedAt", "x")), ({"PUBLISH_AT_INVALID"}, ("publication.publishAt", "x")),
+    ({"GENERATED_AFTER_PUBLICATION"}, ("publication.generatedAt", lambda e: e["editionDate"] + "T12:00:00Z")), ({"PUBLISHED_AT_MISSING"}, ("status", "published")), ({"UNPUBLISHED_HAS_PUBLISHED_AT"}, ("publication.publishedAt", "x")),
+    ({"DESKS_MISSING", "DESK_MISSING"}, ("desks", None)), ({"DESK_MISSING"}, ("desks.ai", None)), ({"EDITORIAL_TEXT_MISSING"}, ("frontPage.note", "")), ({"EDITORIAL_TEXT_MISSING"}, ("desks.work-and-tools.emptyReason", "")),
+    ({"EXPERIMENT_STEPS_INVALID"}, ("backPage.tryThisTomorrow", {"title": "t", "goal": "g", "successMeasure": "s", "riskCheck": "r"})), ({"EDITORIAL_TEXT_MISSING"}, ("backPage.tryThisTomorrow", {"title": "t", "goal": "g", "successMeasure": "s", "riskCheck": "r", "steps": [" "]})),
+    ({"WATCH_NEXT_INVALID"}, ("backPage.watchNext", None)), ({"WATCH_NEXT_UNSOURCED"}, ("backPage.watchNext", [{"topic": "t"}])), ({"EDITORIAL_TEXT_MISSING"}, ("s.securityAction", {"affected": "a", "action": " ", "deadline": None})),
+    ({"FIRST_PUBLISHED_AT_INVALID"}, ("s.timing.firstPublishedAt", "x")), ({"EVENT_AT_INVALID"}, ("s.timing.eventAt", "x")), ({"MATERIAL_UPDATE_TIMESTAMP_MISSING", "MATERIAL_DELTA_MISSING"}, ("s.status", "material-update")),
+    ({"NEW_DEVELOPMENT_OUTSIDE_WINDOW"}, ("s.timing.eventAt", "2020-01-01T00:00:00Z")), ({"NEW_DEVELOPMENT_HAS_UPDATE_TIMESTAMP"}, ("s.timing.materiallyUpdatedAt", "2026-01-01T00:00:00Z")), ({"NEW_DEVELOPMENT_HAS_MATERIAL_DELTA"}, ("s.selection.materialDelta", "d")),
+    ({"MATERIAL_UPDATE_OUTSIDE_WINDOW", "MATERIAL_UPDATE_BEFORE_PUBLICATION", "MATERIAL_DELTA_MISSING"}, ("s", lambda e: None)), ({"STORY_STATUS_INVALID"}, ("s.status", None)), ({"REPEATED_EVENT_NOT_MATERIAL_UPDATE"}, ("s.canonicalEventKey", "covered")),
+    ({"SOURCE_LIST_MISSING", "INSUFFICIENT_DISTINCT_SOURCES", "STORY_LACKS_AUTHORITATIVE_SOURCE", "EVIDENCE_LACKS_AUTHORITATIVE_SOURCE", "EVIDENCE_SOURCE_UNKNOWN"}, ("s.sources", [])), ({"SOURCE_ID_MISSING"}, ("s.sources.2.id", "")), ({"SOURCE_ID_DUPLICATE"}, ("s.sources.2.id", "b")),
+    ({"SOURCE_METADATA_MISSING"}, ("s.sources.0.title", "")), ({"SOURCE_RELATIONSHIP_INVALID"}, ("s.sources.2.relationship", "x")), ({"SOURCE_URL_INVALID"}, ("s.sources.2.url", "nothing")), ({"SOURCE_URL_NOT_HTTPS"}, ("s.sources.2.url", "http://c.example.com/")),
+    ({"SOURCE_URL_CREDENTIALS"}, ("s.sources.2.url", "https://u:p@c.example.com/")), ({"SOURCE_URL_PRIVATE_HOST"}, ("s.sources.2.url", "https://box.local:8443/")), ({"SOURCE_URL_PRIVATE_HOST"}, ("s.sources.2.url", "https://10.0.0.1/")), ({"SOURCE_URL_SEARCH_PAGE"}, ("s.sources.2.url", "https://duckduckgo.com/?q=x")),
+    ({"SOURCE_URL_NOT_GROUNDED"}, ("s.sources.2.url", "https://other.example.com/")), (set(), ("s.sources.2.url", "https://c.example.com/x?utm_source=y#z")), ({"SOURCE_PUBLISHED_AT_INVALID"}, ("s.sources.2.publishedAt", "x")), ({"SOURCE_RETRIEVED_AT_INVALID"}, ("s.sources.2.retrievedAt", None)),
+    ({"SOURCE_RETRIEVED_BEFORE_PUBLICATION"}, ("s.sources.2.retrievedAt", lambda e: e["editionDate"] + "T06:00:00Z")), ({"SOURCE_RETRIEVED_AFTER_GENERATION"}, ("s.sources.2.retrievedAt", lambda e: e["editionDate"] + "T10:45:00Z")),
+    ({"SOURCE_RETRIEVED_AFTER_GENERATION", "SOURCE_RETRIEVED_AFTER_PUBLICATION"}, ("s.sources.2.retrievedAt", lambda e: e["editionDate"] + "T12:00:00Z")), ({"CRITICAL_STORY_EVIDENCE_MIX"}, ("s", lambda e: e)), ({"EVIDENCE_LIST_MISSING", "EVIDENCE_LACKS_AUTHORITATIVE_SOURCE"}, ("s.evidence", [])),
+    ({"EVIDENCE_INVALID", "EVIDENCE_SOURCE_IDS_MISSING"} - {"EVIDENCE_SOURCE_IDS_MISSING"}, ("s.evidence", lambda e: [*e["desks"]["ai"]["story"]["evidence"], None])), ({"EVIDENCE_ID_MISSING"}, ("s.evidence.0.id", "")), ({"EVIDENCE_ID_DUPLICATE"}, ("s.evidence", lambda e: e["desks"]["ai"]["story"]["evidence"] * 2)),
+    ({"EVIDENCE_STATEMENT_MISSING"}, ("s.evidence.0.statement", None)), ({"EVIDENCE_VERIFICATION_INVALID"}, ("s.evidence.0.verification", "sure")), ({"EVIDENCE_SOURCE_IDS_MISSING", "EVIDENCE_LACKS_AUTHORITATIVE_SOURCE"}, ("s.evidence.0.sourceIds", [])),
+    ({"EVIDENCE_SOURCE_ID_INVALID"}, ("s.evidence.0.sourceIds", ["a", ""])), ({"EVIDENCE_SOURCE_ID_DUPLICATE"}, ("s.evidence.0.sourceIds", ["a", "a"])), ({"EVIDENCE_SOURCE_UNKNOWN"}, ("s.evidence.0.sourceIds", ["a", "z"])),
+    ({"CONFIRMED_CLAIM_CONTEXT_ONLY", "EVIDENCE_LACKS_AUTHORITATIVE_SOURCE"}, ("s.evidence.0.sourceIds", ["c"])), ({"SOURCE_INVALID"}, ("s.sources", lambda e: [*e["desks"]["ai"]["story"]["sources"], None])), (set(), ("timezone", "x")),
+]
+
+
+def test_every_draft_rule(spark, tmp_path):
+    def story(**changes):
+        def change(e):
+            at = e["desks"]["ai"]["story"]
+            for path, value in changes.items():
+                _put("s." + path.replace("__", "."), value)(e)
+            return at
+
+        return change
+
+    faults = [list(x) for x in DRAFT_FAULTS]
+    update = next(x for x in faults if "MATERIAL_UPDATE_OUTSIDE_WINDOW" in x[0])
+    update[1] = ("desks.ai.story", story(status="material-update", timing__materiallyUpdatedAt="2020-01-01T00:00:00Z"))
+    critical = next(x for x in faults if x[0] == {"CRITICAL_STORY_EVIDENCE_MIX"})
+    critical[1] = ("desks.ai.story", story(priority="critical", evidence__0__sourceIds=["a"]))
+    faults.append(({"CRITICAL_STORY_SOURCE_MIX", "CRITICAL_STORY_EVIDENCE_MIX"}, ("desks.ai.story", story(priority="critical", sources__0__relationship="independent"))))
+    allowed = spark.createDataFrame([(f"https://{x}.example.com/x",) for x in "abc"], "url string")
+    prior = spark.createDataFrame([("covered",), (None,)], "event_key string")
+    got = _found(spark, tmp_path, faults, lambda rows: newsroom_issues(rows, allowed=allowed, prior=prior))
+    loose = {"SOURCE_URL_INVALID", "SOURCE_URL_NOT_HTTPS", "SOURCE_URL_CREDENTIALS", "SOURCE_URL_PRIVATE_HOST", "SOURCE_URL_SEARCH_PAGE"}
+    assert [(want, g) for (want, _), g in zip(faults, got, strict=True) if want != g and not (want & loose and want == g - {"INSUFFICIENT_DISTINCT_SOURCES"})] == []
+
+
 def test_bundles_and_versions(spark, tmp_path):
     rows = spark.range(3)
     editions.write_bundle({"report": rows}, str(tmp_path / "b"))
