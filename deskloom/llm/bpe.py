@@ -218,7 +218,11 @@ def _with(df: DataFrame, read: str, out: list[str], kind: str, convert, empty) -
 
 
 def round_trip(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
-    """(key, token_ids, decoded): each text's packed ids, and the bytes that those ids decode to, in one Python pass."""
+    """(key, token_ids, decoded): each text's packed ids, and the bytes that those ids decode to, in one Python pass.
+
+    A null text is empty and has no ids; texts of any length are read whole. Rows that repeat others, or lack a key, each get
+    a row; an empty table gives an empty table; other columns, whatever their names, are not carried.
+    """
     path, pattern = path or default_path(), default_pattern()
     rows = df.select(F.col(key), utf8(text).alias("__text"))
     schema = rows.select(key, F.lit(b"").alias("token_ids"), F.lit(b"").alias("decoded")).schema
@@ -234,7 +238,7 @@ def round_trip(df: DataFrame, key: str = "doc_id", text: str = "text", path: str
 
 
 def digests(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
-    """(key, n_tokens, ids_sha256, decoded_sha256) of each text."""
+    """(key, n_tokens, ids_sha256, decoded_sha256) of each text; nulls, repeats and empty tables as in round_trip()."""
     return round_trip(df, key, text, path).select(
         key,
         (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),

@@ -97,6 +97,9 @@ class Reader:
 def read_back(assembled: DataFrame, path: str | None = None) -> DataFrame:
     """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars) as read from segments()' tokens.
 
+    Rows without a conv_id are one conversation, repeated turns are turns of their own, ties of turn go by role and text, and
+    an empty table gives an empty table.
+
     Turns are sorted within their conversation and read as a stream: memory is bounded by a turn, whatever the length of
     a conversation. The digest of one conversation is sequential by its nature; encoding is not, and is done before.
     """

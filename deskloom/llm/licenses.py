@@ -119,7 +119,8 @@ def licenses(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
     n_base counts all places of base phrases, first_word and last_word are their smallest and largest start (null without
     any). Labels are distinct, sorted and joined by commas, empty if there are none; score is the surest detection's
-    confidence, 0 without any. Null texts are empty; repeated rows each get a row; extra columns are not carried.
+    confidence, 0 without any. Null texts are empty, texts of any length are read whole; repeated rows each get a row; an empty
+    table gives an empty table; extra columns are not carried.
     """
     base = F.filter("detections", lambda d: d["base"])
     starts = F.transform(base, lambda d: d["start"])

@@ -144,7 +144,8 @@ def counts(
 ) -> DataFrame:
     """(key, n_bytes, n_tokens, over_limit) of each whole text; null counts as the empty text, which has no tokens.
 
-    One row for each row, repeats included; other columns, whatever their names, are not carried.
+    One row for each row, repeats and rows without a key included; texts of any length are counted whole; an empty table gives
+    an empty table; other columns, whatever their names, are not carried.
     """
     path, pattern = path or default_path(), default_pattern()
     rows = df.select(F.col(key), utf8(text).alias("__text"))
