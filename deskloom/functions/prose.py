@@ -15,6 +15,20 @@ SCHEMA_KEYS = [
     "candidateId", "headline", "deck", "claims", "supports", "evidenceId", "whatHappened", "whyItMatters", "whatToDoOrWatch",
     "stories", "reviews", "draftSha256", "factsSupported", "attributionAccurate", "analysisSupported", "usefulAndSpecific", "sourceIds", "sources", "editorialPayload", "text",
 ]
+# Words that a summary must not add to its source, and words that prose may begin with a capital anywhere.
+HIGH_RISK_TERMS = [
+    "acquire", "acquired", "acquires", "acquiring", "acquisition", "acquisitions", "attack", "attacked", "attacks", "ban", "banned", "bans",
+    "billion", "billions", "breach", "breached", "breaches", "buy", "buying", "bought", "compromise", "compromised", "compromises", "critical",
+    "exploit", "exploited", "exploiting", "exploits", "expose", "exposed", "exposes", "fine", "fined", "fines", "fire", "fired", "fires", "global",
+    "launch", "launched", "launches", "launching", "layoff", "layoffs", "lawsuit", "lawsuits", "leak", "leaked", "leaks", "million", "millions",
+    "merger", "mergers", "own", "owned", "ownership", "owns", "patch", "patches", "purchase", "purchased", "purchases", "ransomware", "regulation",
+    "regulations", "release", "released", "releases", "ruling", "rulings", "shutdown", "steal", "stealing", "stolen", "sue", "sued", "sues",
+    "trillion", "trillions", "vulnerability", "vulnerabilities", "worldwide", "zero-day",
+]
+SAFE_CAPITALIZED = [
+    "a", "after", "an", "before", "cautious", "check", "compare", "for", "independent", "keep", "no", "only", "open", "read", "readers", "reviewed",
+    "source", "teams", "the", "this", "treat", "two", "watch",
+]
 # Endings that leave a sentence open.
 DANGLING = "and|or|but|because|although|unless|whether|whereas|despite|including|such as|due to|as well as|in order to"
 # What makes a passage a caveat, a detail, or dependent on the one before.
@@ -79,11 +93,20 @@ def lexical_forms(words: Column) -> Column:
 
 
 def unsupported_names(output: Column, source: Column, cap: int = 8) -> Column:
-    """Capitalized words of output, not at the start of a sentence, none of whose forms source has; sorted, lower case."""
+    """Words of output none of whose forms source has, if they are high-risk terms, have capitals inside, or are capitalized
+    within a sentence; sorted, lower case, the first few.
+    """
     word = r"[\p{L}\p{N}]+(?:[’'-][\p{L}\p{N}]+)*"
-    named = F.array_distinct(F.transform(F.regexp_extract_all(output, F.lit(rf"(?<![.!?…]\s{{1,3}})(?<!^)(?<![\p{{L}}\p{{N}}’'-])(\p{{Lu}}[\p{{L}}\p{{N}}]*(?:[’'-][\p{{L}}\p{{N}}]+)*)"), F.lit(1)), lambda w: F.lower(w)))
-    known = lexical_forms(F.transform(F.regexp_extract_all(source, F.lit(word), F.lit(0)), lambda w: F.lower(w)))
-    return F.slice(F.array_sort(let(known, lambda k: F.filter(named, lambda w: ~F.arrays_overlap(lexical_forms(F.array(w)), k)))), 1, cap)
+    every = lambda text, pattern, group: F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    low = lambda words: F.transform(words, lambda w: F.lower(w))
+    risky = F.array(*[F.lit(w) for w in HIGH_RISK_TERMS])
+    raw = every(output, word, 0)
+    grave = F.filter(low(raw), lambda w: F.arrays_overlap(lexical_forms(F.array(w)), risky))
+    inside = low(F.filter(raw, lambda w: w.rlike(r"\p{Ll}\p{Lu}|\p{Lu}{2}")))
+    named = low(every(output, rf"(?<![.!?…]\s{{0,40}})(?<!^)(?<![\p{{L}}\p{{N}}’'-])(\p{{Lu}}[\p{{L}}\p{{N}}]*(?:[’'-][\p{{L}}\p{{N}}]+)*)", 1))
+    sought = F.array_distinct(F.concat(grave, inside, F.filter(named, lambda w: ~w.isin(SAFE_CAPITALIZED))))
+    known = lexical_forms(low(every(source, word, 0)))
+    return F.slice(F.array_sort(let(known, lambda k: F.filter(sought, lambda w: ~F.arrays_overlap(lexical_forms(F.array(w)), k)))), 1, cap)
 
 
 _CAVEAT, _DETAIL, _REFERS = (re.compile(p, re.I) for p in (CAVEAT, DETAIL, REFERENTIAL))

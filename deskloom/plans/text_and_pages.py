@@ -517,7 +517,8 @@ def c06_complete_link_groups(spark, d):
     return matching.group_events(matching.features(rows, "page_id", "title", "host", "page"), ["title", "url", "item"])
 
 
-@query("SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'acquirer:firm a->firm ' || n_name[1:1] || 'x' WHEN 1 THEN 'acquirer:firm a->firm ' || n_name[1:1] || 'x' END AS role FROM (SELECT s_suppkey, lower(n_name) AS n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey)")
+@query("""SELECT s_suppkey, CASE WHEN s_suppkey % 3 < 2 THEN 'acquirer:firm->' || least(p, 'firm') || ':' || greatest(p, 'firm') END AS role
+FROM (SELECT s_suppkey, lower(n_name)[1:1] || 'x' AS p FROM supplier JOIN nation ON s_nationkey = n_nationkey)""")
 def c03_role_anchors(spark, d):
     rows = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     party = F.concat(F.lit("Firm "), F.upper(F.substring("n_name", 1, 1)), F.lit("x"))

@@ -152,6 +152,7 @@ def test_prose(spark):
     assert codes("It stops because.") == ["READER_PROSE_DANGLING_ENDING"]
     assert codes(" ") == ["READER_PROSE_EMPTY"]
     assert value(spark, prose.unsupported_names(F.col("o"), F.col("s")), o="The firm Acme met Zed.", s="acme grew") == ["zed"]
+    assert value(spark, prose.unsupported_names(F.col("o"), F.col("s")), o="Exploited zero-day hits iPhone. This Acme firm Read more.", s="acme grew") == ["exploited", "iphone", "zero-day"]
 
 
 def test_passages_skip_what_does_not_fit():
@@ -254,8 +255,12 @@ def test_complete_link_needs_all_members(spark):
 @pytest.mark.parametrize(
     ("title", "want"),
     [
-        ("Acme Corp acquires Zed", "acquirer:acme corp->zed"), ("Zed was acquired by Acme Corp", "acquirer:acme corp->zed"), ("Acme sues Zed over chips", "claimant:acme->zed"),
-        ("Zed sued by Acme", "claimant:acme->zed"), ("Zed and Acme to merge", "merger:acme+zed"), ("Agency fines Zed", "enforcer:agency->zed"), ("nothing", None),
+        ("Acme Corp acquires Zed", "acquirer:acme:corp->zed"), ("Zed was acquired by Acme Corp", "acquirer:acme:corp->zed"), ("Acme sues Zed over chips", "claimant:acme->zed"),
+        ("Zed sued by Acme", "claimant:acme->zed"), ("Zed and Acme to merge", "merger:acme+zed"), ("Agency fines Zed", "enforcer:agency->zed"), ("nothing", None), (None, None),
+        ("Acme's antitrust lawsuit against Zed", "claimant:acme->zed"), ("Lawsuit against Zed filed by Acme", "claimant:acme->zed"), ("Open AI and Facebook reach settlement", "settlement:meta+openai"),
+        ("Zed fined 3 million by Agency", "enforcer:agency->zed"), ("Court orders Zed to pay Acme", "payer:zed->acme"), ("Acme wins $3 payout from Zed", "payer:zed->acme"), ("Zed is under Agency investigation", "investigator:agency->zed"),
+        ("Agency opens antitrust inquiry into Zed", "investigator:agency->zed"), ("Google's Zed acquisition", "acquirer:google->zed"), ("Merger of Zed and Acme", "merger:acme+zed"), ("Acme's acquisition of Zed closes", "acquirer:acme->zed"),
+        ("Judge sides with Acme against Zed", "winner:acme->zed"), ("Acme files new complaint against Zed", "claimant:acme->zed"), ("Agency imposes record 3 million fine on Zed", "enforcer:agency->zed"), ("VS Code acquired by Zed", "acquirer:zed->microsoft"),
     ],
 )
 def test_roles(spark, title, want):
