@@ -580,15 +580,15 @@ def q02_draft_issues(spark, d):
     return integrity.draft_issues(_drafts(spark, d))
 
 
-@query("""WITH o AS (SELECT o_orderkey, strftime(DATE '2026-01-05' + CAST(o_orderkey % 20 AS INTEGER), '%Y-%m-%d') AS edition, o_orderkey % 8 AS k FROM orders), c AS (SELECT edition, unnest(CASE k
+@query("""WITH o AS (SELECT c_custkey, strftime(DATE '2026-01-05' + CAST(c_custkey % 20 AS INTEGER), '%Y-%m-%d') AS edition, c_custkey % 8 AS k FROM customer), c AS (SELECT edition, unnest(CASE k
 WHEN 1 THEN [['ai', 'STORY_STATUS_INVALID']] WHEN 2 THEN [['ai.sources[1].url', 'SOURCE_URL_SEARCH_PAGE'], ['ai', 'INSUFFICIENT_DISTINCT_SOURCES'], ['ai.evidence[0]', 'EVIDENCE_SOURCE_UNKNOWN']]
 WHEN 3 THEN [['ai.deck', 'EDITORIAL_TEXT_MISSING']] WHEN 4 THEN [['ai', 'REPEATED_EVENT_NOT_MATERIAL_UPDATE']] WHEN 5 THEN [['ai', 'NEW_DEVELOPMENT_OUTSIDE_WINDOW']]
 WHEN 6 THEN [['ai', 'CRITICAL_STORY_SOURCE_MIX'], ['ai', 'CRITICAL_STORY_EVIDENCE_MIX']] WHEN 7 THEN [['edition.watchNext', 'WATCH_NEXT_UNSOURCED']] ELSE [] END) AS x FROM o)
 SELECT edition, x[1] AS scope, x[2] AS code, count(*) AS n FROM c GROUP BY ALL""")
 def q02_newsroom_issues(spark, d):
-    """Orders as draft editions of one story each, whole or with one fault; a fault may break several rules."""
-    k = "o_orderkey % 8"
-    day = "string(date_add(DATE'2026-01-05', int(o_orderkey % 20)))"
+    """Customers as draft editions of one story each, whole or with one fault; a fault may break several rules."""
+    k = "c_custkey % 8"
+    day = "string(date_add(DATE'2026-01-05', int(c_custkey % 20)))"
     source = lambda name, url: f"struct('{name}' AS id, 'T' AS title, 'P' AS publisher, {url} AS url, 'independent' AS relationship, concat({day}, 'T08:00:00Z') AS publishedAt, concat({day}, 'T09:00:00Z') AS retrievedAt)"
     second = source("b", f"if({k} = 2, 'https://www.google.com/x', 'https://b.example.com/x?utm_source=y')")
     story = (
@@ -602,7 +602,8 @@ def q02_newsroom_issues(spark, d):
         f"struct({day} AS editionDate, 'draft' AS status, struct(concat(string(date_sub({day}, 1)), 'T10:00:00Z') AS startInclusive, concat({day}, 'T10:00:00Z') AS endExclusive) AS reportingWindow, "
         f"struct(concat({day}, 'T11:00:00Z') AS publishAt, concat({day}, 'T10:30:00Z') AS generatedAt) AS publication, struct('n' AS note) AS frontPage, struct(struct('ai' AS desk, {story} AS story) AS ai, {quiet}) AS desks, struct({watch} AS watchNext) AS backPage)"
     )
-    rows = table(spark, d, "orders").select(F.from_json(F.to_json(F.expr(json)), editions.EDITION).alias("e")).select("e.*")
+    rows = table(spark, d, "customer").select(F.from_json(F.to_json(F.expr(json)), editions.EDITION).alias("e")).select("e.*")
+    rows = checkpointed(rows)  # read once, judged as editions, desks, stories, sources and claims
     found = editorial.newsroom_issues(rows, prior=spark.createDataFrame([("covered",)], "event_key string"))
     return found.groupBy(F.col("editionDate").alias("edition"), "scope", "code").agg(F.count("*").alias("n"))
 

@@ -17,14 +17,19 @@ def windowed_counts(stream: DataFrame, at: str, by: str, size: str = "1 hour", d
 
 
 def append_new(target: str, key: str):
-    """A foreachBatch function that appends rows whose key the Parquet table at target lacks; replays change nothing."""
+    """A foreachBatch function that appends rows whose key the Parquet table at target lacks; replays change nothing.
+
+    One stream writes to a target: two at once could both find a key missing. The keys of the target are read for each batch,
+    but only those that the batch has go on to the join, so partition the target by something that prunes them if it is large.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         new = batch.dropDuplicates([key])
         spark = batch.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(target)
         if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            new = new.join(spark.read.parquet(target).select(key), key, "left_anti")
+            seen = spark.read.parquet(target).select(key).join(new.select(key), key, "left_semi").distinct()
+            new = new.join(seen, key, "left_anti")
         new.write.mode("append").parquet(target)
 
     return write
