@@ -16,7 +16,7 @@ from deskloom.checkpoints import Written, checkpointed
 
 __all__ = ["Written", "checkpointed"]
 #: Bytes of the rows that are turned into Python objects at a time, about; Spark bounds its Arrow batches by bytes itself.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: Rows of a table of a few numbers and a short string that may be broadcast.
 BROADCAST_ROWS = 100_000
 

@@ -36,7 +36,7 @@ OWED = 0.8
 #: An exception phrase is seen in this many clean rows and in no toxic one.
 EXCEPTION_ROWS = 3
 #: Term counts that a task holds before it hands them on.
-HELD_TERMS = 400_000
+HELD_TERMS = 100_000
 
 #: Letters of other scripts that look like Latin ones.
 HOMOGLYPHS = dict(

@@ -700,7 +700,7 @@ def test_operators_leave_the_session_alone(spark):
     bpe.digests(documents(spark, ["a", LONG])).collect()
     assert spark.conf.get(key) == before
     try:
-        for given, want in (("64m", str(4 << 20)), ("1m", "1m")):
+        for given, want in (("64m", str(1 << 20)), ("1m", "1m")):
             spark.conf.set(key, given)
             small_batches(spark)
             assert spark.conf.get(key) == want
