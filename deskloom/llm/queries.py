@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deskloom.llm import bpe, chat, embedding_dedup, html_main, licenses, mixing, simhash, token_counts, topk, toxicity
+from deskloom.llm import bpe, chat, embedding_dedup, fim, html_main, licenses, line_dedup, mixing, repair, simhash, token_counts, topk, toxicity
 from deskloom.llm.common import small_batches, table
 
 
@@ -54,10 +54,22 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.damaged_and_repaired(table(spark, sf_dir, "conversations"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     own = [
         op1_embedding_near_dedup, op2_source_mixing, op3_chat_formatting, op4_byte_level_bpe, op5_license_scan,
-        op6_token_counts, op7_toxicity, op8_html_extraction, op9_simhash_near_dedup, op10_exact_top_k,
+        op6_token_counts, op7_toxicity, op8_html_extraction, op9_simhash_near_dedup, op10_exact_top_k, op11_conversation_repair, op12_line_dedup, op13_fill_in_middle,
     ]
     return {f.__name__: _with_small_batches(f) for f in own}
 
@@ -121,4 +133,4 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_near_dedup": OP1_SQL, "op3_chat_formatting": OP3_SQL, "op10_exact_top_k": OP10_SQL}
+    return {"op1_embedding_near_dedup": OP1_SQL, "op3_chat_formatting": OP3_SQL, "op10_exact_top_k": OP10_SQL, "op12_line_dedup": line_dedup.SQL, "op13_fill_in_middle": fim.SQL}
