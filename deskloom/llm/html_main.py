@@ -1,16 +1,23 @@
-"""Operator 8: main text of HTML pages, by a host's suffix array and the pages' own marks.
-
-A page is read into blocks, each in one of three zones: ARTICLE (within an article or main element), OTHER (within an element
-that holds no article by its kind, as menus, headers, footers, sidebars and forms, or by its name, as adverts, notices and
-comments), OPEN (the rest). The blocks that are not in an ARTICLE make the page's token stream. The streams of a host's pages
-make one suffix array, truncated at SPAN tokens, which finds the same repeats as a full one, since a longer repeat begins with
-a shorter one at each of its places. Tasks sort the suffixes of their pages by prefix doubling and give one row for each
-distinct one; these rows are merged over all tasks by host and suffix. A suffix that two distinct pages of a host have
-is a substring that repeats across pages, and the tokens it covers are boilerplate.
-
-What repetition covers is removed from every page. Of what it leaves, runs in OPEN blocks stay if the page marks no article;
-names and marks decide only what repetition leaves undecided. ARTICLE blocks stay whole: articles share passages with each
-other, so that repetition there would remove article text (see the README for figures).
+"""Operator 8: main text of HTML pages, by the repeated suffixes of a host's pages and the pages' own marks.
+
+A page is read once, into blocks, each in one of three zones: ARTICLE (within an article or main element), OTHER (within an
+element that holds no article by its kind, as menus, page headers, footers, sidebars and forms, or by its name, as adverts,
+notices and comments), OPEN (the rest). The blocks that are not in an ARTICLE make the page's token stream.
+
+The suffixes of a host's streams are compared by their first SPAN tokens, which finds the same repeats as whole suffixes, since
+a longer repeat begins with a shorter one at each of its places. This is the sorted part of a suffix array, made in pieces:
+each task sorts the suffixes of a slice of pages by prefix doubling, and gives one row for each distinct one; equal suffixes of
+a host then meet by their hashes, so no task holds a host and no array of a whole host is built. A suffix that two distinct
+pages of a host have is a substring that repeats across pages, and the tokens it covers are boilerplate.
+
+What repetition covers is removed from OPEN and OTHER blocks. Of what it leaves, runs in OPEN blocks stay if the page marks no
+article. Names and marks come first in and around articles: ARTICLE blocks stay whole, since articles share passages with each
+other and repetition would remove article text, and OTHER blocks go even if they are unique (see the README for figures).
+
+Names count as whole words of a class, id or role: `sidebar` and `site-footer` are names, `with-sidebar` is not. An article or
+main element within an element of such a name begins an article all the same, unless the name is that of adverts, comments or
+related articles, or the element's kind or `hidden` excludes it. A header element within an article is the article's own: its
+headings and paragraphs stay, the rest of it goes.
 """
 
 from __future__ import annotations
@@ -32,6 +39,9 @@ SPAN = 10
 #: Repeated suffixes that may be broadcast, of 8 bytes each; more of them are joined by a shuffle.
 BROADCAST_SUFFIXES = 1_000_000
 ARTICLE, OPEN, OTHER = 0, 1, 2
+#: Zones while a page is read: CLOSED and NAMED blocks are OTHER in the end; HEADED ones, of an article's own header, are of the
+#: article if they are running text.
+CLOSED, NAMED, HEADED = OTHER, 3, 4
 
 #: Elements whose text is never main text.
 DROPPED = frozenset("head title nav header footer aside form script style noscript template iframe svg canvas object button select textarea dialog menu".split())
@@ -45,45 +55,68 @@ PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 #: What a start tag closes if it is the innermost open element but for those within a line; every such tag closes a paragraph.
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th", "tr"}, "option": {"option"}} | dict.fromkeys(HEADINGS, HEADINGS)
-#: Last words of a class, id or role that name something other than the article.
+#: Words of a class, id or role that name something other than the article.
 NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner menu nav navbar navigation breadcrumb breadcrumbs sidebar "
     "aside widget header masthead footer cookie cookies consent notice notices gdpr popup modal newsletter subscribe signup login share sharing social "
-    "related recommended comment comments reply replies respond disqus pagination pager toolbar search complementary contentinfo".split()
+    "related recommended comment comments reply replies respond disqus pagination pager toolbar complementary contentinfo".split()
 )
-#: First words that do so whatever follows, but in paragraphs and headings; and the words that count for article elements.
-LEADS = frozenset("ad ads advert sponsor sponsored promo cookie cookies gdpr comment comments sidebar nav navbar menu footer breadcrumb newsletter social share related disqus pagination popup modal".split())
-NOT_AN_ARTICLE = frozenset("ad ads advert advertisement sponsored promo comment comments reply replies related recommended".split())
+#: Words that may stand beside them in one class without changing what it names; numbers may too.
+BESIDE = frozenset(
+    "area bar block bottom box button buttons center col column container cta desktop fixed floating form frame global google group holder icon icons inline inner "
+    "item items label large leaderboard left link links list main middle mobile mpu panel placeholder primary right row secondary section site slot small sticky "
+    "strip text thread title top unit wrap wrapper zone".split()
+)
+#: Words that may stand beside a name if it isn't that of a title's place.
+OWNERS = frozenset("article blog entry page post reader story user".split())
+TITLED = frozenset("header masthead banner".split())
+#: Names of what holds no article, whatever elements it has; `sidebar` and `aside` only as a word by themselves.
+NOT_AN_ARTICLE = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion comment comments reply replies respond disqus related recommended".split())
+ALONE = frozenset(["sidebar", "aside"])
 MAIN = frozenset(["article", "main"])
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _STOP = re.compile(r"=\s*[\"']|>")
-_NAMED = re.compile(r"(?:^|[\s/\"'])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|[\s\"'])hidden(?=[\s=/]|$)", re.I)
-_PARTS = re.compile(r"[a-z0-9]+")
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
+_UNSEEN = re.compile(r"display\s*:\s*none", re.I)
 _ZEROS = re.compile(r"&#([xX]?)0+(?=[0-9a-fA-F])")
 _HUGE = re.compile(r"&#(?:[0-9]{8,}|[xX][0-9a-fA-F]{8,});?")
 
 
-def _other(name: str, attributes: str) -> bool:
-    """Whether an element holds no article, by its kind or by a name."""
+def _attributes(text: str) -> dict[str, str]:
+    """Names and values of a start tag; of a name that comes twice, the first counts."""
+    found: dict[str, str] = {}
+    for name, a, b, c in _ATTRIBUTE.findall(text):
+        found.setdefault(name.lower(), a or b or c)
+    return found
+
+
+def _named(word: str) -> int | None:
+    """CLOSED or NAMED if a whole word of a class, id or role names something other than the article, else None."""
+    parts = [p.lower() for p in _PARTS.findall(word)]
+    names = [p for p in parts if p in NAMES]
+    if not names:
+        return None
+    beside = BESIDE if TITLED.intersection(names) else BESIDE | OWNERS
+    if any(p not in NAMES and p not in beside and not p.isdigit() for p in parts):
+        return None
+    return CLOSED if NOT_AN_ARTICLE.intersection(names) or (len(parts) == 1 and parts[0] in ALONE) else NAMED
+
+
+def _excluded(name: str, attributes: dict[str, str]) -> int | None:
+    """CLOSED if an element holds no article whatever is in it, NAMED if only an article within it is one, else None."""
     if name in DROPPED:
-        return True
+        return CLOSED
     if not attributes or name in ("html", "body"):
-        return False
-    if _HIDDEN.search(attributes):
-        return True
-    for _, a, b, c in _NAMED.findall(attributes):
-        for word in (a or b or c).lower().split():
-            parts = _PARTS.findall(word)
-            if not parts:
-                continue
-            if name in MAIN:
-                if parts[-1] in NOT_AN_ARTICLE:
-                    return True
-            elif parts[-1] in NAMES or (parts[0] in LEADS and name not in PROSE):
-                return True
-    return False
+        return None
+    if "hidden" in attributes or _UNSEEN.search(attributes.get("style", "")):
+        return CLOSED
+    words = [w for key in ("class", "id", "role") for w in attributes.get(key, "").split() if name not in MAIN or w.lower() not in ALONE]
+    found = [_named(w) for w in words]
+    if CLOSED in found:
+        return CLOSED
+    return NAMED if NAMED in found and name not in MAIN else None
 
 
 def _decoded(text: str) -> str:
@@ -116,7 +149,7 @@ class _Page:
         self.outer: list[int] = []  # which of them are not within a line
         self.count: Counter = Counter()  # open elements by name; those within a line by how many others are open around them
         self.zone = OPEN
-        self.text: tuple[list[str], list[str], list[str]] = ([], [], [])
+        self.text: tuple[list[str], ...] = ([], [], [], [], [])
 
     def cut(self) -> None:
         """Ends the block."""
@@ -124,7 +157,8 @@ class _Page:
         for zone, pieces in enumerate(self.text):
             if pieces:
                 if found := _decoded("".join(pieces)):
-                    self.blocks.append((zone, prose, found))
+                    last = zone if zone < NAMED else ARTICLE if zone == HEADED and prose else OTHER
+                    self.blocks.append((last, prose, found))
                 pieces.clear()
 
     def _key(self, name: str):
@@ -144,9 +178,9 @@ class _Page:
                 self.cut()
             return
         if name in INLINE:
-            other = self.zone != OTHER and _other(name, attributes)
+            other = self.zone != CLOSED and attributes and _excluded(name, _attributes(attributes)) is not None
             if other or (self.open and self.open[-1][0] in INLINE):
-                self.zone = OTHER if other else self.zone
+                self.zone = CLOSED if other else self.zone
                 self.open.append((name, self.zone))
                 self.count[self._key(name)] += 1
             return
@@ -157,11 +191,17 @@ class _Page:
                 self.pop()
         if attributes.endswith("/"):
             return
-        if self.zone != OTHER:
-            if _other(name, attributes):
-                self.zone = OTHER
-            elif name in MAIN:
+        if self.zone != CLOSED:
+            own = _attributes(attributes) if attributes else {}
+            held = _excluded(name, own)
+            if name == "header" and self.zone in (ARTICLE, HEADED) and _excluded("div", own) is None:
+                self.zone = HEADED
+            elif held == CLOSED:
+                self.zone = CLOSED
+            elif name in MAIN or own.get("role", "").lower() in MAIN:
                 self.zone, self.has_mark = ARTICLE, True
+            elif held == NAMED:
+                self.zone = NAMED
         self.outer.append(len(self.open))
         self.open.append((name, self.zone))
         self.count[name] += 1
@@ -311,32 +351,44 @@ def main_text(df: DataFrame, key: str = "page_id", url: str = "url", html: str =
     length are read whole; an empty table gives an empty table; extra columns are not carried, whatever their names.
     """
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url).cast("string"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
-    rows = df.select(F.col(key).alias("page_id"), F.col(url).cast("string").alias("url"), utf8(html).alias("html"), host.alias("host"))
+    rows = df.select(F.col(key).alias("page_id"), F.col(url).cast("string").alias("url"), host.alias("host"), utf8(html).alias("html"))
     schema = rows.select("page_id", "url", F.lit("").alias("text"), F.lit(0).cast("long").alias("n_repeated"), F.lit(0).cast("long").alias("n_named")).schema
+    read_schema = rows.select("page_id", "url", "host", F.lit(True).alias("has_mark"), F.array(F.lit(0)).alias("kinds"), F.array(F.lit("")).alias("texts")).schema
+
+    def read(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [blocks(x) for x in batch.column(3).to_pylist()]
+        kinds = [[zone * 2 + prose for zone, prose, _ in own] for own, _ in found]
+        columns = [pa.array([m for _, m in found], pa.bool_()), pa.array(kinds, pa.list_(pa.int32())), pa.array([[t for _, _, t in own] for own, _ in found], pa.list_(pa.string()))]
+        return pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=read_schema.names)
+
+    pages = checkpointed(map_arrow(rows, read, read_schema))  # each page is parsed once
+
+    def of(kinds: pa.Array, texts: pa.Array) -> list[list[tuple[int, bool, str]]]:
+        return [[(k >> 1, bool(k & 1), t) for k, t in zip(x, y, strict=True)] for x, y in zip(kinds.to_pylist(), texts.to_pylist(), strict=True)]
 
     def sorted_suffixes(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         import xxhash
 
-        pages = [(h, blocks(x)[0]) for h, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-        found = Suffixes(pages)
+        streams = list(zip(batch.column(0).to_pylist(), of(batch.column(1), batch.column(2)), strict=True))
+        found = Suffixes(streams)
         if not len(found.hashes):
             return None
-        page = np.array([xxhash.xxh64_intdigest("\n".join(t for _, _, t in own).encode("utf-8", "surrogatepass")) for _, own in pages], np.uint64).view(np.int64)[found.at[:, 0]]
+        page = np.array([xxhash.xxh64_intdigest("\n".join(t for _, _, t in own).encode("utf-8", "surrogatepass")) for _, own in streams], np.uint64).view(np.int64)[found.at[:, 0]]
         low, high = np.full(len(found.hashes), np.iinfo(np.int64).max), np.full(len(found.hashes), np.iinfo(np.int64).min)
         np.minimum.at(low, found.own, page)
         np.maximum.at(high, found.own, page)
         return pa.RecordBatch.from_arrays([pa.array(found.hashes), pa.array(low), pa.array(high)], names=["suffix", "low", "high"])
 
-    merged = map_arrow(rows.select("host", "html"), sorted_suffixes, "suffix long, low long, high long").groupBy("suffix").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    merged = map_arrow(pages.select("host", "kinds", "texts"), sorted_suffixes, "suffix long, low long, high long").groupBy("suffix").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     repeated = checkpointed(merged.where("low < high").select("suffix"))
 
     def decided(batch: pa.RecordBatch, known) -> pa.RecordBatch:
         """known(i, hashes): which of the hashes of suffixes repeat, for the i-th row."""
-        pages = [blocks(x) for x in batch.column(2).to_pylist()]
-        found = Suffixes(list(zip(batch.column(3).to_pylist(), (own for own, _ in pages), strict=True)))
-        edges = np.searchsorted(found.at[:, 0], np.arange(len(pages) + 1))
+        streams, marks = of(batch.column(4), batch.column(5)), batch.column(3).to_pylist()
+        found = Suffixes(list(zip(batch.column(2).to_pylist(), streams, strict=True)))
+        edges = np.searchsorted(found.at[:, 0], np.arange(len(streams) + 1))
         out = []
-        for i, (own, has_mark) in enumerate(pages):
+        for i, (own, has_mark) in enumerate(zip(streams, marks, strict=True)):
             part = slice(edges[i], edges[i + 1])
             hit = known(i, found.hashes[found.own[part]])
             out.append(judged(own, has_mark, found.at[part][hit][:, 1:].tolist()))
@@ -351,26 +403,26 @@ def main_text(df: DataFrame, key: str = "page_id", url: str = "url", html: str =
             at = lambda hashes: np.minimum(np.searchsorted(known, hashes), len(known) - 1)
             return decided(batch, lambda i, hashes: known[at(hashes)] == hashes if len(known) else np.zeros(len(hashes), bool))
 
-        out = map_arrow(rows, run, schema)
+        out = map_arrow(pages, run, schema)
     else:
-        own = rows.withColumn("page", F.xxhash64("host", "html"))
+        own = pages.withColumn("page", F.xxhash64("host", "kinds", "texts"))
 
         def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in slices(batch):
-                    found = Suffixes([(h, blocks(x)[0]) for h, x in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)])
+                    found = Suffixes(list(zip(part.column(1).to_pylist(), of(part.column(2), part.column(3)), strict=True)))
                     if len(found.own):
                         both = np.unique(np.stack([part.column(0).to_numpy()[found.at[:, 0]], found.hashes[found.own]], 1), axis=0)
                         yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["p", "suffix"])
 
-        listing = own.select("page", "host", "html").mapInArrow(listed, "p long, suffix long")
+        listing = own.select("page", "host", "kinds", "texts").mapInArrow(listed, "p long, suffix long")
         # by the suffix turned over, so that both sides are dealt out anew and a frequent suffix can be split
         met = listing.join(repeated.select(F.bitwise_not("suffix").alias("turned")), F.bitwise_not("suffix") == F.col("turned"), "left_semi")
         covered = met.groupBy("p").agg(F.collect_set("suffix").alias("covered"))  # of one page's text, so bounded by its length
-        joined = own.join(covered, F.col("page") == F.col("p"), "left").select("page_id", "url", "html", "host", "covered")
+        joined = own.join(covered, F.col("page") == F.col("p"), "left").select(*pages.columns, "covered")
 
         def run_joined(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = batch.column(4).to_pylist()
+            sets = batch.column(6).to_pylist()
             return decided(batch, lambda i, hashes: np.isin(hashes, np.array(sets[i] or [], np.int64)))
 
         out = map_arrow(joined, run_joined, schema)

@@ -133,4 +133,4 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_near_dedup": OP1_SQL, "op3_chat_formatting": OP3_SQL, "op10_exact_top_k": OP10_SQL, "op12_line_dedup": line_dedup.SQL, "op13_fill_in_middle": fim.SQL}
+    return {"op1_embedding_near_dedup": OP1_SQL, "op3_chat_formatting": OP3_SQL, "op10_exact_top_k": OP10_SQL, "op11_conversation_repair": repair.SQL, "op12_line_dedup": line_dedup.SQL, "op13_fill_in_middle": fim.SQL}

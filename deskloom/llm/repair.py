@@ -49,7 +49,7 @@ def faults(df: DataFrame, conversation: str = "conv_id", turn: str = "turn", rol
         F.coalesce(F.col(text).cast("string"), F.lit(" ")).alias("text"),
     )
     inside = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    alike = Window.partitionBy("conv_id", "role", "text").orderBy("turn")
+    alike = Window.partitionBy("conv_id", "role", "text").orderBy("place")
     ended = F.right(F.rtrim(F.col("text"), F.lit(BLANKS)), F.lit(1))
     initial = F.substring("role", 1, 1)
     return (
@@ -274,3 +274,54 @@ def damaged_and_repaired(conversations: DataFrame) -> DataFrame:
     """The digests of conversations that damaged() has damaged."""
     own = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     return digests(faults(damaged(own)), own)
+
+
+SQL = r"""
+WITH RECURSIVE r AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations
+), bits AS (
+  SELECT b, list_reduce([CAST(b AS BIGINT)] || range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS t FROM range(256) AS g(b)
+), crcs AS (SELECT list(t ORDER BY b) AS ts FROM bits),
+keyed AS (
+  SELECT k, xor(list_reduce([4294967295] || list_transform(string_split(k, ''), lambda c: CAST(ascii(c) AS BIGINT)),
+    lambda c, x: xor(c >> 8, ts[1 + (xor(c, x) & 255)])), 4294967295) % 20 AS code FROM (SELECT DISTINCT k FROM r), crcs
+), d AS (
+  SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role,
+    CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN code = 3 THEN [0, 1] ELSE [0] END) AS again FROM r JOIN keyed USING (k) WHERE code <> 0
+), f AS (
+  SELECT conv_id, turn, role, text, left(role, 1) AS i, row_number() OVER w AS place,
+    rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body,
+    lag(left(role, 1)) OVER w || left(role, 1) NOT IN ('su', 'ua', 'au') AS illegal
+  FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+), g AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) > 1 AS dup FROM f
+), t AS (
+  SELECT *, body = '' AS blank, body <> '' AND dup AS duplicate, body <> '' AND NOT dup AND right(body, 1) NOT IN ('.', '!', '?') AS late FROM g
+), facts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank,
+    count(*) FILTER (WHERE duplicate) AS duplicate, count(*) FILTER (WHERE late) AS truncated, count(*) FILTER (WHERE illegal) AS illegal FROM t GROUP BY conv_id
+), fold AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS place,
+    [{c: CAST(0 AS BIGINT), a: '', x: CAST([] AS VARCHAR[])}, {c: 1000000000, a: '', x: []}, {c: 2, a: 'I', x: ['user:']}, {c: 4, a: 'II', x: ['user:', 'assistant:']}] AS s
+  FROM facts
+  UNION ALL
+  SELECT conv_id, place, [s[1], s[2], u, list_min([s[4], {c: u.c + 2, a: u.a || 'I', x: u.x || ['assistant:']}])] AS s FROM (
+    SELECT conv_id, place, s, list_min([s[3]] || list_transform([s[1], s[2], s[4]], lambda y: {c: y.c + 2, a: y.a || 'I', x: y.x || ['user:']})) AS u FROM (
+      SELECT t.conv_id, t.place, list_transform([1, 2, 3, 4], lambda q: list_min(
+        [{c: s[q].c + 3, a: s[q].a || 'D', x: s[q].x}]
+        || CASE WHEN blank OR duplicate OR q < 3 THEN [] ELSE list_transform(CASE q WHEN 3 THEN [s[1], s[2], s[4]] ELSE [s[3]] END,
+          lambda y: {c: y.c + 2 + CAST(late AS BIGINT), a: y.a || 'R', x: y.x || [CASE q WHEN 3 THEN 'user:' ELSE 'assistant:' END || text]}) END
+        || CASE WHEN blank OR duplicate OR q = 1 OR i <> ['', 's', 'u', 'a'][q] THEN [] ELSE list_transform(CASE q WHEN 2 THEN [s[1]] WHEN 3 THEN [s[1], s[2], s[4]] ELSE [s[3]] END,
+          lambda y: {c: y.c + CAST(late AS BIGINT), a: y.a || 'K', x: y.x || [role || ':' || text]}) END)) AS s
+      FROM fold JOIN t ON t.conv_id IS NOT DISTINCT FROM fold.conv_id AND t.place = fold.place + 1
+    )
+  )
+), best AS (
+  SELECT conv_id, list_min([s[1], s[4]]) AS e FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY place DESC) AS n FROM fold) WHERE n = 1
+), ids AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(e.c, 0) AS cost, coalesce(e.a, '') AS audit, sha256(coalesce(array_to_string(e.x, chr(10)), '')) AS repaired_sha256
+FROM ids LEFT JOIN facts ON facts.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM ids.conv_id
+"""

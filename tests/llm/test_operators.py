@@ -565,6 +565,21 @@ def test_folding():
         ("<article>a<![CDATA[ <b> & ]]>b<![CDATA[ c > d</article>", "a <b> & b d"),
         ("<article>&#" + "0" * 9000 + "65;&#" + "9" * 9000 + "; &#x41;</article>", "A\ufffd A"),
         ("<article>kept</article><p class='never ends", "kept"),
+        ('<div class="content with-sidebar"><article><p>hello world</p></article></div>', "hello world"),
+        ('<div class="no-sidebar"><p>open</p></div>', "open"),
+        ('<div class="post search"><article><p>a</p></article><p>b</p></div>', "a"),
+        ('<div class="post search"><p>open</p></div>', "open"),
+        ('<div class="banner"><main><p>a</p></main><p>b</p></div>', "a"),
+        ('<div class="related-posts related"><article><p>teaser</p></article></div><article><p>a</p></article>', "a"),
+        ('<div class="sidebar"><article><p>teaser</p></article></div><article><p>a</p></article>', "a"),
+        ('<div hidden><article><p>no</p></article></div><p style="display: none">no</p><p>open</p>', "open"),
+        ('<article data-title="Some hidden treasures of Rome"><p title="a hidden gem">a</p><p class="hidden lg:flex">b</p><p hidden>c</p><p class=x hidden=until-found>d</p></article>', "a b"),
+        ('<article><p data-class="ad" title=\'class="comments"\'>a</p></article>', "a"),
+        ('<article><div class="post-header"><h1>T</h1></div><p class="intro-banner">one</p><header><h1>H</h1><p>by</p><div>tools</div><nav>n</nav></header>two</article>', "T one H by two"),
+        ('<header><h1>Site</h1></header><article>a<footer>f</footer></article>', "a"),
+        ('<div role="main"><p>a</p><div role="navigation">n</div><section id="postComments"><p>c</p></section><ol class="comment-list"><li>c</ol></div>', "a"),
+        ('<article>a<span class="adSlot">x</span><div class="ad-728">x</div><p class="adventure comment-free">b</p><div class="newsletter-signup">x</div></article>', "a b"),
+        ('<main class="search sidebar"><p>a</p></main><article class="comment"><p>c</p></article>', "a"),
     ],
 )
 def test_blocks(html, want):
