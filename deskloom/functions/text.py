@@ -228,30 +228,6 @@ def identifiers(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda x: F.lower(x))))
 
 
-def product_tags(text: Column) -> Column:
-    """Typed tags of versions, models, components, channels, acronyms, named products, features and units that text names, sorted."""
-    from deskloom.functions.events import named_tags
-
-    low = F.lower(text)
-    tag = lambda kind, pattern, source: F.transform(F.regexp_extract_all(source, F.lit(pattern), F.lit(1)), lambda x: F.concat(F.lit(f"{kind}:"), F.lower(x)))
-    found = F.flatten(
-        F.array(
-            tag("version", r"(?<![a-z0-9.])v?(\d+(?:\.\d+){1,3})(?![a-z0-9])", low),
-            tag("model", r"(?<![a-z0-9])([a-z]{2,}-?\d+(?:\.\d+)?[a-z]?)(?![a-z0-9])", low),
-            tag("component", r"(?<![a-z])(kernel|driver|firmware|bootloader|plugin|extension|browser|compiler)s?(?![a-z])", low),
-            tag("channel", r"(?<![a-z])(beta|stable|preview|nightly|canary|lts)(?![a-z])", low),
-            tag("acronym", r"(?<![A-Za-z0-9])([A-Z]{3,6})(?![A-Za-z0-9])", text),
-            F.when(text.isNotNull(), named_tags(text)),
-        )
-    )
-    return F.array_sort(F.array_distinct(found))
-
-
-def entity_key(entity: Column) -> Column:
-    """T16, without the alias table: an entity's name in lower case without surrounding or repeated blanks."""
-    return F.lower(F.trim(F.regexp_replace(entity, SPACE + "+", " ")))
-
-
 def canonical_url(url: Column, tracking: str = V.TRACKING, add_slash: bool = False) -> Column:
     """Https, no fragment, no tracking parameters, the query sorted. Null for what is no http(s) URL with a host."""
     bare = F.regexp_replace(F.trim(url), "#.*$", "")

@@ -76,8 +76,8 @@ SELECT doc_id, CASE WHEN len(f) > 0 AND len(text) - len(replace(text, f, '')) =
 THEN replace(text, f, 'edited') END AS text FROM n"""
 
 # The tags of planted headlines.
-_N = len(T._ENDS)
-_TITLES = f"""h AS (SELECT doc_id AS item, array_to_string(list_transform({['alder', 'birch', 'cedar', 'elm', 'fir', 'hazel', 'larch', 'maple']!r}, lambda w: w || CAST(doc_id // {_N} AS VARCHAR)), ' ') || ' ' || {T._ENDS!r}[doc_id % {_N} + 1] AS title FROM documents),
+_TITLES = f"""d AS (SELECT doc_id, CAST(unnest([0, 1]) AS BIGINT) AS side, array_to_string(regexp_extract_all(coalesce(text, ''), '[\\p{{L}}\\p{{N}}]+')[1:8], ' ') AS subject FROM documents),
+h AS (SELECT 2 * doc_id + side AS item, 'Google ' || subject || ' ' || {T._ENDS!r}[2 * (doc_id % {len(T._ENDS) // 2}) + side + 1] AS title FROM d),
 t AS (SELECT item, title, lower(title) AS t FROM h)"""
 _OBJECTS, _LAST = _tags("t", E.OBJECTS), _tags("t", E.LAST_OBJECTS)
 _ENTITIES = _tags("t", {k: [r"\b" + r"\s+".join(n.lower().replace(".", r"\.").split()) + r"\b" for n in names] for k, names in E.ENTITIES.items()})

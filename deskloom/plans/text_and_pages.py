@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from deskloom.checkpoints import checkpointed, shared_folder
-from deskloom.functions import numbers, prose, scoring, text, times
+from deskloom.functions import events, numbers, prose, roles, scoring, text, times
 from deskloom.functions import values as V
 from deskloom.operators import editorial, integrity, matching
 from deskloom.plans.registry import query, table
@@ -144,14 +144,30 @@ def t14_strong_identifiers(spark, d):
     return _docs(spark, d).select("doc_id", F.array_join(text.identifiers(planted), " ").alias("ids"))
 
 
-@query()
+#: Ends of titles with products of each kind, in turn, and their tags.
+_PRODUCTS = {
+    "GPT-5 mini in ChatGPT API": ["channel:api", "channel:chatgpt", "model:gpt-5-mini", "named:chatgpt"],
+    "Windows 11 24H2 kernel": ["channel:windows-servicing:24h2", "component:kernel", "named:windows", "version:windows:11"],
+    "Google Docs and Chrome sync on LinkedIn": ["feature:chrome-sync", "named:chrome", "named:google-docs", "unit:linkedin"],
+    "iOS 19.1 beta 2 for SME teams": ["acronym:smb-sme", "channel:apple-os-beta:2", "named:ios", "version:apple-os:19.1"],
+    "Node.js v24.2 in AWS Lambda": ["named:aws-lambda", "named:nodejs", "version:nodejs:24.2"],
+    "no product": [],
+}
+
+
+@query(f"""SELECT p_partkey, array_to_string(list_sort(list_distinct({[",".join(t) for t in _PRODUCTS.values()]!r}[p_partkey % {len(_PRODUCTS)} + 1].string_split(',').list_concat(['acronym:' || lower(p_type)]).list_filter(lambda x: x <> ''))), ' ') AS tags FROM part""")
 def t15_product_tags(spark, d):
-    return table(spark, d, "part").select("p_partkey", F.array_join(text.product_tags(F.concat_ws(" ", "p_name", "p_brand", "p_type")), " ").alias("tags"))
+    """Each part's name and type, whose capitals are an acronym, with a product."""
+    end = F.element_at(F.array(*[F.lit(x) for x in _PRODUCTS]), (F.col("p_partkey") % len(_PRODUCTS) + 1).cast("int"))
+    tags = events.products(F.concat_ws(" ", "p_name", "p_type", end))
+    return table(spark, d, "part").select("p_partkey", F.array_join(tags, " ").alias("tags"))
 
 
-@query("SELECT s_suppkey, lower(trim(regexp_replace(s_name, '\\s+', ' ', 'g'))) AS entity FROM supplier")
+@query("SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'microsoft' WHEN 1 THEN 'ai2' WHEN 2 THEN 'nodejs' ELSE lower(trim(regexp_replace(s_name, '\\s+', ' ', 'g'))) END AS entity FROM supplier")
 def t16_entity_key(spark, d):
-    return table(spark, d, "supplier").select("s_suppkey", text.entity_key(F.col("s_name")).alias("entity"))
+    """Aliases in another case and punctuation, and names of no known entity."""
+    given = F.element_at(F.array(F.lit(" VS  code"), F.lit("Allen  institute for AI."), F.lit("node js"), F.col("s_name")), (F.col("s_suppkey") % 4 + 1).cast("int"))
+    return table(spark, d, "supplier").select("s_suppkey", roles.entity_key(given).alias("entity"))
 
 
 @query("""WITH u AS (SELECT page_id, regexp_replace(trim(url), '#.*$', '') AS u FROM pages),
@@ -469,19 +485,27 @@ def s17_search_leads(spark, d):
     return feeds.leads(table(spark, d, "events").select("event_type", "event_id", "user_id"), "event_type", "user_id", "event_id")
 
 
+_MAKERS = ["Google", "Apple", "Meta", "Open AI", "Zed"]
+
+
 def _titles(spark, d):
-    return table(spark, d, "part").select(F.col("p_partkey").alias("item"), "p_name", "p_brand", F.concat(F.lit("https://x.example.com/"), F.col("p_size").cast("string"), F.lit("/"), F.col("p_partkey").cast("string")).alias("url"))
+    maker = F.element_at(F.array(*[F.lit(m) for m in _MAKERS]), (F.col("p_partkey") % len(_MAKERS) + 1).cast("int"))
+    title = F.concat_ws(" ", maker, F.lit("unveils"), "p_name", F.lit("in"), F.lower("p_type"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("item"), title.alias("title"), "p_brand", F.concat(F.lit("https://x.example.com/"), F.col("p_partkey").cast("string")).alias("url"))
+
+
+_TITLE_TOKENS = _EVENT_TOKENS.format("(p_name || CASE WHEN p_partkey % 5 = 4 THEN ' zed ' ELSE ' ' END || lower(p_type))")
 
 
-@query(f"""WITH f AS (SELECT p_partkey AS k, p_brand AS b, {_EVENT_TOKENS.format('p_name')} AS t, list_sort(list_distinct(regexp_extract_all(lower(p_name), '[a-z0-9]*[0-9][a-z0-9]*(?:[.,][0-9]+)*'))) AS n FROM part),
-p AS (SELECT x.k AS low, y.k AS high, x.b = y.b AS same, x.t = y.t AND len(x.t) > 0 AS equal, x.n AS m, y.n AS n, len(list_intersect(x.t, y.t)) AS s, len(list_distinct(list_concat(x.t, y.t))) AS u FROM f x JOIN f y ON x.k < y.k)
-SELECT low, high FROM p WHERE NOT (len(m) > 0 AND len(n) > 0 AND len(list_intersect(m, n)) = 0) AND CASE WHEN same THEN s >= 3 AND s / u >= 0.58 ELSE (s >= 3 AND s / u >= 0.35) OR equal END""")
+@query(f"""WITH f AS (SELECT p_partkey AS k, p_brand AS b, p_partkey % 5 AS m, {_TITLE_TOKENS} AS t FROM part),
+p AS (SELECT x.k AS low, y.k AS high, x.b = y.b AS same, x.m = y.m AND x.m < 4 AS entity, x.m = y.m OR x.m = 4 OR y.m = 4 AS fits, x.t = y.t AND len(x.t) >= 3 AS equal, len(list_intersect(x.t, y.t)) AS s, len(list_distinct(list_concat(x.t, y.t))) AS u FROM f x JOIN f y ON x.k < y.k)
+SELECT low, high FROM p WHERE fits AND CASE WHEN same THEN s >= 3 AND s / u >= 0.58 ELSE entity AND equal END""")
 def c01_event_matches(spark, d):
-    """Pairs of part names that would be one event; names have no identifiers, actions or negations."""
-    return matching.matching_pairs(checkpointed(matching.features(_titles(spark, d), "item", "p_name", "p_brand", "url")))
+    """Pairs of parts whose unveiling would be one event: by overlap within a brand, by equal details and maker between brands."""
+    return matching.matching_pairs(checkpointed(matching.features(_titles(spark, d), "item", "title", "p_brand", "url")))
 
 
-#: Ends of headlines on one subject, so that each kind of tag is met: the first two tell one event, and the two of each later pair do not.
+#: Ends of headlines on one subject, so that each kind of tag is met: the first two tell one event, the two of each later pair do not.
 _ENDS = [
     "launches app", "unveils app", "launches extension", "outage hits service", "hires more staff", "to cut 50 jobs", "lawsuit filed over data", "lawsuit over data settled",
     "announces acquisition deal", "completes acquisition deal", "Windows 11 update", "Android 15 update", "OpenAI pricing", "Anthropic retention", "publishes safety evaluation", "publishes benchmark",
@@ -489,11 +513,12 @@ _ENDS = [
 
 
 def _headlines(spark, d):
-    """Headlines of subjects with eight words of their own, each by two publishers, with the ends above in turn."""
-    n = F.col("doc_id").cast("long")
-    subject, end = F.floor(n / len(_ENDS)).cast("string"), F.element_at(F.array(*[F.lit(e) for e in _ENDS]), (F.pmod(n, F.lit(len(_ENDS))) + 1).cast("int"))
-    words = F.concat_ws(" ", *[F.concat(F.lit(w), subject) for w in ("alder", "birch", "cedar", "elm", "fir", "hazel", "larch", "maple")])
-    rows = _docs(spark, d).select(n.alias("item"), F.concat(words, F.lit(" "), end).alias("title"), F.when(n % 2 == 0, "p").otherwise("q").alias("publisher"))
+    """Two headlines of each document's first eight words, by two publishers, with two of the ends above, by the document's id."""
+    n, half = F.col("doc_id").cast("long"), len(_ENDS) // 2
+    subject = F.array_join(F.slice(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), 1, 8), " ")
+    end = F.element_at(F.array(*[F.lit(e) for e in _ENDS]), (2 * F.pmod(n, F.lit(half)) + F.col("side") + 1).cast("int"))
+    both = _docs(spark, d).select(n.alias("n"), subject.alias("subject"), F.explode(F.array(F.lit(0), F.lit(1))).alias("side"), "doc_id")
+    rows = both.select((2 * F.col("n") + F.col("side")).alias("item"), F.concat_ws(" ", F.lit("Google"), "subject", end).alias("title"), F.when(F.col("side") == 0, "p").otherwise("q").alias("publisher"))
     return matching.features(rows.withColumn("url", F.concat(F.lit("https://x.example.com/"), "item")), "item", "title", "publisher", "url")
 
 
@@ -517,14 +542,33 @@ def c06_complete_link_groups(spark, d):
     return matching.group_events(matching.features(rows, "page_id", "title", "host", "page"), ["title", "url", "item"])
 
 
-@query("""SELECT s_suppkey, CASE WHEN s_suppkey % 3 < 2 THEN 'acquirer:firm->' || least(p, 'firm') || ':' || greatest(p, 'firm') END AS role
-FROM (SELECT s_suppkey, lower(n_name)[1:1] || 'x' AS p FROM supplier JOIN nation ON s_nationkey = n_nationkey)""")
+#: Headlines on a known party and a part, in turn, with their roles as SQL of e, the party's key, and p, the part's words.
+_ROLES = [
+    ("{E} acquires {p} after review", "'acquirer:' || e || '->' || p"),
+    ("{p} bought by {E} for $1 billion", "'acquirer:' || e || '->' || p"),
+    ("{E} sues {p} over fees", "'claimant:' || e || '->' || p"),
+    ("{p} sued by {E}", "'claimant:' || e || '->' || p"),
+    ("{E} faces antitrust lawsuit by Oracle over {p}", "'claimant:oracle->' || e"),
+    ("FTC fines {E} over {p}", "'enforcer:ftc->' || e"),
+    ("{E} hit with $5 million fine by FTC over {p}", "'enforcer:ftc->' || e"),
+    ("Court orders {E} to pay Oracle over {p}", "'payer:' || e || '->oracle'"),
+    ("Oracle loses {p} case to {E}", "'winner:' || e || '->oracle'"),
+    ("{E} settles {p} case with Oracle", "'settlement:' || least(e, 'oracle') || '+' || greatest(e, 'oracle')"),
+    ("{E} investigated by CMA over {p}", "'investigator:cma->' || e"),
+    ("{E} and {p} agree to merge", "'merger:' || least(e, p) || '+' || greatest(e, p)"),
+    ("{E} opens a {p} shop", "NULL"),
+]
+_PARTY_KEYS = {"Google Chrome": "google", "Apple": "apple", "Facebook": "meta", "VS Code": "microsoft", "Open AI": "openai"}
+
+
+@query(f"""SELECT p_partkey, CASE p_partkey % {len(_ROLES)} {" ".join(f"WHEN {i} THEN {r}" for i, (_, r) in enumerate(_ROLES))} END AS role
+FROM (SELECT p_partkey, {list(_PARTY_KEYS.values())!r}[p_size % 5 + 1] AS e, array_to_string(list_sort(list_distinct(list_transform({_TOKENS.format('p_name')}, lambda x: {_ALIAS}))), ':') AS p FROM part)""")
 def c03_role_anchors(spark, d):
-    rows = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    party = F.concat(F.lit("Firm "), F.upper(F.substring("n_name", 1, 1)), F.lit("x"))
-    k = F.col("s_suppkey") % 3
-    title = F.when(k == 0, F.concat(F.lit("Firm A acquires "), party, F.lit(" today"))).when(k == 1, F.concat(party, F.lit(" was bought by Firm A"))).otherwise(F.lit("nothing of note"))
-    return rows.select("s_suppkey", matching.role_anchor(title).alias("role"))
+    """Roles by words and by mentions, active and passive, of known entities by their aliases and of unknown parties."""
+    party = F.element_at(F.array(*[F.lit(x) for x in _PARTY_KEYS]), (F.col("p_size") % 5 + 1).cast("int"))
+    said = F.element_at(F.array(*[F.lit(t) for t, _ in _ROLES]), (F.col("p_partkey") % len(_ROLES) + 1).cast("int"))
+    title = F.replace(F.replace(said, F.lit("{E}"), party), F.lit("{p}"), F.col("p_name"))
+    return table(spark, d, "part").select("p_partkey", roles.role_anchor(title).alias("role"))
 
 
 @query("SELECT event_id, epoch_us(date_trunc('second', ts)) AS micros FROM events")

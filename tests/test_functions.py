@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from deskloom import plans
-from deskloom.functions import events, numbers, prose, scoring, text, times
+from deskloom.checkpoints import checkpointed
+from deskloom.functions import events, numbers, prose, roles, scoring, text, times
 from deskloom.operators import ledger, matching, ranking
 from deskloom.operators.editorial import edition_issues, newsroom_issues
 from deskloom.sources import editions, feeds, pages
@@ -252,26 +253,48 @@ def test_complete_link_needs_all_members(spark):
     assert got == {"a": "a", "b": "a", "c": "c", "d": "d"}
 
 
-@pytest.mark.parametrize(
-    ("title", "want"),
-    [
-        ("Acme Corp acquires Zed", "acquirer:acme:corp->zed"), ("Zed was acquired by Acme Corp", "acquirer:acme:corp->zed"), ("Acme sues Zed over chips", "claimant:acme->zed"),
-        ("Zed sued by Acme", "claimant:acme->zed"), ("Zed and Acme to merge", "merger:acme+zed"), ("Agency fines Zed", "enforcer:agency->zed"), ("nothing", None), (None, None),
-        ("Acme's antitrust lawsuit against Zed", "claimant:acme->zed"), ("Lawsuit against Zed filed by Acme", "claimant:acme->zed"), ("Open AI and Facebook reach settlement", "settlement:meta+openai"),
-        ("Zed fined 3 million by Agency", "enforcer:agency->zed"), ("Court orders Zed to pay Acme", "payer:zed->acme"), ("Acme wins $3 payout from Zed", "payer:zed->acme"), ("Zed is under Agency investigation", "investigator:agency->zed"),
-        ("Agency opens antitrust inquiry into Zed", "investigator:agency->zed"), ("Google's Zed acquisition", "acquirer:google->zed"), ("Merger of Zed and Acme", "merger:acme+zed"), ("Acme's acquisition of Zed closes", "acquirer:acme->zed"),
-        ("Judge sides with Acme against Zed", "winner:acme->zed"), ("Acme files new complaint against Zed", "claimant:acme->zed"), ("Agency imposes record 3 million fine on Zed", "enforcer:agency->zed"), ("VS Code acquired by Zed", "acquirer:zed->microsoft"),
-    ],
-)
-def test_roles(spark, title, want):
-    assert value(spark, matching.role_anchor(F.col("t")), t=title) == want
+#: Headlines with the role that they state.
+STATED = [
+    ("FTC accuses Meta of child privacy violations", "enforcer:ftc->meta"), ("FTC alleges Meta violated child privacy rules", "enforcer:ftc->meta"),
+    ("Apple is sued by Google over App Store payment rules", "claimant:google->apple"), ("Apple sued by Google over App Store payment rules", "claimant:google->apple"),
+    ("Antitrust lawsuit against Apple filed by Google over digital mobile payments", "claimant:google->apple"), ("Google lawsuit against Apple targets App Store payment rules", "claimant:google->apple"),
+    ("Google's lawsuit against Apple targets App Store payment rules", "claimant:google->apple"), ("Google sues Acme over mobile privacy rules", "claimant:google->acme"),
+    ("FTC takes legal action against Meta over child privacy", "claimant:ftc->meta"), ("Apple faces suit from Google over App Store payment rules", "claimant:google->apple"),
+    ("Meta reaches $5 billion child privacy settlement with FTC", "settlement:ftc+meta"), ("Meta hit with $5 billion fine by FTC over child privacy violations", "enforcer:ftc->meta"),
+    ("Meta fined $5 billion by FTC over child privacy violations", "enforcer:ftc->meta"), ("Meta receives a $5 billion FTC fine over child privacy violations", "enforcer:ftc->meta"),
+    ("FTC levies a $5 billion penalty against Meta for child privacy violations", "enforcer:ftc->meta"), ("Court orders Apple to pay Google $1 billion", "payer:apple->google"),
+    ("Google receives $1 billion from Apple after court award in digital marketplace case", "payer:apple->google"), ("Google wins $1 billion payment from Apple in court case", "payer:apple->google"),
+    ("FTC fines Meta $5 billion over child privacy violations", "enforcer:ftc->meta"), ("Apple is beaten by Google in antitrust case", "winner:google->apple"),
+    ("Apple secures court victory over Google in digital mobile payments case", "winner:apple->google"), ("Google prevails over Apple in antitrust case", "winner:google->apple"),
+    ("Google wins antitrust case against Apple over App Store payments", "winner:google->apple"), ("Apple loses antitrust case to Google over App Store payment rules", "winner:google->apple"),
+    ("Court sides with Google against Apple in antitrust case over App Store payments", "winner:google->apple"), ("Meta investigated by FTC over child privacy practices", "investigator:ftc->meta"),
+    ("Meta under FTC investigation over child privacy practices", "investigator:ftc->meta"), ("Meta faces FTC probe over child privacy practices", "investigator:ftc->meta"),
+    ("FTC opens inquiry into Meta child privacy practices", "investigator:ftc->meta"), ("FTC opens privacy probe into Meta advertising practices", "investigator:ftc->meta"),
+    ("Apple agrees to merge with Acme AI after board approval", "merger:acme+apple"), ("Apple and Acme AI agree to merger after board approval", "merger:acme+apple"),
+    ("Apple's Acme AI acquisition closes after regulatory review", "acquirer:apple->acme"), ("Acme AI bought by Apple after regulatory review", "acquirer:apple->acme"),
+    ("Apple takes over Acme AI after regulatory review", "acquirer:apple->acme"), ("Apple makes $1 billion bid for Acme AI after review", "acquirer:apple->acme"),
+    ("Apple confirms $1 billion acquisition of AI startup Acme", "acquirer:apple->acme"), ("VS Code acquired by Zed", "acquirer:zed->microsoft"), ("Facebook and Open AI reach settlement", "settlement:meta+openai"),
+    ("Somebody fines Zed", None), ("Apple sues Apple", "claimant:apple->apple"), ("nothing", None), ("", None), (None, None),
+]
+
+
+def test_roles(spark):
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(STATED)], "i int, t string")
+    got = {r["i"]: r["role"] for r in rows.select("i", roles.role_anchor(F.col("t")).alias("role")).collect()}
+    assert [(t, got[i]) for i, (t, _) in enumerate(STATED)] == STATED
+
+
+def test_mentions(spark):
+    got = value(spark, roles.mentions(F.col("t")), t="Google Chrome’s é and Palo  Alto Networks meet VS Code, AWS")
+    assert [tuple(m) for m in got] == [("google", 0, 13), ("palo-alto-networks", 22, 40), ("microsoft", 46, 53), ("amazon", 55, 58)]
+    assert value(spark, roles.mentions(F.col("t")), t=None) == []
 
 
 def test_equal_items_stand_for_each_other(spark):
     rows = [(1, "Rival firm opens giant data center site", "p", "u1"), (2, "Rival firm opens giant data center site", "p", "u2"), (3, "Rival firm opens giant data center site", "q", "u3"), (4, "other", "p", "u4")]
     items = matching.features(spark.createDataFrame(rows, "i int, t string, p string, u string"), "i", "t", "p", "u")
     got = {r["item"]: r["group"] for r in matching.group_events(items, ["title", "url", "item"]).collect()}
-    assert got == {1: 1, 2: 1, 3: 1, 4: 4}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}  # another publisher's needs a known entity
 
 
 def test_matches(spark):
@@ -280,7 +303,7 @@ def test_matches(spark):
         (4, "Rival firm opens giant data center site", "p", "u4"), (5, "Rival firm opens giant data center campus", "q", "u5"), (6, "Rival firm denies giant data center campus", "r", "u6"),
     ]
     items = matching.features(spark.createDataFrame(rows, "i int, t string, p string, u string"), "i", "t", "p", "u")
-    assert {tuple(r) for r in matching.matching_pairs(items).collect()} == {(1, 2), (4, 5)}
+    assert {tuple(r) for r in matching.matching_pairs(items).collect()} == {(1, 2)}  # (4, 5) share no known entity
 
 
 @pytest.mark.parametrize(
@@ -298,32 +321,124 @@ def test_event_tags(spark, tag, title, want):
     assert df.select(getattr(events, tag)(F.col("t")).alias("v")).first()["v"] == want
 
 
-@pytest.mark.parametrize(
-    ("a", "b", "same"),
-    [
-        ("launches app", "unveils app", True), ("launches app", "launches extension", False), ("releases a patch", "patches", True), ("lawsuit filed", "lawsuit settled", False), ("Windows update", "Android update", False),
-        ("OpenAI site", "Anthropic site", False), ("pricing", "retention", False), ("announces merger", "completes merger", False), ("publishes model card", "publishes model", False), ("hires staff", "cuts staff", False),
-        ("GPT-5", "GPT-5 model", True), ("GPT-5", "GPT-4", False), ("outage", "service outage", True), ("approved", "plant", False),
-    ],
-)
-def test_tags_that_conflict_keep_headlines_apart(spark, a, b, same):
-    rows = [(i, f"alder birch cedar elm fir hazel larch maple {x}", x, f"u{i}") for i, x in enumerate((a, b))]
-    items = matching.features(spark.createDataFrame(rows, "i int, t string, p string, u string"), "i", "t", "p", "u")
-    assert bool(matching.matching_pairs(items).collect()) == same
-
-
-def test_product_tags_name_products_features_and_units(spark):
-    tags = lambda x: value(spark, text.product_tags(F.col("x")), x=x)
-    assert tags("Google Docs and chrome sync on LinkedIn") == ["feature:chrome-sync", "named:chrome", "named:google-docs", "unit:linkedin"]
-    assert tags("kernel 6.1 beta") == ["channel:beta", "component:kernel", "version:6.1"]
+#: Headlines of two publishers that tell one event, and such that do not, for each kind of rule.
+ONE_EVENT = [
+    ("OpenAI launches GPT‑5", "OpenAI GPT-5 is now generally available"),
+    ("Google launches quantum error correction milestone", "Google quantum error correction milestone detailed"),
+    ("Google launches quantum error-correction AI decoder breakthrough", "Google releases quantum error correction AI decoder breakthrough"),
+    ("Google launches quantum error correction app", "Google releases quantum error correction application"),
+    ("Anthropic launches Claude Code in the browser for developers", "Claude Code is now available in browsers for developers"),
+    ("AWS cuts Glue prices by 30%", "AWS Glue is now 30 percent cheaper"),
+    ("Microsoft lays off 500 employees in Azure DevOps division", "Microsoft eliminates 500 roles from its Azure DevOps unit"),
+    ("Google releases a Chrome WebRTC security patch", "Google patches Chrome WebRTC"),
+    ("GitHub launches Copilot coding agent for pull requests", "Microsoft launches Copilot coding agent for pull requests"),
+    ("Anthropic rolls out Claude memory for paid users", "Claude can remember past chats"),
+    ("AWS Glue prices down 30 percent", "AWS cuts Glue prices by 30%"),
+    ("Apple acquires Acme AI for $1 billion", "Apple confirms $1 billion acquisition of AI startup Acme"),
+    ("Apple takes over Acme AI after regulatory review", "Apple acquires Acme AI after regulatory review"),
+    ("Apple's Acme AI acquisition closes after regulatory review", "Apple buys Acme AI after regulatory review"),
+    ("OpenAI debuts GPT-5.4 API for enterprise developers", "GPT-5.4 API goes live for enterprise developers"),
+    ("FTC fines Meta $5 billion over child privacy violations", "Meta is fined $5 billion by FTC over child privacy violations"),
+    ("FTC fines Meta $5 billion over child privacy violations", "Meta hit with $5 billion fine by FTC over child privacy violations"),
+    ("Court orders Apple to pay Google $1 billion in digital marketplace case", "Google receives $1 billion from Apple after court award in digital marketplace case"),
+    ("Google restores Workspace service after global authentication outage", "Google Workspace service returns to normal after global authentication outage"),
+    ("Google Workspace authentication outage is resolved", "Google Workspace service is fully operational after authentication outage"),
+    ("Google sues Apple over App Store payment rules", "Apple faces suit from Google over App Store payment rules"),
+    ("Google sues Apple over App Store payment rules", "Google's lawsuit against Apple targets App Store payment rules"),
+    ("FTC investigates Meta over child privacy practices", "FTC opens inquiry into Meta child privacy practices"),
+    ("FTC settles child privacy case with Meta for $5 billion", "Meta reaches $5 billion child privacy settlement with FTC"),
+    ("Apple and Acme AI agree to merger after board approval", "Apple agrees to merge with Acme AI after board approval"),
+    ("Google launches AI workflow tools for SMB teams", "Google launches AI workflow tools for SME teams"),
+    ("Google sues Apple over App Store payment rules", "Google sues Apple over App Store billing rules"),
+    ("Google wins antitrust case against Apple over App Store payments", "Apple loses antitrust case to Google over App Store payment rules"),
+    ("PaperCut NG/MF flaw exploited in 0-day attacks", "PaperCut under 0-day attack"),
+    ("Anthropic was illegally blacklisted by the Trump administration, court rules", "Pentagon’s blacklisting of Anthropic was unlawful, US judge rules"),
+    ("TikTok will pay $400 million in child privacy settlement", "TikTok hit with $400M settlement over children's privacy"),
+    ("Apple is reportedly cutting hundreds of jobs from Siri, Vision Pro teams", "Apple is laying off staffers working on the Vision Pro and Siri"),
+    ("OpenAI introduces GPT-5.4", "GPT-5.4 is OpenAI's new flagship model"),
+]
+TWO_EVENTS = [
+    ("Google launches new AI model for developers with faster inference", "Microsoft launches new AI model for developers with safer training"),
+    ("Apple cuts Vision Pro jobs after weak headset sales", "Apple patches critical WebKit zero day affecting iPhone users"),
+    ("Amazon Corretto August 2026 Critical Security Patch Updates", "Oracle August 2026 Critical Security Patch Update Addresses 925 CVEs"),
+    ("PaperCut NG/MF flaw exploited in zero-day attacks", "PaperCut Mobility Print flaw exploited in zero-day attacks"),
+    ("PaperCut NG/MF authentication service flaw exploited in zero-day attacks", "PaperCut NG/MF print spooler flaw exploited in zero-day attacks"),
+    ("Pentagon cloud-procurement blacklisting of Anthropic was illegal, court rules", "Pentagon defense-contract blacklisting of Anthropic was unlawful, judge rules"),
+    ("Google faces antitrust ruling over search advertising practices", "Google loses antitrust court fight over Android app store billing"),
+    ("OpenAI ChatGPT outage disrupts paid users worldwide", "OpenAI launches ChatGPT team collaboration features"),
+    ("Google launches quantum error correction API", "Google launches quantum error correction API extension"),
+    ("Google launches quantum error correction model", "Google releases quantum error correction dataset"),
+    ("Google prevails over Apple in antitrust case over App Store payments", "Apple prevails over Google in antitrust case over App Store payments"),
+    ("Apple acquires Acme AI for $1 billion", "Apple acquires Acme AI for £2 billion"),
+    ("Microsoft lays off 500 posts in Azure DevOps", "Microsoft lays off 1,000 posts in Azure DevOps"),
+    ("FTC blocks Apple acquisition of Acme AI", "FTC approves Apple acquisition of Acme AI"),
+    ("Court dismisses Google antitrust lawsuit against Apple", "Google files antitrust lawsuit against Apple"),
+    ("Microsoft Azure cloud market share rises 10% in enterprise computing", "Microsoft Azure cloud market share rises 10 percentage points in enterprise computing"),
+    ("Court orders Apple to pay Google $1 billion in app marketplace case", "Court orders Google to pay Apple $1 billion in app marketplace case"),
+    ("OpenAI nixes GPT-5.4 rollout in Europe for enterprise customers", "OpenAI launches GPT-5.4 in Europe for enterprise customers"),
+    ("Google files antitrust lawsuit against Apple over mobile advertising controls", "Google settles antitrust lawsuit with Apple over mobile advertising controls"),
+    ("Apple submits $1 billion bid for Acme AI after board approval", "Apple submits $1 billion bid for Beta AI after board approval"),
+    ("Microsoft lays off five hundred Azure DevOps workers in Europe", "Microsoft lays off one thousand Azure DevOps workers in Europe"),
+    ("Google sues Apple over search advertising restrictions", "Google sues Apple over display advertising restrictions"),
+    ("Google sues Apple in antitrust lawsuit over teen payment safeguards", "Google sues Apple in antitrust lawsuit over teen privacy safeguards"),
+    ("AWS cuts ECS cloud compute prices by 30% for enterprise workloads", "AWS cuts EKS cloud compute prices by 30% for enterprise workloads"),
+    ("FTC opens privacy probe into Meta advertising practices", "FTC opens privacy probe into TikTok advertising practices"),
+    ("Apple acquires Acme AI for one billion dollars", "Apple acquires Acme AI for two billion euros"),
+    ("Google says patch for CVE-2026-9191 failed and users remain vulnerable", "Google patches CVE-2026-9191"),
+    ("Apple makes $1 billion bid for Acme AI valued at $5 billion", "Apple makes $2 billion bid for Acme AI valued at $5 billion"),
+    ("Microsoft cuts 500 of 5,000 Azure DevOps jobs", "Microsoft cuts 600 of 5,000 Azure DevOps jobs"),
+    ("Apple and Meta agree to merger after board approval", "Apple and Meta complete merger after board approval"),
+    ("Google sues Acme over mobile privacy rules", "Acme sues Google over mobile privacy rules"),
+    ("Apple launches iOS 19.1 beta 1 privacy controls", "Apple launches iOS 19.1 beta 2 privacy controls"),
+    ("Apple announces acquisition of Acme AI after review", "Apple completes acquisition of Acme AI after review"),
+    ("FTC sanctions Meta over child privacy violations", "FTC sanctions TikTok over child privacy violations"),
+    ("Rival firm opens giant data center site", "Rival firm opens giant data center campus"),
+]
+
+
+@pytest.fixture(scope="module")
+def headline_pairs(spark):
+    rows = [r for k, (a, b) in enumerate(ONE_EVENT + TWO_EVENTS) for r in ((2 * k, a, "p", f"u{k}a"), (2 * k + 1, b, "q", f"u{k}b"))]
+    items = checkpointed(matching.features(spark.createDataFrame(rows, "i int, t string, p string, u string"), "i", "t", "p", "u"))
+    return items, {tuple(r) for r in matching.matching_pairs(items).collect()}
+
+
+def test_pairs_of_headlines(headline_pairs):
+    found = headline_pairs[1]
+    texts = ONE_EVENT + TWO_EVENTS
+    assert [t for k, t in enumerate(texts) if ((2 * k, 2 * k + 1) in found) != (t in ONE_EVENT)] == []
+
+
+@pytest.mark.parametrize("piece", [1_000, 2])
+def test_blocks_miss_no_pair(spark, headline_pairs, monkeypatch, piece):
+    monkeypatch.setattr(matching, "PIECE", piece)
+    items, found = headline_pairs
+    a, b = items.alias("a"), items.alias("b")
+    every = a.crossJoin(b).where(F.col("a.item") < F.col("b.item")).where(matching.pair_predicate()).select("a.item", "b.item")
+    assert {tuple(r) for r in every.collect()} == found
+    pairs = matching.block_pairs(checkpointed(matching._blocks(items)), piece)
+    assert {tuple(r) for r in pairs.collect()} >= found
+
+
+def test_pairs_by_summaries_and_origins(spark):
+    rows = [
+        (0, "Chrome patches exploited WebRTC zero-day", "p", "u0", "The release fixes CVE-2026-1111 and the exploited WebRTC issue CVE-2026-9999.", None),
+        (1, "Google closes exploited WebRTC flaw in Chrome", "q", "u1", "The bulletin lists CVE-2026-2222 before CVE-2026-9999.", None),
+        (2, "Cisco patches router flaw CVE-2026-9090", "p", "u2", None, None), (3, "Cisco closes a router vulnerability in its security update", "q", "u3", "The security update remediates CVE-2026-9090.", None),
+        (4, "Offering zero data retention for frontier models", "openai", "u4", None, "OpenAI"), (5, "OpenAI promises zero data retention for enterprise models", "q", "u5", None, None),
+        (6, "Introducing ChatGPT for Teens: Built for learning, backed by protections", "openai", "u6", None, "OpenAI"), (7, "OpenAI makes ChatGPT less 'human' for teens in new safety update", "bbc", "u7", None, None),
+        (8, "Open AI launches ChatGPT designed for younger users", "npr", "u8", None, None),
+    ]
+    df = spark.createDataFrame(rows, "i int, t string, p string, u string, s string, o string")
+    items = checkpointed(matching.features(df, "i", "t", "p", "u", summary="s", originating_entity="o"))
+    assert {tuple(r) for r in matching.matching_pairs(items).collect()} == {(0, 1), (2, 3), (4, 5), (6, 7), (6, 8), (7, 8)}
 
 
 def test_planted_headlines(spark, tmp_path):
-    """Of each subject's headlines the first two match, those of each later pair do not, and each kind of tag is met."""
-    spark.createDataFrame([(i, "x", "s", "en") for i in range(32)], "doc_id int, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {tuple(r) for r in plans.QUERIES["c01_headline_matches"](spark, str(tmp_path)).collect()}
-    assert {(i, j) for i, j in got if i // 2 == j // 2} == {(0, 1), (16, 17)} and (0, 2) not in got
-    assert all(i // 16 == j // 16 for i, j in got)
+    """Of a document's two headlines, those of each eighth document match, and each kind of tag is met."""
+    rows = [(i, " ".join(f"{w}{i}" for w in ("alder", "birch", "cedar", "elm", "fir", "hazel", "larch", "maple", "oak")), "s", "en") for i in range(16)]
+    spark.createDataFrame(rows, "doc_id int, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {tuple(r) for r in plans.QUERIES["c01_headline_matches"](spark, str(tmp_path)).collect()} == {(0, 1), (16, 17)}
     rows = plans.QUERIES["c02_event_tags"](spark, str(tmp_path)).collect()
     assert all(any(r[c] for r in rows) for c in matching.EVENT_TAGS)
 

@@ -8,7 +8,8 @@ import regex
 from pyspark.sql import functions as F
 
 from deskloom import plans
-from deskloom.functions import events, prose
+from deskloom.checkpoints import checkpointed
+from deskloom.functions import prose
 from deskloom.functions import values as V
 from deskloom.operators import matching
 from deskloom.plans import text_and_pages as T
@@ -92,22 +93,6 @@ def test_summary_checks(spark, documents):
         assert got.get(k, set()) - {"PROSE"} == want, k
 
 
-def test_product_tags(spark):
-    parts = spark.read.parquet(f"{DATA}/part.parquet").selectExpr("p_partkey", "concat_ws(' ', p_name, p_brand, p_type) AS t").collect()
-    kinds = {
-        "version": r"(?<![a-z0-9.])v?(\d+(?:\.\d+){1,3})(?![a-z0-9])", "model": r"(?<![a-z0-9])([a-z]{2,}-?\d+(?:\.\d+)?[a-z]?)(?![a-z0-9])",
-        "component": r"(?<![a-z])(kernel|driver|firmware|bootloader|plugin|extension|browser|compiler)s?(?![a-z])", "channel": r"(?<![a-z])(beta|stable|preview|nightly|canary|lts)(?![a-z])",
-    }
-    want = {}
-    for r in parts:
-        tags = {f"{kind}:{x}" for kind, p in kinds.items() for x in regex.findall(p, r["t"].lower())}
-        tags |= {f"acronym:{x.lower()}" for x in regex.findall(r"(?<![A-Za-z0-9])([A-Z]{3,6})(?![A-Za-z0-9])", r["t"])}
-        for kind, table in (("named", events.NAMED), ("feature", events.FEATURES), ("unit", events.UNITS)):
-            tags |= {f"{kind}:{tag}" for tag, patterns in table.items() if any(regex.search(p, r["t"].lower(), regex.ASCII) for p in patterns)}
-        want[r["p_partkey"]] = " ".join(sorted(tags))
-    assert rows(spark, "t15_product_tags", "p_partkey", "tags") == want and any(want.values())
-
-
 def test_lost_caveats(spark, documents):
     version = r"(?i)\b(?:fix|patch|resolv|correct)\w*\b[^.!?]{0,45}?\bv?(?:ersion )?(\d+(?:\.\d+){1,3})"
     want = {}
@@ -166,13 +151,13 @@ def every_pair(items):
 
 def test_headline_matches(spark):
     got = {tuple(r) for r in plans.QUERIES["c01_headline_matches"](spark, DATA).collect()}
-    assert got == every_pair(T._headlines(spark, DATA)) and got
+    assert got == every_pair(checkpointed(T._headlines(spark, DATA))) and got
 
 
 def test_complete_link_groups(spark):
     title, host = F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title", 1), F.lower(F.regexp_extract("url", r"^https?://([^/?#]*)", 1))
     pages = spark.read.parquet(f"{DATA}/pages.parquet").select("page_id", title.alias("title"), host.alias("host"), F.concat("url", F.lit("#"), F.col("page_id").cast("string")).alias("page"))
-    items = matching.features(pages, "page_id", "title", "host", "page")
+    items = checkpointed(matching.features(pages, "page_id", "title", "host", "page"))
     pairs = every_pair(items)
     groups, own = [], {}
     for r in sorted(items.select("title", "url", "item").collect(), key=lambda r: (r["title"].encode(), r["url"].encode(), r["item"])):
