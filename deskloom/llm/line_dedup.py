@@ -20,10 +20,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deskloom.checkpoints import removed, shared_folder
-from deskloom.llm.common import Written, fresh, map_arrow, sized, utf8
+from deskloom.llm.common import Written, checkpointed, fresh, map_arrow, sized, utf8
 
 #: Runs of a level that are merged into one of the next.
 FANOUT = 4
+#: A text that is more than this part of all rows, of which there are as many at most, goes to so many tasks.
+HOT_TEXTS, SALTS = 1_000, 64
 BLANKS = " \t\n\x0b\x0c\r"
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: What the hash's second half is seeded with, beside the key.
@@ -129,16 +131,21 @@ def without(text: str, hits: set[tuple[int, int]], least: int) -> tuple[str, int
 def drop_frequent_lines(df: DataFrame, frequent: DataFrame, text: str = "text", least: int = 1) -> DataFrame:
     """df with the columns kept_text, n_lines and n_dropped; frequent has the hashes (a, b) of the keys whose lines go.
 
-    Which keys of a text are frequent is found once for each distinct text of its kind, by its hash; the join that brings
-    them to the rows has one row a text on that side, so a text with many copies can be split. Rows keep all their columns.
+    Which keys of a text are frequent is found once for each distinct text, by its hash, and joined to its rows. A text with more
+    than one of HOT_TEXTS rows is dealt out over SALTS tasks. Rows keep all their columns.
     """
-    own = [fresh("p"), fresh("q"), fresh("hits")]
-    p, q, hits = own
+    p, q, hits, salt = fresh("p"), fresh("q"), fresh("hits"), fresh("salt")
     rows = df.withColumn(p, F.xxhash64(utf8(text))).withColumn(q, F.xxhash64(F.lit(SECOND), utf8(text)))
     each = rows.select(p, q, F.explode(keys(utf8(text), least)).alias("k")).select(p, q, *hashed(F.col("k")))
     met = each.join(sized(frequent), ["a", "b"], "left_semi")
-    found = met.groupBy(p, q).agg(F.collect_set(F.struct("a", "b")).alias(hits))  # of one text, so bounded by its length
-    joined = rows.join(found, [p, q], "left").select(*[F.col(f"`{c}`") for c in df.columns], hits)
+    keyed = met.groupBy(p, q, "a", "b").agg(F.count("*").alias("rows"))  # copies are counted where they are read
+    found = checkpointed(keyed.groupBy(p, q).agg(F.collect_list(F.struct("a", "b")).alias(hits), F.max("rows").alias("rows")))  # of one text
+    hot = found.where(F.col("rows") > F.lit(df.count() // HOT_TEXTS)).select(p, q, F.lit(SALTS).alias(salt))  # HOT_TEXTS at most
+    at_salt = F.coalesce(F.floor(F.rand(7) * F.col(salt)).cast("int"), F.lit(0)).alias(salt)
+    dealt = rows.join(F.broadcast(hot), [p, q], "left").select(*[F.col(f"`{c}`") for c in df.columns], p, q, at_salt)
+    each_salt = F.explode(F.sequence(F.lit(0), F.coalesce(F.col(salt), F.lit(1)) - 1)).alias(salt)
+    texts = found.join(F.broadcast(hot), [p, q], "left").select(p, q, hits, each_salt)
+    joined = dealt.join(texts, [p, q, salt], "left").select(*[F.col(f"`{c}`") for c in df.columns], hits)
     schema = df.withColumn("kept_text", F.lit("").cast("string")).withColumn("n_lines", F.lit(0).cast("long")).withColumn("n_dropped", F.lit(0).cast("long")).schema
     at = df.columns.index(text)
 
