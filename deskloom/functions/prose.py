@@ -162,24 +162,6 @@ def safe_excerpt(text: Column, words: int = 12, chars: int = 160) -> Column:
     return F.regexp_replace(F.get(F.filter(segments, fine), F.lit(0)), r"[.!]+\s*$", "")
 
 
-#: (code, source says, claim says): a claim that asserts what its source leaves open loses a caveat.
-CAVEATS = [
-    ("CAVEAT_EXPLOITATION_UNKNOWN", r"(?i)\b(?:no|without) (?:known |public |confirmed )?(?:evidence|reports?) (?:of|that)\b[^.!?;]{0,90}\b(?:exploit|attack)", r"(?i)(?<!not )(?<!no )\b(?:actively exploited|exploited in the wild|exploitation (?:has been|is|was) (?:observed|confirmed))"),
-    ("CAVEAT_FIX_UNAVAILABLE", r"(?i)\b(?:no (?:known |available |official )?(?:fix|patch)\b|(?:fix|patch) (?:is|remains) (?:not available|unavailable))", r"(?i)(?<!no )\b(?:(?:fix|patch) (?:is|was|has been) (?:now )?(?:available|released)|(?:released|issued) a (?:fix|patch))"),
-    ("CAVEAT_SECURE_BOOT_REQUIRED", r"(?i)\b(?:requires?|when|if|with|without) (?:the )?secure boot\b", r"(?i)\b(?:firmware|uefi|pre-?boot) code execution\b(?![^.!?]*secure boot)"),
-    ("CAVEAT_DEFAULT_ENABLEMENT_SCOPE", r"(?i)\b(?:organizations?|tenants?) (?:with|that have)\b[^.!?]{0,80}\benabled\b[^.!?]{0,80}\bby default\b", r"(?i)\b(?:enabled|on|available) by default\b(?![^.!?]*\b(?:organizations?|tenants?)\b)"),
-    ("CAVEAT_INSTALLATION_REQUIRED", r"(?i)\b(?:download|install) (?:the |a |your )?(?:[a-z-]+ ){0,5}(?:app|application|client)\b", r"(?i)\b(?:pre-?installed|no (?:download|installation) (?:is )?(?:needed|required))\b"),
-]
-
-
-def lost_caveats(claim: Column, source: Column) -> Column:
-    """Codes of caveats in source that claim contradicts, and of fixed versions that source does not name."""
-    versions = lambda x: F.regexp_extract_all(x, F.lit(r"(?i)\b(?:fix|patch|resolv|correct)\w*\b[^.!?]{0,45}?\bv?(?:ersion )?(\d+(?:\.\d+){1,3})"), F.lit(1))
-    codes = [F.when(source.rlike(s) & claim.rlike(c), F.lit(code)) for code, s, c in CAVEATS]
-    codes.append(F.when(F.size(F.array_except(versions(claim), versions(source))) > 0, F.lit("CAVEAT_FIX_VERSION_UNSUPPORTED")))
-    return F.array_sort(F.array_compact(F.array(*codes)))
-
-
 def version_bounds(text: Column) -> Column:
     """The sorted set of relation:version that text states; a longer wording hides the shorter one in it."""
     version = r"v?(\d{1,6}(?:\.\d{1,6}){1,3})(?![\p{L}\p{N}_+-]|\.\d)"

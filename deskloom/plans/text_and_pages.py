@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from deskloom.checkpoints import checkpointed, shared_folder
-from deskloom.functions import events, numbers, prose, roles, scoring, text, times
+from deskloom.functions import caveats, events, numbers, prose, roles, scoring, text, times
 from deskloom.functions import values as V
 from deskloom.operators import editorial, integrity, matching
 from deskloom.plans.registry import query, table
@@ -194,11 +194,25 @@ def t20_safe_excerpt(spark, d):
     return _docs(spark, d).select("doc_id", prose.safe_excerpt(F.col("text")).alias("excerpt"))
 
 
-@query()
+#: Planted (source, claim, lost codes): what a document's source says after its text, and what a claim makes of it.
+_CAVEATS = [
+    ("There is no evidence of exploitation.", "The flaw is actively exploited.", "CAVEAT_EXPLOITATION_UNKNOWN"),
+    ("No exploitation was known at disclosure. Attacks have now been confirmed.", "Exploitation has been confirmed.", ""),
+    ("No official patch is available.", "There is no report of attacks, but a patch is now available.", "CAVEAT_FIX_UNAVAILABLE"),
+    ("Version 8.4.0 is affected.", "Update the backup software to version 8.4.0.", "CAVEAT_FIX_VERSION_UNSUPPORTED"),
+    ("The flaw permits UEFI code execution. This requires Secure Boot to be disabled.", "The flaw permits UEFI code execution.", "CAVEAT_SECURE_BOOT_REQUIRED"),
+    ("Without Secure Boot, this permits UEFI code execution.", "UEFI-level code execution requires Secure Boot to be disabled.", ""),
+    ("It is on by default for organizations with Gemini enabled.", "The app is enabled by default for all users.", "CAVEAT_DEFAULT_ENABLEMENT_SCOPE"),
+    ("Users can download the Windows app.", "The app is automatically installed for everyone.", "CAVEAT_INSTALLATION_REQUIRED"),
+]
+
+
+@query(f"SELECT doc_id, {[c for _, _, c in _CAVEATS]!r}[doc_id % {len(_CAVEATS)} + 1] AS codes FROM documents")
 def t21_lost_caveats(spark, d):
-    source = F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit(" There is no evidence of exploitation."))).otherwise(F.col("text"))
-    claim = F.concat("text", F.lit(" The flaw is actively exploited. It is fixed in version 2.4.1."))
-    return _docs(spark, d).select("doc_id", F.array_join(prose.lost_caveats(claim, source), ",").alias("codes"))
+    """Each document's whole text with a planted caveat as the source; the claim repeats the text and adds the planted claim."""
+    said = lambda i: F.element_at(F.array(*[F.lit(c[i]) for c in _CAVEATS]), (F.col("doc_id") % len(_CAVEATS) + 1).cast("int"))
+    lost = caveats.lost_caveats(F.concat_ws("\n! ", "text", said(1)), F.concat_ws("\n! ", "text", said(0)))
+    return _docs(spark, d).select("doc_id", F.array_join(lost, ",").alias("codes"))
 
 
 @query("SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'lt:1.' || p_size WHEN 1 THEN 'lte:1.' || p_size WHEN 2 THEN 'gte:1.' || p_size ELSE 'gt:1.' || p_size END AS bounds FROM part")

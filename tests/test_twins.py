@@ -93,19 +93,6 @@ def test_summary_checks(spark, documents):
         assert got.get(k, set()) - {"PROSE"} == want, k
 
 
-def test_lost_caveats(spark, documents):
-    version = r"(?i)\b(?:fix|patch|resolv|correct)\w*\b[^.!?]{0,45}?\bv?(?:ersion )?(\d+(?:\.\d+){1,3})"
-    want = {}
-    for k, text in documents.items():
-        source = text + " There is no evidence of exploitation." if k % 2 == 0 else text
-        claim = text + " The flaw is actively exploited. It is fixed in version 2.4.1."
-        codes = [code for code, s, c in prose.CAVEATS if regex.search(s, source, regex.ASCII) and regex.search(c, claim, regex.ASCII)]
-        if set(regex.findall(version, claim, regex.ASCII)) - set(regex.findall(version, source, regex.ASCII)):
-            codes.append("CAVEAT_FIX_VERSION_UNSUPPORTED")
-        want[k] = ",".join(sorted(codes))
-    assert rows(spark, "t21_lost_caveats", "doc_id", "codes") == want and len(set(want.values())) > 1
-
-
 def passages(blocks, title, chars=5800, most=40):
     """T19 by its definition: units of blocks, worth by caveats, title words, details and place, packed greedily."""
     search = lambda p, x: regex.search(p, x, regex.I)
