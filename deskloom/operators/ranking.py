@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from deskloom.checkpoints import checkpointed
+
 
 def in_window(df: DataFrame, instant: str, start, end) -> DataFrame:
     """Rows with start <= instant < end; nulls are outside."""
@@ -48,10 +50,59 @@ def gaps(df: DataFrame, group: str, start: str, end: str) -> DataFrame:
     return df.withColumn("contiguous", F.col(start) == before)
 
 
-def running_budget(df: DataFrame, group: str, order: list[Column], size: str, budget: float) -> DataFrame:
-    """Rows, in order, while the running total is within the budget."""
-    total = F.sum(size).over(Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("running", total).where(F.col("running") <= budget)
+# What the smallest admitted response needs, and the bytes of a slate's dossiers as a JSON array.
+LEAST_BYTES, SLATE_BYTES = 1_024, 52_000
+
+
+def prefix_sums(df: DataFrame, order: list[str], value: str, out: str = "prefix") -> DataFrame:
+    """df with the sum of a column over all rows before each in a total order, with no task for all rows.
+
+    Rows are dealt out in ranges of the order and written once; a range's own sums are windows within it, and the totals of the
+    ranges, one row each, are added up and joined to their rows. Ranges must be of a total order: ties may go either way.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__range", F.spark_partition_id())
+    held = checkpointed(ranged)
+    totals = held.groupBy("__range").agg(F.sum(value).alias("__sum"))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    offsets = totals.select("__range", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__offset"))
+    own = F.coalesce(F.sum(value).over(Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return held.withColumn(out, own).join(F.broadcast(offsets), "__range").withColumn(out, F.col(out) + F.col("__offset")).drop("__range", "__offset")
+
+
+def reserved_bytes(df: DataFrame, order: list[str], octets: str, failed: str, total: int, each: int) -> DataFrame:
+    """Df with outcome, charge and consumed (the bytes before a source), for sources that share a budget in order.
+
+    A source reserves `each` bytes or what is left of the total. One that succeeds within its reservation is charged its bytes;
+    one that fails, or sends more, is charged the whole reservation. With less than LEAST_BYTES left, no source is begun any more.
+    As every charge is min(bytes or each, what is left), the bytes before a source are the sum of those before it, bounded by the
+    total: a sum over the order, which needs no task for all sources. A null number of bytes is a failure; so is a null flag.
+    """
+    fails = F.coalesce(F.col(failed), F.lit(True)) | F.col(octets).isNull() | (F.col(octets) > each)
+    summed = prefix_sums(df.withColumn("__charge", F.when(fails, F.lit(each)).otherwise(F.col(octets)).cast("long")), order, "__charge", "__before")
+    left = F.lit(total) - F.least(F.col("__before"), F.lit(total))
+    begun = left >= LEAST_BYTES
+    outcome = (
+        F.when(~begun, "TOTAL_BODY_LIMIT").when(F.coalesce(F.col(failed), F.lit(True)) | F.col(octets).isNull(), "FAILED")
+        .when(F.col(octets) > F.least(F.lit(each), left), "BODY_TOO_LARGE").otherwise("ok")
+    )
+    begun_before = F.col("__before") <= total - LEAST_BYTES
+    return summed.select(
+        *df.columns, outcome.alias("outcome"), F.when(begun, F.least(F.col("__charge"), left)).otherwise(0).cast("long").alias("charge"),
+        F.when(begun_before, F.col("__before")).alias("consumed"),
+    )
+
+
+def slate(df: DataFrame, desk: str, order: list[Column], key: str, octets: str, desks: list[str], budget: int = SLATE_BYTES, ranks: int = 2) -> DataFrame:
+    """(key, desk, rank, running): each desk's best, then each desk's second, in the order of desks; one that does not fit is
+    skipped. octets are those of a candidate's JSON; running are the bytes of the array so far, with its brackets and commas.
+
+    Ranks are found desk by desk; only ranks times desks rows are left for the selection. Rows of other desks take no part.
+    """
+    place = F.array_position(F.array(*[F.lit(d) for d in desks]), F.col(desk))
+    best = top_k(df.where(F.col(desk).isin(desks)), desk, order, ranks)
+    first = best.withColumn("rank", F.row_number().over(Window.partitionBy(desk).orderBy(*order))).withColumn("__at", F.col("rank") * 1_000 + place)
+    chosen = skip_fit(first.select(key, desk, "rank", "__at", F.lit(1).alias("__all"), (F.col(octets) + 1).alias("__size")), "__all", ["__at"], "__size", budget - 1, key)
+    return chosen.join(first.select(key, desk, "rank"), key).select(key, desk, "rank", (F.col("running") + 1).cast("long").alias("running"))
 
 
 def skip_fit(df: DataFrame, group: str, order: list[str], size: str, budget: float, key: str) -> DataFrame:

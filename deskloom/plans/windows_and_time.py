@@ -175,11 +175,18 @@ def w09_follow_up_choice(spark, d):
     return ranking.top_k(_events(spark, d), "user_id", [priority, F.desc("value"), F.asc("event_id")], 1).select("user_id", "event_id")
 
 
-@query("""WITH t AS (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) <= 4)
-SELECT event_id, event_type, CAST(running AS BIGINT) AS running FROM (SELECT *, sum(length(props)) OVER (ORDER BY value DESC, event_id ROWS UNBOUNDED PRECEDING) AS running FROM t) WHERE running <= 120""")
+_LANGS = ["de", "en", "es", "fr"]
+
+
+@query(f"""WITH RECURSIVE d AS (SELECT doc_id, lang, strlen(coalesce(text, '')) AS size, row_number() OVER (PARTITION BY lang ORDER BY n_chars % 100 DESC, doc_id) AS rank FROM documents WHERE lang IN {tuple(_LANGS)}),
+o AS (SELECT *, row_number() OVER (ORDER BY rank, lang) AS i FROM d WHERE rank <= 2),
+g(i, used, took) AS (SELECT CAST(0 AS BIGINT), CAST(1 AS BIGINT), FALSE UNION ALL SELECT o.i, CASE WHEN used + size + 1 <= 4000 THEN used + size + 1 ELSE used END, used + size + 1 <= 4000 FROM g JOIN o ON o.i = g.i + 1)
+SELECT doc_id, lang, rank, used AS running FROM g JOIN o USING (i) WHERE took""")
 def w10_slate_under_a_byte_cap(spark, d):
-    few = ranking.top_k(_events(spark, d), "event_type", [F.desc("value"), F.asc("event_id")], 4).withColumn("n", F.length("props")).withColumn("all", F.lit(1))
-    return ranking.running_budget(few, "all", [F.desc("value"), F.asc("event_id")], "n", 120).select("event_id", "event_type", F.col("running").cast("long").alias("running"))
+    """Two documents a language, in two rounds over the languages, skipping what exceeds the bytes."""
+    docs = table(spark, d, "documents").select("doc_id", "lang", F.octet_length(F.coalesce("text", F.lit(""))).alias("octets"), (F.col("n_chars") % 100).alias("score"))
+    chosen = ranking.slate(docs, "lang", [F.desc("score"), F.asc("doc_id")], "doc_id", "octets", _LANGS, budget=4_000)
+    return chosen.select("doc_id", "lang", F.col("rank").cast("long").alias("rank"), "running")
 
 
 @query("""WITH RECURSIVE o AS (SELECT c_nationkey, c_custkey, c_acctbal AS s, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS n FROM (SELECT c_nationkey, c_custkey, abs(c_acctbal) AS c_acctbal FROM customer)),
@@ -217,10 +224,14 @@ def o06_retry_choose_best(spark, d):
     return ranking.choose_best(attempts, "user_id", "attempt", "selected")
 
 
-@query("""SELECT event_type, event_id, CAST(running AS BIGINT) AS running FROM (SELECT *, sum(length(props)) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS running FROM events) WHERE running <= 1000""")
+@query("""WITH e AS (SELECT event_id, ts, length(props) * 50 + event_id % 1300 AS bytes, user_id % 7 = 0 AS failed FROM events),
+s AS (SELECT *, coalesce(sum(CASE WHEN failed OR bytes > 1500 THEN 1500 ELSE bytes END) OVER (ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM e)
+SELECT event_id, CASE WHEN used > 800000 - 1024 THEN 'TOTAL_BODY_LIMIT' WHEN failed THEN 'FAILED' WHEN bytes > least(1500, 800000 - used) THEN 'BODY_TOO_LARGE' ELSE 'ok' END AS outcome,
+CAST(CASE WHEN used > 800000 - 1024 THEN 0 ELSE least(CASE WHEN failed OR bytes > 1500 THEN 1500 ELSE bytes END, 800000 - used) END AS BIGINT) AS charge FROM s""")
 def s07_byte_budget(spark, d):
-    rows = _events(spark, d).withColumn("n", F.length("props"))
-    return ranking.running_budget(rows, "event_type", [F.asc("ts"), F.asc("event_id")], "n", 1000).select("event_type", "event_id", F.col("running").cast("long").alias("running"))
+    """Events as sources that share 800,000 bytes in the order of their times; a seventh of the users' fail."""
+    rows = _events(spark, d).select("event_id", "ts", (F.length("props") * 50 + F.col("event_id") % 1_300).alias("bytes"), (F.col("user_id") % 7 == 0).alias("failed"))
+    return ranking.reserved_bytes(rows, ["ts", "event_id"], "bytes", "failed", 800_000, 1_500).select("event_id", "outcome", "charge")
 
 
 @query("SELECT CAST(date_trunc('hour', ts) AS VARCHAR) AS hour, event_type, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-11' GROUP BY ALL")
