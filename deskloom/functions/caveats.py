@@ -55,10 +55,18 @@ BYPASS = r"\b(?:pre[- ]?installed|(?:already|automatically)\s+installed|(?:no|wi
 APP = r"(?i)\b(?:app|application|client)\b"
 
 
+#: One of these stands in whatever a rule below looks for; the other clauses only keep their places.
+_WORDS = "(?i)exploit|attack|fix|patch|remediat|correct|resolv|update|upgrade|driver|secure boot|execut|default|automatically|install|download"
+
+
 def clauses(text: Column) -> Column:
-    """The clauses of a text in compatibility form, in order; contrasts begin clauses of their own, points within numbers don't."""
+    """The clauses of a text in compatibility form, in order; contrasts begin clauses of their own, points within numbers don't.
+
+    Clauses without any word of the rules are empty, so that no rule finds anything in them.
+    """
     plain = F.regexp_replace(F.regexp_replace(nfkc(F.coalesce(text, F.lit(""))), "[’‘]", "'"), SPACE + "+", " ")
-    return F.filter(F.transform(F.split(plain_edges(F.trim(plain)), CLAUSE_ENDS, -1), F.trim), lambda c: c != "")
+    parts = F.filter(F.transform(F.split(plain_edges(F.trim(plain)), CLAUSE_ENDS, -1), F.trim), lambda c: c != "")
+    return F.transform(parts, lambda c: F.when(c.rlike(_WORDS), c).otherwise(""))
 
 
 def occurrences(text: Column, pattern: str, group: int = 0) -> Column:
