@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from deskloom.functions import scoring
 from deskloom.functions import values as V
 from deskloom.functions.text import hmac_sha256, jaccard, safe_code, title_tokens
-from deskloom.operators import evidence, integrity, ledger, matching, ranking
+from deskloom.operators import binding, evidence, integrity, ledger, matching, ranking
 from deskloom.plans.registry import query, table
 from deskloom.plans.windows_and_time import _SUPPLY, supply
 from deskloom.sources import editions
@@ -165,10 +165,30 @@ def j06_allowlist_semi_join(spark, d):
     return table(spark, d, "orders").join(allowed, "o_custkey", "left_semi").select("o_orderkey")
 
 
-@query("SELECT o_orderkey, count(l_orderkey) AS bound, count(l_orderkey) = 1 AS exactly_one FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
+_SOURCES = """s AS (SELECT l_orderkey AS candidate, l_suppkey % 7 AS id, l_linestatus AS title, l_returnflag AS publisher, CASE WHEN l_linenumber % 5 > 0 THEN CAST(l_shipdate AS DATE) END AS published_at,
+CASE WHEN l_linenumber = 4 THEN 'context' WHEN l_linenumber = 7 THEN 'aggregator' WHEN l_linenumber = 1 THEN 'originating' ELSE 'independent' END AS relationship FROM lineitem)"""
+
+
+@query(f"""WITH {_SOURCES},
+e AS (SELECT l_orderkey AS candidate, l_linenumber AS record, CASE WHEN l_quantity = 3 THEN 99 ELSE l_suppkey % 7 END AS source_id, CASE WHEN l_quantity = 5 THEN 'other' ELSE l_linestatus END AS title, CASE WHEN l_quantity = 7 THEN 'other' ELSE l_returnflag END AS publisher,
+ CASE WHEN l_quantity = 9 THEN DATE '1970-01-01' WHEN l_quantity <> 11 THEN CAST(l_shipdate AS DATE) END AS published_at FROM lineitem WHERE l_linenumber <= 4 OR l_linenumber = 7 OR l_quantity > 40),
+n AS (SELECT candidate, id, count(*) AS bound, any_value(title) AS t, any_value(publisher) AS p, any_value(published_at) AS d, any_value(relationship) AS r FROM s WHERE relationship <> 'context' GROUP BY ALL),
+f AS (SELECT candidate, source_id, count(DISTINCT concat_ws('|', title, publisher, coalesce(CAST(published_at AS VARCHAR), '-'))) > 1 AS differ FROM e GROUP BY ALL), k AS (SELECT candidate, count(*) AS records FROM e GROUP BY ALL), h AS (SELECT candidate, count(*) AS held FROM s GROUP BY ALL)
+SELECT e.candidate, record, coalesce(bound, 0) AS bound, CASE WHEN records > 4 OR held > 8 THEN 'EVIDENCE_BOUNDS' WHEN bound IS NULL THEN 'SOURCE_UNKNOWN' WHEN bound > 1 THEN 'SOURCE_TWICE' WHEN e.title <> t THEN 'TITLE_DIFFERS' WHEN e.publisher <> p THEN 'PUBLISHER_DIFFERS'
+ WHEN r = 'aggregator' THEN 'RELATIONSHIP_INVALID' WHEN e.published_at <> d THEN 'DATE_DIFFERS' WHEN differ THEN 'RECORDS_CONFLICT' END AS code
+FROM e LEFT JOIN n ON n.candidate = e.candidate AND n.id = e.source_id LEFT JOIN f ON f.candidate = e.candidate AND f.source_id = e.source_id LEFT JOIN k ON k.candidate = e.candidate LEFT JOIN h ON h.candidate = e.candidate""")
 def j07_exactly_one_binding(spark, d):
-    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
-    return matching.bound_once(table(spark, d, "orders").select("o_orderkey"), lines, "o_orderkey").select("o_orderkey", "bound", "exactly_one")
+    """Lines of an order as the sources of a candidate, and as evidence with names, titles, publishers and dates changed."""
+    n, q = F.col("l_linenumber"), F.col("l_quantity")
+    kind = F.when(n == 4, "context").when(n == 7, "aggregator").when(n == 1, "originating").otherwise("independent")
+    lines, shipped = table(spark, d, "lineitem"), F.col("l_shipdate").cast("date")
+    key = (F.col("l_suppkey") % 7).alias("id")
+    sources = lines.select(F.col("l_orderkey").alias("candidate"), key, F.col("l_linestatus").alias("title"), F.col("l_returnflag").alias("publisher"), F.when(n % 5 > 0, shipped).alias("published_at"), kind.alias("relationship"))
+    evidence = lines.where((n <= 4) | (n == 7) | (q > 40)).select(
+        F.col("l_orderkey").alias("candidate"), n.alias("record"), F.when(q == 3, 99).otherwise(F.col("l_suppkey") % 7).alias("source_id"), F.when(q == 5, "other").otherwise(F.col("l_linestatus")).alias("title"),
+        F.when(q == 7, "other").otherwise(F.col("l_returnflag")).alias("publisher"), F.when(q == 9, F.lit("1970-01-01").cast("date")).when(q != 11, shipped).alias("published_at"), F.lit("").alias("text"),
+    )
+    return binding.bind_evidence(evidence, sources)
 
 
 @query("""WITH b AS (SELECT p_partkey AS url, p_brand AS publisher, p_name AS excerpt FROM part WHERE p_partkey % 3 <> 0), x AS (SELECT p_partkey AS url, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE 'other' END AS publisher, p_type AS excerpt FROM part WHERE p_partkey % 3 <> 1)
@@ -370,10 +390,47 @@ def q08_bounded_counters(spark, d):
     return _events(spark, d).select("event_id", integrity.receipt_valid(receipt).alias("valid"))
 
 
-@query("""WITH used AS (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY s_nationkey) SELECT n_nationkey AS k, coalesce(n, 0) AS used, coalesce(n, 0) = 1 AS closed FROM nation LEFT JOIN used ON k = n_nationkey""")
+@query("""WITH s AS (SELECT o_custkey AS edition, o_orderkey AS event_key, CASE WHEN o_orderkey % 13 = 0 AND l_linenumber <= 3 THEN 1 ELSE l_partkey END AS id, l_linestatus AS title, l_returnflag AS publisher, l_partkey AS url, CAST(l_shipdate AS DATE) AS published_at,
+ CASE WHEN l_linenumber = 1 THEN 'originating' WHEN l_linenumber <= 3 THEN 'independent' ELSE 'context' END AS relationship, o_orderpriority AS desk, l_quantity FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
+g AS (SELECT edition, event_key, count(*) > count(DISTINCT id) AS repeats, count(DISTINCT url) FILTER (WHERE relationship <> 'context') AS urls, count(DISTINCT publisher) FILTER (WHERE relationship <> 'context') AS keys, count(*) FILTER (WHERE relationship <> 'context') AS articles FROM s GROUP BY ALL),
+c AS (SELECT *, CASE WHEN event_key % 7 = 0 THEN urls + 1 ELSE urls END = urls AND urls >= 2 AND keys >= 2 AS fine FROM g),
+st AS (SELECT o_custkey AS edition, o_orderkey AS story, CASE WHEN o_orderkey % 19 = 0 THEN -1 WHEN o_orderkey % 23 = 0 THEN min(o_orderkey) OVER (PARTITION BY o_custkey) ELSE o_orderkey END AS event_key, CASE WHEN o_orderkey % 17 = 0 THEN 'wrong' ELSE o_orderpriority END AS desk FROM orders),
+d AS (SELECT o_orderkey AS event_key, o_orderpriority AS c_desk FROM orders),
+x AS (SELECT event_key, id, min({'k': publisher, 'title': title, 'publisher': publisher, 'url': url, 'relationship': relationship, 'published_at': published_at}) AS t FROM s GROUP BY ALL),
+p AS (SELECT st.story, s.id, t IS NULL OR s.title <> t.title OR s.publisher <> t.publisher OR s.url <> t.url OR s.published_at <> t.published_at OR s.relationship <> t.relationship OR s.l_quantity = 7 AS changed, s.url, s.relationship, t.k AS k
+ FROM st JOIN s ON s.event_key = st.story AND (st.story % 11 > 0 OR s.relationship = 'originating') LEFT JOIN x ON x.event_key = st.event_key AND x.id = s.id),
+m AS (SELECT story, count(*) AS n, count(DISTINCT id) AS ids, count(DISTINCT url) AS urls, count(*) FILTER (WHERE changed) AS changed, count(DISTINCT url) FILTER (WHERE relationship <> 'context') AS a_urls, count(DISTINCT k) FILTER (WHERE relationship <> 'context') AS ks FROM p GROUP BY ALL),
+r AS (SELECT st.edition, 'story' AS scope, CAST(st.story AS VARCHAR) AS key, CASE WHEN c_desk IS NULL THEN 'EVENT_UNKNOWN' WHEN st.story > min(CASE WHEN st.event_key > 0 THEN st.story END) OVER (PARTITION BY st.event_key) THEN 'EVENT_REUSED' WHEN st.desk <> c_desk THEN 'DESK_WRONG' WHEN repeats THEN 'DOSSIER_SOURCE_REPEATED'
+ WHEN NOT coalesce(fine, FALSE) THEN 'EVENT_UNCORROBORATED' WHEN m.n IS NULL OR m.n < 2 OR m.urls < 2 THEN 'SOURCES_TOO_FEW' WHEN changed > 0 THEN 'SOURCE_CHANGED' WHEN n > ids THEN 'SOURCE_REPEATED' WHEN ks < 2 OR a_urls < 2 THEN 'CORROBORATION_LACKING' END AS code
+ FROM st LEFT JOIN d ON d.event_key = st.event_key LEFT JOIN c ON c.event_key = st.event_key LEFT JOIN m ON m.story = st.story),
+q AS (SELECT o_custkey AS edition, o_orderkey AS event_key, CASE WHEN o_orderkey % 29 = 0 THEN 2 ELSE 1 END AS times FROM orders WHERE o_orderkey % 31 > 0 UNION ALL SELECT c_custkey, -5, 1 FROM customer),
+u AS (SELECT DISTINCT edition, event_key FROM st WHERE event_key > 0)
+SELECT edition, scope, key, code FROM r WHERE code IS NOT NULL
+UNION ALL SELECT edition, 'event', CAST(event_key AS VARCHAR), CASE WHEN times > 1 THEN 'REQUIRED_REPEATED' WHEN event_key < 0 THEN 'REQUIRED_UNKNOWN' ELSE 'REQUIRED_UNUSED' END FROM q LEFT JOIN u USING (edition, event_key) WHERE times > 1 OR event_key < 0 OR u.event_key IS NULL
+UNION ALL SELECT edition, 'event', CAST(event_key AS VARCHAR), 'NOT_REQUIRED' FROM u ANTI JOIN q USING (edition, event_key)""")
 def q09_closed_world_binding(spark, d):
-    used = table(spark, d, "supplier").select(F.col("s_nationkey").alias("k"))
-    return matching.bound_once(table(spark, d, "nation").select(F.col("n_nationkey").alias("k")), used, "k").select("k", F.col("bound").alias("used"), F.col("exactly_one").alias("closed"))
+    """A customer's orders as an edition's candidates and stories, their lines as sources; faults of every kind are planted by key."""
+    k, n = F.col("o_orderkey"), F.col("l_linenumber")
+    orders = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderpriority")
+    kind = F.when(n == 1, "originating").when(n <= 3, "independent").otherwise("context")
+    lines = orders.join(table(spark, d, "lineitem"), F.col("l_orderkey") == k).select(
+        F.col("o_custkey").alias("edition"), k.alias("event_key"), k.alias("story"), F.when((k % 13 == 0) & (n <= 3), 1).otherwise(F.col("l_partkey")).alias("id"), F.col("l_linestatus").alias("title"), F.col("l_returnflag").alias("publisher"),
+        F.col("l_returnflag").alias("publisher_key"), F.col("l_partkey").alias("url"), F.col("l_shipdate").cast("date").alias("published_at"), kind.alias("relationship"), "l_quantity",
+    )
+    told = F.col("relationship") != "context"
+    ranked = lines.groupBy("event_key").agg(F.count_distinct(F.when(told, F.col("url"))).alias("urls"), F.collect_set(F.when(told, F.col("publisher_key"))).alias("publisher_keys"))
+    candidates = orders.join(ranked, k == F.col("event_key"), "left").select(
+        F.col("o_custkey").alias("edition"), k.alias("event_key"), F.col("o_orderpriority").alias("desk"), F.when(k % 7 == 0, F.col("urls") + 1).otherwise(F.col("urls")).alias("item_sources"), F.size("publisher_keys").alias("publishers"),
+        "publisher_keys", F.lit(True).alias("corroborated"), F.lit("corroborated").alias("tier"),
+    )
+    lowest = orders.groupBy("o_custkey").agg(F.min("o_orderkey").alias("lowest"))
+    stories = orders.join(lowest, "o_custkey").select(
+        F.col("o_custkey").alias("edition"), k.alias("story"), k.alias("position"), F.when(k % 19 == 0, -1).when(k % 23 == 0, F.col("lowest")).otherwise(k).alias("event_key"), F.when(k % 17 == 0, "wrong").otherwise(F.col("o_orderpriority")).alias("desk"),
+    )
+    chosen = lines.where((F.col("story") % 11 > 0) | (F.col("relationship") == "originating")).withColumn("title", F.when(F.col("l_quantity") == 7, "changed").otherwise(F.col("title")))
+    asked = orders.where(k % 31 > 0).select(F.col("o_custkey").alias("edition"), k.alias("event_key"))
+    required = asked.union(asked.where("event_key % 29 = 0")).union(table(spark, d, "customer").select("c_custkey", F.lit(-5)))
+    return binding.closed_world(stories, candidates, lines, chosen, required)
 
 
 @query("SELECT event_id, CASE WHEN event_type IN ('TIMEOUT', 'HTTP_STATUS') THEN event_type ELSE 'FEED_FAILED' END AS code FROM events")
