@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
@@ -35,8 +36,15 @@ DANGLING = "and|or|but|because|although|unless|whether|whereas|despite|including
 CAVEAT = r"\b(?:unless|provided that|requires?|prerequisites?|only (?:if|when|with|available|supported)|does not|has not|no (?:evidence|fixed|patch|fix|known)|not (?:available|supported|confirmed|established)|cannot|must|limited to|restricted to|except|availability|rollout|mitigations?|remediation|fixed in|patched in|secure boot|authentication|exploitation)\b"
 DETAIL = r"\b(?:adds?|introduc(?:e[sd]?|ing)|supports?|changes?|enables?|allows?|permits?|releases?|launch(?:es|ed)?|available|versions?|regions?|customers?|users?|pricing|costs?|limits?|latency|performance|affected|driver|vulnerabilit(?:y|ies)|fix(?:es|ed)?|patch(?:es|ed)?)\b|\b\d+(?:\.\d+)+(?:\b)|\bCVE-\d{4}-\d+\b"
 REFERENTIAL = r"^(?:it|they|these|those|this|that|such|however|unless|only if|when|if|without|availability|mitigation|remediation)\b"
+CONDITIONAL = r"\b(?:when|if|without)\b"
 # The budget of passages, for callers that give no smaller one.
 PASSAGE_CHARS, PASSAGES = 5800, 40
+PAGE_CHARS, PAGE_BLOCKS, TITLE_CHARS, TITLE_TERMS = 600_000, 6_000, 1_000, 24
+# Words of a title that say nothing of its subject.
+PASSAGE_STOP_WORDS = [
+    "a", "an", "and", "are", "as", "at", "be", "been", "by", "can", "for", "from", "has", "have", "in", "into", "is", "it", "its", "new", "of", "on",
+    "or", "our", "the", "their", "this", "to", "update", "updates", "was", "were", "will", "with", "your", "today", "reports", "report", "says", "said",
+]
 # Words around versions and what they say of the bound.
 BOUNDS_BEFORE = {
     "lte": r"at\s+most|no\s+(?:later|newer|higher)\s+than|up\s+to\s+and\s+including|<=|≤", "gte": r"at\s+least|no\s+(?:earlier|older|lower)\s+than|>=|≥",
@@ -109,45 +117,82 @@ def unsupported_names(output: Column, source: Column, cap: int = 8) -> Column:
     return F.slice(F.array_sort(let(known, lambda k: F.filter(sought, lambda w: ~F.arrays_overlap(lexical_forms(F.array(w)), k)))), 1, cap)
 
 
-_CAVEAT, _DETAIL, _REFERS = (re.compile(p, re.I) for p in (CAVEAT, DETAIL, REFERENTIAL))
+_CAVEAT, _DETAIL, _REFERS, _CONDITION = (re.compile(p, re.I | re.A) for p in (CAVEAT, DETAIL, REFERENTIAL, CONDITIONAL))
 
 
-def select_passages(blocks: list[str], title: str, chars: int = PASSAGE_CHARS, passages: int = PASSAGES, least: int = 20) -> list[str]:
-    """Whole blocks, in order, within a budget: caveats with the blocks they lean on first, then those near the title."""
-    kept = list(dict.fromkeys(t for t in (" ".join(b.split()) for b in blocks) if len(t) >= least))
-    if len(kept) <= passages and len("\n".join(kept)) <= chars:
-        return kept
-    terms = {w for w in re.findall(r"[^\W_][\w.-]+", title.lower())}
-    joined: list[list[int]] = []
+def _utf16(text: str) -> int:
+    """The length in UTF-16 units, in which budgets are stated."""
+    return len(text) + sum(c > "\uffff" for c in text)
+
+
+def _folded_words(text: str) -> list[str]:
+    return re.findall(r"[^\W_][\w.-]+", unicodedata.normalize("NFKC", text).lower())
+
+
+def _stands_alone(text: str) -> bool:
+    """Whether a block names its subject itself: it has a detail, two sentences or more, and refers to nothing before it."""
+    sentences = [s for s in re.split(r"(?<=[.!?])\s+(?=[A-Z0-9])", text) if s]
+    return not _REFERS.match(text) and bool(_DETAIL.search(text)) and len(sentences) >= 2
+
+
+def _units(kept: list[str]) -> list[tuple[int, int, bool]]:
+    """(first, last, caveat) runs of blocks that must be taken together: a caveat with the neighbours that it is about."""
+    caveat, detail, refers = ([bool(p(t)) for t in kept] for p in (_CAVEAT.search, _DETAIL.search, _REFERS.match))
+    runs: list[list[int]] = []
     for i, text in enumerate(kept):
-        leans = bool(_REFERS.match(text)) and i > 0
-        if joined and ((leans and _CAVEAT.search(text)) or (_CAVEAT.search(kept[i - 1]) and bool(_REFERS.match(text)))):
-            joined[-1].append(i)
+        if not (caveat[i] or (detail[i] and _CONDITION.search(text))):
+            continue
+        leans = not _stands_alone(text)
+        before = i > 0 and leans and (refers[i] or detail[i - 1] or caveat[i - 1])
+        after = i + 1 < len(kept) and (refers[i + 1] or (leans and (detail[i + 1] or caveat[i + 1])))
+        if runs and i - before <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], i + after)
         else:
-            joined.append([i])
+            runs.append([i - before, i + after])
+    held = {i for first, last in runs for i in range(first, last + 1)}
+    return sorted([*((a, b, True) for a, b in runs), *((i, i, False) for i in range(len(kept)) if i not in held)])
+
 
-    def worth(unit: list[int]) -> float:
-        text = "\n".join(kept[i] for i in unit)
-        hits = len(terms & set(re.findall(r"[^\W_][\w.-]+", text.lower())))
-        early = 24 if unit[0] == 0 else 10 if unit[0] == 1 else 0
-        return 100 * bool(_CAVEAT.search(text)) + min(36, 6 * hits) + 18 * bool(_DETAIL.search(text)) + early
+def select_passages(
+    blocks: list[str], title: str, chars: int = PASSAGE_CHARS, passages: int = PASSAGES, least: int = 20, most: tuple[int, int] | None = (PAGE_CHARS, PAGE_BLOCKS)
+) -> list[str]:
+    """Whole blocks, in order, within a budget: caveats together with the blocks they need first, then those near the title.
 
+    Blocks equal in folded compatibility form count once. A unit that does not fit is skipped whole, and smaller ones after it
+    are tried. A page of more characters or blocks than `most` gives none; with None for it, pages of any size are read.
+    """
+    if most is not None and (len(blocks) > most[1] or sum(map(_utf16, blocks)) > most[0]):
+        return []
+    first: dict[str, str] = {}
+    for text in (" ".join(b.split()) for b in blocks):
+        if _utf16(text) >= least:
+            first.setdefault(unicodedata.normalize("NFKC", text).lower(), text)
+    kept = list(first.values())
+    if len(kept) <= passages and _utf16("\n".join(kept)) <= chars:
+        return kept
+    terms = set([w for w in _folded_words(title[:TITLE_CHARS]) if w not in PASSAGE_STOP_WORDS][:TITLE_TERMS])
+    ranked = []
+    for a, b, caveat in _units(kept):
+        text = "\n".join(kept[a : b + 1])
+        near = min(36, 6 * len(terms.intersection(_folded_words(text))))
+        worth = 100 * caveat + near + 18 * bool(_DETAIL.search(text)) + {0: 24, 1: 10}.get(a, 0)
+        ranked.append((-worth, a, b, _utf16(text)))
     chosen: list[int] = []
     used = 0
-    for unit in sorted(joined, key=lambda u: (-worth(u), u[0])):
-        size = sum(len(kept[i]) + 1 for i in unit) - 1 + (1 if chosen else 0)
-        if used + size <= chars and len(chosen) + len(unit) <= passages:
-            chosen += unit
+    for _, a, b, size in sorted(ranked):
+        size += 1 if chosen else 0
+        if used + size <= chars and len(chosen) + b - a + 1 <= passages:
+            chosen += range(a, b + 1)
             used += size
     return [kept[i] for i in sorted(chosen)]
 
 
-def passages(blocks: Column, title: Column, chars: int = PASSAGE_CHARS, most: int = PASSAGES) -> Column:
-    """T19 as a column: an Arrow-batched UDF, since greedy packing that skips is no expression."""
+def passages(blocks: Column, title: Column, chars: int = PASSAGE_CHARS, count: int = PASSAGES) -> Column:
+    """T19 as a column, for texts of any size: an Arrow-batched UDF, since greedy packing that skips is no expression."""
 
     @F.pandas_udf("array<string>")
     def run(b: pd.Series, t: pd.Series) -> pd.Series:
-        return pd.Series([select_passages([x for x in (v if v is not None else []) if x], u or "", chars, most) for v, u in zip(b, t, strict=True)])
+        return pd.Series([select_passages([x for x in (v if v is not None else []) if x], u or "", chars, count, most=None) for v, u in zip(b, t, strict=True)])
 
     return run(blocks, title)
 

@@ -371,7 +371,9 @@ def s08_article_blocks(spark, d):
 
 @query()
 def s09_structured_units(spark, d):
-    return pages.structured_units(_pages(spark, d), "page_id", "html")
+    """One row a page: its blocks, or why it is held; digests and counts beside them."""
+    read = pages.structured_pages(_pages(spark, d), "page_id", "html")
+    return read.withColumn("holds", F.array_join("holds", ",")).withColumn("blocks", F.array_join("blocks", "\n"))
 
 
 @query("""SELECT page_id, CASE page_id % 8 WHEN 0 THEN 'PUBLICATION_DATE_MISSING' WHEN 3 THEN 'PUBLICATION_DATE_CONFLICT' WHEN 4 THEN 'PUBLICATION_DATE_INVALID' WHEN 5 THEN 'ARTICLE_IDENTITY_CONFLICT' WHEN 7 THEN 'ARTICLE_TITLE_INVALID' ELSE '' END AS codes,

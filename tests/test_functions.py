@@ -223,12 +223,6 @@ def test_feeds(spark):
     assert [r["summary"] for r in feeds.normalize(feeds.parse_json(json)).collect()] == ["x"]
 
 
-def test_structured_units(spark):
-    html = "<article><h1>T</h1><h2>S</h2><table><tr><th>A</th><th>B</th></tr><tr><td>1</td><td>2</td></tr></table><dl><dt>k<dd>v</dl><p>x</p></article>"
-    df = spark.createDataFrame([(1, html), (2, None)], "page_id int, html string")
-    assert [r["unit"] for r in pages.structured_units(df, "page_id", "html").orderBy("position").collect()] == ["T — S — A: 1; B: 2", "T — S — k: v", "T — S — x"]
-
-
 def test_fair_sample(spark):
     rows = [("a", i, i) for i in range(5)] + [("b", 10, 10), ("c", 20, 20)]
     df = spark.createDataFrame(rows, "s string, t int, i int")

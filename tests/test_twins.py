@@ -93,43 +93,6 @@ def test_summary_checks(spark, documents):
         assert got.get(k, set()) - {"PROSE"} == want, k
 
 
-def passages(blocks, title, chars=5800, most=40):
-    """T19 by its definition: units of blocks, worth by caveats, title words, details and place, packed greedily."""
-    search = lambda p, x: regex.search(p, x, regex.I)
-    kept = []
-    for b in blocks:
-        b = " ".join(b.split())
-        if len(b) >= 20 and b not in kept:
-            kept.append(b)
-    if len(kept) <= most and sum(map(len, kept)) + max(0, len(kept) - 1) <= chars:
-        return kept
-    units = []
-    for i, b in enumerate(kept):
-        leans = search(prose.REFERENTIAL, b)
-        if i and leans and (search(prose.CAVEAT, b) or search(prose.CAVEAT, kept[i - 1])):
-            units[-1].append(i)
-        else:
-            units.append([i])
-    terms = lambda x: set(regex.findall(r"[^\W_][\w.-]+", x.lower()))
-    scored = []
-    for u in units:
-        x = "\n".join(kept[i] for i in u)
-        worth = (100 if search(prose.CAVEAT, x) else 0) + min(36, 6 * len(terms(title) & terms(x))) + (18 if search(prose.DETAIL, x) else 0) + {0: 24, 1: 10}.get(u[0], 0)
-        scored.append((-worth, u[0], u))
-    chosen = []
-    for _, _, u in sorted(scored):
-        both = sorted(chosen + u)
-        if len(both) <= most and len("\n".join(kept[i] for i in both)) <= chars:
-            chosen = both
-    return [kept[i] for i in chosen]
-
-
-def test_passages(spark, documents):
-    got = rows(spark, "t19_passage_selection", "doc_id", "passages")
-    want = {k: "\n".join(passages(x.split("\n"), regex.match(r"[^\n.]*", x)[0])) for k, x in documents.items()}
-    assert got == want
-
-
 def every_pair(items):
     """All pairs that match, by the predicate alone."""
     a, b = items.alias("a"), items.alias("b")
