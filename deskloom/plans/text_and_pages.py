@@ -9,7 +9,7 @@ from deskloom.functions import caveats, events, numbers, prose, roles, scoring,
 from deskloom.functions import values as V
 from deskloom.operators import editorial, integrity, matching
 from deskloom.plans.registry import query, table
-from deskloom.sources import editions, feeds, pages
+from deskloom.sources import editions, feeds, packets, pages
 
 
 def _docs(spark, d):
@@ -489,10 +489,33 @@ def s15_build_version(spark, d):
     return editions.build_version(table(spark, d, "customer"), "c_custkey", ["c_custkey", "c_name"])
 
 
-@query("SELECT * FROM (SELECT 'SIZE' AS code, (SELECT count(*) FROM part) <> 10 AS b UNION ALL SELECT 'DUPLICATE_URL', (SELECT count(*) > count(DISTINCT p_name) FROM part) UNION ALL SELECT 'DIGEST', TRUE) WHERE b = TRUE".replace("SELECT * FROM", "SELECT code FROM"))
+@query(r"""WITH d AS (SELECT doc_id // 10 AS packet, doc_id % 10 AS pos, doc_id, source, trim(regexp_replace(coalesce(text, '') || chr(10) || coalesce(text, ''), '[ ]*\n[ ]*', chr(10), 'g')) AS t, CASE WHEN (doc_id // 10) % 10 = 7 THEN 0 ELSE doc_id % 4 END AS desk FROM documents),
+f AS (SELECT packet, pos, packet % 10 AS k, desk, CASE WHEN length(t) NOT BETWEEN 600 AND 18000 OR (packet % 10 = 5 AND pos = 3) OR (packet % 10 = 9 AND pos = 6) THEN 'BENCHMARK_ARTICLE' WHEN packet % 10 = 6 AND pos = 4 THEN 'BENCHMARK_SOURCE'
+ WHEN len(string_split(t, chr(10))) > 128 OR len(list_filter(string_split(t, chr(10)), lambda x: length(x) NOT BETWEEN 1 AND 6000 OR regexp_matches(x, '^\s|\s$|[\p{Cc}\p{Cf}\x{2028}\x{2029}]'))) > 0 THEN 'BENCHMARK_PASSAGES' END AS code FROM d),
+g AS (SELECT packet, k, count(*) FILTER (WHERE k <> 4 OR pos < 9) AS n, arg_min(code, pos) FILTER (WHERE code IS NOT NULL) AS code, least(count(*) FILTER (WHERE desk = 0), count(*) FILTER (WHERE desk = 1), count(*) FILTER (WHERE desk = 2), count(*) FILTER (WHERE desk = 3)) AS thin FROM f GROUP BY ALL),
+c AS (SELECT packet, CASE WHEN k = 8 THEN 'BENCHMARK_PACKET' WHEN k = 1 THEN 'BENCHMARK_PACKET_HASH' WHEN k IN (2, 3) OR n <> 10 THEN 'BENCHMARK_PACKET' WHEN code IS NOT NULL THEN code WHEN thin < 2 THEN 'BENCHMARK_COVERAGE' END AS code FROM g)
+SELECT packet, code, CASE WHEN code IS NULL THEN 10 ELSE 0 END AS articles FROM c""")
 def s16_packet_check(spark, d):
-    rows = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_brand").alias("desk"), F.col("p_name").alias("url"), F.col("p_type").alias("sourceText"), F.lit("0").alias("sourceSha256"))
-    return editions.packet_issues(rows)
+    """Ten documents a packet, encoded by Spark and read back; packets break one rule each by their number."""
+    k, pos = F.col("packet") % 10, F.col("pos")
+    text_ = F.coalesce(F.col("text"), F.lit(""))
+    own = F.trim(F.regexp_replace(F.concat(text_, F.lit("\n"), text_), r"[ ]*\n[ ]*", "\n"))
+    docs = _docs(spark, d).select(F.floor(F.col("doc_id") / 10).alias("packet"), (F.col("doc_id") % 10).cast("int").alias("pos"), "doc_id", "source", own.alias("own"))
+    desks = F.array(*[F.lit(x) for x in packets.DESKS])
+    fields = {
+        "id": F.format_string("A%02d", F.when((k == 9) & (pos == 6), 99).otherwise(pos + 1)), "desk": F.get(desks, F.when(k == 7, 0).otherwise(F.col("doc_id") % 4).cast("int")), "title": F.concat(F.lit("Document "), F.col("doc_id")),
+        "url": F.concat(F.lit("https://"), F.when((k == 6) & (pos == 4), "other").otherwise(F.col("source")), F.lit(".example.com/"), F.col("doc_id")), "publisherKey": F.col("source"), "sourceText": F.col("own"),
+        "sourceSha256": F.when((k == 5) & (pos == 3), F.sha2(F.lit(""), 256)).otherwise(F.sha2("own", 256)), "captureNote": F.lit("whole text"),
+    }
+    article = F.struct(*[c.alias(name) for name, c in fields.items()])
+    bundles = docs.where((k != 4) | (pos < 9)).groupBy("packet").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", article.alias("a")))), lambda x: x["a"]).alias("articles"))  # of ten documents
+    version = F.when(F.col("packet") % 10 == 2, 2).otherwise(1).alias("version")
+    body = F.when(F.col("packet") % 10 == 3, F.to_json(F.struct(version, "articles", F.lit(1).alias("more")))).otherwise(F.to_json(F.struct(version, "articles")))
+    sent = bundles.select("packet", body.alias("body")).select("packet", "body", packets.packed("body").alias("whole"))
+    cut = F.when(F.col("packet") % 10 == 8, F.expr("left(whole, length(whole) - 4)")).otherwise(F.col("whole"))
+    sent = sent.select("packet", cut.alias("encoded"), F.when(F.col("packet") % 10 == 1, F.sha2(F.lit(""), 256)).otherwise(F.sha2("body", 256)).alias("sha256"))
+    known = _docs(spark, d).select("source").distinct().select(F.col("source").alias("publisher_key"), F.concat("source", F.lit(".example.com")).alias("host"))
+    return packets.check_packets(sent, known, None)
 
 
 @query("""WITH q AS (SELECT *, dense_rank() OVER (ORDER BY event_type) AS k FROM events), f AS (SELECT * FROM q WHERE k <= 12 QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY event_id) <= 5)

@@ -1,4 +1,4 @@
-"""Edition documents, ledgers, reports and packets on disk."""
+"""Edition documents, ledgers, and reports on disk."""
 
 from __future__ import annotations
 
@@ -97,23 +97,3 @@ def build_version(rows: DataFrame, key: str, columns: list[str], part: int = 100
     own = rows.select(F.col(key).alias("k"), content_digest(*columns).alias("row"))
     runs = own.groupBy(F.floor(F.col("k") / part).alias("run")).agg(F.sha2(joined("k", "row"), 256).alias("digest"))
     return runs.agg(F.substring(F.sha2(joined("run", "digest"), 256), 1, 12).alias("version"))
-
-
-def packet_issues(articles: DataFrame, size: int = 10, per_desk: int = 2) -> DataFrame:
-    """Codes of a benchmark packet (id, desk, url, sourceText, sourceSha256) that is not as it must be."""
-    counted = articles.agg(
-        F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.count_distinct("url").alias("urls"),
-        F.count_if(F.sha2(F.col("sourceText").cast("string"), 256) != F.col("sourceSha256")).alias("wrong"),
-    )
-    whole = counted.select(
-        F.explode(
-            F.array_compact(
-                F.array(
-                    F.when(F.col("n") != size, F.lit("SIZE")), F.when(F.col("ids") < F.col("n"), F.lit("DUPLICATE_ID")),
-                    F.when(F.col("urls") < F.col("n"), F.lit("DUPLICATE_URL")), F.when(F.col("wrong") > 0, F.lit("DIGEST")),
-                )
-            )
-        ).alias("code")
-    )
-    thin = articles.groupBy("desk").agg(F.count("*").alias("n")).where(F.col("n") < per_desk).select(F.concat(F.lit("DESK:"), "desk").alias("code"))
-    return whole.unionByName(thin)
