@@ -279,3 +279,11 @@ def hmac_sha256(key: str | bytes, message: Column) -> Column:
     raw = (hashlib.sha256(raw).digest() if len(raw) > 64 else raw).ljust(64, b"\0")
     inner, outer = bytes(b ^ 0x36 for b in raw), bytes(b ^ 0x5C for b in raw)
     return F.sha2(F.concat(F.lit(bytearray(outer)), F.unhex(F.sha2(F.concat(F.lit(bytearray(inner)), F.encode(message, "utf-8")), 256))), 256)
+
+
+def by_locale(text: Column) -> Column:
+    """Text as a key that sorts as words do in a dictionary (ICU's root order): letters before case and accents, both counted.
+
+    Equal keys may be different texts, such as composed and decomposed forms, so a total order ends with the text itself.
+    """
+    return F.collate(text, "UNICODE")

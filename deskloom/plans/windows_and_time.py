@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from deskloom.functions import times
+from deskloom.functions.text import by_locale
 from deskloom.operators import evidence, ranking
 from deskloom.plans.registry import query, table
 
@@ -156,9 +157,9 @@ def w06_contiguity(spark, d):
     return days.withColumn("p", F.lag(F.col("a") + F.expr("INTERVAL 1 DAY")).over(order)).select("user_id", "event_id", (F.col("p") == F.col("a")).alias("contiguous"))
 
 
-@query("SELECT user_id, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_type, ts DESC, event_id) AS ordered FROM events GROUP BY user_id")
+@query("SELECT user_id, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_type COLLATE en, ts DESC, event_id) AS ordered FROM events GROUP BY user_id")
 def w07_order_within_group(spark, d):
-    item = F.struct("event_type", (-F.unix_micros("ts")).alias("t"), "event_id")
+    item = F.struct(by_locale(F.col("event_type")).alias("event_type"), (-F.unix_micros("ts")).alias("t"), "event_id")
     return _events(spark, d).groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["event_id"].cast("string")), ",").alias("ordered"))
 
 
@@ -199,9 +200,18 @@ def w11_skip_fit_selection(spark, d):
     return kept.select("c_nationkey", "c_custkey", F.round("running", 2).alias("running"))
 
 
-@query("SELECT event_id, event_type FROM events ORDER BY event_type, ts DESC, event_id")
+@query("SELECT event_id, event_type FROM events ORDER BY event_type COLLATE en, ts DESC, event_id")
 def o01_stable_sort(spark, d):
-    return _events(spark, d).orderBy("event_type", F.desc("ts"), "event_id").select("event_id", "event_type")
+    return _events(spark, d).orderBy(by_locale(F.col("event_type")), F.desc("ts"), "event_id").select("event_id", "event_type")
+
+
+@query(r"""WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS w FROM documents) SELECT doc_id, string_agg(w, ' ' ORDER BY w COLLATE en, w) AS words FROM w GROUP BY doc_id""")
+def o01_locale_words(spark, d):
+    """The distinct words of each text in the order of a dictionary, accents and capitals included; a row holds one text's words."""
+    words = F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-zÀ-ÿ]+"), F.lit(0)))
+    keyed = F.array_sort(F.transform(words, lambda w: F.struct(by_locale(w).alias("key"), w.alias("w"))))
+    docs = table(spark, d, "documents").select("doc_id", F.transform(keyed, lambda x: x["w"]).alias("words"))
+    return docs.where(F.size("words") > 0).select("doc_id", F.array_join("words", " ").alias("words"))
 
 
 @query("SELECT user_id, array_to_string(list_slice(list(DISTINCT event_type ORDER BY event_type), 1, 3), ',') AS first_three FROM events GROUP BY user_id")
