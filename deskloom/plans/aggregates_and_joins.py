@@ -400,11 +400,11 @@ x AS (SELECT event_key, id, min({'k': publisher, 'title': title, 'publisher': pu
 p AS (SELECT st.story, s.id, t IS NULL OR s.title <> t.title OR s.publisher <> t.publisher OR s.url <> t.url OR s.published_at <> t.published_at OR s.relationship <> t.relationship OR s.l_quantity = 7 AS changed, s.url, s.relationship, t.k AS k
  FROM st JOIN s ON s.event_key = st.story AND (st.story % 11 > 0 OR s.relationship = 'originating') LEFT JOIN x ON x.event_key = st.event_key AND x.id = s.id),
 m AS (SELECT story, count(*) AS n, count(DISTINCT id) AS ids, count(DISTINCT url) AS urls, count(*) FILTER (WHERE changed) AS changed, count(DISTINCT url) FILTER (WHERE relationship <> 'context') AS a_urls, count(DISTINCT k) FILTER (WHERE relationship <> 'context') AS ks FROM p GROUP BY ALL),
-r AS (SELECT st.edition, 'story' AS scope, CAST(st.story AS VARCHAR) AS key, CASE WHEN c_desk IS NULL THEN 'EVENT_UNKNOWN' WHEN st.story > min(CASE WHEN st.event_key > 0 THEN st.story END) OVER (PARTITION BY st.event_key) THEN 'EVENT_REUSED' WHEN st.desk <> c_desk THEN 'DESK_WRONG' WHEN repeats THEN 'DOSSIER_SOURCE_REPEATED'
+r AS (SELECT st.edition, 'story' AS scope, CAST(st.story AS VARCHAR) AS key, CASE WHEN c_desk IS NULL THEN 'EVENT_UNKNOWN' WHEN st.story > min(CASE WHEN st.event_key >= 0 THEN st.story END) OVER (PARTITION BY st.event_key) THEN 'EVENT_REUSED' WHEN st.desk <> c_desk THEN 'DESK_WRONG' WHEN repeats THEN 'DOSSIER_SOURCE_REPEATED'
  WHEN NOT coalesce(fine, FALSE) THEN 'EVENT_UNCORROBORATED' WHEN m.n IS NULL OR m.n < 2 OR m.urls < 2 THEN 'SOURCES_TOO_FEW' WHEN changed > 0 THEN 'SOURCE_CHANGED' WHEN n > ids THEN 'SOURCE_REPEATED' WHEN ks < 2 OR a_urls < 2 THEN 'CORROBORATION_LACKING' END AS code
  FROM st LEFT JOIN d ON d.event_key = st.event_key LEFT JOIN c ON c.event_key = st.event_key LEFT JOIN m ON m.story = st.story),
 q AS (SELECT o_custkey AS edition, o_orderkey AS event_key, CASE WHEN o_orderkey % 29 = 0 THEN 2 ELSE 1 END AS times FROM orders WHERE o_orderkey % 31 > 0 UNION ALL SELECT c_custkey, -5, 1 FROM customer),
-u AS (SELECT DISTINCT edition, event_key FROM st WHERE event_key > 0)
+u AS (SELECT DISTINCT edition, event_key FROM st WHERE event_key >= 0)
 SELECT edition, scope, key, code FROM r WHERE code IS NOT NULL
 UNION ALL SELECT edition, 'event', CAST(event_key AS VARCHAR), CASE WHEN times > 1 THEN 'REQUIRED_REPEATED' WHEN event_key < 0 THEN 'REQUIRED_UNKNOWN' ELSE 'REQUIRED_UNUSED' END FROM q LEFT JOIN u USING (edition, event_key) WHERE times > 1 OR event_key < 0 OR u.event_key IS NULL
 UNION ALL SELECT edition, 'event', CAST(event_key AS VARCHAR), 'NOT_REQUIRED' FROM u ANTI JOIN q USING (edition, event_key)""")
