@@ -655,3 +655,25 @@ def test_streaming_drops_repeats(spark, tmp_path):
     q = intake.first_writes(stream, "k", "t").writeStream.format("memory").queryName("firsts").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("firsts").count() == 1
+
+
+@pytest.mark.parametrize("piece", [1_000, 2])
+def test_copies_are_matched_once(spark, monkeypatch, piece):
+    """Blocks see one of the copies of a title; their pairs, also those of a class larger than a piece, are told out whole."""
+    seen = []
+    block_pairs = matching.block_pairs
+
+    def counted(blocks, *more):
+        seen.append(blocks.select("item").distinct().count())
+        return block_pairs(blocks, *more)
+
+    monkeypatch.setattr(matching, "PIECE", piece)
+    monkeypatch.setattr(matching, "block_pairs", counted)
+    titles = ["Google unveils blue round wheel maker"] * 5 + ["Google unveils blue round wheel maker set"] * 3 + ["Apple sued over fees"] * 2 + ["Apple opens a shop"]
+    rows = [(i, t, "p", "u" if i in (0, 10) else f"u{i}") for i, t in enumerate(titles)]
+    items = checkpointed(matching.features(spark.createDataFrame(rows, "i int, t string, p string, u string"), "i", "t", "p", "u"))
+    found = [tuple(r) for r in matching.matching_pairs(items).collect()]
+    a, b = items.alias("a"), items.alias("b")
+    every = a.crossJoin(b).where(F.col("a.item") < F.col("b.item")).where(matching.pair_predicate()).select("a.item", "b.item")
+    assert sorted(found) == sorted(tuple(r) for r in every.collect()) and {(0, 10), (0, 4), (1, 6)} <= set(found)
+    assert seen[0] == len(set(titles))
