@@ -89,11 +89,17 @@ def nfkc(text: Column) -> Column:
     return fold_dashes(_nfkc(text))
 
 
-def tokens(text: Column, stop_words: list[str] | None = None) -> Column:
-    """Lower-case tokens of letters, digits and hyphens, longer than one character, without stop words."""
-    low = F.lower(F.regexp_replace(fold_dashes(text), r"(?i)(?<![A-Za-z0-9_])node\.js(?![A-Za-z0-9_])", "nodejs"))
-    stop = F.array(*[F.lit(w) for w in (V.STOP_WORDS if stop_words is None else stop_words)])
-    return F.filter(F.split(F.regexp_replace(low, r"[^a-z0-9-]+", " "), " "), lambda t: (F.length(t) > 1) & ~F.array_contains(stop, t))
+def tokens(text: Column, stop_words: list[str] | None = None, once: bool = False) -> Column:
+    """Lower-case tokens of letters, digits and hyphens, longer than one character, without stop words; with `once` each
+    once, which spares the words that a long text repeats."""
+    plain = fold_dashes(text)
+    node = F.regexp_replace(plain, r"(?i)(?<![A-Za-z0-9_])node\.js(?![A-Za-z0-9_])", "nodejs")
+    low = F.lower(F.when(F.lower(text).contains("node.js"), node).otherwise(plain))
+    stop = F.array(*[F.lit(w) for w in (V.STOP_WORDS if stop_words is None else stop_words)]).cast("array<string>")
+    words = F.split(F.regexp_replace(low, r"[^a-z0-9-]+", " "), " ")
+    if once:
+        return F.filter(F.array_except(words, stop), lambda t: F.length(t) > 1)
+    return F.filter(words, lambda t: (F.length(t) > 1) & ~F.array_contains(stop, t))
 
 
 def stem(token: Column) -> Column:
@@ -106,7 +112,7 @@ def stem(token: Column) -> Column:
 
 def title_tokens(title: Column, cap: int | None = None) -> Column:
     """T06, as the ledger takes them: the sorted set of stemmed title tokens without years. cap: the first few."""
-    stemmed = F.transform(tokens(title), stem)
+    stemmed = F.transform(tokens(title, once=True), stem)
     kept = F.array_sort(F.array_distinct(F.filter(stemmed, lambda t: (F.length(t) > 1) & ~t.rlike(r"^\d{4}$"))))
     return kept if cap is None else F.slice(kept, 1, cap)
 
@@ -114,10 +120,10 @@ def title_tokens(title: Column, cap: int | None = None) -> Column:
 def event_tokens(title: Column) -> Column:
     """T06, as event matching takes them: without the words of the beat; hyphened tokens also give their parts."""
     generic = F.array(*[F.lit(w) for w in V.EVENT_STOP_WORDS])
-    own = F.filter(tokens(title), lambda t: ~F.array_contains(generic, t))
+    own = F.array_except(tokens(title, once=True), generic)
     split = lambda t: F.when(t.contains("-") & ~t.isin(V.WHOLE_TOKENS), F.concat(F.array(t), F.split(t, "-"))).otherwise(F.array(t))
     parts = F.flatten(F.transform(F.transform(own, stem), split))
-    return F.array_sort(F.array_distinct(F.filter(parts, lambda t: (F.length(t) > 1) & ~t.rlike(r"^\d{4}$") & ~F.array_contains(generic, t))))
+    return F.array_sort(F.filter(F.array_except(parts, generic), lambda t: (F.length(t) > 1) & ~t.rlike(r"^\d{4}$")))
 
 
 def jaccard(a: Column, b: Column) -> Column:

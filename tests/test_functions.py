@@ -677,3 +677,10 @@ def test_copies_are_matched_once(spark, monkeypatch, piece):
     every = a.crossJoin(b).where(F.col("a.item") < F.col("b.item")).where(matching.pair_predicate()).select("a.item", "b.item")
     assert sorted(found) == sorted(tuple(r) for r in every.collect()) and {(0, 10), (0, 4), (1, 6)} <= set(found)
     assert seen[0] == len(set(titles))
+
+
+def test_repeated_words_are_stemmed_once():
+    """A long text's words are taken once before the rules for single words."""
+    for of in (text.event_tokens, text.title_tokens):
+        assert "array_except(split" in str(of(F.col("t")))
+    assert "array_except" not in str(text.tokens(F.col("t")))
