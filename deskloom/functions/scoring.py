@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from deskloom.functions import events
 from deskloom.functions import values as V
-from deskloom.functions.text import ascii_edges, count_terms, identifiers, let, matches, term_hits, weighted
+from deskloom.functions.text import ascii_edges, identifiers, let, matches, term_hits, weighted
 
 
 def broad_quantity(text: Column) -> Column:
     """Whether text names an amount of money, a percentage, or a number of people or things."""
-    return matches(text, V.BROAD_QUANTITY)
+    return events.met(events.plain_edges(text), V.BROAD_QUANTITY)
 
 
 def broad_impact(text: Column) -> Column:
@@ -39,9 +40,16 @@ def vetoes(title: Column, summary: Column, categories: Column, url_path: Column,
 TERMS = list(dict.fromkeys(t for terms in V.DESK_TERMS.values() for t in terms))
 
 
-def desk_hits(text: Column) -> Column:
-    """Which of the desks' terms lower-case text has. Keep it as a column, since the scores refer to it many times."""
-    return term_hits(text, TERMS)
+def desk_hits(text: Column, desk: str | None = None) -> Column:
+    """Which of the desks' terms lower-case text has. Keep it as a column, since the scores refer to it many times.
+
+    desk: the only one whose scores are asked for; other desks' terms, which it gives no weight, are not sought and count as missing.
+    """
+    if desk is None:
+        return term_hits(text, TERMS)
+    own = [t for t in TERMS if t in V.DESK_TERMS[desk]]
+    hits = {t: i for i, t in enumerate(own)}
+    return let(term_hits(text, own), lambda h: F.array(*[F.get(h, F.lit(hits[t])) if t in hits else F.lit(False) for t in TERMS]))
 
 
 def strong_terms(hits: Column, desk: str) -> Column:
@@ -84,11 +92,15 @@ def scorecard(text: Column, tier: Column, title_terms: Column, summary_terms: Co
     m = V.SCORE_MAXIMA
     known, amount = (F.size(identifiers(text)) > 0).cast("int"), broad_quantity(text).cast("int")
     cap = lambda most, x: F.least(F.lit(most), x)
+    lists = [V.IMPACT, V.NOVELTY, V.ACTION]  # the text's words are taken once for all
+    starts = [sum(len(x) for x in lists[:i]) for i in range(len(lists))]
+    number = lambda h, i: F.size(F.filter(F.slice(h, starts[i] + 1, len(lists[i])), lambda x: x))
+    counts = let(term_hits(text, [t for x in lists for t in x]), lambda h: F.struct(*[number(h, i).alias(k) for i, k in enumerate(("impact", "novelty", "action"))]))
     return {
-        "materiality": cap(m["materiality"], 8 + cap(16, count_terms(text, V.IMPACT) * 4) + cap(4, count_terms(text, V.NOVELTY) * 2) + known * 3 + amount * 2),
+        "materiality": cap(m["materiality"], 8 + cap(16, counts["impact"] * 4) + cap(4, counts["novelty"] * 2) + known * 3 + amount * 2),
         "relevance": cap(m["relevance"], 10 + cap(6, title_terms * 3) + cap(4, summary_terms * 2) + F.when(desk_score >= 35, 2).otherwise(0)),
         "strength": F.when(tier == "corroborated", 20).when(tier == "authoritative-single", 16).otherwise(6),
-        "usefulness": cap(m["usefulness"], 4 + cap(7, count_terms(text, V.ACTION) * 2) + known * 2 + amount * 2),
+        "usefulness": cap(m["usefulness"], 4 + cap(7, counts["action"] * 2) + known * 2 + amount * 2),
         "freshness": fresh,
     }
 

@@ -231,7 +231,9 @@ def count_terms(text: Column, terms: list[str]) -> Column:
 def identifiers(text: Column) -> Column:
     """The sorted set of vulnerability identifiers, in lower case."""
     pattern = r"(?i)(?<![A-Za-z0-9_])(?:CVE-\d{4}-\d{4,}|GHSA-[a-z0-9-]{8,})(?![A-Za-z0-9_])"
-    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda x: F.lower(x))))
+    found = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda x: F.lower(x))))
+    low = F.lower(text)
+    return F.when(~low.contains("cve-") & ~low.contains("ghsa-"), F.array().cast("array<string>")).otherwise(found)
 
 
 def canonical_url(url: Column, tracking: str = V.TRACKING, add_slash: bool = False) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from deskloom import plans
 from deskloom.checkpoints import checkpointed
 from deskloom.functions import events, numbers, prose, roles, scoring, text, times
+from deskloom.functions import values as V
 from deskloom.operators import ledger, matching, ranking
 from deskloom.operators.editorial import edition_issues, newsroom_issues
 from deskloom.sources import editions, feeds, pages
@@ -684,3 +685,14 @@ def test_repeated_words_are_stemmed_once():
     for of in (text.event_tokens, text.title_tokens):
         assert "array_except(split" in str(of(F.col("t")))
     assert "array_except" not in str(text.tokens(F.col("t")))
+
+
+def test_hits_of_one_desk(spark):
+    """A desk's scores need its own terms alone; amounts are found as before by plain word edges."""
+    df = spark.createDataFrame([("security breach of a developer workflow", "ransomware hits cloud infrastructure ruling")], "t string, s string")
+    desk = "security-and-privacy"
+    few, whole = ([scoring.desk_hits(F.col(c), d).alias(c) for c in "ts"] for d in (desk, None))
+    of = lambda hits: df.select(*hits).select(scoring.desk_scores(F.col("t"), F.col("s"))[desk]["score"].alias("score")).first()
+    assert of(few) == of(whole)
+    amounts = spark.createDataFrame([("costs $5 million",), ("up 5 per cent",), ("é5 users",), ("5 usersé",), ("thousands of users",), ("thousands users",), ("5 pct.",), (None,)], "t string")
+    assert [r[0] for r in amounts.select(scoring.broad_quantity(F.col("t"))).collect()] == [r[0] for r in amounts.select(text.matches(F.col("t"), V.BROAD_QUANTITY)).collect()]
