@@ -54,13 +54,14 @@ def bind_evidence(evidence: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def _counts(sources: DataFrame, key: list[str]) -> DataFrame:
-    """Per key: what its sources amount to, recomputed from rows."""
+    """Per key: what its sources amount to, recomputed from rows. Distinct values are sets of one key's sources, in one pass, as a
+    count_distinct beside another multiplies the rows that are shuffled."""
     article = F.col("relationship").isNull() | (F.col("relationship") != "context")
-    distinct = lambda c, where: F.sort_array(F.collect_set(F.when(where, F.col(c))))
+    distinct = lambda c, where=F.lit(True): F.collect_set(F.when(where, F.col(c)))
     rows = sources.groupBy(*key).agg(
-        F.count("*").alias("rows"), F.count_distinct("id").alias("ids"), F.count_if(article).alias("articles"), F.count_if(article & (F.col("relationship") == "originating")).alias("origins"),
-        F.count_distinct(F.when(article, F.col("url"))).alias("urls"), distinct("publisher_key", article).alias("keys"),
-        F.count_distinct("url").alias("all_urls"), F.max(F.when(article, F.col("url"))).alias("article_url"),
+        F.count("*").alias("rows"), F.size(distinct("id")).alias("ids"), F.count_if(article).alias("articles"), F.count_if(article & (F.col("relationship") == "originating")).alias("origins"),
+        F.size(distinct("url", article)).alias("urls"), F.sort_array(distinct("publisher_key", article)).alias("keys"),
+        F.max(F.when(article, F.col("url"))).alias("article_url"),
     )
     return rows.withColumn("alone", F.when(F.size("keys") == 1, F.get("keys", F.lit(0))))
 
@@ -115,9 +116,9 @@ def closed_world(stories: DataFrame, candidates: DataFrame, sources: DataFrame,
     picked = picked.join(contexts.withColumn("of_publisher", F.lit(True)), [*event, "url"], "left")
     article = F.col("relationship").isNull() | (F.col("relationship") != "context")
     amounts = picked.groupBy(*story).agg(
-        F.count("*").alias("n"), F.count_distinct("id").alias("n_ids"), F.count_distinct("url").alias("n_urls"), F.count_if(~same).alias("changed"),
-        F.count_if(article).alias("n_articles"), F.count_if(F.col("relationship") == "originating").alias("n_origins"), F.count_distinct(F.when(article, F.col("url"))).alias("n_article_urls"),
-        F.count_distinct(F.when(article, F.col("publisher_key"))).alias("n_publishers"), F.count_if((F.col("relationship") == "context") & F.col("of_publisher")).alias("n_contexts"),
+        F.count("*").alias("n"), F.size(F.collect_set("id")).alias("n_ids"), F.size(F.collect_set("url")).alias("n_urls"), F.count_if(~same).alias("changed"),
+        F.count_if(article).alias("n_articles"), F.count_if(F.col("relationship") == "originating").alias("n_origins"), F.size(F.collect_set(F.when(article, F.col("url")))).alias("n_article_urls"),
+        F.size(F.collect_set(F.when(article, F.col("publisher_key")))).alias("n_publishers"), F.count_if((F.col("relationship") == "context") & F.col("of_publisher")).alias("n_contexts"),
     )
     two = (F.col("n_articles") >= 2) & (F.col("n_publishers") >= 2) & (F.col("n_article_urls") >= 2)
     one = (F.col("n_articles") == 1) & (F.col("n_origins") == 1) & (F.col("n_publishers") == 1) & (F.col("n_contexts") >= 1)

@@ -78,3 +78,13 @@ def test_closed_world(spark):
     ]
     assert worlds(spark, [changes for changes, _ in cases]) == [want for _, want in cases]
     assert worlds(spark, []) == []
+
+
+def test_counts_shuffle_no_copies_of_rows(spark):
+    """Several distinct counts beside each other would multiply each row before the shuffle."""
+    schema = "edition int, event_key int, id string, title string, publisher string, publisher_key string, url string, relationship string, published_at date"
+    sources = spark.createDataFrame([(1, 1, "a", "t", "p", "k", "u", "originating", None), (1, 1, "a", "t", "p", None, "v", "context", None)], schema)
+    rows = binding._counts(sources, ["edition", "event_key"])
+    assert "Expand" not in rows._jdf.queryExecution().executedPlan().toString()
+    got = rows.first().asDict()
+    assert {k: got[k] for k in ("rows", "ids", "articles", "origins", "urls", "keys", "article_url", "alone")} == {"rows": 2, "ids": 1, "articles": 1, "origins": 1, "urls": 1, "keys": ["k"], "article_url": "u", "alone": "k"}
