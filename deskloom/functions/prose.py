@@ -53,26 +53,54 @@ BOUNDS_BEFORE = {
 BOUNDS_AFTER = {"lte": r"(?:or|and)\s+(?:earlier|older|below|lower)", "gte": r"(?:or|and)\s+(?:later|newer|above|higher)"}
 
 
+#: Characters of a text's end that decide how it ends, and how many of them must be left once closing marks are cut off.
+TAIL, TAIL_LEFT = 1_000, 500
+
+
+def _plain_quotes(text: Column) -> Column:
+    for curly, straight in (("“”„‟", '"'), ("‘’‚‛", "'")):
+        for c in curly:
+            text = F.replace(text, F.lit(c), F.lit(straight))
+    return text
+
+
 def prose_codes(text: Column, paragraph: bool = False) -> Column:
-    """Codes of damage to reader-facing text; a paragraph must also end like one."""
+    """Codes of damage to reader-facing text; a paragraph must also end like one.
+
+    The text is prepared once. Plain searches for what a pattern can't do without come before it, and the end is judged by a
+    tail, unless so much of that is closing marks that the whole text must be looked at.
+    """
     t = F.trim(text)
-    plain = F.regexp_replace(F.regexp_replace(t, "[“”„‟]", '"'), "[‘’‚‛]", "'")
     keys = "|".join(SCHEMA_KEYS)
-    out = [
-        F.when(text.isNull(), F.lit("READER_PROSE_TYPE")),
-        F.when(t == "", F.lit("READER_PROSE_EMPTY")),
-        F.when(plain.rlike(rf"(?i)[\"'](?:{keys})[\"']\s*:|[\"'][A-Za-z_][A-Za-z0-9_]{{0,63}}[\"']\s*:\s*(?:[\"'\[{{]|-?\d|true\b|false\b|null\b)"), F.lit("READER_PROSE_SCHEMA_FRAGMENT")),
-        F.when(plain.rlike(r"(?:[}\]]\s*){2,}|\[\s*\{|\}\s*,\s*\{|(?:^|\n)\s*```"), F.lit("READER_PROSE_STRUCTURE")),
-        F.when(plain.rlike(r"(?i)[(\[]\s*(?:(?:sources?|evidence|passages?)\s*:?\s*)?S[12]P[1-9]\d*(?:\s*[,;]\s*S[12]P[1-9]\d*)*\s*[)\]]"), F.lit("READER_PROSE_INTERNAL_CITATION")),
-    ]
-    if paragraph:
-        end = F.regexp_replace(plain, r"[\"')\]»\s]+$", "")
-        out += [
-            F.when((t != "") & (~end.rlike("[.!?]$") | end.rlike(r"(?:\.{2,}|…)$")), F.lit("READER_PROSE_INCOMPLETE")),
+    schema = rf"(?i)[\"'](?:(?:{keys})[\"']\s*:|[A-Za-z_][A-Za-z0-9_]{{0,63}}[\"']\s*:\s*(?:[\"'\[{{]|-?\d|true\b|false\b|null\b))"
+    structure = r"(?:[}\]]\s*){2,}|\[\s*\{|\}\s*,\s*\{|(?:^|\n)\s*```"
+    citation = r"(?i)[(\[]\s*(?:(?:sources?|evidence|passages?)\s*:?\s*)?S[12]P[1-9]\d*(?:\s*[,;]\s*S[12]P[1-9]\d*)*\s*[)\]]"
+    some = lambda x, *signs: F.greatest(*[x.contains(s) for s in signs])
+    closing = r"[\"')\]»\s]+$"
+
+    def damage(x: Column) -> Column:
+        out = [
+            F.when(x == "", F.lit("READER_PROSE_EMPTY")),
+            F.when(x.contains(":") & some(x, '"', "'") & x.rlike(schema), F.lit("READER_PROSE_SCHEMA_FRAGMENT")),
+            F.when(some(x, "}", "]", "{", "```") & x.rlike(structure), F.lit("READER_PROSE_STRUCTURE")),
+            F.when(some(x, "(", "[") & x.rlike(citation), F.lit("READER_PROSE_INTERNAL_CITATION")),
+        ]
+        return F.array_compact(F.array(*out))
+
+    def ending(x: Column, end: Column) -> Column:
+        out = [
+            F.when((x != "") & (~end.rlike("[.!?]$") | end.rlike(r"(?:\.{2,}|…)$")), F.lit("READER_PROSE_INCOMPLETE")),
             F.when(end.rlike(rf"(?i)\b(?:{DANGLING})[.!?]$"), F.lit("READER_PROSE_DANGLING_ENDING")),
-            F.when(F.length(F.regexp_replace(plain, '[^"]', "")) % 2 == 1, F.lit("READER_PROSE_UNBALANCED_QUOTE")),
+            F.when((F.length(x) - F.length(F.replace(x, F.lit('"'), F.lit("")))) % 2 == 1, F.lit("READER_PROSE_UNBALANCED_QUOTE")),
         ]
-    return F.array_compact(F.array(*out))
+        return F.array_compact(F.array(*out))
+
+    def whole(x: Column) -> Column:
+        cut = let(F.regexp_replace(F.right(x, F.lit(TAIL)), closing, ""), lambda e: F.when(F.length(e) >= TAIL_LEFT, e).otherwise(F.regexp_replace(x, closing, "")))
+        return F.concat(damage(x), let(cut, lambda end: ending(x, end)))
+
+    found = let(_plain_quotes(t), whole if paragraph else damage)
+    return F.when(text.isNull(), F.array(F.lit("READER_PROSE_TYPE"))).otherwise(found)
 
 
 def note_valid(note: Column, category: Column) -> Column:
