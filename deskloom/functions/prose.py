@@ -128,21 +128,78 @@ def lexical_forms(words: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(words, one)))
 
 
+def _forms(word: str) -> list[str]:
+    """lexical_forms() of one word."""
+    out = [word]
+    if word.endswith(("'s", "’s")):
+        out.append(word[:-2])
+    if len(word) > 4 and word.endswith("ies"):
+        out.append(word[:-3] + "y")
+    if len(word) > 4 and word.endswith("s") and not word.endswith("ss"):
+        out.append(word[:-1])
+    if len(word) > 5 and word.endswith("ed"):
+        out += [word[:-2], word[:-1]]
+    if len(word) > 6 and word.endswith("ing"):
+        out += [word[:-3], word[:-3] + "e"]
+    return out
+
+
+#: Every word that has a high-risk term among its forms.
+_RISKY = sorted(
+    {w for t in HIGH_RISK_TERMS for w in (t, *(t + e for e in ("'s", "’s", "s", "ed", "d", "ing")), t.removesuffix("y") + "ies", t.removesuffix("e") + "ing") if t in _forms(w)}
+)
+
+
+def all_forms(words: Column) -> Column:
+    """lexical_forms() of distinct words, of which only those with an ending of an inflection are looked into."""
+    ended = F.filter(words, lambda w: w.endswith("s") | w.endswith("ed") | w.endswith("ing"))
+    return F.array_union(words, lexical_forms(ended))
+
+
+def inflected(forms: Column) -> Column:
+    """The words beside themselves that have one of the given words among their lexical_forms()."""
+    long = lambda f, least: F.length(f) >= least
+    cut = lambda f: F.substring(f, F.lit(1), F.length(f) - 1)
+    one = lambda f: F.array_compact(
+        F.array(
+            F.concat(f, F.lit("'s")),
+            F.concat(f, F.lit("’s")),
+            F.when(long(f, 3) & f.endswith("y"), F.concat(cut(f), F.lit("ies"))),
+            F.when(long(f, 4) & ~f.endswith("s"), F.concat(f, F.lit("s"))),
+            F.when(long(f, 4), F.concat(f, F.lit("ed"))),
+            F.when(long(f, 5) & f.endswith("e"), F.concat(f, F.lit("d"))),
+            F.when(long(f, 4), F.concat(f, F.lit("ing"))),
+            F.when(long(f, 5) & f.endswith("e"), F.concat(cut(f), F.lit("ing"))),
+        )
+    )
+    return F.flatten(F.transform(forms, one))
+
+
 def unsupported_names(output: Column, source: Column, cap: int = 8) -> Column:
     """Words of output none of whose forms source has, if they are high-risk terms, have capitals inside, or are capitalized
     within a sentence; sorted, lower case, the first few.
+
+    Words are taken once each and compared by set operations alone: those that source lacks as they are go if they are an
+    inflection of one of their forms that source has.
     """
     word = r"[\p{L}\p{N}]+(?:[’'-][\p{L}\p{N}]+)*"
-    every = lambda text, pattern, group: F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    low = lambda words: F.transform(words, lambda w: F.lower(w))
-    risky = F.array(*[F.lit(w) for w in HIGH_RISK_TERMS])
-    raw = every(output, word, 0)
-    grave = F.filter(low(raw), lambda w: F.arrays_overlap(lexical_forms(F.array(w)), risky))
-    inside = low(F.filter(raw, lambda w: w.rlike(r"\p{Ll}\p{Lu}|\p{Lu}{2}")))
-    named = low(every(output, rf"(?<![.!?…]\s{{0,40}})(?<!^)(?<![\p{{L}}\p{{N}}’'-])(\p{{Lu}}[\p{{L}}\p{{N}}]*(?:[’'-][\p{{L}}\p{{N}}]+)*)", 1))
-    sought = F.array_distinct(F.concat(grave, inside, F.filter(named, lambda w: ~w.isin(SAFE_CAPITALIZED))))
-    known = lexical_forms(low(every(source, word, 0)))
-    return F.slice(F.array_sort(let(known, lambda k: F.filter(sought, lambda w: ~F.arrays_overlap(lexical_forms(F.array(w)), k)))), 1, cap)
+    named = r"(?=\p{Lu})(?<![\p{L}\p{N}’'-])(?<!^)(?<![.!?…]\s{0,40})(\p{Lu}[\p{L}\p{N}]*(?:[’'-][\p{L}\p{N}]+)*)"
+    every = lambda text, pattern, group: F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)))
+    low = lambda words: F.array_distinct(F.transform(words, lambda w: F.lower(w)))
+    listed = lambda words: F.split(F.lit(" ".join(words)), " ")
+
+    def sought(raw: Column) -> Column:
+        inside = F.filter(raw, lambda w: w.rlike(r"\p{Ll}\p{Lu}|\p{Lu}{2}"))
+        capitals = F.array_except(low(every(output, named, 1)), listed(SAFE_CAPITALIZED))
+        return F.array_union(F.array_union(F.array_intersect(low(raw), listed(_RISKY)), low(inside)), capitals)
+
+    def left(x: Column) -> Column:
+        return F.array_except(x["rest"], inflected(F.array_intersect(all_forms(x["rest"]), x["known"])))
+
+    known = let(low(every(source, word, 0)), all_forms)
+    lacking = let(F.struct(let(every(output, word, 0), sought).alias("sought"), known.alias("known")), lambda x: F.struct(F.array_except(x["sought"], x["known"]).alias("rest"), x["known"].alias("known")))
+    none = F.array().cast("array<string>")
+    return F.when(source.isNull() & output.isNotNull(), none).otherwise(F.slice(F.array_sort(let(lacking, left)), 1, cap))
 
 
 _CAVEAT, _DETAIL, _REFERS, _CONDITION = (re.compile(p, re.I | re.A) for p in (CAVEAT, DETAIL, REFERENTIAL, CONDITIONAL))

@@ -1,5 +1,7 @@
 """That expressions on long texts and large tables do their work once, and in bounded tasks; results are tested elsewhere too."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from deskloom.functions import prose
@@ -17,3 +19,25 @@ def test_prose_is_prepared_once(spark):
     rows = spark.createDataFrame([(t, c) for t, c in cases.items()], "text string, codes string")
     got = rows.select("text", "codes", F.array_join(prose.prose_codes(F.col("text"), True), ",").alias("found")).collect()
     assert [(r.text, r.found) for r in got] == [(r.text, r.codes) for r in got]
+
+
+def test_names_by_set_operations(spark):
+    """Each word sought was compared with all words of the source before, which took minutes here."""
+    n = 30_000
+    names = lambda end: F.array_join(F.transform(F.sequence(F.lit(100), F.lit(n)), lambda i: F.concat(F.lit("of N"), F.translate(i.cast("string"), "0123456789", "abcdefghij"), F.lit(end))), " ")
+    rows = spark.range(1).select(names("ing").alias("output"), names("ed").alias("source"))
+    start = time.perf_counter()
+    assert rows.select(F.size(prose.unsupported_names(F.col("output"), F.col("source"), n)).alias("n")).first().n == 0
+    other = rows.select(F.size(prose.unsupported_names(F.col("output"), F.lit("of nb"))).alias("n")).first().n
+    assert other == 8 and time.perf_counter() - start < 30
+
+
+def test_forms_are_those_of_columns(spark):
+    words = ["attacks", "attacked", "firing", "purchases", "bodies", "bus's", "glass", "used", "zero-days", "vulnerabilities", "sueing", "ties", "king"]
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", prose.lexical_forms(F.array("w")).alias("f"), prose.all_forms(F.array("w")).alias("g")).collect()
+    assert [set(r.f) for r in rows] == [set(prose._forms(r.w)) for r in rows] == [set(r.g) for r in rows]
+    made = spark.createDataFrame([(w,) for w in words], "w string").select("w", F.explode(prose.lexical_forms(F.array("w"))).alias("f")).where("w <> f").select("w", "f", prose.inflected(F.array("f")).alias("m")).collect()
+    assert made and all(r.w in r.m for r in made)
+    ends = spark.createDataFrame([(w,) for w in ("use", "body", "bus", "buy", "fire", "make", "attack", "of", "é")], "w string").select("w", F.explode(prose.inflected(F.array("w"))).alias("m")).collect()
+    assert all(r.w in prose._forms(r.m) for r in ends)
+    assert all((w in prose._RISKY) == bool(set(prose._forms(w)) & set(prose.HIGH_RISK_TERMS)) for w in words)
