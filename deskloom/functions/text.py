@@ -154,6 +154,16 @@ def shingles(words: Column, n: int) -> Column:
     return let(words, lambda w: F.when(F.size(w) >= n, runs(w)).otherwise(F.expr("cast(array() as array<string>)")))
 
 
+def shares_run(a: Column, b: Column, n: int) -> Column:
+    """Whether two lists of words share a run of n; runs are compared by hashes first."""
+    hashes = lambda words: F.transform(words, lambda t: F.xxhash64(t))
+    runs = lambda words: let(
+        hashes(words),
+        lambda h: F.when(F.size(h) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(h) - n + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(h, i, n)))).otherwise(F.expr("cast(array() as array<bigint>)")),
+    )
+    return F.when(F.arrays_overlap(runs(a), runs(b)), F.arrays_overlap(shingles(a, n), shingles(b, n))).otherwise(F.lit(False))
+
+
 def number_tokens(text: Column) -> Column:
     """The sorted set of tokens that hold a digit."""
     return F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9]*\d[a-z0-9]*(?:[.,]\d+)*"), F.lit(0))))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from deskloom.functions import values as V
 from deskloom.functions.prose import prose_codes, unsupported_names
-from deskloom.functions.text import shingles, unsupported_numbers, word_count
+from deskloom.functions.text import let, shares_run, unsupported_numbers, word_count
 
 
 def codes(**checks: Column) -> Column:
@@ -106,14 +106,17 @@ def link_checks(links: DataFrame, results: DataFrame, url: Column) -> DataFrame:
 
 
 def summary_issues(rows: DataFrame, key: str, summary: str, source: str, words: tuple[int, int] = (40, 220), copied: int = 12) -> DataFrame:
-    """Q10: (key, code) for summaries of a wrong length, with numbers or names that their source lacks, or copied runs."""
+    """Q10: (key, code) for summaries of a wrong length, with numbers or names that their source lacks, or copied runs.
+
+    Runs meet by hashes of their words; only where two do, the runs themselves are compared.
+    """
     tokens = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     s, x = F.col(summary), F.col(source)
     checks = codes(
         WORD_RANGE=word_count(s).between(*words),
         UNSUPPORTED_NUMBERS=F.size(unsupported_numbers(s, x)) == 0,
         UNSUPPORTED_NAMES=F.size(unsupported_names(s, x)) == 0,
-        COPIED_RUN=~F.arrays_overlap(shingles(tokens(s), copied), shingles(tokens(x), copied)),
+        COPIED_RUN=~let(F.struct(tokens(s).alias("s"), tokens(x).alias("x")), lambda w: shares_run(w["s"], w["x"], copied)),
         PROSE=F.size(prose_codes(s, paragraph=True)) == 0,
     )
     return rows.select(key, F.explode(checks).alias("code"))

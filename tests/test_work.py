@@ -4,7 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from deskloom.functions import prose
+from deskloom.functions import prose, text
 
 
 def test_prose_is_prepared_once(spark):
@@ -41,3 +41,10 @@ def test_forms_are_those_of_columns(spark):
     ends = spark.createDataFrame([(w,) for w in ("use", "body", "bus", "buy", "fire", "make", "attack", "of", "é")], "w string").select("w", F.explode(prose.inflected(F.array("w"))).alias("m")).collect()
     assert all(r.w in prose._forms(r.m) for r in ends)
     assert all((w in prose._RISKY) == bool(set(prose._forms(w)) & set(prose.HIGH_RISK_TERMS)) for w in words)
+
+
+def test_shared_runs(spark):
+    """Q10: runs meet by hashes, with the result of the runs themselves; a missing or short text shares none."""
+    rows = spark.createDataFrame([("a b c d", "x b c d", True), ("a b c", "a b x c", False), ("a b", "a b", False), (None, "a b c", False)], "a string, b string, want boolean")
+    got = rows.select("want", text.shares_run(F.split("a", " "), F.split("b", " "), 3).alias("got")).collect()
+    assert [r.got for r in got] == [r.want for r in got]
