@@ -30,3 +30,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return found
     schema = ", ".join(f"`{c}` {'timestamp' if k == 'timestamp_ntz' else k}" for c, k in kinds.items())
     return spark.read.schema(schema).parquet(path)
+
+
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """rows dealt out by a key: a small file is one task, however much is then done for each of its rows."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, key)

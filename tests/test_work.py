@@ -1,10 +1,18 @@
 """That expressions on long texts and large tables do their work once, and in bounded tasks; results are tested elsewhere too."""
 
+import os
+import re
 import time
+import unicodedata
 
+import pytest
 from pyspark.sql import functions as F
 
+from deskloom import plans
 from deskloom.functions import prose, text
+from deskloom.operators import editorial
+
+DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 def test_prose_is_prepared_once(spark):
@@ -48,3 +56,10 @@ def test_shared_runs(spark):
     rows = spark.createDataFrame([("a b c d", "x b c d", True), ("a b c", "a b x c", False), ("a b", "a b", False), (None, "a b c", False)], "a string, b string, want boolean")
     got = rows.select("want", text.shares_run(F.split("a", " "), F.split("b", " "), 3).alias("got")).collect()
     assert [r.got for r in got] == [r.want for r in got]
+
+
+@pytest.mark.parametrize("name", ["t15_product_tags"])
+def test_small_files_are_dealt_out(spark, name):
+    """One file of parts was one task before, whatever its rows cost."""
+    rows = plans.QUERIES[name](spark, DATA)
+    assert rows.select(F.spark_partition_id().alias("p")).distinct().count() > 1
