@@ -111,13 +111,12 @@ def edition_issues(editions: DataFrame, prefix: str | None = None, provenance: t
         AUTOMATION_CHECK=auto.isNull() | checked,
     )
     whole = F.concat(first, F.when(desks, rest).otherwise(F.array().cast("array<string>")))
-    out = e.select("editionDate", F.lit("edition").alias("scope"), F.explode(whole).alias("code"))
-    rows = _pages(e.where(desks))
+    own = F.array(F.lit(None).cast("string"))  # a document is read once: a row of its own, then one for each desk
+    rows = e.withColumn("desk", F.explode(F.when(desks, F.concat(own, keys)).otherwise(own)))
+    rows = rows.withColumn("page", F.element_at("desks", F.col("desk"))).withColumn("place", F.array_position(keys, F.col("desk")))
     labelled = F.coalesce(F.col("page.desk") == F.col("desk"), F.lit(False))
     page = codes(DESK_PAGE=labelled, EMPTY_REASON=~labelled | F.col("page.story").isNotNull() | said(F.col("page.emptyReason")))
-    out = out.unionByName(rows.select("editionDate", F.col("desk").alias("scope"), F.explode(page).alias("code")))
     s = lambda c: F.col(f"page.story.{c}")
-    rows = rows.where(labelled & F.col("page.story").isNotNull()).withColumn("place", F.array_position(keys, F.col("desk")))
     earlier = lambda c: F.exists("pages", lambda p: (F.array_position(keys, p["key"]) < F.col("place")) & (p["page"]["story"][c] == s(c)))
     fresh = lambda c: said(s(c)) & ~F.coalesce(earlier(c), F.lit(False))
     at = strict_instant(F.coalesce(s("timing.eventAt"), s("timing.firstPublishedAt")))
@@ -153,7 +152,8 @@ def edition_issues(editions: DataFrame, prefix: str | None = None, provenance: t
         CLAIM_UNKNOWN=~judged | s("evidence").isNull() | (F.size(F.array_except(cited, names)) == 0),
         SECURITY_DESK=~judged | s("securityAction").isNull() | (s("desk") == "security-and-privacy"),
     )
-    return out.unionByName(rows.select("editionDate", F.col("desk").alias("scope"), F.explode(story).alias("code")))
+    found = F.when(F.col("desk").isNull(), whole).when(labelled & F.col("page.story").isNotNull(), F.concat(page, story)).otherwise(page)
+    return rows.select("editionDate", F.coalesce("desk", F.lit("edition")).alias("scope"), F.explode(found).alias("code"))
 
 
 def _public(address: Column) -> Column:

@@ -72,3 +72,9 @@ def test_drafts_are_written_by_several_tasks(spark, monkeypatch):
     monkeypatch.setattr(editorial, "newsroom_issues", lambda rows, **more: (seen.append(rows), issues(rows, **more))[1])
     plans.QUERIES["q02_newsroom_issues"](spark, DATA)
     assert len(seen[0].inputFiles()) > 1
+
+
+def test_editions_are_read_once(spark):
+    """Q01: documents were parsed for the edition, for its desks and for its stories before."""
+    plan = plans.QUERIES["q01_edition_rules"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
