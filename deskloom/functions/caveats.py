@@ -6,14 +6,17 @@ doubt: no such words before it in the clause, none after it. A caveat that a lat
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from deskloom.functions.events import plain_edges
-from deskloom.functions.text import SPACE, let, nfkc
+from deskloom.functions.text import let, nfkc, single_spaces
 
 # Where clauses end.
-CLAUSE_ENDS = r"(?i)(?<=[!?;])\s+|(?<!\d)\.\s+|(?<=\d)\.(?!\d)\s+|\s+(?:but|however|nevertheless)\s+"
+CLAUSE_ENDS = r"(?i)(?=[.\s])(?:(?<=[!?;])\s+|(?<!\d)\.\s+|(?<=\d)\.(?!\d)\s+|\s+(?:but|however|nevertheless)\s+)"
 # The scopes of negation and doubt around what a clause says.
 NEGATED_BEFORE = r"(?i)\b(?:no|not|never|neither|without|cannot|can't|doesn't|does not|didn't|did not|hasn't|has not|haven't|have not|isn't|is not|wasn't|was not|aren't|are not|weren't|were not|couldn't|could not|wouldn't|would not)\b[^.!?;]{0,100}$"
 DOUBTED_BEFORE = r"(?i)\b(?:watch(?:ing)?|monitor(?:ing)?|check(?:ing)?|whether|if|could|might|may|would|possible|potential|risk of|prevent(?:ing)?)\b[^.!?;]{0,75}$"
@@ -56,7 +59,9 @@ APP = r"(?i)\b(?:app|application|client)\b"
 
 
 #: One of these stands in whatever a rule below looks for; the other clauses only keep their places.
-_WORDS = "(?i)exploit|attack|fix|patch|remediat|correct|resolv|update|upgrade|driver|secure boot|execut|default|automatically|install|download"
+_WORDS = [
+    "exploit", "attack", "fix", "patch", "remediat", "correct", "resolv", "update", "upgrade", "driver", "secure boot", "execut", "default", "automatically", "install", "download",
+]
 
 
 def clauses(text: Column) -> Column:
@@ -64,9 +69,10 @@ def clauses(text: Column) -> Column:
 
     Clauses without any word of the rules are empty, so that no rule finds anything in them.
     """
-    plain = F.regexp_replace(F.regexp_replace(nfkc(F.coalesce(text, F.lit(""))), "[’‘]", "'"), SPACE + "+", " ")
-    parts = F.filter(F.transform(F.split(plain_edges(F.trim(plain)), CLAUSE_ENDS, -1), F.trim), lambda c: c != "")
-    return F.transform(parts, lambda c: F.when(c.rlike(_WORDS), c).otherwise(""))
+    straight = F.replace(F.replace(nfkc(F.coalesce(text, F.lit(""))), F.lit("’"), F.lit("'")), F.lit("‘"), F.lit("'"))
+    parts = F.filter(F.transform(F.split(plain_edges(F.trim(single_spaces(straight))), CLAUSE_ENDS, -1), F.trim), lambda c: c != "")
+    some = lambda low: reduce(or_, [low.contains(w) for w in _WORDS])
+    return F.transform(parts, lambda c: F.when(let(F.lower(c), some), c).otherwise(""))
 
 
 def occurrences(text: Column, pattern: str, group: int = 0) -> Column:

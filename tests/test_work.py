@@ -78,3 +78,14 @@ def test_editions_are_read_once(spark):
     """Q01: documents were parsed for the edition, for its desks and for its stories before."""
     plan = plans.QUERIES["q01_edition_rules"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json") == 1
+
+
+def test_clauses_leave_plain_texts_as_they_are(spark):
+    """Texts that are their own compatibility form are not sent to Python, lone blanks are not replaced, with the same results."""
+    texts = ["a b", " a  b\tc ", "a\u00a0\u2003 b", "\u3000", "x ", "  x", "é “a” – ß", "e\u0301 ﬁ ² …", "A\u2011b", None, ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = rows.select("t", text.nfkc(F.col("t")).alias("n"), text.single_spaces(F.col("t")).alias("s"), F.regexp_replace("t", text.SPACE + "+", " ").alias("want")).collect()
+    fold = lambda x: re.sub("[‐-―−]", "-", unicodedata.normalize("NFKC", x))
+    assert [r.s for r in got] == [r.want for r in got] and [r.n for r in got] == [r.t and fold(r.t) if r.t else r.t for r in got]
+    stable = [chr(c) for c in range(0x2040) if not re.match(text._STABLE, chr(c))]
+    assert len(stable) > 200 and all(unicodedata.normalize("NFKC", c) == c for c in stable)
