@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from deskloom import plans
 from deskloom.functions import prose, text
-from deskloom.operators import editorial
+from deskloom.operators import editorial, matching
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -89,3 +89,11 @@ def test_clauses_leave_plain_texts_as_they_are(spark):
     assert [r.s for r in got] == [r.want for r in got] and [r.n for r in got] == [r.t and fold(r.t) if r.t else r.t for r in got]
     stable = [chr(c) for c in range(0x2040) if not re.match(text._STABLE, chr(c))]
     assert len(stable) > 200 and all(unicodedata.normalize("NFKC", c) == c for c in stable)
+
+
+def test_matches_hold_no_table_on_the_driver(spark, tmp_path):
+    """Tables of classes and members were broadcast while they seemed small, several at once."""
+    items = [(i, f"Google unveils big red part number{'abcdefg'[i % 7]} in steel", "p", f"https://x.example.com/{i // 2}") for i in range(28)]
+    rows = spark.createDataFrame(items, "item long, title string, publisher string, url string")
+    pairs = matching.matching_pairs(matching.checkpointed(matching.features(rows, "item", "title", "publisher", "url")))
+    assert pairs.count() > 28 and "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
