@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from deskloom import plans
 from deskloom.functions import prose, text
 from deskloom.operators import editorial, matching
+from deskloom.plans import text_and_pages
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -97,3 +98,18 @@ def test_matches_hold_no_table_on_the_driver(spark, tmp_path):
     rows = spark.createDataFrame(items, "item long, title string, publisher string, url string")
     pairs = matching.matching_pairs(matching.checkpointed(matching.features(rows, "item", "title", "publisher", "url")))
     assert pairs.count() > 28 and "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
+def test_headlines_read_the_first_words_only(spark, tmp_path, monkeypatch):
+    """All words of a whole text were taken before, for its first eight."""
+    texts = ["... a, b-c", "", None, "one two three four five six seven eight nine ten", "!!", "Ünï 2 x"]
+    rows = spark.createDataFrame([(i, t, "s", "en") for i, t in enumerate(texts)], "doc_id long, text string, source string, lang string")
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    taken, features = [], matching.features
+    monkeypatch.setattr(matching, "features", lambda rows, *more: (taken.append(rows), features(rows, *more))[1])
+    text_and_pages._headlines(spark, str(tmp_path))
+    assert "{0,8}" in taken[0]._jdf.queryExecution().analyzed().toString()
+    titles = [r.title for r in taken[0].where("publisher = 'p'").orderBy("item").collect()]
+    words = [" ".join(re.findall(r"[^\W_]+", t or "")[:8]) for t in texts]
+    ends = [text_and_pages._ENDS[2 * (i % 8)] for i in range(len(texts))]
+    assert titles == [f"Google {w} {e}" for w, e in zip(words, ends, strict=True)]
