@@ -316,3 +316,30 @@ def by_locale(text: Column) -> Column:
     Equal keys may be different texts, such as composed and decomposed forms, so a total order ends with the text itself.
     """
     return F.collate(text, "UNICODE")
+
+
+#: The letters from À to ÿ: their base letters (÷ and × before, þ after all others) and their marks in the order of ICU's root collation.
+_MARKED = "".join(map(chr, range(0xC0, 0x100)))
+_BASE = "aaaaaaaceeeeiiiidnooooo\"ouuuuy{saaaaaaaceeeeiiiidnooooo!ouuuuy{y"
+_MARK = "2136549821352135962136507213510921365498213521359621365072135105"
+_AZ = "abcdefghijklmnopqrstuvwxyz"
+
+
+def latin_key(word: Column) -> Column:
+    """The order of ICU's root collation as plain strings, for words of A-Z, a-z and À-ÿ alone: base letters, marks, capitals.
+
+    Equal keys are equal words. A lower-case word of a-z is its own key, as nothing with its letters stands before it.
+    """
+    low, plain = F.lower(word), F.length(word) == F.octet_length(word)
+    capitals = lambda w: F.translate(w, _AZ + _AZ.upper() + _MARKED, "0" * 26 + "1" * 26 + "1" * 31 + "0" * 33)
+    marks = lambda w: F.translate(w, _AZ + _AZ.upper() + _MARKED, "0" * 52 + _MARK)
+    wide = F.replace(F.replace(F.replace(word, F.lit("æ"), F.lit("æe")), F.lit("Æ"), F.lit("ÆE")), F.lit("ß"), F.lit("ßs"))
+    marked = let(wide, lambda w: F.concat(F.translate(w, _AZ.upper() + _MARKED, _AZ + _BASE), F.lit("\1"), marks(w), F.lit("\1"), capitals(w)))
+    return F.when(plain & (low == word), word).when(plain, F.concat(low, F.lit("\1\1"), capitals(word))).otherwise(marked)
+
+
+def sorted_latin(words: Column) -> Column:
+    """An array of such words in the order of latin_key, which stands before the words that differ from it while they are sorted."""
+    own = lambda w: (F.length(w) == F.octet_length(w)) & (F.lower(w) == w)
+    keyed = F.transform(words, lambda w: F.when(own(w), w).otherwise(F.concat(latin_key(w), F.lit("\0"), w)))
+    return F.transform(F.sort_array(keyed), lambda x: F.when(x.contains("\0"), F.substring_index(x, "\0", -1)).otherwise(x))

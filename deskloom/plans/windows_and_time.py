@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from deskloom.functions import times
-from deskloom.functions.text import by_locale
+from deskloom.functions.text import by_locale, sorted_latin
 from deskloom.operators import evidence, ranking
 from deskloom.plans.registry import query, table
 
@@ -209,9 +209,8 @@ def o01_stable_sort(spark, d):
 def o01_locale_words(spark, d):
     """The distinct words of each text in the order of a dictionary, accents and capitals included; a row holds one text's words."""
     words = F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-zÀ-ÿ]+"), F.lit(0)))
-    keyed = F.array_sort(F.transform(words, lambda w: F.struct(by_locale(w).alias("key"), w.alias("w"))))
-    docs = table(spark, d, "documents").select("doc_id", F.transform(keyed, lambda x: x["w"]).alias("words"))
-    return docs.where(F.size("words") > 0).select("doc_id", F.array_join("words", " ").alias("words"))
+    docs = table(spark, d, "documents").where(F.col("text").rlike("[A-Za-zÀ-ÿ]"))  # a filter on the words would make them twice
+    return docs.select("doc_id", F.array_join(sorted_latin(words), " ").alias("words"))
 
 
 @query("SELECT user_id, array_to_string(list_slice(list(DISTINCT event_type ORDER BY event_type), 1, 3), ',') AS first_three FROM events GROUP BY user_id")
