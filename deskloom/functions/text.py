@@ -34,24 +34,30 @@ def clean_text(text: Column, limit: int | None = 1200) -> Column:
     """CDATA, character references, scripts, tags and control characters resolved, white space collapsed, cut to limit (None: whole).
 
     Numeric references are decoded piece by piece: the text is split at them, and each piece's code point becomes a character.
+    Texts without the character that a step's patterns begin with pass it by.
     """
+
+    def references(x: Column) -> Column:
+        x = _decoded(_decoded(x, r"&#(\d{1,8});", 10), r"(?i)&#x([0-9a-f]{1,7});", 16)
+        for pattern, put in ((r"(?i)&(?:nbsp|#160);", " "), (r"(?i)&amp;", "&"), (r"(?i)&lt;", "<"), (r"(?i)&gt;", ">"), (r"(?i)&quot;", '"'), (r"(?i)&apos;", "'")):
+            x = F.regexp_replace(x, pattern, put)
+        return x
+
+    def tags(x: Column) -> Column:
+        for tag in ("script", "style"):
+            x = F.regexp_replace(x, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ")
+        return F.regexp_replace(x, r"<[^>]+>", " ")
+
     x = text if limit is None else F.substring(text, 1, max(4096, min(100_000, 8 * limit)))
-    x = F.regexp_replace(x, r"(?is)<!\[CDATA\[(.*?)\]\]>", "$1")
-    x = _decoded(_decoded(x, r"&#(\d{1,8});", 10), r"(?i)&#x([0-9a-f]{1,7});", 16)
-    for pattern, put in ((r"(?i)&(?:nbsp|#160);", " "), (r"(?i)&amp;", "&"), (r"(?i)&lt;", "<"), (r"(?i)&gt;", ">"), (r"(?i)&quot;", '"'), (r"(?i)&apos;", "'")):
-        x = F.regexp_replace(x, pattern, put)
-    for tag in ("script", "style"):
-        x = F.regexp_replace(x, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ")
-    x = F.regexp_replace(x, r"<[^>]+>", " ")
+    for mark, step in (("<", lambda t: F.regexp_replace(t, r"(?is)<!\[CDATA\[(.*?)\]\]>", "$1")), ("&", references), ("<", tags)):
+        x = let(x, lambda t: F.when(t.contains(mark), step(t)).otherwise(t))
     x = F.regexp_replace(x, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", " ")
-    x = F.regexp_replace(F.regexp_replace(x, SPACE + "+", " "), "^ | $", "")
+    x = F.regexp_replace(single_spaces(x), "^ | $", "")
     return x if limit is None else F.substring(x, 1, limit)
 
 
 def _decoded(text: Column, pattern: str, base: int) -> Column:
     """text with numeric character references replaced by their characters, other code points by nothing."""
-    codes = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    pieces = F.split(text, pattern)
 
     def character(code: Column) -> Column:
         n = F.conv(code, base, 10).cast("long")
@@ -59,9 +65,12 @@ def _decoded(text: Column, pattern: str, base: int) -> Column:
         wide = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
         return F.when(plain, wide).otherwise(F.lit(""))
 
-    rest = F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
-    joined = F.concat(F.element_at(pieces, 1), F.array_join(F.zip_with(codes, rest, lambda c, p: F.concat(character(c), p)), ""))
-    return F.when(F.size(codes) == 0, text).otherwise(joined)
+    def joined(t: Column) -> Column:
+        codes, pieces = F.regexp_extract_all(t, F.lit(pattern), F.lit(1)), F.split(t, pattern)
+        rest = F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
+        return F.concat(F.element_at(pieces, 1), F.array_join(F.zip_with(codes, rest, lambda c, p: F.concat(character(c), p)), ""))
+
+    return let(text, lambda t: F.when(t.rlike(pattern), joined(t)).otherwise(t))
 
 
 def plain_text(html: Column) -> Column:
@@ -259,16 +268,19 @@ def identifiers(text: Column) -> Column:
 
 def canonical_url(url: Column, tracking: str = V.TRACKING, add_slash: bool = False) -> Column:
     """Https, no fragment, no tracking parameters, the query sorted. Null for what is no http(s) URL with a host."""
-    bare = F.regexp_replace(F.trim(url), "#.*$", "")
-    host = F.lower(F.regexp_extract(bare, r"(?i)^https?://([^/?#]+)", 1))
-    path = F.regexp_extract(bare, r"(?i)^https?://[^/?#]+([^?#]*)", 1)
-    path = F.when(path == "", "/").otherwise(path)
-    if add_slash:
-        path = F.when(path.endswith("/"), path).otherwise(F.concat(path, F.lit("/")))
-    query = F.regexp_extract(bare, r"\?(.*)$", 1)
-    kept = F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.regexp_extract(p, "^([^=]*)", 1).rlike("(?i)" + tracking)))
-    tail = F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")
-    return F.when(host != "", F.concat(F.lit("https://"), host, path, tail))
+
+    def canonical(bare: Column) -> Column:
+        path = F.regexp_extract(bare, r"(?i)^https?://[^/?#]+([^?#]*)", 1)
+        path = F.coalesce(F.nullif(path, F.lit("")), F.lit("/"))
+        if add_slash:
+            path = let(path, lambda p: F.when(p.endswith("/"), p).otherwise(F.concat(p, F.lit("/"))))
+        query = F.regexp_extract(bare, r"\?(.*)$", 1)
+        kept = F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.regexp_extract(p, "^([^=]*)", 1).rlike("(?i)" + tracking)))
+        tail = let(kept, lambda k: F.when(F.size(k) > 0, F.concat(F.lit("?"), F.array_join(k, "&"))).otherwise(""))
+        host = F.lower(F.regexp_extract(bare, r"(?i)^https?://([^/?#]+)", 1))
+        return let(host, lambda h: F.when(h != "", F.concat(F.lit("https://"), h, path, tail)))
+
+    return let(F.regexp_replace(F.trim(url), "#.*$", ""), canonical)
 
 
 def url_allowed(url: Column, hosts: list[str]) -> Column:

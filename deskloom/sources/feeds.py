@@ -74,20 +74,21 @@ def gate(body: Column, kind: Column) -> Column:
 
 def parse_xml(bodies: DataFrame, body: str = "body", cap: int = V.MAX_ENTRIES) -> DataFrame:
     """The first entries of RSS and Atom bodies as raw rows, other columns kept."""
-    x = bodies.withColumn("__x", F.from_xml(F.col(body), XML_SCHEMA))
-    text = lambda *names: F.coalesce(*[F.when(F.trim(F.col(f"e.`{n}`")) != "", F.col(f"e.`{n}`")) for n in names])
-    rss = x.select(*bodies.columns, F.posexplode(F.slice("__x.channel.item", 1, cap)).alias("position", "e")).select(
-        *bodies.columns, "position", F.col("e.guid._VALUE").alias("guid"), "e.title", F.col("e.link").alias("url"),
-        text("description", "summary", "content:encoded").alias("summary"), text("pubDate", "published", "date").alias("published"),
-        F.col("e.updated").alias("updated"), F.col("e.category").alias("categories"),
+    text = lambda e, *names: F.coalesce(*[F.when(F.trim(e[n]) != "", e[n]) for n in names])
+    rss = lambda e, i: F.struct(
+        i.alias("position"), e["guid"]["_VALUE"].alias("guid"), e["title"].alias("title"), e["link"].alias("url"),
+        text(e, "description", "summary", "content:encoded").alias("summary"), text(e, "pubDate", "published", "date").alias("published"),
+        e["updated"].alias("updated"), e["category"].alias("categories"),
     )
-    usable = F.filter("e.link", lambda n: n["_href"].isNotNull() & (n["_rel"].isNull() | (n["_rel"] == "alternate")))
-    atom = x.select(*bodies.columns, F.posexplode(F.slice("__x.entry", 1, cap)).alias("position", "e")).select(
-        *bodies.columns, "position", F.col("e.id").alias("guid"), "e.title", F.get(usable, F.lit(0))["_href"].alias("url"),
-        text("summary", "content").alias("summary"), F.coalesce("e.published", "e.updated").alias("published"), F.col("e.updated").alias("updated"),
-        F.transform("e.category", lambda c: F.coalesce(c["_term"], c["_VALUE"])).alias("categories"),
+    usable = lambda e: F.filter(e["link"], lambda n: n["_href"].isNotNull() & (n["_rel"].isNull() | (n["_rel"] == "alternate")))
+    atom = lambda e, i: F.struct(
+        i.alias("position"), e["id"].alias("guid"), e["title"].alias("title"), F.get(usable(e), F.lit(0))["_href"].alias("url"),
+        text(e, "summary", "content").alias("summary"), F.coalesce(e["published"], e["updated"]).alias("published"),
+        e["updated"].alias("updated"), F.transform(e["category"], lambda c: F.coalesce(c["_term"], c["_VALUE"])).alias("categories"),
     )
-    return rss.unionByName(atom)
+    x = bodies.withColumn("__x", F.from_xml(F.col(body), XML_SCHEMA))
+    found = F.array(F.transform(F.slice("__x.channel.item", 1, cap), rss), F.transform(F.slice("__x.entry", 1, cap), atom))
+    return x.select(*bodies.columns, F.inline(F.flatten(F.filter(found, lambda f: f.isNotNull()))))
 
 
 def parse_json(bodies: DataFrame, body: str = "body", cap: int = V.MAX_ENTRIES) -> DataFrame:
@@ -106,11 +107,13 @@ def normalize(raw: DataFrame, source: str = "source_id") -> DataFrame:
     url = canonical_url(clean_text(F.col("url"), 2048))
     published, updated = parse_instant(F.trim("published")), parse_instant(F.trim("updated"))
     kept = F.filter(F.array_distinct(F.transform(F.coalesce("categories", F.array().cast("array<string>")), lambda c: clean_text(c, 120))), lambda c: c != "")
-    rows = raw.select(
-        F.col(source), F.col("position").alias("feed_position"), F.coalesce(F.when(F.trim("guid") != "", F.trim("guid")), url).alias("guid"),
-        clean_text(F.col("title"), 240).alias("title"), url.alias("url"), F.coalesce(clean_text(F.col("summary"), 1200), F.lit("")).alias("summary"),
-        published.alias("published_at"), F.when(updated >= published, updated).alias("updated_at"), F.slice(kept, 1, V.MAX_CATEGORIES).alias("categories"),
-    ).where("title <> '' AND url IS NOT NULL AND published_at IS NOT NULL")
+    needed = F.struct(clean_text(F.col("title"), 240).alias("__title"), url.alias("__url"), published.alias("__at"))
+    rows = raw.select("*", F.inline(F.array(needed)))  # made once: a filter on them would otherwise make them before and again after it
+    rows = rows.where("__title <> '' AND __url IS NOT NULL AND __at IS NOT NULL").select(
+        F.col(source), F.col("position").alias("feed_position"), F.coalesce(F.when(F.trim("guid") != "", F.trim("guid")), F.col("__url")).alias("guid"),
+        F.col("__title").alias("title"), F.col("__url").alias("url"), F.coalesce(clean_text(F.col("summary"), 1200), F.lit("")).alias("summary"),
+        F.col("__at").alias("published_at"), F.when(updated >= F.col("__at"), updated).alias("updated_at"), F.slice(kept, 1, V.MAX_CATEGORIES).alias("categories"),
+    )
     return rows.withColumn("item_id", stable_id(F.col(source), F.col("guid")))
 
 

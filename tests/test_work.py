@@ -12,6 +12,7 @@ from deskloom import plans
 from deskloom.functions import prose, text
 from deskloom.operators import editorial, matching
 from deskloom.plans import text_and_pages
+from deskloom.sources import feeds
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -113,3 +114,16 @@ def test_headlines_read_the_first_words_only(spark, tmp_path, monkeypatch):
     words = [" ".join(re.findall(r"[^\W_]+", t or "")[:8]) for t in texts]
     ends = [text_and_pages._ENDS[2 * (i % 8)] for i in range(len(texts))]
     assert titles == [f"Google {w} {e}" for w, e in zip(words, ends, strict=True)]
+
+
+def test_feeds_are_parsed_once(spark):
+    """Each body was parsed once for RSS and once for Atom, and items were cleaned before and after the filter on them."""
+    plan = plans.QUERIES["s01_xml_feeds"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_xml") == plan.count("Relation") == 1
+    assert plan.count(", 1, 16384)") == plan.count(", 1, 4096)") == 1  # the whole of a url and of a title, each cleaned once
+    item, entry = "<item><title>a&#38;lt;b</title></item>", '<entry><title>e</title><link href="https://x.example.com/"/></entry>'
+    bodies = [("both", f"<x><channel>{item * 3}</channel>{entry * 2}</x>"), ("none", "<rss/>"), ("null", None)]
+    rows = feeds.parse_xml(spark.createDataFrame(bodies, "source_id string, body string"), cap=2)
+    assert sorted((r.source_id, r.position, r.title, r.url) for r in rows.select("source_id", "position", "title", F.coalesce("url", F.lit("")).alias("url")).collect()) == [
+        ("both", i, *x) for i in (0, 1) for x in (("a&lt;b", ""), ("e", "https://x.example.com/"))
+    ]
