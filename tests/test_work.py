@@ -9,10 +9,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from deskloom import plans
-from deskloom.functions import prose, text
+from deskloom.functions import events, prose, roles, text
 from deskloom.operators import editorial, matching
 from deskloom.plans import text_and_pages
 from deskloom.sources import feeds
+from tests.test_functions import ONE_EVENT, TWO_EVENTS
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -127,3 +128,24 @@ def test_feeds_are_parsed_once(spark):
     assert sorted((r.source_id, r.position, r.title, r.url) for r in rows.select("source_id", "position", "title", F.coalesce("url", F.lit("")).alias("url")).collect()) == [
         ("both", i, *x) for i in (0, 1) for x in (("a&lt;b", ""), ("e", "https://x.example.com/"))
     ]
+
+
+def test_plain_searches_come_before_patterns():
+    """A pattern's words stand in each of its matches, so titles without them need no pattern."""
+    tables = [events.ACTIONS, events.ARTIFACTS, events.OBJECTS, events.LAST_OBJECTS, events.LIFECYCLE, events.FACETS, events.NAMED, events.FEATURES, events.COMPONENTS, events.VERSIONS]
+    patterns = [p for table in tables for ps in table.values() for p in ps] + [p for _, p in events.STAGES] + [c.pattern for c in [*roles.LEGAL, *roles.INVESTIGATION, *roles.ACQUISITION]]
+    assert all(events.needed(p) for p in patterns) and not events.needed(r"\b[a-z]+\d?\b") and events.needed(r"\bsu(?:ed|ing)|[$]?bid x?") == {"su", "bid "}
+    titles = [t.lower() for pair in ONE_EVENT + TWO_EVENTS for t in pair]
+    found = [(p, t) for p in patterns for t in titles if re.search(p, t)]
+    assert found and all(any(w in t for w in events.needed(p)) for p, t in found)
+
+
+def test_common_words_make_no_candidates(spark):
+    """Titles of a publisher with a few common words, and ends that no event has both of, were compared by all their features."""
+    rows = [(i, f"Google alder birch cedar {'launches app' if i % 2 else 'hires staff'} {w}{i} {w}{i + 99}", "p", f"u{i}") for i, w in enumerate(["yew"] * 60)]
+    rows += [(100 + i, f"Google unveils blue round wheel maker {end}", "p", f"w{i}") for i, end in enumerate(("app", "extension", "lawsuit filed", "Android"))]
+    items = matching.features_by_title(spark.createDataFrame(rows, "i int, t string, p string, u string"), "i", "t", "p", "u").persist()
+    a, b = items.alias("a"), items.alias("b")
+    every = {tuple(r) for r in a.crossJoin(b).where(F.col("a.item") < F.col("b.item")).where(matching.pair_predicate()).select("a.item", "b.item").collect()}
+    pairs = {tuple(r) for r in matching.block_pairs(matching._blocks(items)).collect()}
+    assert every <= pairs and len(pairs) < 500  # of 870 that share two of their rarer words and the end
