@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from deskloom.checkpoints import checkpointed
+from deskloom.functions.text import let
+
 # Relationships of a source that reports an event itself, and the most records and sources of a candidate.
 REPORTING = ["originating", "independent"]
 MOST_EVIDENCE, MOST_SOURCES = 4, 8
@@ -53,23 +56,55 @@ def bind_evidence(evidence: DataFrame, sources: DataFrame) -> DataFrame:
     return rows.select("candidate", "record", "bound", code.alias("code"))
 
 
+def gathered(rows: DataFrame, key: list[str], name: str, *more: str) -> DataFrame:
+    """Sources as one array per key, with _STATED, id and `more` as fields."""
+    return rows.groupBy(*key).agg(F.collect_list(F.struct("id", *more, *_STATED)).alias(name))
+
+
+def _article(x: Column) -> Column:
+    return x["relationship"].isNull() | (x["relationship"] != "context")
+
+
+def distinct(rows: str, column: str, where=_article) -> Column:
+    """The distinct values that are not null of the sources in an array for which a condition holds; None: of all."""
+    kept = F.col(rows) if where is None else F.filter(rows, where)
+    return F.array_distinct(F.array_compact(F.transform(kept, lambda x: x[column])))
+
+
 def _counts(sources: DataFrame, key: list[str]) -> DataFrame:
-    """Per key: what its sources amount to, recomputed from rows. Distinct values are sets of one key's sources, in one pass, as a
-    count_distinct beside another multiplies the rows that are shuffled."""
-    article = F.col("relationship").isNull() | (F.col("relationship") != "context")
-    distinct = lambda c, where=F.lit(True): F.collect_set(F.when(where, F.col(c)))
-    rows = sources.groupBy(*key).agg(
-        F.count("*").alias("rows"), F.size(distinct("id")).alias("ids"), F.count_if(article).alias("articles"), F.count_if(article & (F.col("relationship") == "originating")).alias("origins"),
-        F.size(distinct("url", article)).alias("urls"), F.sort_array(distinct("publisher_key", article)).alias("keys"),
-        F.max(F.when(article, F.col("url"))).alias("article_url"),
+    """Per key: what its sources, rows or an array `held`, amount to, recomputed from them."""
+    if "held" not in sources.columns:
+        sources = gathered(sources, key, "held", "publisher_key")
+    n = lambda where: F.size(F.filter("held", where)).cast("long")
+    rows = sources.where(F.size("held") > 0).select(
+        *key, F.size("held").cast("long").alias("rows"), F.size(distinct("held", "id", None)).alias("ids"), n(_article).alias("articles"), n(lambda x: x["relationship"] == "originating").alias("origins"),
+        F.size(distinct("held", "url")).alias("urls"), F.sort_array(distinct("held", "publisher_key")).alias("keys"), F.array_max(distinct("held", "url")).alias("article_url"), "held",
     )
     return rows.withColumn("alone", F.when(F.size("keys") == 1, F.get("keys", F.lit(0))))
 
 
-def _contexts(sources: DataFrame, totals: DataFrame, key: list[str]) -> DataFrame:
-    """(key, url): contexts by the one publisher of a key's articles."""
-    sole = totals.where("alone IS NOT NULL").select(*key, "alone")
-    return sources.where("relationship = 'context'").join(sole, key).where("publisher_key = alone").select(*key, "url").distinct()
+def _contexts(url: Column, held: Column, alone: Column) -> Column:
+    """Of sources held in an array: those of context by the one publisher of the articles, and of a url unless that is None."""
+    of = lambda x: (x["relationship"] == "context") & (x["publisher_key"] == alone)
+    return F.filter(held, of if url is None else lambda x: of(x) & (x["url"] == url))
+
+
+def _judged(picks: Column, held: Column, alone: Column) -> Column:
+    """A story's sources as an array, each with what the candidate's array holds: its publisher's key, whether it differs, and whether it is such a context."""
+
+    def judged(p: Column) -> Column:
+        theirs = F.array_min(F.transform(F.filter(held, lambda x: x["id"] == p["id"]), lambda x: F.struct(x["publisher_key"].alias("publisher_key"), *[x[c].alias(c) for c in _STATED])))
+
+        def row(x: Column) -> Column:
+            same = x.isNotNull()
+            for c in _STATED:
+                same &= p[c].eqNullSafe(x[c])
+            context = F.size(_contexts(p["url"], held, alone)) > 0
+            return F.struct(p["id"].alias("id"), p["url"].alias("url"), p["relationship"].alias("relationship"), x["publisher_key"].alias("publisher_key"), (~same).alias("changed"), context.alias("of_publisher"))
+
+        return let(theirs, row)
+
+    return F.transform(picks, judged)
 
 
 def closed_world(stories: DataFrame, candidates: DataFrame, sources: DataFrame, chosen: DataFrame, required: DataFrame | None = None, singles: bool = False) -> DataFrame:
@@ -85,21 +120,30 @@ def closed_world(stories: DataFrame, candidates: DataFrame, sources: DataFrame,
     originating article with a context of its publisher. The story's sources must be the candidate's, unchanged, each once, of
     two urls, and by themselves amount to that evidence. Required events must be known, named once, and all events that stories
     take, no others. Every rule is an aggregate or a join on (edition, event) or (edition, story, source); no edition meets in one task, except that
-    positions of stories that share an event are compared by their minimum. Empty tables break no rule but REQUIRED_UNUSED.
+    positions of stories that share an event are compared by their minimum. A candidate's sources are gathered as one array, and a story's
+    as another, so that a row of them is dealt out once and not for each rule. Empty tables break no rule but REQUIRED_UNUSED.
     """
     event, story = ["edition", "event_key"], ["edition", "story"]
+    picked = gathered(chosen, story, "picks").join(stories.select("edition", "story", "event_key"), story)
+    return closed_world_of(stories, candidates, checkpointed(gathered(sources, event, "held", "publisher_key")), picked, required, singles)
+
+
+def closed_world_of(stories: DataFrame, candidates: DataFrame, held: DataFrame, picked: DataFrame, required: DataFrame | None = None, singles: bool = False) -> DataFrame:
+    """closed_world() of sources that were gathered before: held has edition, event_key and held, once each; picked has edition, story,
+    event_key and picks for each row of stories with sources of its own."""
+    event, story = ["edition", "event_key"], ["edition", "story"]
     supply = candidates.groupBy(*event).agg(
         F.count("*").alias("dossiers"),
         F.min(F.struct(F.col("desk").alias("c_desk"), "item_sources", "publishers", F.array_sort(F.array_distinct("publisher_keys")).alias("ranked"), "corroborated", "tier")).alias("c"),
     ).select(*event, "dossiers", "c.*")
-    totals = _counts(sources, event)
-    contexts = _contexts(sources, totals, event)
-    own_page = contexts.join(totals.select(*event, "article_url"), event).groupBy(*event).agg(F.count("*").alias("contexts"), F.max((F.col("url") == F.col("article_url")).cast("int")).alias("circular"))
+    pages = F.array_distinct(F.transform(_contexts(None, F.col("held"), F.col("alone")), lambda x: x["url"]))
+    totals = _counts(held, event).withColumn("pages", pages)
+    totals = totals.withColumns({"contexts": F.size("pages"), "circular": F.array_max(F.transform("pages", lambda url: (url == F.col("article_url")).cast("int")))})
     consistent = (F.col("item_sources") == F.col("urls")) & (F.col("publishers") == F.size("keys")) & (F.col("ranked") == F.col("keys"))
     corroborated = F.col("corroborated") & (F.col("urls") >= 2) & (F.size("keys") >= 2) & consistent & F.coalesce(F.col("tier") == "corroborated", F.lit(True))
     single = F.lit(singles) & (F.col("tier") == "authoritative-single") & ~F.col("corroborated") & (F.col("articles") == 1) & (F.col("origins") == 1) & (F.size("keys") == 1)
     single &= F.coalesce(F.col("contexts") >= 1, F.lit(False)) & F.coalesce(F.col("circular") == 0, F.lit(False)) & consistent
-    judged = supply.join(totals, event, "left").join(own_page, event, "left").select(
+    judged = supply.join(totals.drop("held", "pages"), event, "left").select(
         *event, "dossiers", "c_desk", (F.col("rows") > F.col("ids")).alias("ids_repeat"),
         F.coalesce(corroborated, F.lit(False)).alias("is_corroborated"), F.coalesce(single, F.lit(False)).alias("is_single"),
     )
@@ -107,19 +151,16 @@ def closed_world(stories: DataFrame, candidates: DataFrame, sources: DataFrame,
     earliest = stories.groupBy(*event).agg(F.min("position").alias("taken"))
     told = stories.select("edition", "story", "position", "event_key", "desk").join(earliest, event, "left").join(judged, event, "left")
 
-    theirs = sources.groupBy(*event, "id").agg(F.min(F.struct("publisher_key", *[F.col(c).alias(f"s_{c}") for c in _STATED])).alias("s"))
-    picked = chosen.select("edition", "story", "id", *_STATED).join(stories.select("edition", "story", "event_key"), story)
-    picked = picked.join(theirs, [*event, "id"], "left").select("*", F.col("s").isNotNull().alias("known"), "s.*")
-    same = F.col("known")
-    for c in _STATED:
-        same &= _same(c, f"s_{c}")
-    picked = picked.join(contexts.withColumn("of_publisher", F.lit(True)), [*event, "url"], "left")
-    article = F.col("relationship").isNull() | (F.col("relationship") != "context")
-    amounts = picked.groupBy(*story).agg(
-        F.count("*").alias("n"), F.size(F.collect_set("id")).alias("n_ids"), F.size(F.collect_set("url")).alias("n_urls"), F.count_if(~same).alias("changed"),
-        F.count_if(article).alias("n_articles"), F.count_if(F.col("relationship") == "originating").alias("n_origins"), F.size(F.collect_set(F.when(article, F.col("url")))).alias("n_article_urls"),
-        F.size(F.collect_set(F.when(article, F.col("publisher_key")))).alias("n_publishers"), F.count_if((F.col("relationship") == "context") & F.col("of_publisher")).alias("n_contexts"),
+    picked = picked.join(held.select(*event, "held", F.when(F.size(distinct("held", "publisher_key")) == 1, F.get(distinct("held", "publisher_key"), F.lit(0))).alias("alone")), event, "left")
+    theirs = F.coalesce("held", F.array().cast(dict(held.dtypes)["held"]))
+    n = lambda where: F.size(F.filter("picks", where)).cast("long")
+    each = picked.select(*story, _judged(F.col("picks"), theirs, F.col("alone")).alias("picks")).select(
+        *story, F.size("picks").alias("n"), F.size(distinct("picks", "id", None)).alias("n_ids"), F.size(distinct("picks", "url", None)).alias("n_urls"), n(lambda p: p["changed"]).alias("changed"),
+        n(_article).alias("n_articles"), n(lambda p: p["relationship"] == "originating").alias("n_origins"), F.size(distinct("picks", "url")).alias("n_article_urls"),
+        distinct("picks", "publisher_key").alias("keys"), n(lambda p: (p["relationship"] == "context") & p["of_publisher"]).alias("n_contexts"),
     )
+    total, same = ["n", "changed", "n_articles", "n_origins", "n_contexts"], ["n_ids", "n_urls", "n_article_urls"]  # of a story that is told twice
+    amounts = each.groupBy(*story).agg(*[F.sum(c).alias(c) for c in total], *[F.max(c).alias(c) for c in same], F.size(F.array_distinct(F.flatten(F.collect_list("keys")))).alias("n_publishers"))
     two = (F.col("n_articles") >= 2) & (F.col("n_publishers") >= 2) & (F.col("n_article_urls") >= 2)
     one = (F.col("n_articles") == 1) & (F.col("n_origins") == 1) & (F.col("n_publishers") == 1) & (F.col("n_contexts") >= 1)
     few = F.coalesce((F.col("n") < 2) | (F.col("n_urls") < 2), F.lit(True))

@@ -88,3 +88,19 @@ def test_counts_shuffle_no_copies_of_rows(spark):
     assert "Expand" not in rows._jdf.queryExecution().executedPlan().toString()
     got = rows.first().asDict()
     assert {k: got[k] for k in ("rows", "ids", "articles", "origins", "urls", "keys", "article_url", "alone")} == {"rows": 2, "ids": 1, "articles": 1, "origins": 1, "urls": 1, "keys": ["k"], "article_url": "u", "alone": "k"}
+
+
+def test_sources_are_dealt_out_once(spark):
+    """Q09: rows of sources and of stories' sources were shuffled for each rule; the result on them reads gathered candidates."""
+    cols = "edition int, event_key int, id int, title string, publisher string, publisher_key string, url int, relationship string, published_at string"
+    sources = spark.createDataFrame([(1, 1, i, "T", "P", k, i, r, "d") for i, k, r in [(1, "p", "originating"), (2, "q", "independent")]], cols)
+    chosen = sources.drop("publisher_key").withColumnRenamed("event_key", "story")
+    stories = spark.createDataFrame([(1, 1, 1, 1, "D"), (1, 2, 2, 1, "D")], "edition int, story int, position int, event_key int, desk string")
+    candidates = spark.createDataFrame([(1, 1, "D", 2, 2, ["p", "q"], True, None)], "edition int, event_key int, desk string, item_sources int, publishers int, publisher_keys array<string>, corroborated boolean, tier string")
+    out = binding.closed_world(stories, candidates, sources, chosen)
+    assert [tuple(r) for r in out.collect()] == [(1, "story", "2", "EVENT_REUSED")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list(struct(id") == 1
+    # a story that is told twice counts its sources twice
+    twice = binding.closed_world(stories.where("story = 1").union(stories.where("story = 1")), candidates, sources, chosen)
+    assert {r["code"] for r in twice.collect()} == {"SOURCE_REPEATED"}
